@@ -266,3 +266,21 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     found = slim_rows.where("some").join(known, "digest").select("doc_id", "class_id", "n_links", "text_hash")
     alone = slim_rows.where("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash")
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are the first of their group; texts without words all stay.
+
+    Of repeated rows (equal id and text) in a group one stays.
+    """
+    found = jaccard_join(docs, words, threshold)
+    rows = write_table(found.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"), F.max("n_links").alias("links")), "groups")
+    drop = rows.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    key = F.xxhash64(text_or_empty())
+    kept = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_hash")), "left_anti")
+    again = rows.where("kept and n > 1 and links > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_hash"))
+    single = kept.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.join(again, same, "left_anti").unionByName(single)

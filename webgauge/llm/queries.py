@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .jaccard_join import jaccard_join
+from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import rank_quality
+from .sentencepiece_sampling import segmentation_digests
 from .token_counts import count_tokens
 from .token_files import tokens_through_files
 
@@ -17,10 +21,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_through_files(read_table(spark, sf_dir, "documents"))
 
@@ -33,11 +49,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op6_token_files, op7_embedding_dedup, op8_exact_dedup, op10_ngram_jaccard)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_html_extraction, op3_sentencepiece_sampling, op4_best_fit_packing, op5_line_dedup,
+        op6_token_files, op7_embedding_dedup, op8_exact_dedup, op9_quality_ranking, op10_ngram_jaccard,
+    )
+}
 
 ORACLE = {
     "op8_exact_dedup": r"""
