@@ -275,12 +275,12 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THR
     """
     found = jaccard_join(docs, words, threshold)
     rows = write_table(found.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"), F.max("n_links").alias("links")), "groups")
-    drop = rows.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    drop = rows.where("not kept").select(F.col("doc_id").alias("__wg_id"), F.col("text_hash").alias("__wg_hash"))
     key = F.xxhash64(text_or_empty())
-    kept = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_hash")), "left_anti")
-    again = rows.where("kept and n > 1 and links > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__wg_id")) & (key == F.col("__wg_hash")), "left_anti")
+    again = rows.where("kept and n > 1 and links > 0").select(F.col("doc_id").alias("__wg_id"), F.col("text_hash").alias("__wg_hash"))
     if again.isEmpty():
         return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_hash"))
-    single = kept.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__wg_id")) & (key == F.col("__wg_hash"))
+    single = kept.join(again, same, "left_semi").withColumn("__wg_key", key).dropDuplicates(["doc_id", "__wg_key"]).drop("__wg_key")
     return kept.join(again, same, "left_anti").unionByName(single)
