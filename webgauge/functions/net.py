@@ -58,7 +58,7 @@ def ipv6_bytes(text: str) -> bytes | None:
         if len(parts) != 4 or not all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts):
             return None
         quad = [int(p) for p in parts]
-        head += ":0:0" if not head.endswith(":") or head == "" else "0:0"
+        head += ":0:0"
     sides = head.split("::")
     if len(sides) > 2:
         return None

@@ -59,7 +59,7 @@ def url_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- page model ------------------------------------------------------------------------------------------------------
 
-BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
+BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
 
 
 def _plain(e: str) -> str:

@@ -17,8 +17,8 @@ from webgauge.constants import MAX_CHILD_SITEMAPS, MAX_REDIRECTS, MAX_SITEMAP_UR
 from webgauge.functions import urls
 from webgauge.operators.robots import blocks_all
 
-#: Encodings that the JVM decodes by these names; others are read as UTF-8.
-ENCODINGS = "utf-8 utf-16 iso-8859-1 us-ascii windows-1252".split()
+#: Fixed value: encodings that browsers read as others.
+READ_AS = {"utf8": "utf-8", "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "latin1": "windows-1252", "us-ascii": "windows-1252", "ascii": "windows-1252", "utf-16": "utf-16-le"}
 LOOKS_LIKE_HTML = r"(?is)^\s*(<!doctype\s+html|<html)"
 
 
@@ -28,20 +28,31 @@ def read_captures(spark: SparkSession, path: str, file_format: str = "parquet")
 
 
 def charset(content_type: Column, body: Column) -> Column:
-    """Encoding of a body: header, else a declaration in its first 4096 bytes, else UTF-8; UTF-8 for unknown names."""
+    """Name of a body's encoding: header, else a declaration in its first 4096 bytes, else UTF-8."""
     head = F.decode(F.substring(body, 1, 4096), "iso-8859-1")
     sniffed = F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)
     named = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=\"?([^\s;\"']+)", 1), F.lit("")), F.nullif(sniffed, F.lit("")), F.lit("utf-8")))
-    named = F.when(named.isin("utf8"), "utf-8").when(named.isin("latin1", "iso8859-1"), "iso-8859-1").otherwise(named)
-    return F.when(named.isin(ENCODINGS), named).otherwise("utf-8")
+    for alias, encoding in READ_AS.items():
+        named = F.when(named == alias, encoding).otherwise(named)
+    return named
+
+
+@F.arrow_udf(T.StringType())
+def _decode_other(body: pa.Array, name: pa.Array) -> pa.Array:
+    out = []
+    for b, n in zip(body.to_pylist(), name.to_pylist()):
+        try:
+            out.append(None if b is None else b.decode(n, "replace"))
+        except LookupError:
+            out.append(b.decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
 
 
 def decode_body(content_type: Column, body: Column) -> Column:
+    """The text of a body; valid UTF-8 under that name is decoded in the JVM, anything else in Python."""
     name = charset(content_type, body)
-    out = F.decode(body, "utf-8")
-    for e in ENCODINGS[1:]:
-        out = F.when(name == e, F.decode(body, e)).otherwise(out)
-    return out
+    text = F.try_validate_utf8(body.cast("string"))
+    return F.when((name == "utf-8") & text.isNotNull(), text).otherwise(_decode_other(body, name))
 
 
 @F.arrow_udf(T.BinaryType())
