@@ -49,19 +49,17 @@ def stop_word_percent(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words) * 100.0)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with ``value`` evaluated once however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hits(words: Column, markers: list[str]) -> Column:
     return F.size(F.filter(words, lambda x: x.isin(markers)))
 
 
 def language(text: Column) -> Column:
     """struct(code, confidence) from marker words among the first tokens; code null under 20 tokens or without hits."""
-    words = F.slice(tokens(text), 1, LANGUAGE_TOKENS)
-    scores = F.transform(
-        F.array(words),
-        lambda w: F.struct(F.size(w).alias("n"), *[_hits(w, m).alias(code) for code, m in LANGUAGE_MARKERS.items()]),
-    )[0]
-    codes = list(LANGUAGE_MARKERS)
-    ranked = F.sort_array(F.array(*[F.struct((scores[c] / scores["n"]).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("code")) for i, c in enumerate(codes)]), asc=False)
     none = F.struct(F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("confidence"))
 
     def pick(r: Column) -> Column:
@@ -69,7 +67,11 @@ def language(text: Column) -> Column:
         sure = F.least(F.lit(1.0), (best - second) * 25.0 + best * 5.0)
         return F.when(best > 0, F.struct(r[0]["code"].alias("code"), sure.alias("confidence"))).otherwise(none)
 
-    return F.when(F.size(words) < LANGUAGE_LEAST_TOKENS, none).otherwise(F.transform(F.array(ranked), pick)[0])
+    def rank(words: Column) -> Column:
+        scored = F.array(*[F.struct((_hits(words, m) / F.size(words)).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("code")) for i, (c, m) in enumerate(LANGUAGE_MARKERS.items())])
+        return F.when(F.size(words) < LANGUAGE_LEAST_TOKENS, none).otherwise(_once(F.sort_array(scored, asc=False), pick))
+
+    return _once(F.slice(tokens(text), 1, LANGUAGE_TOKENS), rank)
 
 
 def pixel_width(text: Column, font_px: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from webgauge.constants import PLACEHOLDER_IMAGE, PLACEHOLDER_TEXT, SESSION_PARAMS, SHARE_LINKS, SOCIAL_HOSTS, TRACKING_LINKS
 from webgauge.functions import text as tx
 from webgauge.operators.dom import Node, parse
+from webgauge.runtime import built_once
 
 WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}'’-]*")
 NOT_KEY = regex.compile(r"[^\p{L}\p{N} ]")
@@ -351,17 +352,22 @@ def duplicate_anchors(internal: Column) -> Column:
 
 
 def with_derived(docs: DataFrame) -> DataFrame:
-    """Adds ``x``: what follows from the model, and ``url_ok``-independent page facts, for rules and views."""
+    """Adds ``x``: what follows from the model ``doc``, for rules and views."""
+    first = docs.withColumn("tokens", tx.tokens(F.col("doc.body_text")))
+    return first.withColumn("x", built_once(docs.sparkSession, "derived", _derived)).drop("tokens")
+
+
+def _derived() -> Column:
+    """Over doc, and tokens of its body text."""
     d = F.col("doc")
-    words_, main = tx.tokens(d["body_text"]), d["main_text"]
+    main = d["main_text"]
     images = F.filter(d["media"], lambda m: m["tag"] == "img")
     content = F.filter(images, lambda m: ~m["decorative"])
     has_alt = lambda m: F.coalesce(F.trim(m["alt"]), F.lit("")) != ""
     links = F.concat(d["internal"], d["external"])
     paragraph_keys = F.filter(F.transform(d["paragraphs"], tx.paragraph_key), lambda k: k != "")
-    first = docs.withColumn("tokens", words_)
     t = F.col("tokens")
-    x = F.struct(
+    return F.struct(
         F.size(t).alias("word_count"),
         tx.stop_word_percent(t).alias("stop_percent"),
         tx.language(main).alias("language"),
@@ -389,7 +395,6 @@ def with_derived(docs: DataFrame) -> DataFrame:
         F.size(F.filter(d["media"], lambda m: F.regexp_like(m["src"], F.lit(PLACEHOLDER_IMAGE)))).alias("placeholder_images"),
         tx.content_hash(F.size(t), d["paragraphs"]).alias("content_hash"),
     )
-    return first.withColumn("x", x).drop("tokens")
 
 
 def _social(href: Column) -> Column:

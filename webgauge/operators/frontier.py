@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgauge.constants import MAX_DEPTH, MAX_PAGES
+from webgauge.runtime import shared_folder
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None) -> DataFrame:
@@ -19,6 +20,7 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPT
     the order of the first page that links to it, then of its URL.  Sitemap URLs fill what is left of the budget; their
     depth is null.
     """
+    shared_folder(seeds.sparkSession)
     # the claimed set is at most max_pages rows a site: levels are checkpointed so that plans stay short
     edges = links.select("site_key", "src", "dst").where("src <> dst").distinct()
     level = seeds.select("site_key", "url").distinct()

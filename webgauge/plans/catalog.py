@@ -72,9 +72,9 @@ def findings_column(mode: str, checks: list[Check]) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def explode_findings(pages: DataFrame, mode: str, checks: list[Check], id_column: str = "page_id") -> DataFrame:
+def explode_findings(pages: DataFrame, findings: Column, id_column: str = "page_id") -> DataFrame:
     """A row for each finding of each page."""
-    return pages.select(F.col(id_column).alias("page_id"), F.explode(findings_column(mode, checks)).alias("f")).select("page_id", "f.*")
+    return pages.select(F.col(id_column).alias("page_id"), F.explode(findings).alias("f")).select("page_id", "f.*")
 
 
 #: What a capture may carry beside url and html, and what is assumed where it doesn't.

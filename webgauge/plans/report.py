@@ -10,17 +10,19 @@ from webgauge.operators import scoring
 from webgauge.operators.extract import extract_documents, with_derived
 from webgauge.operators.keywords import keywords
 from webgauge.plans import geo, seo
-from webgauge.plans.catalog import complete, explode_findings
+from webgauge.plans.catalog import complete, explode_findings, findings_column
+from webgauge.runtime import built_once, materialize
 
 
 def audited(captures: DataFrame) -> DataFrame:
     """Captures (page_id, url, html, ...) with doc, x and g; absent capture columns are assumed."""
     out = with_derived(extract_documents(complete(captures)))
-    return out.withColumn("g", geo.signals())
+    return out.withColumn("g", built_once(captures.sparkSession, "signals", geo.signals))
 
 
 def findings(pages: DataFrame, mode: str = "seo") -> DataFrame:
-    return explode_findings(pages, mode, seo.checks() if mode == "seo" else geo.checks())
+    rules = seo.checks if mode == "seo" else geo.checks
+    return explode_findings(pages, built_once(pages.sparkSession, f"findings {mode}", lambda: findings_column(mode, rules())))
 
 
 def _unmeasured(mode: str) -> Column | None:
@@ -35,8 +37,8 @@ def scores(found: DataFrame, mode: str = "seo") -> tuple[DataFrame, DataFrame]:
 
 def page_reports(captures: DataFrame, mode: str = "seo") -> DataFrame:
     """A nested report for each page: page facts, score, categories with checks and findings, to-dos, keywords."""
-    pages = audited(captures)
-    found = findings(pages, mode)
+    pages = materialize(audited(captures), "audited")  # read for findings, facts and keywords
+    found = materialize(findings(pages, mode), "findings")
     checks = scoring.check_points(found)
     categories = scoring.category_scores(checks, mode, _unmeasured(mode))
     texts = found.groupBy("page_id", "cat_pos", "check_pos").agg(F.array_sort(F.collect_list(F.struct("find_pos", "status", "text", "todo"))).alias("findings"))
@@ -58,6 +60,7 @@ def keyword_rows(pages: DataFrame) -> DataFrame:
 
 def page_summaries(pages: DataFrame, found: DataFrame, mode: str = "seo") -> DataFrame:
     """The flat page rows that site analysis works on."""
+    found = materialize(found, "findings")
     categories, overall = scores(found, mode)
     by_key = categories.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("categories"))
     actions = scoring.todos(found).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "check", "category", "action", "importance"))), lambda t: F.struct(t["check"].alias("check"), t["category"].alias("category"), t["action"].alias("action"), t["importance"].alias("importance"))).alias("todos"))

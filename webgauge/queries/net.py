@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from webgauge.constants import AI_CRAWLERS, AUDIT_QUOTA, AUDIT_WINDOW_S, VITALS
 from webgauge.functions import net
 from webgauge.operators import admission, robots, vitals
 from webgauge.queries.registry import long, query, sql_values, table
+from webgauge.runtime import shared_folder
 from webgauge.streaming.admission import stream_admissions
 
 # -- robots.txt made of nations, paths made of parts ------------------------------------------------------------------------
@@ -169,9 +170,8 @@ def admission_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_admissions_sql(2, 86400 * 3))
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the events file, its keyed state carried through the batches."""
-    name, source = f"admissions_{abs(hash(sf_dir)) % 1_000_000}", table(spark, sf_dir, "events")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webgauge-")).rstrip("/")
-    folder = f"{root}/{name}-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    source = table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/admissions-{uuid.uuid4().hex}"
     source.select(F.col("user_id").alias("key"), "event_id", "ts").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("key long, event_id long, ts timestamp").parquet(f"{folder}/in")
     out = stream_admissions(stream, 2, 86400 * 3)

@@ -10,6 +10,7 @@ from webgauge.functions import urls
 from webgauge.operators import scoring
 from webgauge.plans import report
 from webgauge.queries.registry import long, query, sql_values, table
+from webgauge.runtime import materialize
 from webgauge.sources import captures
 
 # -- URLs ------------------------------------------------------------------------------------------------------------
@@ -117,7 +118,7 @@ def seo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def site_page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = report.audited(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp")))
+    pages = materialize(report.audited(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))), "audited")
     return report.page_summaries(pages, report.findings(pages, "seo"), "seo")
 
 

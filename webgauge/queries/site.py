@@ -133,7 +133,7 @@ def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frontier without a page budget: every page within reach and its depth."""
     links = links_of_lineitem(spark, sf_dir)
     seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
-    return _with_checkpoints(spark, frontier.crawl_frontier, seeds, links, 4, 1 << 40).select("site_key", "url", long("depth").alias("depth"))
+    return frontier.crawl_frontier(seeds, links, 4, 1 << 40).select("site_key", "url", long("depth").alias("depth"))
 
 
 @query()
@@ -141,13 +141,4 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frontier under its budget of 25 pages; the claim order is sequential, so tests hold it against a queue."""
     links = links_of_lineitem(spark, sf_dir)
     seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
-    return _with_checkpoints(spark, frontier.crawl_frontier, seeds, links)
-
-
-def _with_checkpoints(spark: SparkSession, f, *args) -> DataFrame:
-    """Checkpoints go to spark.checkpoint.dir; only where it is unset, as in tests, to a folder of our own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webgauge-"))
-    return f(*args)
+    return frontier.crawl_frontier(seeds, links)

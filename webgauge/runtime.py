@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_built: dict[tuple, object] = {}
+
+
+def built_once(spark: SparkSession, name: str, build):
+    """The large column expression of that name: building one takes thousands of calls into the JVM."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -26,3 +36,24 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, as in tests, a local folder that is set for it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="webgauge-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a plan read to the shared folder, and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
