@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import AI_CRAWLERS, AUDIT_QUOTA, AUDIT_WINDOW_S, VITALS
 from webgauge.functions import net
 from webgauge.operators import admission, robots, vitals
+from webgauge.plans import views
 from webgauge.queries.registry import long, query, sql_values, table
 from webgauge.runtime import shared_folder
 from webgauge.streaming.admission import stream_admissions
@@ -63,6 +64,16 @@ def robots_crawler_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("origin", "path", "agent", "role", "allowed", "rule", "specific")
 
 
+@query(
+    f"""WITH {RULES}, {PATHS}, bots AS (SELECT * FROM {sql_values([(i, *r) for i, r in enumerate(AI_CRAWLERS)])} AS b(bot_pos, agent, vendor, surface, role)), rq AS (SELECT * FROM pa CROSS JOIN bots), {VERDICT}
+    SELECT rq.origin, rq.path, rq.role, coalesce(string_agg(rq.agent, ' ' ORDER BY rq.agent) FILTER (coalesce(hit.kind = 'allow', TRUE)), '') AS allowed, coalesce(string_agg(rq.agent, ' ' ORDER BY rq.agent) FILTER (hit.kind = 'disallow'), '') AS blocked
+    FROM rq LEFT JOIN hit ON hit.origin = rq.origin AND hit.path = rq.path AND hit.agent = rq.agent AND hit.r = 1 GROUP BY 1, 2, 3"""
+)
+def robots_crawler_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = views.crawler_grid(robots_crawler_access(spark, sf_dir))
+    return grid.select("origin", "path", "role", F.array_join("allowed", " ").alias("allowed"), F.array_join("blocked", " ").alias("blocked"))
+
+
 @query(
     f"""WITH {RULES}, {PATHS}, rq AS (SELECT origin, path, agent FROM pa CROSS JOIN (VALUES ('googlebot'), ('*')) AS a(agent)), {VERDICT}
     SELECT pa.origin, pa.path, arg_min(hit.rule, hit.agent <> 'googlebot') AS blocking_rule FROM pa LEFT JOIN hit ON hit.origin = pa.origin AND hit.path = pa.path AND hit.r = 1 AND hit.kind = 'disallow' GROUP BY 1, 2"""
@@ -190,3 +201,15 @@ def admission_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"))
     return admission.active_jobs(o)
+
+
+@query(
+    """WITH a AS (SELECT count(*) FILTER (event_id % 3 <> 0) AS admitted, count(*) FILTER (event_id % 3 = 0) AS rejected FROM events),
+    b AS (SELECT count(*) FILTER (o_orderstatus = 'O') AS running, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS errors FROM orders)
+    SELECT * FROM a CROSS JOIN b"""
+)
+def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "events").select(F.expr("event_id % 3 <> 0").alias("admitted"))
+    s = F.col("o_orderstatus")
+    jobs = table(spark, sf_dir, "orders").select(F.when(s == "O", "running").when(s == "F", "done").otherwise("error").alias("status"))
+    return views.health(requests, jobs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webgauge.constants import CATEGORIES
 from webgauge.operators import frontier, site
+from webgauge.plans import views
 from webgauge.queries.registry import long, query, sql_values, table
 
 SEO = [k for k, _, _ in CATEGORIES["seo"]]
@@ -136,6 +137,12 @@ def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.crawl_frontier(seeds, links, 4, 1 << 40).select("site_key", "url", long("depth").alias("depth"))
 
 
+@query(f"WITH {P} SELECT site_key, url, row_number() OVER (PARTITION BY site_key ORDER BY lower(url), url) AS place FROM p")
+def site_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the order that people sort URLs in; for these URLs that is plain lower case order."""
+    return views.by_url(pages_of_parts(spark, sf_dir)).select("site_key", "url", long("place").alias("place"))
+
+
 @query()
 def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frontier under its budget of 25 pages; the claim order is sequential, so tests hold it against a queue."""

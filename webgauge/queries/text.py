@@ -10,6 +10,7 @@ from webgauge.functions import numbers
 from webgauge.functions import text as tx
 from webgauge.operators.extract import text_issues
 from webgauge.operators.keywords import keep_keywords, keyword_candidates
+from webgauge.plans import views
 from webgauge.queries.registry import long, query, six, sql_list, sql_six, sql_tokens, sql_values, table
 
 STOPS = sql_list(STOP_WORDS)
@@ -144,6 +145,14 @@ def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("id", long("rank").alias("rank"), "keyword", long("words").alias("words"), "count", "density", "score")
 
 
+@query(
+    f"WITH {GRAMS} SELECT id, keyword, NOT (in_title OR in_description OR in_headings > 0 OR in_url) AS body_only, {sql_six('CAST(count AS DOUBLE) / max(count) OVER (PARTITION BY id)')} AS bar FROM r"
+)
+def keyword_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = views.keyword_bars(keyword_candidates(_keyword_rows(spark, sf_dir)))
+    return bars.select("id", "keyword", "body_only", six(F.col("bar")).alias("bar"))
+
+
 def _steps(e: str, steps, last: str) -> str:
     return "CASE " + " ".join(f"WHEN {e} >= {least} THEN '{name}'" for least, name in steps) + f" ELSE '{last}' END"
 
