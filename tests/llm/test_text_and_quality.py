@@ -22,6 +22,8 @@ ARTICLE = "One &amp; two three four five six seven eight nine ten eleven twelve.
         (f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{ARTICLE}<p>More <b>bold</b>\n text</article><footer>f</footer>", "Title\n\nOne & two three four five six seven eight nine ten eleven twelve.\n\nMore bold text"),
         (f"<div id=menu><a href=a>A</a><a href=b>B</a></div><div class=content><p>{ARTICLE}</p><p>{ARTICLE}</p><form>Sign up</form></div><div class='sidebar'>Side</div><section class=comments><p>nice post, really nice post</p></section>", "\n\n".join([ARTICLE.replace("&amp;", "&")] * 2)),
         (f"<main><p>{ARTICLE}<br>line</p><aside>x</aside><script>var a='<p>no</p>'</script><style>p{{}}</style><!-- c --></main>", ARTICLE.replace("&amp;", "&") + " line"),
+        (f"<div id=page class='has-sidebar wrap'><div class=menu><article><p>{ARTICLE}</p></article></div><div class=comments><article class=comment><p>a reader's words</p></article></div></div>", ARTICLE.replace("&amp;", "&")),
+        (f"<div class=cookie-notice>We use cookies</div><div class=text><p>{ARTICLE}</p><p>{ARTICLE}</p></div><article class='comment reply'><p>{ARTICLE}</p></article>", "\n\n".join([ARTICLE.replace("&amp;", "&")] * 2)),
         ("<p>a &lt; b &eacute; &#8364;", "a < b é €"),
         ("<table><tr><td>a<td>b</table>", "a\n\nb"),
         ("<div hidden>no</div><p>yes yes yes", "yes yes yes"),

@@ -41,12 +41,15 @@ IMPLIED = {
 SCOPE = frozenset("html body table td th caption button object template".split())
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label fieldset legend svg math iframe noframes noembed xmp object applet embed canvas audio video map menu dialog datalist search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?=$|[\s_-])", re.I)
 DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
-    r"|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|comment-?list|disqus|replies|reply|respond|discussion|shar(?:e|ing)|social|follow|related|recommend\w*|widgets?"
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|container|wrapper)|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
+    r"|sidebar|side|(?:left|right)(?:bar|rail)|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|toolbar|shar(?:e|ing)|social|follow|related|recommend\w*|widgets?"
     r"|pagination|pager|skip|copyright|tags|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Names that tell of a part elsewhere, as has-sidebar on a page's wrapper.
+ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is)[_-]\S+", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
 ARTICLE, MAIN = "article", "main"
 
@@ -145,15 +148,33 @@ def _path(node: Node):
 def _dropped(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
-    if not node.attrs or node.tag in ("html", "body", ARTICLE, MAIN):
+    if not node.attrs or node.tag in ("html", "body"):
         return False
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     if a.get("role", "").strip().lower() in DROPPED_ROLES:
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return names != " " and bool(DROPPED_NAMES.search(names) or not in_article and HEADER_NAMES.search(names))
+    names = ABOUT_OTHERS.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
+    if names == " ":
+        return False
+    if COMMENT_NAMES.search(names):
+        return not _holds(node, (MAIN,))
+    if DROPPED_NAMES.search(names) or not in_article and HEADER_NAMES.search(names):
+        return node.tag not in (ARTICLE, MAIN) and not _holds(node, (ARTICLE, MAIN))
+    return False
+
+
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    """Whether an element of these is inside: then a name is that of a wrapper, not of the part itself."""
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str):
+                if c.tag in tags:
+                    return True
+                todo.append(c)
+    return False
 
 
 def prune(root: Node) -> None:
