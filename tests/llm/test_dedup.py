@@ -118,12 +118,13 @@ def test_verification_counts_exactly():
     rng = np.random.default_rng(2)
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(100) < 0.95], rng.integers(1000, 1004, 3).astype(np.uint64)])) for _ in range(40)] + [np.arange(5000, 5010, dtype=np.uint64)]
-    mine = rng.random(41) < 0.5
     weight = rng.integers(1, 4, 41)
-    links, root = verify(sets, mine, weight, 0.8)
+    links, root = verify(sets, weight, 0.8)
     hit = np.array([[a is not b and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
-    assert links.tolist() == (hit @ weight)[mine].tolist()
-    assert root[40] == 40
+    assert links.tolist() == (hit @ weight).tolist() and root[40] == 40
+    left = rng.random(41) < 0.5
+    links, _ = verify(sets, weight, 0.8, left, ~left)
+    assert links.tolist() == ((hit & (left[:, None] != left[None, :])) @ weight).tolist()
 
 
 def vectors(seed, n=400):

@@ -96,18 +96,20 @@ def cells_of(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.n
     return home, to
 
 
-def link_cell(units: np.ndarray, home: np.ndarray, weight: np.ndarray, threshold: float, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of the vectors linked to each home vector, least member of each vector's set) within one cell."""
-    index = np.flatnonzero(home)
+def link_cell(units: np.ndarray, home: np.ndarray, member: np.ndarray, weight: np.ndarray, threshold: float, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of the members linked to each home vector, itself not counted; least linked vector of each set)."""
+    index, others = np.flatnonzero(home), np.flatnonzero(member)
     links, root = np.zeros(len(units), np.int64), np.arange(len(units))
     for i in range(0, len(index), rows):
         left = index[i : i + rows]
-        for j in range(0, len(units), columns):
-            hit = units[left] @ units[j : j + columns].T >= threshold
-            links[left] += hit @ weight[j : j + columns]
+        for j in range(0, len(others), columns):
+            right = others[j : j + columns]
+            hit = units[left] @ units[right].T >= threshold
+            hit &= left[:, None] != right[None, :]
+            links[left] += hit @ weight[right]
             a, b = np.nonzero(hit)
-            union_pairs(root, left[a], b + j)
-    return links[index] - weight[index], root
+            union_pairs(root, left[a], right[b])
+    return links[index], root
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -138,24 +140,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows:
 
     placed = reps.select("label", "rep", "weight", "unit").mapInPandas(assign, "label string, rep long, weight long, unit binary, size int, home long, to array<long>")
     placed = write_table(placed, "placed")
-    # a cell with many home vectors is worked on in several parts, each against the whole cell
-    parts = placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / (2 * cell_rows)).cast("int").alias("parts"))
+    # a cell's home vectors and its members (replicas too) are dealt to blocks; a task joins one of each, so its size is
+    # bounded however many vectors a cell has
     members = placed.select("label", "size", "rep", "weight", "unit", "home", F.explode(F.concat(F.array("home"), "to")).alias("cell"))
-    members = members.join(parts, ["label", "size", "cell"])  # a cell without home vectors has no part
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    is_home = (F.col("home") == F.col("cell")) & (F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part"))
-    members = members.select("label", "size", "cell", "part", "rep", "weight", "unit", is_home.alias("mine"))
+    own = F.col("home") == F.col("cell")
+    block = lambda n: F.ceil(F.col(n) / (2 * cell_rows)).cast("int")
+    parts = members.groupBy("label", "size", "cell").agg(F.count_if(own).alias("homes"), F.count("*").alias("all"))
+    parts = parts.where("homes > 0").select("label", "size", "cell", block("homes").alias("k"), block("all").alias("m"))
+    members = members.join(parts, ["label", "size", "cell"])
+    h, j = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("m")).cast("int")
+    members = members.withColumns({"own": own, "h": h, "j": j})
+    as_member = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(x.alias("h"), F.col("j").alias("j")))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(F.col("h").alias("h"), x.alias("j")))
+    tasks = F.when(F.col("own"), F.array_distinct(F.concat(as_member, as_home))).otherwise(as_member)
+    members = members.withColumn("t", F.explode(tasks))
+    members = members.select("label", "size", "cell", F.col("t.h").alias("th"), F.col("t.j").alias("tj"), "rep", "weight", "unit", (F.col("own") & (F.col("h") == F.col("t.h"))).alias("mine"), (F.col("j") == F.col("t.j")).alias("member"))
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")  # so that the least member is the least rep
         units = np.array([np.frombuffer(u) for u in pdf["unit"]])
         mine, rep = pdf["mine"].to_numpy(bool), pdf["rep"].to_numpy()
-        order = np.argsort(rep)  # so that the least member is the least rep
-        units, mine, rep = units[order], mine[order], rep[order]
-        links, root = link_cell(units, mine, pdf["weight"].to_numpy(np.int64)[order], threshold)
+        links, root = link_cell(units, mine, pdf["member"].to_numpy(bool), pdf["weight"].to_numpy(np.int64), threshold)
         moved = np.flatnonzero(root != np.arange(len(rep)))
         return pd.DataFrame({"rep": np.concatenate([rep[mine], rep[moved]]), "links": np.concatenate([links, np.zeros(len(moved), np.int64)]), "root": np.concatenate([rep[mine], rep[root[moved]]])})
 
-    joined = write_table(members.groupBy("label", "size", "cell", "part").applyInPandas(join_cell, "rep long, links long, root long"), "joined")
+    joined = write_table(members.groupBy("label", "size", "cell", "th", "tj").applyInPandas(join_cell, "rep long, links long, root long"), "joined")
     sets = connected_components(joined.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("label", "key", "rep", "least", "weight").join(counts, "rep").join(sets.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -93,40 +93,48 @@ def connect_bucket(sig: np.ndarray, threshold: float, tolerance: float) -> np.nd
     return root
 
 
-def verify(sets: list[np.ndarray], mine: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of the sets linked to each of ``mine``, least member of each set's component), all pairs, exactly."""
+def verify(sets: list[np.ndarray], weight: np.ndarray, threshold: float, left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of the sets linked to each set, least member of each set's component), exactly, over all pairs.
+
+    With ``left`` and ``right`` (boolean, disjoint) only over pairs between the two.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    index = np.flatnonzero(mine)
-    if n == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        if both and both / (sizes.sum() - both) >= threshold:
+    cross = left is not None
+    if n == 2 and not cross:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        if both and both >= threshold * (sizes.sum() - both) * (1 - 1e-9):
             links[:] = weight[::-1]
             root[:] = 0
-        return links[index], root
+        return links, root
+    index, columns = (np.flatnonzero(left), np.flatnonzero(right)) if cross else (np.arange(n), np.arange(n))
+    if not n or not len(index) or not len(columns):
+        return links, root
     owner = np.repeat(np.arange(n), sizes)
     values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[code] > 1  # a shingle of one set only is in no intersection
     renamed = np.cumsum(count > 1) - 1
     owner, code = owner[shared], renamed[code[shared]]
-    width, columns, rows = int((count > 1).sum()), 4096, 512
+    width, step, rows = int((count > 1).sum()), 4096, 512
     for lo in range(0, len(index), rows):
-        left = index[lo : lo + rows]
-        both = np.zeros((len(left), n), np.float32)
-        for c in range(0, width, columns):
-            part = (code >= c) & (code < c + columns)
-            dense = np.zeros((n, min(columns, width - c)), np.float32)
+        own = index[lo : lo + rows]
+        both = np.zeros((len(own), len(columns)), np.float32)
+        for c in range(0, width, step):
+            part = (code >= c) & (code < c + step)
+            dense = np.zeros((n, min(step, width - c)), np.float32)
             dense[owner[part], code[part] - c] = 1
-            both += dense[left] @ dense.T
-        union = sizes[left][:, None] + sizes[None, :] - both
-        hit = (both > 0) & (both >= threshold * union - 1e-9 * union)
-        hit[np.arange(len(left)), left] = False
-        links[left] = hit @ weight
-        a, b = np.nonzero(hit)
-        union_pairs(root, left[a], b)
-    return links[index], root
+            both += dense[own] @ dense[columns].T
+        union = sizes[own][:, None] + sizes[columns][None, :] - both
+        hit = (both > 0) & (both >= threshold * union * (1 - 1e-9))
+        if not cross:
+            hit[np.arange(len(own)), own] = False
+        links[own] += hit @ weight[columns]
+        if cross:
+            links[columns] += weight[own] @ hit
+        i, j = np.nonzero(hit)
+        union_pairs(root, own[i], columns[j])
+    return links, root
 
 
 def _classes(docs: DataFrame, words: int) -> DataFrame:
@@ -233,28 +241,30 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     keyed = write_table(keyed.dropDuplicates(["rep"]), "cell_texts")
 
     small = max(1, math.ceil(active.count() / cell_rows))
-    # small cells share a task; a large one is worked on in parts, each against the whole cell
-    parts = F.when(F.col("n") > cell_rows, F.ceil(F.col("n") / cell_rows).cast("int")).otherwise(F.lit(1))
-    keyed = keyed.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.when(F.col("parts") > 1, F.concat_ws("-", "cell", "part")).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("cell"), F.lit(small)).cast("string")))
-    keyed = keyed.withColumn("task", task).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part"))
+    # small cells share a task; a large one is dealt to blocks, and each pair of blocks is a task of bounded size
+    k = F.when(F.col("n") > cell_rows, F.ceil(F.col("n") / cell_rows).cast("int")).otherwise(F.lit(1))
+    keyed = keyed.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.concat_ws("-", "cell", F.least("block", "other"), F.greatest("block", "other"))
+    task = F.when(F.col("k") > 1, pair).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("cell"), F.lit(small)).cast("string")))
+    keyed = keyed.withColumn("task", task)
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "rep"], ignore_index=True)
         sets = shingle_sets(pdf["text"].tolist(), words)
-        cell, rep = pdf["cell"].to_numpy(), pdf["rep"].to_numpy()
-        mine, weight = pdf["mine"].to_numpy(bool), pdf["weight"].to_numpy(np.int64)
+        cell, rep, block = pdf["cell"].to_numpy(), pdf["rep"].to_numpy(), pdf["block"].to_numpy()
+        weight = pdf["weight"].to_numpy(np.int64)
         out = []
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         for lo, hi in zip(at[:-1], at[1:]):
-            links, root = verify(sets[lo:hi], mine[lo:hi], weight[lo:hi], threshold)
+            first = block[lo:hi] == block[lo:hi].min()
+            across = () if first.all() else (first, ~first)
+            links, root = verify(sets[lo:hi], weight[lo:hi], threshold, *across)
             own = rep[lo:hi]
-            moved = np.flatnonzero(root != np.arange(hi - lo))
-            out.append(pd.DataFrame({"rep": own[mine[lo:hi]], "links": links, "root": own[mine[lo:hi]]}))
-            out.append(pd.DataFrame({"rep": own[moved], "links": 0, "root": own[root[moved]]}))
+            out.append(pd.DataFrame({"rep": own, "links": links, "root": own[root]}))
         return pd.concat(out, ignore_index=True)
 
-    joined = keyed.select("task", "cell", "rep", "mine", "weight", "text").groupBy("task").applyInPandas(check, "rep long, links long, root long")
+    joined = keyed.select("task", "cell", "rep", "block", "weight", "text").groupBy("task").applyInPandas(check, "rep long, links long, root long")
     joined = write_table(joined, "joined")
     sets = connected_components(joined.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
