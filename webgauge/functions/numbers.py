@@ -27,7 +27,7 @@ def grade(score: Column) -> Column:
 
 
 def verdict(score: Column) -> Column:
-    return ladder(score, [(90, "Excellent"), (80, "Good"), (60, "Fair"), (40, "Poor")], "Critical")
+    return ladder(score, [(90, "Very good"), (80, "Good"), (60, "Warning"), (40, "Poor")], "Critical")
 
 
 def score_band(score: Column) -> Column:

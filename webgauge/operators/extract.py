@@ -167,11 +167,11 @@ def extract(source: str, url: str) -> dict:
     doc["title"] = clean(title.text()) if title else ""
 
     metas = e.tags("meta")
-    meta = lambda key, value: next((n.attrs.get("content", "") for n in metas if n.attrs.get(key) == value), "")
+    meta = lambda key, value: clean(next((n.attrs.get("content", "") for n in metas if n.attrs.get(key) == value), ""))
     doc["meta_tags"] = [
         {
             "name": m.attrs.get("name") or m.attrs.get("property") or m.attrs.get("http-equiv") or ("charset" if "charset" in m.attrs else m.attrs.get("itemprop") or "(unnamed)"),
-            "content": m.attrs.get("content", m.attrs.get("charset", "")),
+            "content": clean(m.attrs.get("content", m.attrs.get("charset", ""))),
             "kind": "property" if "property" in m.attrs else "http-equiv" if "http-equiv" in m.attrs else "name",
         }
         for m in metas
@@ -193,16 +193,16 @@ def extract(source: str, url: str) -> dict:
     doc["canonical_raw"], doc["canonical"] = raw or None, (_absolute(raw, url) or raw) if raw else None
     doc["hreflang"] = [{"lang": n.attrs["hreflang"], "href": n.attrs.get("href", "")} for n in links if n.attrs["rel"] == "alternate" and "hreflang" in n.attrs]
     html_node = e.tags("html")[0]
-    doc["html_lang"] = html_node.attrs.get("lang", "")
-    sniffed = re.search(r"charset=([^\s;\"']+)", meta("http-equiv", "Content-Type") or meta("http-equiv", "content-type"), re.I)
-    doc["charset_meta"] = next((m.attrs["charset"] for m in metas if m.attrs.get("charset")), sniffed[1] if sniffed else "")
+    doc["html_lang"] = clean(html_node.attrs.get("lang", ""))
+    doc["charset_meta"] = next((m.attrs["charset"] for m in metas if "charset" in m.attrs), "")
     doc["favicons"] = [{"rel": n.attrs["rel"], "href": n.attrs.get("href", ""), "sizes": n.attrs.get("sizes", "")} for n in links if "icon" in n.attrs["rel"].lower()]
 
     m = re.search(r"<!doctype[^>]*>", source, re.I)
+    declared = clean(m[0]) if m else ""
     doc["doctype"] = {
         "present": bool(m),
-        "raw": m[0] if m else None,
-        "html5": bool(m and re.fullmatch(r"<!doctype\s+html\s*>", m[0], re.I)),
+        "raw": declared or None,
+        "html5": bool(re.fullmatch(r"<!doctype\s+html\s*>", declared, re.I)),
         "first": bool(m and not re.sub(r"<!--.*?-->", "", source[: m.start()], flags=re.S).strip("﻿ \t\r\n\f")),
     }
     doc["headings"] = [{"level": int(n.tag[1]), "text": clean(n.text())} for n in e.tags("h1", "h2", "h3", "h4", "h5", "h6")]
@@ -233,7 +233,7 @@ def extract(source: str, url: str) -> dict:
     for n in [*e.tags("img"), *e.tags("video", "audio", "embed", "object", "source", "track")]:
         a = n.attrs
         src = a.get("src") or (a.get("data-src") or a.get("srcset", "").split(",")[0].strip().split(" ")[0] if n.tag == "img" else a.get("data", "") if n.tag == "object" else "")
-        media.append({"tag": n.tag, "src": src, "alt": a.get("alt"), "title": a.get("title"), "width": a.get("width"), "height": a.get("height"), "loading": a.get("loading"), "decorative": a.get("alt") == "" or a.get("role") in ("presentation", "none")})
+        media.append({"tag": n.tag, "src": (_absolute(src, url) or src) if src else None, "alt": clean(a["alt"]) if "alt" in a else None, "title": clean(a.get("title", "")) or None, "width": a.get("width") or None, "height": a.get("height") or None, "loading": a.get("loading") or None, "decorative": n.tag == "img" and (a.get("alt") == "" or a.get("role") == "presentation")})
     doc["media"], doc["inline_svg"] = media, len(e.tags("svg"))
 
     own = _host(url)
@@ -283,9 +283,9 @@ def extract(source: str, url: str) -> dict:
     attr = lambda *names: sum(any(k in n.attrs for k in names) for n in e.all)
     doc["microdata"], doc["rdfa"] = attr("itemscope"), attr("vocab", "typeof", "property")
     classes = [(n, n.attrs.get("class", "")) for n in e.all]
-    doc["microformats"] = sum(bool({"h-card", "h-entry"} & set(c.split())) for _, c in classes)
-    doc["share_widgets"] = sum("share" in c.lower() or "share" in n.attrs.get("id", "").lower() for n, c in classes)
-    doc["insecure"] = [{"tag": n.tag, "url": u} for n in e.all if n.tag in LOADED and (u := n.attrs.get("src") or n.attrs.get("href", "")).startswith("http://")] if url.lower().startswith("https:") else []
+    doc["microformats"] = sum("h-card" in c or "h-entry" in c for _, c in classes)
+    doc["share_widgets"] = sum("share" in c or "sharing" in c or "share" in n.attrs.get("id", "") or "data-share" in n.attrs for n, c in classes)
+    doc["insecure"] = [{"tag": n.tag, "url": u} for n in e.all if n.tag in LOADED and (u := n.attrs.get("src") or n.attrs.get("href", "")).lower().startswith("http://")] if url.lower().startswith("https:") else []
     doc["frames"] = {k: len(e.tags(k)) for k in ("frameset", "frame", "iframe")}
     doc["open_graph"] = {k.replace(":", "_"): meta("property", f"og:{k}") for k in ("title", "description", "image", "url", "type", "site_name")}
     doc["twitter"] = {k: meta("name", f"twitter:{k}") or meta("property", f"twitter:{k}") for k in ("card", "title", "description", "image")}
@@ -379,9 +379,9 @@ def _derived() -> Column:
         F.size(F.filter(d["headings"], lambda h: h["text"] == "")).alias("empty_headings"),
         images.alias("images"),
         content.alias("content_images"),
-        F.size(F.filter(images, lambda m: m["alt"].isNull() | (~m["decorative"] & ~has_alt(m)))).alias("images_missing_alt"),
+        F.size(F.filter(images, lambda m: m["alt"].isNull())).alias("images_missing_alt"),
         F.size(F.filter(images, has_alt)).alias("images_with_alt"),
-        F.size(F.filter(images, lambda m: F.lower(m["loading"]) == "lazy")).alias("lazy_images"),
+        F.size(F.filter(images, lambda m: m["loading"] == "lazy")).alias("lazy_images"),
         F.size(F.filter(images, lambda m: m["width"].isNotNull() & m["height"].isNotNull())).alias("sized_images"),
         F.size(F.filter(links, lambda a: ~a["has_anchor_text"])).alias("anchorless"),
         duplicate_anchors(d["internal"]).alias("duplicate_anchors"),
@@ -389,8 +389,8 @@ def _derived() -> Column:
         F.size(F.filter(d["internal"], lambda a: F.exists(a["params"], lambda p: ~F.regexp_like(p, F.lit(TRACKING_LINKS))))).alias("dynamic_internal"),
         F.size(F.filter(d["internal"], lambda a: F.exists(a["params"], lambda p: F.regexp_like(p, F.lit(SESSION_PARAMS))))).alias("session_links"),
         F.size(F.filter(d["external"], lambda a: (a["target"] == "_blank") & ~F.regexp_like(a["rel"], F.lit("noopener|noreferrer")))).alias("unsafe_targets"),
-        F.array_distinct(F.filter(F.transform(links, lambda a: a["href"]), lambda h: _social(h))).alias("social_profiles"),
-        F.array_distinct(F.filter(F.transform(links, lambda a: a["href"]), lambda h: F.regexp_like(h, F.lit(SHARE_LINKS)))).alias("share_links"),
+        F.array_distinct(F.filter(F.transform(d["external"], lambda a: a["href"]), lambda h: _social(h))).alias("social_profiles"),
+        F.array_distinct(F.filter(F.transform(d["external"], lambda a: a["href"]), lambda h: F.regexp_like(h, F.lit(SHARE_LINKS)))).alias("share_links"),
         F.regexp_like(d["body_text"], F.lit(PLACEHOLDER_TEXT)).alias("has_placeholder_text"),
         F.size(F.filter(d["media"], lambda m: F.regexp_like(m["src"], F.lit(PLACEHOLDER_IMAGE)))).alias("placeholder_images"),
         tx.content_hash(F.size(t), d["paragraphs"]).alias("content_hash"),
@@ -400,4 +400,4 @@ def _derived() -> Column:
 def _social(href: Column) -> Column:
     h = F.regexp_extract(F.lower(href), r"^https?://(?:www\.)?([^/?#:]+)", 1)
     social = F.array(*[F.lit(s) for s in SOCIAL_HOSTS])
-    return F.exists(social, lambda s: (h == s) | F.endswith(h, F.concat(F.lit("."), s))) & ~F.regexp_like(href, F.lit(SHARE_LINKS))
+    return F.exists(social, lambda s: (h == s) | F.endswith(h, F.concat(F.lit("."), s)))

@@ -90,4 +90,4 @@ def crawler_access(rules: DataFrame, paths: DataFrame) -> DataFrame:
 
 def blocks_all(text: Column) -> Column:
     """A bare Disallow: / anywhere after User-agent: * (in whatever group)."""
-    return F.regexp_like(text, F.lit(r"(?is)user-agent:\s*\*.*?disallow:\s*/\s*(?:$|[\r\n])"))
+    return F.regexp_like(text, F.lit(r"(?im)user-agent:\s*\*[\s\S]*?disallow:\s*/\s*$"))

@@ -70,7 +70,7 @@ def checks() -> list[Check]:
     as_of = F.coalesce("as_of", F.current_timestamp())
     age = days_between(as_of, F.coalesce(F.try_to_timestamp(g["freshest"]), F.try_to_timestamp(F.regexp_replace(g["freshest"], r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))))
     linked = lambda pattern: F.exists(d["internal"], lambda a: F.regexp_like(urls.path(a["href"]), F.lit(pattern)))
-    paragraphs, images = F.size(d["paragraphs"]), x["content_images"]
+    paragraphs, images = F.size(d["paragraphs"]), x["images"]
     deep = F.size(F.filter(d["headings"], lambda h: h["level"] == 2))
     statistics, cited = g["statistics"], F.size(g["citations"])
     return [
@@ -117,8 +117,8 @@ def checks() -> list[Check]:
         ]),
         Check("authority", "Authorship", "high", [holds(d["has_author_markup"], "The author is marked up", "Mark up the author.")]),
         Check("authority", "Verifiability", "low", [
-            holds(linked(r"(?i)/(about|about-us|company|team|who-we-are)(?:/|$|[-_.])"), "There is a page about the publisher", "Link to a page about the publisher."),
-            holds(linked(r"(?i)/(contact|contact-us|support|impressum)(?:/|$|[-_.])"), "There is a contact page", "Link to a contact page."),
+            holds(linked("(?i)(about|who-we-are|company|team)"), "There is a page about the publisher", "Link to a page about the publisher."),
+            holds(linked("(?i)(contact|support|get-started|demo)"), "There is a contact page", "Link to a contact page."),
         ]),
         Check("structure", "Structured data", "critical", [
             cases([(F.size(g["schema_types"]) == 0, "fail")], "ok", F.array_join(F.slice(g["schema_types"], 1, 8), ", "), "Add structured data."),

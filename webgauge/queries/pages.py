@@ -167,7 +167,7 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {FINDINGS}, s AS (SELECT page_id, CAST(coalesce(floor(sum(score * CAST(weight AS DOUBLE)) FILTER (score IS NOT NULL AND category <> 'external') / sum(CAST(weight AS DOUBLE)) FILTER (score IS NOT NULL AND category <> 'external') + 0.5), 0) AS BIGINT) AS score
         FROM cs JOIN cw USING (category) GROUP BY page_id)
     SELECT page_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade,
-    CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Good' WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS verdict FROM s"""
+    CASE WHEN score >= 90 THEN 'Very good' WHEN score >= 80 THEN 'Good' WHEN score >= 60 THEN 'Warning' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS verdict FROM s"""
 )
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scoring.category_scores(scoring.check_points(findings_of_lineitem(spark, sf_dir)), "seo", F.col("category") == "external")
@@ -268,7 +268,7 @@ def _holds(test: str, otherwise: str = "warn") -> str:
     a AS (SELECT k.*, t.*, px, list_filter({sql_tokens("title")}, lambda x: x NOT IN {sql_list(STOP_WORDS)}) AS terms FROM k JOIN t USING (page_id) LEFT JOIN px USING (page_id)),
     f AS (
         SELECT page_id, 'Title' AS "check", unnest([CASE WHEN title = '' THEN 'fail' WHEN px > 580 OR px < 290 THEN 'warn' ELSE 'ok' END, CASE WHEN title <> '' THEN {_holds("len(list_distinct(terms)) = len(terms)")} END, CASE WHEN title <> '' THEN {_holds("len(terms) >= 3")} END,
-            CASE WHEN title <> '' AND upper(title) = title AND lower(title) <> title AND length(title) > 12 THEN 'warn' END, 'info']) AS status, unnest(range(0, 5)) AS find_pos FROM a
+            CASE WHEN title <> '' AND upper(title) = title AND length(title) > 12 THEN 'warn' END, 'info']) AS status, unnest(range(0, 5)) AS find_pos FROM a
         UNION ALL SELECT page_id, 'Meta description', 'fail', 0 FROM a
         UNION ALL SELECT page_id, 'Domain', unnest([{_holds("len(string_split(host, '.')) <= 2 OR starts_with(host, 'www.')")}, {_holds("length(split_part(host, '.', -2)) <= 20")}, {_holds("NOT contains(host, 'xn--') AND regexp_full_match(host, '[\\x00-\\x7f]*')")}]), unnest(range(0, 3)) FROM a
         UNION ALL SELECT page_id, 'Page URL', unnest([{_holds(f"len(list_filter(keys, lambda x: NOT regexp_matches(x, '{TRACKING}'))) = 0")}, {_holds(f"len(list_filter(keys, lambda x: regexp_matches(x, '{SESSION}'))) = 0", "fail")},

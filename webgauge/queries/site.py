@@ -46,7 +46,7 @@ L = "l AS (SELECT p_brand AS site_key, '/p' || l_partkey AS src, '/p' || (l_supp
 @query(
     f"""WITH {P}, s AS (SELECT site_key, count(*) AS pages, CAST(floor(avg(score) + 0.5) AS BIGINT) AS score, CAST(min(score) AS BIGINT) AS lowest, CAST(max(score) AS BIGINT) AS highest, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnings) AS BIGINT) AS warnings,
     count(*) FILTER (score >= 80) AS good, count(*) FILTER (score >= 60 AND score < 80) AS fair, count(*) FILTER (score < 60) AS poor FROM p GROUP BY site_key)
-    SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 80 THEN 'Good' WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS verdict FROM s"""
+    SELECT *, CASE WHEN score >= 90 THEN 'Very good' WHEN score >= 80 THEN 'Good' WHEN score >= 60 THEN 'Warning' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS verdict FROM s"""
 )
 def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = site.site_summary(pages_of_parts(spark, sf_dir))

@@ -161,7 +161,7 @@ SCORE = "l_quantity * 2"
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, {_steps(SCORE, [(90, "A"), (80, "B"), (70, "C"), (60, "D")], "F")} AS grade, {_steps(SCORE, [(90, "Excellent"), (80, "Good"), (60, "Fair"), (40, "Poor")], "Critical")} AS verdict,
+    f"""SELECT l_orderkey, l_linenumber, {_steps(SCORE, [(90, "A"), (80, "B"), (70, "C"), (60, "D")], "F")} AS grade, {_steps(SCORE, [(90, "Very good"), (80, "Good"), (60, "Warning"), (40, "Poor")], "Critical")} AS verdict,
     {_steps(SCORE, [(80, "good"), (60, "fair")], "poor")} AS band, floor(CAST(l_discount AS DOUBLE) * CAST(1000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE) AS percent,
     floor(CAST(l_extendedprice AS DOUBLE) / CAST(1024 AS DOUBLE) * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE) AS kb FROM lineitem"""
 )

@@ -18,8 +18,8 @@ from webgauge.functions import urls
 from webgauge.operators.robots import blocks_all
 
 #: Fixed value: encodings that browsers read as others.
-READ_AS = {"utf8": "utf-8", "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "latin1": "windows-1252", "us-ascii": "windows-1252", "ascii": "windows-1252", "utf-16": "utf-16-le"}
-LOOKS_LIKE_HTML = r"(?is)^\s*(<!doctype\s+html|<html)"
+READ_AS = {"utf8": "utf-8", "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "latin1": "windows-1252", "us-ascii": "utf-8", "utf-16": "utf-16-le"}
+LOOKS_LIKE_HTML = r"(?i)^\s*<(!doctype|html)"
 
 
 def read_captures(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
