@@ -78,10 +78,16 @@ def chunks_by_size(texts: list[str], limit: int):
 SLOTS = 1 << 20
 
 
-def only_slots_of(big: DataFrame, key, small: DataFrame, small_key) -> DataFrame:
-    """Rows of ``big`` whose key may occur in ``small``: all that do, and a few that share a hash slot with one.
+def split_by_slots(big: DataFrame, key, small: DataFrame, small_key) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``big`` whose key may occur in ``small``, all other rows), by hash slots.
 
-    At most ``SLOTS`` numbers are broadcast however large ``small`` is, so wide rows without a partner skip the shuffle.
+    The first has all rows that do occur, and a few that share a slot with one.  At most ``SLOTS`` numbers are broadcast
+    however large ``small`` is, so wide rows without a partner skip the shuffle of a join.
     """
-    slots = small.select(F.pmod(F.xxhash64(small_key), F.lit(SLOTS)).cast("int").alias("_slot")).distinct()
-    return big.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    slots = F.broadcast(small.select(F.pmod(F.xxhash64(small_key), F.lit(SLOTS)).cast("int").alias("__wg_slot")).distinct())
+    numbered = big.withColumn("__wg_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int"))
+    return numbered.join(slots, "__wg_slot", "left_semi").drop("__wg_slot"), numbered.join(slots, "__wg_slot", "left_anti").drop("__wg_slot")
+
+
+def only_slots_of(big: DataFrame, key, small: DataFrame, small_key) -> DataFrame:
+    return split_by_slots(big, key, small, small_key)[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_slots_of, text_or_empty, write_table
+from .common import only_slots_of, split_by_slots, text_or_empty, write_table
 from .components import connected_components, union_pairs
 from .shingles import shingle_batches, shingle_sets
 
@@ -285,12 +285,14 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THR
     """
     found = jaccard_join(docs, words, threshold)
     rows = write_table(found.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"), F.max("n_links").alias("links")), "groups")
-    drop = rows.where("not kept").select(F.col("doc_id").alias("__wg_id"), F.col("text_hash").alias("__wg_hash"))
     key = F.xxhash64(text_or_empty())
-    kept = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__wg_id")) & (key == F.col("__wg_hash")), "left_anti")
-    again = rows.where("kept and n > 1 and links > 0").select(F.col("doc_id").alias("__wg_id"), F.col("text_hash").alias("__wg_hash"))
-    if again.isEmpty():
-        return kept
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__wg_id")) & (key == F.col("__wg_hash"))
-    single = kept.join(again, same, "left_semi").withColumn("__wg_key", key).dropDuplicates(["doc_id", "__wg_key"]).drop("__wg_key")
-    return kept.join(again, same, "left_anti").unionByName(single)
+    named = rows.select(F.col("doc_id").alias("__wg_id"), F.col("text_hash").alias("__wg_hash"), "kept", "n", "links")
+    drop = named.where("not kept").select("__wg_id", "__wg_hash")
+    again = named.where("kept and n > 1 and links > 0").select("__wg_id", "__wg_hash")
+    maybe, rest = split_by_slots(docs, key, drop.unionByName(again), "__wg_hash")  # most texts aren't shuffled
+    left = maybe.join(drop, same, "left_anti")
+    if again.isEmpty():
+        return rest.unionByName(left)
+    single = left.join(again, same, "left_semi").withColumn("__wg_key", key).dropDuplicates(["doc_id", "__wg_key"]).drop("__wg_key")
+    return rest.unionByName(left.join(again, same, "left_anti")).unionByName(single)
