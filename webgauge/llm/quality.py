@@ -118,7 +118,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 128,
     if not len(good) or not len(bad):
         return Ranker(*nothing, constant=0.0 if len(bad) else 1.0)
     mean, scale = x[:, :SHAPES].mean(axis=0), x[:, :SHAPES].std(axis=0) + 1e-6
-    x = x.copy()
+    x = np.array(x)
     x[:, :SHAPES] = np.clip((x[:, :SHAPES] - mean) / scale, -6, 6)
     boost = np.ones(x.shape[1], np.float32)
     boost[SHAPES:] = 20  # shares are small numbers
@@ -163,8 +163,10 @@ def train_ranker(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
     rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y double, x binary").toPandas().sort_values("id")
-    x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]]).reshape(-1, SHAPES + BUCKETS)
-    return fit_pairs(x, rows["y"].to_numpy(float))
+    y = rows["y"].to_numpy(float).copy()
+    raw = b"".join(rows.pop("x"))
+    del rows  # the driver holds the features once, and once more while they are scaled
+    return fit_pairs(np.frombuffer(raw, np.float32).reshape(-1, SHAPES + BUCKETS), y)
 
 
 def score_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
