@@ -16,6 +16,10 @@ from webgauge.runtime import built_once, materialize
 
 def audited(captures: DataFrame) -> DataFrame:
     """Captures (page_id, url, html, ...) with doc, x and g; absent capture columns are assumed."""
+    spark = captures.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if captures._jdf.queryExecution().toRdd().getNumPartitions() < cores:  # a small file is one partition
+        captures = captures.repartition(cores)
     out = with_derived(extract_documents(complete(captures)))
     return out.withColumn("g", built_once(captures.sparkSession, "signals", geo.signals))
 
