@@ -214,6 +214,47 @@ def test_line_dedup_against_brute_force(spark, make_docs, prose):
     assert copies and max(copies.values()) == 1
 
 
+def test_line_dedup_of_runs_beyond_the_first_holder(spark, make_docs):
+    """Runs with a hot line that later documents share with each other, against every pair of positions."""
+    import random
+
+    word = lambda k, n: " ".join(f"h{k}w{j}" for j in range(n))
+    x, y, z = word("x", 25), word("y", 24), word("z", 24)
+    rows = [(1, x + "\nown a"), (2, f"{x}\n{y}\n{z}\nown b"), (3, f"{x}\n{y}\n{z}\nother c")]
+    out = text_of(dedup_lines(make_docs(rows)))
+    assert out[1] == rows[0][1] and out[2] == f"{y}\n{z}\nown b" and out[3] == "other c"
+
+    rng = random.Random(21)
+    hot = [word(f"hot{k}", rng.choice([25, 26, 60])) for k in range(2)]
+    pool = [word(f"p{k}", rng.choice([1, 4, 9, 14, 24, 70])) for k in range(14)]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(hot)]
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(12)
+            lines += pool[k : k + rng.randint(1, 5)] + ([rng.choice(hot)] if rng.random() < 0.7 else [])
+        rows.append((i, "\n".join(lines)))
+    docs = [t.split("\n") for _, t in rows]
+    marks = [{k: h for h, k in fingerprints(*line_hashes(t)[:2])} for _, t in rows]
+    words = lambda lines: sum(len(line.split()) for line in lines)
+    want = {}
+    for d, own in enumerate(docs):
+        cut = set()
+        for e in range(d + 1):
+            other = docs[e]
+            for i in range(len(own)):
+                for j in range(len(other) if e < d else i):
+                    if own[i] != other[j] or i and j and own[i - 1] == other[j - 1]:
+                        continue  # maximal runs only
+                    n = next((n for n in range(min(len(own) - i, len(other) - j)) if own[i + n] != other[j + n]), min(len(own) - i, len(other) - j))
+                    if any(k + i in marks[d] and marks[d][k + i] == marks[e].get(k + j) for k in range(n)):
+                        cut.update(range(i, i + n))
+                    else:
+                        assert words(own[i : i + n]) < 50
+        want[d] = "\n".join(line for k, line in enumerate(own) if k not in cut)
+    assert text_of(dedup_lines(make_docs(rows))) == want
+
+
 def test_fingerprints_guarantee():
     shared = "\n".join(" ".join(f"s{k}q{j}" for j in range(5)) for k in range(10))  # two stretches of 25 words
     a = fingerprints(*line_hashes("one two three\n" + shared + "\nend of a")[:2])

@@ -4,6 +4,11 @@ A gram is a line and as many after it as make up GRAM_WORDS words.  Each window
 stretch - selects its least gram hash as fingerprint, so two texts that share a run of two stretches (2 * GRAM_WORDS
 words of whole lines, or a single line of GRAM_WORDS) surely share a fingerprint.  Positions of a fingerprint are joined
 with its first position in document order; the match is extended line by line both ways; later runs are deleted.
+
+Later documents may share longer runs with each other than with that first one, as around a notice held by many.  So
+runs around a fingerprint that leave its first match are told by hash and joined with their own first position: those
+that begin or end with the fingerprint's gram, and the least runs of two stretches that hold it.  A run of two stretches
+or more is the union of such least runs, so together they delete what extension against every earlier position would.
 """
 
 from __future__ import annotations
@@ -59,6 +64,28 @@ def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tupl
     return lo, at + (int(differ[0]) if len(differ) else ahead)
 
 
+def runs_beyond(before: np.ndarray, at: int, lo: int, hi: int, gram_words: int = GRAM_WORDS) -> list[tuple[int, int]]:
+    """Runs (a, b) of lines a .. b - 1 around the gram at line ``at`` that aren't within its match lo .. hi - 1.
+
+    ``before``: words before each line, and in all.  Runs that begin or end with the gram have fewer than two stretches
+    or are the least that have them; those that hold it elsewhere are the least from their first or to their last line.
+    """
+    n, both = len(before) - 1, 2 * gram_words
+    e = int(np.searchsorted(before, before[at] + gram_words))
+    low = int(np.searchsorted(before, before[e] - both, side="right")) - 1  # the last line from which two stretches end by e
+    high = min(int(np.searchsorted(before, before[at] + both)), n)
+    first = int(np.searchsorted(before, before[e - 1] - both, side="right"))  # two stretches from an earlier line end before the gram does
+    last = min(int(np.searchsorted(before, before[at + 1] + both)) - 1, n)
+    if lo <= min(first, max(low, 0)) and hi >= max(last, high):
+        return []
+    found = [(at, b) for b in range(e + 1, high + 1)] + [(a, e) for a in range(max(low, 0), at)]
+    ends = np.searchsorted(before, before[first:at] + both)
+    found += [(a, b) for a, b in zip(range(first, at), ends.tolist()) if b <= n]
+    begins = np.searchsorted(before, before[e + 1 : last + 1] - both, side="right") - 1
+    found += [(a, b) for a, b in zip(begins.tolist(), range(e + 1, last + 1)) if a >= 0]
+    return [(a, b) for a, b in found if a < lo or b > hi]
+
+
 def _cut(text: str, lines: list[int]) -> str:
     """``text`` without the lines of these numbers (among lines with words); blank lines between deleted ones go too."""
     gone, out, number, last_gone = set(lines), [], -1, False
@@ -77,19 +104,19 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     """Every row of ``docs`` with all its columns, text without repeated runs, and lines_removed (int).
 
     The first of repeated runs, in the order of doc_id (null last), stays whole unless part of it repeats an earlier
-    one; a run may repeat within a text.  A run is deleted if it has a fingerprint, so of fewer than ``gram_words``
-    words none is.  A null text stays null; repeated rows keep one text; a document may be left with an empty text; an
+    one; a run may repeat within a text.  A run is deleted if it has a fingerprint in common with any earlier copy, so of
+    fewer than ``gram_words`` words none is.  A null text stays null; repeated rows keep one text; a document may be left with an empty text; an
     input column named lines_removed is replaced.
     """
 
-    @F.pandas_udf("lines binary, h array<long>, at array<int>")
+    @F.pandas_udf("lines binary, words binary, h array<long>, at array<int>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             h, w, _ = line_hashes(t)
             f = fingerprints(h, w, gram_words)
-            out.append((np.array(h, "<i8").tobytes(), [x for x, _ in f], [k for _, k in f]))
-        return pd.DataFrame(out, columns=["lines", "h", "at"])
+            out.append((np.array(h, "<i8").tobytes(), np.array(w, "<i4").tobytes(), [x for x, _ in f], [k for _, k in f]))
+        return pd.DataFrame(out, columns=["lines", "words", "h", "at"])
 
     docs = docs.drop("lines_removed")
     table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), scan(text_or_empty()).alias("k"), F.monotonically_increasing_id().alias("row"))
@@ -99,30 +126,38 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     marks = table.select("row", "doc.doc_id", "doc", F.explode(F.arrays_zip("h", "at")).alias("p")).select("row", F.col("p.h").alias("h"), F.col("p.at").alias("at"), order.alias("place"))
     first = marks.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = marks.join(first, "h").where("row <> first.row or at <> first.at")
-    pairs = later.groupBy("row", F.col("first.row").alias("source")).agg(F.collect_list(F.struct(F.col("at"), F.col("first.at").alias("source_at"))).alias("matches"))
-    lines = table.select("row", "lines")
+    rank = [F.col("place.none").alias("none"), F.coalesce("place.id", F.lit(0)).alias("id")]
+    pairs = later.groupBy("row", *rank, F.col("first.row").alias("source")).agg(F.collect_list(F.struct(F.col("at"), F.col("first.at").alias("source_at"))).alias("matches"))
+    lines = table.select("row", "lines", "words")
     pairs = pairs.join(lines, "row").join(lines.select(F.col("row").alias("source"), F.col("lines").alias("source_lines")), "source")
 
     def runs(batches):
         for pdf in batches:
-            rows, found = [], []
-            for row, own, source, matches in zip(pdf["row"], pdf["lines"], pdf["source_lines"], pdf["matches"]):
-                own, source = np.frombuffer(own, "<i8"), np.frombuffer(source, "<i8")
+            found = []
+            for own, words, source, matches in zip(pdf["lines"], pdf["words"], pdf["source_lines"], pdf["matches"]):
+                raw, own, source = own, np.frombuffer(own, "<i8"), np.frombuffer(source, "<i8")
+                before = np.concatenate([[0], np.cumsum(np.frombuffer(words, "<i4"), dtype=np.int64)])
                 cut = np.zeros(len(own), bool)
-                done: dict[int, int] = {}  # of each distance between positions, where the last extension ended
+                done: dict[int, tuple[int, int]] = {}  # of each distance between positions, the last extension
+                beyond: set[tuple[int, int]] = set()
                 for m in sorted(matches, key=lambda m: (m["at"], m["source_at"])):
                     far = m["at"] - m["source_at"]
-                    if m["at"] < done.get(far, -1):
-                        continue
-                    lo, hi = extend(own, source, m["at"], m["source_at"])
-                    done[far] = hi
-                    cut[lo:hi] = True
-                rows.append(row)
-                found.append(np.flatnonzero(cut).tolist())
-            yield pd.DataFrame({"row": rows, "gone": found})
-
-    gone = pairs.select("row", "lines", "source_lines", "matches").mapInPandas(runs, "row long, gone array<int>")
-    gone = write_table(gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+                    lo, hi = done.get(far, (0, 0))
+                    if m["at"] >= hi:
+                        lo, hi = done[far] = extend(own, source, m["at"], m["source_at"])
+                        cut[lo:hi] = True
+                    beyond.update(runs_beyond(before, m["at"], lo, hi, gram_words))
+                at = sorted(beyond)
+                found.append((np.flatnonzero(cut).tolist(), [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in at], [a for a, _ in at], [b for _, b in at]))
+            yield pd.concat([pdf[["row", "none", "id"]], pd.DataFrame(found, columns=["gone", "h", "a", "b"], index=pdf.index)], axis=1)
+
+    found = pairs.select("row", "none", "id", "lines", "words", "source_lines", "matches").mapInPandas(runs, "row long, none boolean, id long, gone array<int>, h array<long>, a array<int>, b array<int>")
+    found = write_table(found, "runs")
+    beyond = found.select("row", "none", "id", F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("row", "r.*", F.struct("none", "id", "row", F.col("r.a").alias("a")).alias("place"))
+    first = beyond.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    more = beyond.join(first, "h").where("row <> first.row or a <> first.a").select("row", F.sequence("a", F.col("b") - 1).alias("gone"))
+    gone = found.select("row", "gone").unionByName(more).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = write_table(gone, "gone")
 
     # rows that no deleted line can belong to skip the join
     slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")
