@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from webgauge.llm import sentencepiece_sampling
 from webgauge.llm.encode import encoder
 from webgauge.llm.packing import best_fit_decreasing, dual_feasible_bound, pack_documents
 from webgauge.llm.sentencepiece_sampling import Sampler, decode_segmentations, sample_segmentations, segmentation_digests
@@ -161,3 +162,40 @@ def test_sampling_follows_the_lattice_distribution():
     assert set(seen) <= set(paths) and len(word) == 5
     for p, w in paths.items():
         assert abs(seen.get(p, 0) / n - w / z) < 0.01
+
+
+def test_sampling_of_a_long_run_follows_one_lattice():
+    """How often each place of a run of over 48 characters is a boundary, against sums over all its paths."""
+    s = Sampler(public_tokenizers.path("piece_bpe_32k.model"), theta=1e-4)
+    score = {bytes(s.raw[i]).decode(): x for i, x in zip(s.id, s.score)}
+    n = 4000
+    for text in ("thinking" * 13, "https://example.org/" + "station" * 8 + "?a=日本語" + "ation" * 12):
+        run = " " + text
+        edges = [(i, j, score[run[i:j]] if run[i:j] in score else s.byte_score) for i in range(len(run)) for j in range(i + 1, min(i + s.longest, len(run)) + 1) if run[i:j] in score or j == i + 1]
+        ahead, back = np.full(len(run) + 1, -np.inf), np.full(len(run) + 1, -np.inf)
+        ahead[0] = back[-1] = 0
+        for i, j, x in edges:
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + x)
+        for i, j, x in reversed(edges):
+            back[i] = np.logaddexp(back[i], back[j] + x)
+        want = np.exp(ahead + back - ahead[-1])
+        assert want[48] < 0.9
+        ids, count = s.sample([text] * n, np.arange(n) * 7919)
+        size = np.array([len(b) for b in s.raw])
+        at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in run])])
+        seen = np.zeros(len(run) + 1)
+        for x in np.split(ids, np.cumsum(count)[:-1]):
+            assert s.decode(x) == text
+            seen += np.isin(at, np.concatenate([[0], np.cumsum(size[x])]))
+        assert np.abs(seen / n - want).max() < 0.04
+
+
+def test_sampling_is_the_same_wherever_a_long_run_is_parted(monkeypatch):
+    texts = ["日本語の文章です" * 40, "aGVsbG8gd29ybGQ" * 300, "one\ttwo\nthree\tand" * 30, "https://example.org/" + "x1/Y2-z" * 50]
+    parted = Sampler(public_tokenizers.path("piece_bpe_32k.model"))
+    ids, count = parted.sample(texts, np.arange(4))
+    monkeypatch.setattr(sentencepiece_sampling, "SEGMENT_CHARS", 1 << 40)
+    whole = Sampler(public_tokenizers.path("piece_bpe_32k.model"))
+    ids_whole, count_whole = whole.sample(texts, np.arange(4))
+    assert ids.tolist() == ids_whole.tolist() and count.tolist() == count_whole.tolist()
+    assert len(parted.cache.keys) > len(whole.cache.keys)

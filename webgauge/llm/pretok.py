@@ -130,13 +130,13 @@ def hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class SpanCache:
-    """Values of distinct pre-tokens by hash, in sorted arrays; emptied when it holds ``limit`` keys.
+    """Values of distinct pre-tokens by hash, in sorted arrays; emptied when it holds ``limit`` keys or ``room`` values.
 
     ``encode(list of words)`` gives (lengths, flat values): the values of each word one after the other.
     """
 
-    def __init__(self, encode, dtype, limit: int = 700_000):
-        self.encode, self.dtype, self.limit = encode, dtype, limit
+    def __init__(self, encode, dtype, limit: int = 700_000, room: int | None = None):
+        self.encode, self.dtype, self.limit, self.room = encode, dtype, limit, room
         self.clear()
 
     def clear(self) -> None:
@@ -148,7 +148,7 @@ class SpanCache:
     def lookup(self, text: str, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each span, where its values begin in ``self.flat`` and how many they are."""
         codes, uniques = pd.factorize(h)
-        if len(self.keys) + len(uniques) > self.limit:
+        if len(self.keys) + len(uniques) > self.limit or self.room is not None and len(self.flat) > self.room:
             self.clear()
         at = np.searchsorted(self.keys, uniques)
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniques if len(self.keys) else np.zeros(len(uniques), bool)

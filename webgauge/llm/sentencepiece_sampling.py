@@ -1,7 +1,8 @@
 """Sampled segmentations over a SentencePiece vocabulary, and their decoding.
 
-A text is a space and itself, its spaces written as the word mark; segments begin at each mark and after SEGMENT_CHARS
-characters without one.  The lattice of a segment has an edge for each piece that matches, and a byte-fallback edge for
+A text is a space and itself, its spaces written as the word mark; segments begin at each mark, which no piece crosses.  One
+of more than SEGMENT_CHARS characters is also parted between characters that no piece holds side by side; whatever is
+left is one segment, however long.  The lattice of a segment has an edge for each piece that matches, and a byte-fallback edge for
 a character that is no piece.  Forward filtering sums the weights exp(theta * score) of all paths to each node, once for
 each distinct segment; backward sampling then draws every segment's path edge by edge.  Its random numbers are a
 function of the row's key and the position only, so a row is segmented alike in any run and partition.
@@ -71,7 +72,11 @@ class Sampler:
         self.raw_len = np.array([len(b) for b in self.raw])
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
         self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.cache = SpanCache(self._lattices, np.int64, limit=400_000)
+        beside = np.ones(len(cp), bool)
+        beside[offsets[:-1]] = False
+        at = np.flatnonzero(beside)
+        self.pairs = np.unique(self._pairs(cp, at))
+        self.cache = SpanCache(self._lattices, np.int64, limit=400_000, room=8_000_000)
         self._clear_edges()
 
     def _clear_edges(self) -> None:
@@ -84,6 +89,11 @@ class Sampler:
         p[0] = 1
         return np.multiply.accumulate(p)
 
+    @staticmethod
+    def _pairs(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number of each character of ``at`` and the one before it."""
+        return cp[at - 1].astype(np.int64) << 21 | cp[at].astype(np.int64)
+
     def _substrings(self, cp: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """A hash of cp[starts : starts + lengths] by prefix sums."""
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix_table()[cp] * _powers(len(cp))[: len(cp)], dtype=np.uint64)])
@@ -130,17 +140,23 @@ class Sampler:
         order = np.argsort(end, kind="stable")
         end, length, which = end[order], length[order], which[order]
         score = np.where(which >= 0, self.score[which], self.byte_score)
-        # alpha of node i (after character i); a segment's own start has alpha 0
+        # every path passes a node that no edge crosses, so weights are summed from the last one
+        steps = np.bincount(end - length + 1, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+        crossed = np.cumsum(steps)[:n] > 0
+        place = np.arange(n)
+        place -= np.maximum.accumulate(np.where(np.concatenate([[True], ~crossed[:-1]]), place, 0))
+        # alpha of node i (after character i); the place summed from has alpha 0
         alpha = np.zeros(n)
         cum = np.zeros(len(end))
         count = np.bincount(end, minlength=n)
         begin = np.concatenate([[0], np.cumsum(count)[:-1]])
         by_place = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[by_place], np.arange(int(sizes.max(initial=0)) + 1))
+        bounds = np.searchsorted(place[by_place], np.arange(int(place.max(initial=-1)) + 2))
+        every = np.arange(len(end))
         for p in range(len(bounds) - 1):
             nodes = by_place[bounds[p] : bounds[p + 1]]
             c = count[nodes]
-            edges = gather(np.arange(len(end)), begin[nodes], c)
+            edges = gather(every, begin[nodes], c)
             first = np.concatenate([[0], np.cumsum(c)[:-1]])
             before = length[edges] <= p
             value = score[edges] + np.where(before, alpha[end[edges] - length[edges]], 0.0)
@@ -176,8 +192,10 @@ class Sampler:
         sizes = np.diff(np.append(starts, n))
         long = np.flatnonzero(sizes > SEGMENT_CHARS)
         if len(long):
-            more = [np.arange(starts[i] + SEGMENT_CHARS, starts[i] + sizes[i], SEGMENT_CHARS) for i in long]
-            starts = np.sort(np.concatenate([starts, *more]))
+            inner = gather(np.arange(n), starts[long] + 1, sizes[long] - 1)
+            pairs = self._pairs(cp, inner)
+            known = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] == pairs
+            starts = np.sort(np.concatenate([starts, inner[~known]]))
             sizes = np.diff(np.append(starts, n))
         at, _ = self.cache.lookup("".join(texts), starts, starts + sizes, hashes(cp, starts, starts + sizes))
         owner = np.searchsorted(offsets, starts, side="right") - 1
