@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, STOP_WORDS
+from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, STOP_WORDS
 from webgauge.functions import urls
 from webgauge.operators import scoring
 from webgauge.plans import report, views
@@ -210,6 +210,23 @@ def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.sitemap_urls(roots, files.unionByName(root), 300).withColumn("pos", long("pos"))
 
 
+@query(
+    f"""WITH {U}, f AS (SELECT scheme || '://' || host AS origin, page_id % {MAX_CHILD_SITEMAPS} AS child, string_agg('<url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url>', '' ORDER BY page_id) AS xml FROM u GROUP BY 1, 2),
+    l AS (SELECT origin, child, unnest(regexp_extract_all(xml, '<loc>\\s*(.*?)\\s*</loc>', 1)) AS loc, generate_subscripts(regexp_extract_all(xml, '<loc>\\s*(.*?)\\s*</loc>', 1), 1) AS i FROM f)
+    SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY child, i) - 1 AS pos, replace(loc, '&amp;', '&') AS url FROM l QUALIFY pos < {MAX_SITEMAP_URLS}"""
+)
+def sitemap_scan_of_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of sitemaps for each origin, of all its pages; an origin gives as many as the reference reads of one."""
+    p = table(spark, sf_dir, "pages").withColumn("origin", urls.origin(F.col("url")))
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    lists = p.groupBy("origin", (F.col("page_id") % MAX_CHILD_SITEMAPS).alias("child")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    files = lists.select(F.concat("origin", F.lit("/s"), F.col("child").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    roots = p.select("origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url")).distinct()
+    children = [x for i in range(MAX_CHILD_SITEMAPS) for x in (F.lit("<sitemap><loc>"), F.col("origin"), F.lit(f"/s{i}.xml</loc></sitemap>"))]
+    index = roots.select("url", F.concat(F.lit("<sitemapindex>"), *children, F.lit("</sitemapindex>")).alias("xml"))
+    return captures.sitemap_urls(roots, files.unionByName(index)).withColumn("pos", long("pos"))
+
+
 @query(
     r"""SELECT doc_id AS origin, doc_id % 3 <> 0 AND NOT starts_with(coalesce(text, ''), '<html') AS found, CASE WHEN doc_id % 3 <> 0 THEN CAST(strlen(coalesce(text, '') || '](x)') AS BIGINT) END AS bytes,
     CASE WHEN doc_id % 3 <> 0 THEN CAST(len(regexp_extract_all(coalesce(text, '') || '](x)', '\]\(')) AS BIGINT) END AS links FROM documents"""
