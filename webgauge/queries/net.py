@@ -11,7 +11,7 @@ from webgauge.constants import AI_CRAWLERS, AUDIT_QUOTA, AUDIT_WINDOW_S, VITALS
 from webgauge.functions import net
 from webgauge.operators import admission, robots, vitals
 from webgauge.plans import views
-from webgauge.queries.registry import long, query, sql_values, table
+from webgauge.queries.registry import ORACLE, long, query, sql_values, table
 from webgauge.runtime import shared_folder
 from webgauge.streaming.admission import stream_admissions
 
@@ -82,6 +82,36 @@ def robots_search_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.search_blocked(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_parts(spark, sf_dir))
 
 
+# -- the same for the path of every part --
+
+
+def paths_of_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("origin"))
+    p = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey % 25 as int)").alias("k"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("path"))
+    return p.join(F.broadcast(n), "k").select("origin", "path").distinct()
+
+
+def _of_all_parts(name: str) -> str:
+    return ORACLE[name].replace(PATHS, PATHS.replace("(p_partkey % 400)", "p_partkey"))
+
+
+@query(_of_all_parts("robots_crawler_access"))
+def robots_crawler_access_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = robots.crawler_access(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_all_parts(spark, sf_dir))
+    return a.select("origin", "path", "agent", "role", "allowed", "rule", "specific")
+
+
+@query(_of_all_parts("robots_crawler_grid"))
+def robots_crawler_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = views.crawler_grid(robots_crawler_access_all(spark, sf_dir))
+    return grid.select("origin", "path", "role", F.array_join("allowed", " ").alias("allowed"), F.array_join("blocked", " ").alias("blocked"))
+
+
+@query(_of_all_parts("robots_search_blocked"))
+def robots_search_blocked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.search_blocked(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_all_parts(spark, sf_dir))
+
+
 # -- addresses --------------------------------------------------------------------------------------------------------------
 
 OCTETS = ["event_id * 7 % 256", "(event_id * 13 + user_id) % 256", "event_id % 120", "event_id % 300"]
