@@ -2,12 +2,17 @@
 
 Every DOM node gets its characters per tag, adjusted for the share of linked characters; a node's density sum is that
 of its children.  The node with the largest sum holds the article; the least density on its path to body is the
-threshold by which further subtrees belong to it.  Parts that markup itself names as something else (navigation,
-adverts, forms, comments, ...) are left out beforehand.
+threshold by which subtrees off that path belong to it.  Where the page itself marks an article around that node, all of
+that element is taken.
+
+Parts that markup names as something else (navigation, adverts, forms, comments, ...) are left out beforehand, but a name
+alone never empties a page: of parts that would take all prose with them, the one that holds most is opened again.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import html
 import math
 import re
@@ -38,24 +43,41 @@ IMPLIED = {
     "tbody": ({"tr", "td", "th", "thead", "tfoot", "caption"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "tbody", "thead"}, {"table"}),
 }
-SCOPE = frozenset("html body table td th caption button object template".split())
-DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label fieldset legend svg math iframe noframes noembed xmp object applet embed canvas audio video map menu dialog datalist search".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
+CELLS = frozenset(("td", "th"))
+TABLE_ENDS = frozenset("td th tr table tbody thead tfoot".split())
+IN_HEAD = frozenset("head base link meta noscript script style template title".split())
+SCOPE = frozenset("table td th caption button object template".split())
+#: Never text of an article.
+NO_TEXT = frozenset("script style noscript template head title svg math iframe frame noframes noembed object applet embed canvas audio video map textarea select option button input datalist".split())
+#: Parts that say by their tag that they are something else; only those in WRAPPERS may also hold a whole page.
+ASIDE = frozenset("nav aside footer menu dialog search".split())
+WRAPPERS = frozenset("form fieldset legend label".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?=$|[\s_-])", re.I)
-DROPPED_NAMES = re.compile(
+ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|container|wrapper)|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
     r"|sidebar|side|(?:left|right)(?:bar|rail)|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|toolbar|shar(?:e|ing)|social|follow|related|recommend\w*|widgets?"
     r"|pagination|pager|skip|copyright|tags|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
-#: Names that tell of a part elsewhere, as has-sidebar on a page's wrapper.
-ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is)[_-]\S+", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
-ARTICLE, MAIN = "article", "main"
+#: Names that tell of a part elsewhere or of a state, as has-sidebar or comments-closed on a page's wrapper.
+ABOUT_OTHERS = re.compile(r"(?<!\S)(?:(?:has|with|no|without|is)[_-]\S+|\S+[_-](?:open|opened|closed|on|off|enabled|disabled|none))(?!\S)", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: none of them is an article by itself, and beside an article they belong to it.
+TEXT = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr hr".split())
+#: Fewer words than these outside of all left-out parts, or fewer characters than this share of one, are little prose.
+PROSE_WORDS, PROSE_SHARE = 8, 0.1
+#: Of the characters of a part: from this share of linked ones on it is a list of links.
+LINKED = 0.5
+
+TAKEN, ASIDE_PART, WRAPPER_PART, COMMENTS = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "children", "parent", "part", "chars", "tags", "link_chars", "link_tags", "article_chars", "paragraphs", "titles", "density", "total", "depth")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -64,17 +86,85 @@ class Node:
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(self.attrs)} if self.attrs else {}
 
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if not isinstance(c, str)]
+
+
+class Stack:
+    """Open elements, with the places of each tag and of the elements that end tags don't look beyond."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("#body", "", None)]
+        self.open: dict[str, list[int]] = {}
+        self.blocks, self.cells, self.scopes = [0], [0], [0]
+
+    def add(self, child: Node | str) -> None:
+        self.nodes[-1].children.append(child)
+
+    def push(self, node: Node) -> None:
+        self.add(node)
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.open.setdefault(node.tag, []).append(at)
+        for places in self._bounds(node.tag):
+            places.append(at)
+
+    def _bounds(self, tag: str):
+        if tag not in INLINE:
+            yield self.blocks
+        if tag in CELLS:
+            yield self.cells
+        if tag in SCOPE:
+            yield self.scopes
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all in it."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.open[tag].pop()
+            for places in self._bounds(tag):
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.open.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and not (tag in INLINE and self.blocks[-1] > at) and not (tag not in TABLE_ENDS and self.cells[-1] > at):
+            self.cut(at)
+
+    def imply_ends(self, tag: str) -> None:
+        """Close what the start of this tag ends."""
+        if tag not in IN_HEAD and self.last("head"):
+            self.cut(self.last("head"))
+        if tag in ENDS_P:
+            if self.last("p") > self.scopes[-1]:
+                self.cut(self.last("p"))
+            if tag in HEADINGS and self.nodes[-1].tag in HEADINGS:
+                self.cut(len(self.nodes) - 1)
+        elif tag in IMPLIED:
+            ended, bound = IMPLIED[tag]
+            beyond = max(map(self.last, bound))
+            places = [self.open[t][k] for t in ended if t in self.open and (k := bisect.bisect(self.open[t], beyond)) < len(self.open[t])]
+            if places:
+                self.cut(min(places))
+        elif tag == "a" and self.last("a") > self.blocks[-1]:
+            self.cut(self.last("a"))
+
 
 def parse(source: str) -> Node:
-    """A lenient tree: void and raw-text elements, implied end tags, stray end tags ignored."""
-    root = Node("#root", "", None)
-    here, at, n = root, 0, len(source)
+    """A lenient tree below one body: void and raw-text elements, implied end tags, stray end tags ignored."""
+    stack, at, n = Stack(), 0, len(source)
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            here.children.append(source[at:lt])
+            text = source[at:lt]
+            if stack.nodes[-1].tag == "head" and not text.isspace():
+                stack.cut(stack.last("head"))
+            stack.add(text)
         if lt == n:
             break
         m = TAG.match(source, lt) or LOOSE_TAG.match(source, lt)
@@ -88,129 +178,153 @@ def parse(source: str) -> Node:
             elif source[lt + 1 : lt + 2].isalpha():
                 break  # the page ends inside a tag
             else:
-                here.children.append("<")
+                stack.add("<")
                 at = lt + 1
             continue
         at = m.end()
         tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                here.children.append(Node("br", "", here))
-                continue
-            node = here
-            while node is not root and node.tag != tag:
-                if tag in INLINE and node.tag not in INLINE or node.tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            continue
-        if tag in ENDS_P:
-            node = here
-            while node is not root and node.tag not in SCOPE:
-                if node.tag == "p":
-                    here = node.parent
-                    break
-                node = node.parent
-        elif tag in IMPLIED:
-            ended, bound = IMPLIED[tag]
-            node = here
-            while node is not root and node.tag not in bound:
-                if node.tag in ended:
-                    here = node.parent
-                node = node.parent
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and here.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            here = here.parent
-        if tag in ("html", "body") and any(x.tag == tag for x in _path(here)):
+        if tag in ("html", "body", "frameset"):  # whatever is in a page is in its body
+            if not m[1] and tag != "html":
+                stack.imply_ends(tag)
             continue
-        node = Node(tag, m[3], here)
-        here.children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path", "circle", "rect", "use"):
+        if m[1] and tag != "br":
+            stack.end(tag)
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+        stack.imply_ends(tag)
+        node = Node(tag, m[3], stack.nodes[-1])
+        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "circle", "rect", "use"):
+            stack.add(node)
+        elif tag in RAW:
+            stack.add(node)
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             stop = end.start() if end else n
             node.children.append(source[at:stop])
             close = source.find(">", stop)
             at = n if close < 0 else close + 1
-            continue
-        here = node
-    return root
+        else:
+            stack.push(node)
+    return stack.nodes[0]
 
 
-def _path(node: Node):
-    while node is not None:
-        yield node
-        node = node.parent
+def in_order(root: Node) -> list[Node]:
+    """Every node of the subtree, parents before children."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += reversed(node.elements())
+    return order
 
 
-def _dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED or node.tag == "header" and not in_article:
-        return True
-    if not node.attrs or node.tag in ("html", "body"):
-        return False
+def named_part(node: Node, in_article: bool) -> int:
+    """What markup says a node is."""
+    if node.tag in ASIDE or node.tag == "header" and not in_article:
+        return ASIDE_PART
+    part = WRAPPER_PART if node.tag in WRAPPERS else TAKEN
+    if not node.attrs:
+        return part
     a = node.attributes()
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if a.get("role", "").strip().lower() in DROPPED_ROLES:
-        return True
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
+        return WRAPPER_PART
+    if a.get("role", "").strip().lower() in ASIDE_ROLES:
+        return WRAPPER_PART
     names = ABOUT_OTHERS.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
-    if names == " ":
-        return False
     if COMMENT_NAMES.search(names):
-        return not _holds(node, (MAIN,))
-    if DROPPED_NAMES.search(names) or not in_article and HEADER_NAMES.search(names):
-        return node.tag not in (ARTICLE, MAIN) and not _holds(node, (ARTICLE, MAIN))
-    return False
-
-
-def _holds(node: Node, tags: tuple[str, ...]) -> bool:
-    """Whether an element of these is inside: then a name is that of a wrapper, not of the part itself."""
-    todo = [node]
-    while todo:
-        for c in todo.pop().children:
-            if not isinstance(c, str):
-                if c.tag in tags:
-                    return True
-                todo.append(c)
-    return False
+        return COMMENTS
+    if node.tag not in ARTICLES and (ASIDE_NAMES.search(names) or not in_article and HEADER_NAMES.search(names)):
+        return WRAPPER_PART
+    return part
 
 
 def prune(root: Node) -> None:
-    """Take out what markup names as other than the article."""
+    """Take out what has no text, and the parts that markup names as other than the article.
+
+    Where that leaves no marked article, a part that holds one with more text than is left is opened, and only what is
+    named inside it goes.  Where it leaves no prose either, so is the part with most text (readers' comments last) if it is laid out as an article:
+    in several paragraphs, or below a title where there is some text outside.
+    """
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        keep = []
-        for c in node.children:
-            if isinstance(c, str):
-                keep.append(c)
-            elif not _dropped(c, inside):
-                keep.append(c)
-                todo.append((c, inside or c.tag in (ARTICLE, MAIN)))
-        node.children = keep
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in NO_TEXT]
+        node.part = named_part(node, inside) if node is not root else TAKEN
+        inside = inside or node.tag in ARTICLES
+        todo += [(c, inside) for c in node.elements()]
+    order = in_order(root)
+    _count(order)
+    for node in reversed(order):
+        inner = sum(c.article_chars for c in node.elements())
+        node.article_chars = max(inner, node.chars - node.link_chars) if node.tag in ARTICLES and node.part != COMMENTS else inner
+        node.paragraphs = sum(c.paragraphs for c in node.elements()) + (node.tag == "p" or node.tag in HEADINGS)
+        node.titles = sum(c.titles for c in node.elements()) + (node.tag in ("h1", "h2"))
+    words = chars = 0
+    article = False
+    parts: list[Node] = []
+
+    def open_part(top: Node) -> None:
+        nonlocal words, chars, article
+        todo = [(top, False)]
+        while todo:
+            node, heading = todo.pop()
+            if node.part != TAKEN and node is not top:
+                parts.append(node)
+                continue
+            article = article or node.tag in ARTICLES
+            if node.tag == "a":
+                continue
+            heading = heading or node.tag in HEADINGS
+            for c in node.children:
+                if not isinstance(c, str):
+                    todo.append((c, heading))
+                elif not heading:
+                    own = c.split()
+                    words += len(own)
+                    chars += sum(map(len, own))
+
+    def unlinked(node: Node) -> int:
+        return node.chars - node.link_chars
+
+    open_part(root)
+    heap: list = []
+    seen = 0  # numbers the parts, so that equal ones keep page order
+    while not article:
+        for node in parts[seen:]:
+            if unlinked(node) and (node.part != ASIDE_PART or node.article_chars):
+                heapq.heappush(heap, (-node.article_chars, node.part == COMMENTS, -unlinked(node), seen, node))
+            seen += 1
+        if not heap:
+            break
+        best = heap[0][-1]
+        little = words < PROSE_WORDS or best.part != COMMENTS and chars < PROSE_SHARE * unlinked(best)
+        heapq.heappop(heap)
+        if not (best.article_chars > chars or not words and best.paragraphs > 1 or little and best.titles):
+            continue
+        best.part = TAKEN
+        open_part(best)
+    for node in order:
+        node.children = [c for c in node.children if isinstance(c, str) or c.part == TAKEN]
 
 
-def measure(body: Node) -> list[Node]:
-    """Density and density sum of every node; nodes with parents before children."""
-    order, todo = [], [body]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+def _count(order: list[Node]) -> None:
+    """Characters and tags of every subtree, in all and in links; white space isn't counted."""
     for node in reversed(order):
         chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         tags = link_chars = link_tags = 0
-        for c in node.children:
-            if not isinstance(c, str):
-                chars += c.chars
-                tags += c.tags + 1
-                link_chars += c.chars if c.tag == "a" else c.link_chars
-                link_tags += c.link_tags + (c.tag == "a")
+        for c in node.elements():
+            chars += c.chars
+            tags += c.tags + 1
+            link_chars += c.chars if c.tag == "a" else c.link_chars
+            link_tags += c.link_tags + (c.tag == "a")
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
+
+
+def measure(body: Node) -> list[Node]:
+    """Density and density sum of every node; nodes with parents before children."""
+    order = in_order(body)
+    _count(order)
     linked = body.link_chars / max(1, body.chars)
     for node in order:
+        node.depth = 0 if node is body else node.parent.depth + 1
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
         if not c:
             node.density = 0.0
@@ -220,46 +334,67 @@ def measure(body: Node) -> list[Node]:
         if node.density <= 0 and c > node.link_chars:
             node.density = 1e-9
     for node in order:
-        node.total = sum(c.density for c in node.children if not isinstance(c, str))
+        node.total = sum(c.density for c in node.elements())
     return order
 
 
-def select(body: Node) -> list[Node]:
-    """The subtrees of the article, in page order."""
+def densest(body: Node) -> tuple[Node, float]:
+    """(the node of largest density sum, the deepest of equals; the least density on its path to body), once measured."""
     order = measure(body)
+    target = max(order, key=lambda n: (n.total, n.depth))
+    return target, min(n.density for n in _path(target))
+
+
+def _path(node: Node):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _is_links(node: Node) -> bool:
+    return node.link_chars >= LINKED * node.chars
+
+
+def select(body: Node) -> tuple[list[Node], bool]:
+    """(subtrees of the article in page order, whether an article element beyond the densest node decided).
+
+    Without such an element: the densest node, or the element that its list or table stands in; subtrees off its path
+    to body whose density reaches the threshold; headings before it; and, below body, running text beside the path.
+    """
+    target, threshold = densest(body)
     if not body.chars:
-        return []
-    target = max(order, key=lambda n: n.total)
+        return [], False
     if target.total <= 0:
-        return [body]
-    for node in _path(target):  # an element that says it is the article holds all of it
-        if node.tag == ARTICLE:
-            return [node]
-    for node in _path(target):
-        if node.tag == MAIN:
-            return [node]
-        if node is body:
-            break
-    threshold = math.inf
+        return [body], False
     for node in _path(target):
-        threshold = min(threshold, node.density)
-        if node is body:
-            break
-    chosen, todo = [], [body]
+        if node.tag in ARTICLES:
+            return [node], node is not target
+    while target is not body and (target.tag in TEXT or target.tag in INLINE):
+        target = target.parent
+    if target is body:
+        return [c for c in body.children if isinstance(c, str) or not (c.link_tags > 1 and _is_links(c))], False
+    on_path = {id(n) for n in _path(target)}
+    chosen: list[Node] = []
+    todo = [(body, False)]
     while todo:
-        node = todo.pop()
+        node, off = todo.pop()
         if node is target:
             chosen.append(node)
-        elif node is not body and node.density >= threshold and not any(x is node for x in _path(target)):
+        elif off:
             chosen.append(node)
         else:
-            todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    if body in chosen or target.parent is None:
-        return [body]
-    return chosen
-
-
-def blocks(node: Node) -> list[str]:
+            before, rest = True, []
+            for c in node.elements():
+                if id(c) in on_path:
+                    before = False
+                    rest.append((c, False))
+                elif c.density >= threshold or not _is_links(c) and (c.tag in HEADINGS and before or node is not body and c.tag in TEXT):
+                    rest.append((c, True))
+            todo += reversed(rest)
+    return chosen, False
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Text blocks in page order: runs of text between block elements, white space made single."""
     out: list[str] = []
     run: list[str] = []
@@ -270,7 +405,7 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = list(reversed(nodes))
     while todo:
         x = todo.pop()
         if x is None:
@@ -293,17 +428,9 @@ def main_text(source: str | None) -> str:
     """The article of a page: blocks joined by an empty line; empty if there is none."""
     if not source:
         return ""
-    root = parse(source)
-    prune(root)
-    body = root
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.tag == "body":
-            body = node
-            break
-        todo += [c for c in node.children if not isinstance(c, str) and c.tag in ("html", "body")]
-    return "\n\n".join(b for node in select(body) for b in blocks(node))
+    body = parse(source)
+    prune(body)
+    return "\n\n".join(blocks(select(body)[0]))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
