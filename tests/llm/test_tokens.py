@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from webgauge.llm import sentencepiece_sampling
+from webgauge.llm import pretok, sentencepiece_sampling
 from webgauge.llm.encode import encoder
 from webgauge.llm.packing import best_fit_decreasing, dual_feasible_bound, pack_documents
 from webgauge.llm.sentencepiece_sampling import Sampler, decode_segmentations, sample_segmentations, segmentation_digests
@@ -34,6 +34,27 @@ def test_ids_and_counts_equal_the_library(name):
     assert counter(path).count(t).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_ids_of_random_texts_over_all_planes(name):
+    rng, path = random.Random(1), public_tokenizers.path(name)
+    pools = [(0x20, 0x7F), (0xA0, 0x600), (0x10000, 0x20000), (0x13400, 0x14400), (0, 0xD800), (0xE000, 0x110000), (0x11380, 0x113E3), (0x16100, 0x16140), (0x10D40, 0x10D90), (0x1C80, 0x1C8B), (0xA7C0, 0xA7E0), (0x300, 0x370)]
+    t = ["".join(chr(rng.randrange(*rng.choice(pools))) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(t, add_special_tokens=False)]
+    ids, n = encoder(path).encode(t)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert counter(path).count(t).tolist() == [len(w) for w in want]
+
+
+def test_classes_of_all_code_points():
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    text = "".join(map(chr, points))
+    for kind, pattern in pretok.CLASSES.items():
+        want = {points[i] for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text) for i in range(a, b)}
+        assert set(np.flatnonzero(pretok._class_table() == kind).tolist()) == want
+
+
 def test_merged_symbols_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     words = ["hello", "aaaaaaa", "internationalisation", "ééé", "1234567"]

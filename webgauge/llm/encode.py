@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from .common import chunks_by_size, single_threaded
-from .pretok import BYTE, WORD, SpanCache, clean_word_text, code_points, gather, hashes, spans
+from .pretok import BYTE, WORD, SpanCache, clean_word_texts, code_points, gather, hashes, spans
 
 CHARS_AT_ONCE = 3_000_000
 _encoders: dict[str, "TextEncoder"] = {}
@@ -59,7 +59,7 @@ class TextEncoder:
         for lo, hi in chunks_by_size(texts, CHARS_AT_ONCE):
             chunk = texts[lo:hi]
             whole = [i for i, t in enumerate(chunk) if self.special and self.special.search(t)]
-            plain = [clean_word_text(t) if self.kind == WORD else t for t in chunk]
+            plain = clean_word_texts(chunk) if self.kind == WORD else list(chunk)
             for i in whole:
                 plain[i] = ""
             cp, offsets = code_points(plain)

@@ -13,22 +13,38 @@ import numpy as np
 import pandas as pd
 
 LETTER, NUMBER, SPACE = 1, 2, 3
-#: Unicode White_Space, which the split patterns' \s stands for.
-WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+CLASSES = {LETTER: r"\p{L}+", NUMBER: r"\p{N}+", SPACE: r"\s+"}
+#: Code points that can be of a class: planes 4 to 13 are unassigned, 15 and 16 are for private use.
+CLASSED = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)]
 WORD, BYTE = "word", "byte"
 
 _tables: dict[str, np.ndarray] = {}
 
 
+def _runs(pattern: str, text: str) -> list[tuple[int, int]]:
+    """Where the library finds the pattern in a text."""
+    from tokenizers import Regex, pre_tokenizers
+
+    return [at for _, at in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)]
+
+
 def _class_table() -> np.ndarray:
+    """The class of every code point by the tokenizers library's own tables, which know newer letters than Python's."""
     if "class" not in _tables:
         t = np.zeros(0x110000, np.uint8)
-        major = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-        major = np.array(major)
-        t[major == "L"] = LETTER
-        t[major == "N"] = NUMBER
-        t[WHITE_SPACE] = SPACE
+        text = "".join(map(chr, CLASSED))
+        runs = np.array(_runs("|".join(CLASSES.values()), text), np.int64)  # each of one class
+        first = "\0".join(text[a] for a in runs[:, 0].tolist())
+        kind = np.zeros(len(runs), np.uint8)
+        for k, pattern in CLASSES.items():
+            kind[[a // 2 for a, _ in _runs(pattern, first)]] = k
+        lengths = runs[:, 1] - runs[:, 0]
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        t[np.array(CLASSED)[np.repeat(runs[:, 0], lengths) + within]] = np.repeat(kind, lengths)
         _tables["class"] = t
+        new = np.zeros(0x110000, bool)
+        new[[i for i in CLASSED if unicodedata.category(chr(i)) == "Cn"]] = True
+        _tables["new"] = new  # letters, marks and the like that only the library may know
         _tables["mix"] = np.random.default_rng(20240607).integers(1, 2**63, 0x110000, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     return _tables["class"]
 
@@ -56,6 +72,22 @@ def clean_word_text(text: str) -> str:
     return text.lower()
 
 
+def clean_word_texts(texts: list[str]) -> list[str]:
+    """``clean_word_text`` of each; texts with characters that Python doesn't know are left to the library."""
+    out = [clean_word_text(t) for t in texts]
+    _class_table()
+    rest = [i for i, t in enumerate(texts) if not t.isascii()]
+    cp, offsets = code_points([texts[i] for i in rest])
+    new = np.flatnonzero(_tables["new"][cp])
+    if len(new):
+        from tokenizers import normalizers
+
+        normalize = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        for k in np.unique(np.searchsorted(offsets, new, side="right") - 1).tolist():
+            out[rest[k]] = normalize(texts[rest[k]])
+    return out
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points and the offset of each text (one offset more than texts)."""
     joined = "".join(texts)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks_by_size, text_or_empty, tokenizer_path
 from .encode import CHARS_AT_ONCE, tokenizer_layout
-from .pretok import WORD, SpanCache, clean_word_text, code_points, hashes, spans
+from .pretok import WORD, SpanCache, clean_word_texts, code_points, hashes, spans
 
 VOCABULARY = "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -133,8 +133,10 @@ class TokenCounter:
             for i in range(lo, hi):
                 pieces = self.special.split(texts[i]) if self.special and self.special.search(texts[i]) else [texts[i]]
                 totals[i] += len(pieces) - 1
-                parts += [clean_word_text(p) if self.kind == WORD else p for p in pieces]
+                parts += pieces
                 owner += [i] * len(pieces)
+            if self.kind == WORD:
+                parts = clean_word_texts(parts)
             cp, offsets = code_points(parts)
             starts, ends = spans(cp, offsets, self.kind)
             if not len(starts):
