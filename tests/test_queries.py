@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def plain(x):
-    if x is None or isinstance(x, float) and pd.isna(x) or x is pd.NaT:
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and pd.isna(x):
         return ""
     x = x.item() if hasattr(x, "item") else x
     return repr(int(x)) if isinstance(x, float) and x.is_integer() else repr(x)

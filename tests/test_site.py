@@ -1,5 +1,6 @@
 """Robots, sitemaps, site analysis, frontier, vitals, addresses, admission and jobs."""
 
+import random
 from collections import deque
 
 import pandas as pd
@@ -113,38 +114,61 @@ def test_scores_round_before_weighting(spark):
     assert [(r.action, r.check) for r in scoring.todos(f).orderBy("place").collect()] == [("do 1", "a"), ("do 0", "a"), ("see", "c")]
 
 
-def queue_crawl(seed, links, depth, pages):
-    claimed, queue = {seed: (0, 1)}, deque([seed])
-    level = [seed]
-    for d in range(1, depth + 1):
-        by = {}
-        for u in level:
-            for v in links.get(u, ()):
-                if v not in claimed:
-                    by[v] = min(by.get(v, 10**9), claimed[u][1])
-        level = []
-        for v in sorted(by, key=lambda v: (by[v], v)):
-            if len(claimed) < pages:
-                claimed[v] = (d, len(claimed) + 1)
-                level.append(v)
-    return {u: v for u, v in claimed.items()} if queue else {}
-
-
-def test_frontier(spark):
-    import random
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    rng = random.Random(2)
-    edges = [("s", f"p{rng.randrange(40):02}", f"p{rng.randrange(40):02}") for _ in range(90)]
+def queue_crawl(seed, links, depth, pages, sitemap=(), identity=None):
+    """One worker: links: page -> targets in page order."""
+    identity = identity or {}
+    queue, seen, audited, out, pending = deque([(seed, 0, "seed")]), {seed}, set(), [], deque(sitemap)
+    while len(out) < pages:
+        item = queue.popleft() if queue else None
+        while item is None and pending:
+            url = pending.popleft()
+            if url not in seen:
+                seen.add(url)
+                item = (url, None, "sitemap")
+        if item is None:
+            break
+        final = identity.get(item[0], item[0])
+        if final in audited:
+            continue
+        audited.add(final)
+        seen.add(final)
+        out.append(item)
+        below = 1 if item[1] is None else item[1] + 1
+        for v in links.get(item[0], ()) if below <= depth else ():
+            if v not in seen:
+                seen.add(v)
+                queue.append((v, below, "link"))
+    return {u: (d, k + 1, s) for k, (u, d, s) in enumerate(out)}
+
+
+@pytest.mark.parametrize("seed, depth, budget", [(1, 4, 12), (3, 1, 30), (5, 4, 1)])
+def test_frontier(spark, seed, depth, budget):
+    rng = random.Random(seed)
+    edges = [("s", f"p{rng.randrange(25):02}", f"p{rng.randrange(40):02}", k) for k in range(60)]
+    rng.shuffle(edges)
     links = {}
-    for _, a, b in edges:
+    for _, a, b, _ in sorted(edges, key=lambda e: e[3]):
         if a != b:
-            links.setdefault(a, set()).add(b)
-    got = frontier.crawl_frontier(spark.createDataFrame([("s", "p00")], "site_key string, url string"), spark.createDataFrame(edges, "site_key string, src string, dst string"), 4, 12).collect()
-    assert {r.url: (r.depth, r.place) for r in got} == queue_crawl("p00", links, 4, 12)
-    more = frontier.crawl_frontier(spark.createDataFrame([("s", "p00")], "site_key string, url string"), spark.createDataFrame(edges, "site_key string, src string, dst string"), 1, 40, spark.createDataFrame([("s", 1, "q1"), ("s", 0, "q0"), ("s", 2, "p00")], "site_key string, pos int, url string"))
-    assert [(r.url, r.depth) for r in more.where("source = 'sitemap'").orderBy("place").collect()] == [("q0", None), ("q1", None)]
+            links.setdefault(a, []).append(b)
+    sitemap = [f"p{rng.randrange(60):02}" for _ in range(12)]
+    identity = {f"p{k:02}": f"p{k + 1:02}" for k in range(3, 40, 9)}
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    seeds, graph = frame([("s", "p00")], "site_key string, url string"), frame(edges, "site_key string, src string, dst string, pos int")
+    for more, ends in (((), identity), (sitemap, identity)) if seed > 1 else ((sitemap, None),):
+        got = frontier.crawl_frontier(
+            seeds, graph, depth, budget, frame([("s", k, u) for k, u in enumerate(more)], "site_key string, pos int, url string") if more else None,
+            frame([("s", u, v) for u, v in ends.items()], "site_key string, url string, identity string") if ends else None,
+        ).collect()
+        want = queue_crawl("p00", links, depth, budget, list(dict.fromkeys(more)), ends)
+        assert {r.url: (r.depth, r.place, r.source) for r in got} == want
+    assert frontier.crawl_frontier(seeds.limit(0), graph).count() == 0
+
+
+def test_crawlable_links(spark):
+    robots_file = spark.createDataFrame([("https://a.com", "User-agent: *\nDisallow: /no")], "origin string, text string")
+    rows = [(k, "https://a.com/x", u) for k, u in enumerate(["https://a.com/1", "https://www.a.com/2", "https://b.com/3", "https://a.com/4.pdf", "https://a.com/no/5", "https://a.com/yes?no"])]
+    links = spark.createDataFrame([("a.com", s, d, k) for k, s, d in rows], "site_key string, src string, dst string, pos int")
+    assert sorted(r.pos for r in frontier.crawlable(links, robots.robots_rules(robots_file)).collect()) == [0, 1, 5]
 
 
 def test_site_groups(spark):

@@ -77,7 +77,8 @@ def language(text: Column) -> Column:
 def pixel_width(text: Column, font_px: int) -> Column:
     """Width in Arial: a fallback for every character, corrected by counts of those with a width of their own."""
     units = F.char_length(text) * FALLBACK_WIDTH
-    for width, chars in ARIAL_WIDTHS.items():
+    for width in sorted(set(ARIAL_WIDTHS.values()) - {FALLBACK_WIDTH}):
+        chars = "".join(c for c, w in ARIAL_WIDTHS.items() if w == width)
         count = F.char_length(text) - F.char_length(F.translate(text, chars, ""))
         units = units + count * (width - FALLBACK_WIDTH)
     return round_half_up(units / F.lit(1000.0) * font_px).cast("int")

@@ -50,6 +50,10 @@ def query(url: Column) -> Column:
     return _part(url, 5)
 
 
+def path_and_query(url: Column) -> Column:
+    return F.concat(path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(""))
+
+
 def fragment(url: Column) -> Column:
     return _part(url, 6)
 
@@ -64,7 +68,7 @@ def normalize(text: Column) -> Column:
     """What a user typed as a URL: https is assumed, the host needs a dot; null if it isn't one."""
     t = F.trim(text)
     full = F.when(F.regexp_like(t, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*://")), t).otherwise(F.concat(F.lit("https://"), t))
-    whole = F.concat(origin(full), path(full), F.when(query(full) != "", F.concat(F.lit("?"), query(full))).otherwise(""), F.when(fragment(full) != "", F.concat(F.lit("#"), fragment(full))).otherwise(""))
+    whole = F.concat(origin(full), path_and_query(full), F.when(fragment(full) != "", F.concat(F.lit("#"), fragment(full))).otherwise(""))
     return F.when(is_web(full) & F.contains(full_host(full), F.lit(".")), whole)
 
 

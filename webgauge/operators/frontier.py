@@ -1,46 +1,108 @@
 """Breadth-first crawl order over a captured link graph, with depth and page budgets.
 
 Each level is one DataFrame step: links of the level, less what was seen, ranked and cut by what is left of the site's
-budget.  The number of steps is the depth limit, whatever the graph's size.
+budget.  The number of steps is the depth limit, whatever the graph's size; sitemap pages that link to pages not yet
+seen take further steps, at most as many as the page budget.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgauge.constants import MAX_DEPTH, MAX_PAGES
-from webgauge.runtime import shared_folder
+from webgauge.functions import urls
+from webgauge.operators.robots import search_blocked
+from webgauge.runtime import discard, materialize
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None) -> DataFrame:
+def crawlable(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """The links (site_key, src, dst, ...) whose target a crawl of the site may visit: on the same site with or without
+    www, not the address of a file, and not kept from search crawlers by robots rules of the target's origin."""
+    paths = links.select(urls.origin(F.col("dst")).alias("origin"), urls.path_and_query(F.col("dst")).alias("path")).distinct()
+    closed = search_blocked(rules, paths).where("blocking_rule is not null").select("origin", "path")
+    plain = links.where(urls.same_site(F.col("src"), F.col("dst")) & urls.is_page(F.col("dst")))
+    keyed = plain.withColumns({"_origin": urls.origin(F.col("dst")), "_path": urls.path_and_query(F.col("dst"))})
+    return keyed.join(closed.select(F.col("origin").alias("_origin"), F.col("path").alias("_path")), ["_origin", "_path"], "left_anti").drop("_origin", "_path")
+
+
+class _Crawl:
+    """What is claimed so far: at most max_pages rows a site, each step written once so that plans stay short."""
+
+    def __init__(self, edges: DataFrame, identities: DataFrame | None, max_pages: int):
+        self.edges, self.identities, self.max_pages = edges, identities, max_pages
+        self.claimed: DataFrame | None = None
+
+    def unseen(self, pages: DataFrame) -> DataFrame:
+        """``pages`` with their identity, without those whose URL or identity is claimed."""
+        if self.identities is not None:
+            pages = pages.join(self.identities.select("site_key", "url", "identity"), ["site_key", "url"], "left").withColumn("identity", F.coalesce("identity", "url"))
+        else:
+            pages = pages.withColumn("identity", F.col("url"))
+        if self.claimed is None:
+            return pages
+        seen = self.seen("identity")
+        return pages.join(seen, ["site_key", "identity"], "left_anti").join(seen.withColumnRenamed("identity", "url"), ["site_key", "url"], "left_anti")
+
+    def seen(self, name: str) -> DataFrame:
+        return self.claimed.select("site_key", F.explode(F.array_distinct(F.array("url", "identity"))).alias(name))
+
+    def claim(self, new: DataFrame, order: list[str], depth: Column, source: str) -> DataFrame | None:
+        """Of the pages ``new`` (site_key, url and the columns of ``order``) those that the budget allows, if any."""
+        order = [*order, "url"]
+        new = self.unseen(new)
+        if self.claimed is not None:
+            new = new.join(self.claimed.groupBy("site_key").agg(F.count("*").alias("used")), "site_key", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        else:
+            new = new.withColumn("used", F.lit(0).cast("long"))
+        again = F.row_number().over(Window.partitionBy("site_key", "identity").orderBy(*order))
+        new = new.withColumn("again", again).where("again = 1")
+        place = F.col("used") + F.row_number().over(Window.partitionBy("site_key").orderBy(*order))
+        found = new.withColumn("place", place).where(F.col("place") <= self.max_pages)
+        found = materialize(found.select("site_key", "url", depth.cast("int").alias("depth"), "place", F.lit(source).alias("source"), "identity"), "level")
+        if found.isEmpty():
+            return None
+        self.claimed = found if self.claimed is None else self.claimed.unionByName(found)
+        return found
+
+    def follow(self, front: DataFrame, depths: range) -> None:
+        """Claim what the pages of ``front`` link to, level by level."""
+        for depth in depths:
+            step = front.select("site_key", F.col("url").alias("src"), "place").join(self.edges, ["site_key", "src"]).groupBy("site_key", F.col("dst").alias("url")).agg(F.min(F.struct("place", "pos")).alias("by"))
+            front = self.claim(step, ["by"], F.lit(depth), "link")
+            if front is None:
+                return
+
+    def next_of_sitemap(self, pending: DataFrame) -> DataFrame:
+        """Each site's first pending pages, up to and with the first that links to a page not yet seen."""
+        left = self.unseen(pending)
+        new = self.edges.join(self.seen("dst"), ["site_key", "dst"], "left_anti")
+        leads = left.select("site_key", "url").join(new.select("site_key", F.col("src").alias("url")), ["site_key", "url"], "left_semi").withColumn("leads", F.lit(True))
+        before = F.max(F.coalesce("leads", F.lit(False))).over(Window.partitionBy("site_key").orderBy("pos", "url").rowsBetween(Window.unboundedPreceding, -1))
+        return left.join(leads, ["site_key", "url"], "left").withColumn("before", F.coalesce(before, F.lit(False))).where("not before").select("site_key", "url", "pos")
+
+
+def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
     """(site_key, url, depth, place, source): pages in the order that a crawl claims them.
 
-    seeds: (site_key, url); links: (site_key, src, dst), nofollow edges left out before.  At equal depth a page comes in
-    the order of the first page that links to it, then of its URL.  Sitemap URLs fill what is left of the budget; their
-    depth is null.
+    seeds: (site_key, url); links: (site_key, src, dst, and pos, the link's place on its page), already ``crawlable``.
+    Pages come in the order in which a queue meets them: by the page that links to them first, then by the link's place
+    there (without pos, by target).  Sitemap pages (site_key, pos, url) come when no link is left; their depth is null
+    and links on them lead to depth 1.  identities: (site_key, url, identity) of pages that end at another address: of
+    several pages of one identity the first is claimed, and the others take nothing of the budget.  A page that can't be
+    fetched is claimed like any other.
     """
-    shared_folder(seeds.sparkSession)
-    # the claimed set is at most max_pages rows a site: levels are checkpointed so that plans stay short
-    edges = links.select("site_key", "src", "dst").where("src <> dst").distinct()
-    level = seeds.select("site_key", "url").distinct()
-    w = Window.partitionBy("site_key")
-    claimed = level.withColumn("place", F.row_number().over(w.orderBy("url")).cast("long")).where(F.col("place") <= max_pages).select("site_key", "url", F.lit(0).alias("depth"), "place", F.lit("seed").alias("source"))
-    claimed = claimed.checkpoint()
-    front = claimed
-    for depth in range(1, max_depth + 1):
-        step = front.select("site_key", F.col("url").alias("src"), "place").join(edges, ["site_key", "src"]).groupBy("site_key", F.col("dst").alias("url")).agg(F.min("place").alias("by"))
-        new = step.join(claimed, ["site_key", "url"], "left_anti")
-        used = claimed.groupBy("site_key").agg(F.count("*").alias("used"))
-        ranked = new.withColumn("r", F.row_number().over(w.orderBy("by", "url"))).join(used, "site_key")
-        front = ranked.where(F.col("used") + F.col("r") <= max_pages).select("site_key", "url", F.lit(depth).alias("depth"), (F.col("used") + F.col("r")).alias("place"), F.lit("link").alias("source")).checkpoint()
-        if front.isEmpty():
-            break
-        claimed = claimed.unionByName(front)
+    pos = F.min("pos") if "pos" in links.columns else F.lit(0)
+    edges = materialize(links.where("src <> dst").groupBy("site_key", "src", "dst").agg(pos.alias("pos")), "edges")
+    crawl = _Crawl(edges, identities, max_pages)
+    first = crawl.claim(seeds.select("site_key", "url").distinct(), [], F.lit(0), "seed")
+    if first is None:
+        return seeds.select("site_key", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.lit("seed").alias("source")).limit(0)
+    crawl.follow(first, range(1, max_depth + 1))
     if sitemap is not None:
-        pending = sitemap.groupBy("site_key", "url").agg(F.min("pos").alias("pos")).join(claimed, ["site_key", "url"], "left_anti")
-        used = claimed.groupBy("site_key").agg(F.count("*").alias("used"))
-        ranked = pending.withColumn("r", F.row_number().over(w.orderBy("pos", "url"))).join(used, "site_key")
-        more = ranked.where(F.col("used") + F.col("r") <= max_pages).select("site_key", "url", F.lit(None).cast("int").alias("depth"), (F.col("used") + F.col("r")).alias("place"), F.lit("sitemap").alias("source"))
-        claimed = claimed.unionByName(more)
-    return claimed
+        pending = materialize(sitemap.groupBy("site_key", "url").agg(F.min("pos").alias("pos")), "pending")
+        while (found := crawl.claim(crawl.next_of_sitemap(pending), ["pos"], F.lit(None), "sitemap")) is not None:
+            crawl.follow(found, range(1, max_depth + 1))
+        discard(pending)
+    discard(edges)
+    return crawl.claimed.drop("identity")

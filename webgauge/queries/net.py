@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from webgauge.functions import net
 from webgauge.operators import admission, robots, vitals
 from webgauge.plans import views
 from webgauge.queries.registry import ORACLE, long, query, sql_values, table
-from webgauge.runtime import shared_folder
+from webgauge.runtime import scratch_path
 from webgauge.streaming.admission import stream_admissions
 
 # -- robots.txt made of nations, paths made of parts ------------------------------------------------------------------------
@@ -33,7 +31,7 @@ def robots_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paths_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("origin"))
-    p = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey % 25 as int)").alias("k"), F.concat(F.lit("/p"), F.expr("p_partkey % 400").cast("string")).alias("path"))
+    p = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey % 25 as int)").alias("k"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("path"))
     return p.join(F.broadcast(n), "k").select("origin", "path").distinct()
 
 
@@ -46,7 +44,7 @@ VERDICT = r"""ag AS (SELECT rq.origin, rq.path, rq.agent, ru.grp, ru.value AS na
         WHERE ru.value = '*' OR (ru.value <> '' AND (starts_with(lower(rq.agent), ru.value) OR starts_with(ru.value, lower(rq.agent))))),
     pt AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN ends_with(value, '$') THEN left(value, length(value) - 1) ELSE value END, '([\\.+?^$(){}\[\]|])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END AS pattern FROM ru WHERE kind IN ('allow', 'disallow') AND value <> '' AND grp > 0),
     hit AS (SELECT ag.origin, ag.path, ag.agent, pt.kind, pt.value AS rule, row_number() OVER (PARTITION BY ag.origin, ag.path, ag.agent ORDER BY length(replace(pt.value, '*', '')) DESC, pt.kind = 'disallow', pt.pos) AS r FROM ag JOIN pt ON pt.origin = ag.origin AND pt.grp = ag.grp AND regexp_matches(ag.path, pt.pattern) WHERE ag.r = 1)"""
-PATHS = "pa AS (SELECT DISTINCT n_name AS origin, '/p' || (p_partkey % 400) AS path FROM part JOIN nation ON n_nationkey = p_partkey % 25)"
+PATHS = "pa AS (SELECT DISTINCT n_name AS origin, '/p' || p_partkey AS path FROM part JOIN nation ON n_nationkey = p_partkey % 25)"
 
 
 @query(f"WITH {RULES} SELECT origin, grp, kind, value, pos FROM ru WHERE grp > 0")
@@ -81,37 +79,6 @@ def robots_crawler_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_search_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.search_blocked(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_parts(spark, sf_dir))
 
-
-# -- the same for the path of every part --
-
-
-def paths_of_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("origin"))
-    p = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey % 25 as int)").alias("k"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("path"))
-    return p.join(F.broadcast(n), "k").select("origin", "path").distinct()
-
-
-def _of_all_parts(name: str) -> str:
-    return ORACLE[name].replace(PATHS, PATHS.replace("(p_partkey % 400)", "p_partkey"))
-
-
-@query(_of_all_parts("robots_crawler_access"))
-def robots_crawler_access_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = robots.crawler_access(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_all_parts(spark, sf_dir))
-    return a.select("origin", "path", "agent", "role", "allowed", "rule", "specific")
-
-
-@query(_of_all_parts("robots_crawler_grid"))
-def robots_crawler_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = views.crawler_grid(robots_crawler_access_all(spark, sf_dir))
-    return grid.select("origin", "path", "role", F.array_join("allowed", " ").alias("allowed"), F.array_join("blocked", " ").alias("blocked"))
-
-
-@query(_of_all_parts("robots_search_blocked"))
-def robots_search_blocked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.search_blocked(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_all_parts(spark, sf_dir))
-
-
 # -- addresses --------------------------------------------------------------------------------------------------------------
 
 OCTETS = ["event_id * 7 % 256", "(event_id * 13 + user_id) % 256", "event_id % 120", "event_id % 300"]
@@ -212,7 +179,7 @@ def admission_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the events file, its keyed state carried through the batches."""
     source = table(spark, sf_dir, "events")
-    folder = f"{shared_folder(spark)}/admissions-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "admissions")
     source.select(F.col("user_id").alias("key"), "event_id", "ts").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("key long, event_id long, ts timestamp").parquet(f"{folder}/in")
     out = stream_admissions(stream, 2, 86400 * 3)

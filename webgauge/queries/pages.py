@@ -190,32 +190,12 @@ def page_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- sources ------------------------------------------------------------------------------------------------------------
 
-XML = "'<urlset><url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url><url><loc>https://example.org/' || page_id || '?a=1&amp;b=2</loc></url></urlset>'"
-
-
-@query(
-    r"""WITH f AS (SELECT page_id % 5 AS child, string_agg('<url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url>', '' ORDER BY page_id) AS xml FROM pages WHERE page_id < 400 GROUP BY 1),
-    l AS (SELECT child, unnest(regexp_extract_all(xml, '<loc>\s*(.*?)\s*</loc>', 1)) AS loc, generate_subscripts(regexp_extract_all(xml, '<loc>\s*(.*?)\s*</loc>', 1), 1) AS i FROM f)
-    SELECT 'https://example.org' AS origin, row_number() OVER (ORDER BY child, i) - 1 AS pos, replace(loc, '&amp;', '&') AS url FROM l QUALIFY pos < 300"""
-)
-def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of five sitemaps made of page URLs: its first 300 locations."""
-    p = table(spark, sf_dir, "pages").where("page_id < 400")
-    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    lists = p.groupBy((F.col("page_id") % 5).alias("child")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("x")))), lambda s: s["x"]), "").alias("x"))
-    files = lists.select(F.concat(F.lit("https://example.org/s"), F.col("child").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://example.org/s{i}.xml</loc></sitemap>" for i in range(MAX_CHILD_SITEMAPS)) + "</sitemapindex>"
-    root = spark.createDataFrame([("https://example.org/sitemap.xml", index)], "url string, xml string")
-    roots = spark.createDataFrame([("https://example.org", "https://example.org/sitemap.xml")], "origin string, url string")
-    return captures.sitemap_urls(roots, files.unionByName(root), 300).withColumn("pos", long("pos"))
-
-
 @query(
     f"""WITH {U}, f AS (SELECT scheme || '://' || host AS origin, page_id % {MAX_CHILD_SITEMAPS} AS child, string_agg('<url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url>', '' ORDER BY page_id) AS xml FROM u GROUP BY 1, 2),
     l AS (SELECT origin, child, unnest(regexp_extract_all(xml, '<loc>\\s*(.*?)\\s*</loc>', 1)) AS loc, generate_subscripts(regexp_extract_all(xml, '<loc>\\s*(.*?)\\s*</loc>', 1), 1) AS i FROM f)
     SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY child, i) - 1 AS pos, replace(loc, '&amp;', '&') AS url FROM l QUALIFY pos < {MAX_SITEMAP_URLS}"""
 )
-def sitemap_scan_of_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of sitemaps for each origin, of all its pages; an origin gives as many as the reference reads of one."""
     p = table(spark, sf_dir, "pages").withColumn("origin", urls.origin(F.col("url")))
     entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
@@ -280,7 +260,7 @@ def _holds(test: str, otherwise: str = "warn") -> str:
 
 @query(
     f"""WITH {U}, t AS (SELECT page_id, {PLAIN_TITLE} AS title, list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda h: length({_plain("h")})) AS h1, contains(lower(html), '<!doctype html>') AS html5 FROM pages),
-    w AS (SELECT * FROM {sql_values([(c, w) for w, chars in ARIAL_WIDTHS.items() for c in chars])} AS w(ch, units)),
+    w AS (SELECT * FROM {sql_values(list(ARIAL_WIDTHS.items()))} AS w(ch, units)),
     px AS (SELECT page_id, floor(sum(coalesce(units, {FALLBACK_WIDTH})) / CAST(1000 AS DOUBLE) * 20 + 0.5) AS px FROM (SELECT page_id, unnest(string_split(title, '')) AS ch FROM t WHERE title <> '') LEFT JOIN w USING (ch) GROUP BY page_id),
     a AS (SELECT k.*, t.*, px, list_filter({sql_tokens("title")}, lambda x: x NOT IN {sql_list(STOP_WORDS)}) AS terms FROM k JOIN t USING (page_id) LEFT JOIN px USING (page_id)),
     f AS (

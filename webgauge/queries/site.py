@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.constants import CATEGORIES
+from webgauge.constants import CATEGORIES, MAX_DEPTH, MAX_PAGES
 from webgauge.operators import frontier, site
 from webgauge.plans import views
 from webgauge.queries.registry import ORACLE, long, query, sql_values, table
@@ -33,14 +33,17 @@ P = """p AS (SELECT p_brand AS site_key, '/p' || p_partkey AS url, CASE WHEN p_p
 
 
 def links_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link for each line item, within the part's brand: from the part to another of the same brand's numbers."""
+    """A link for each line item, within the part's brand: from its part to any number of the parts' whole key range."""
     part = table(spark, sf_dir, "part")
     pages = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("site_key"))
-    i = table(spark, sf_dir, "lineitem").join(pages, "l_partkey")
-    return i.select("site_key", F.concat(F.lit("/p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("/p"), F.expr("l_suppkey * 11 % 300").cast("string")).alias("dst"))
+    i = table(spark, sf_dir, "lineitem").join(pages, "l_partkey").crossJoin(part.agg(F.max("p_partkey").alias("keys")))  # one row
+    return i.select(
+        "site_key", F.concat(F.lit("/p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("/p"), F.expr("(l_orderkey * 7 + l_suppkey * 11) % keys + 1").cast("string")).alias("dst"),
+        F.expr("l_orderkey * 8 + l_linenumber").alias("pos"),
+    )
 
 
-L = "l AS (SELECT p_brand AS site_key, '/p' || l_partkey AS src, '/p' || (l_suppkey * 11 % 300) AS dst FROM lineitem JOIN part ON p_partkey = l_partkey)"
+L = "l AS (SELECT p_brand AS site_key, '/p' || l_partkey AS src, '/p' || ((l_orderkey * 7 + l_suppkey * 11) % (SELECT max(p_partkey) FROM part) + 1) AS dst, l_orderkey * 8 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 @query(
@@ -83,7 +86,7 @@ def site_inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {P}, {L}, d AS (SELECT DISTINCT * FROM l), r AS (SELECT site_key, dst, src, row_number() OVER (PARTITION BY site_key, dst ORDER BY src) AS n FROM d),
+    f"""WITH {P}, {L}, d AS (SELECT DISTINCT site_key, src, dst FROM l), r AS (SELECT site_key, dst, src, row_number() OVER (PARTITION BY site_key, dst ORDER BY src) AS n FROM d),
     s AS (SELECT site_key, dst AS url, string_agg(src, ' ' ORDER BY src) AS linked_from FROM r WHERE n <= 5 GROUP BY 1, 2)
     SELECT site_key, url, CAST(status AS BIGINT) AS status, coalesce(linked_from, '') AS linked_from FROM p LEFT JOIN s USING (site_key, url) WHERE status >= 400"""
 )
@@ -92,9 +95,10 @@ def site_broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("site_key", "url", long("status").alias("status"), F.array_join("linked_from", " ").alias("linked_from"))
 
 
-@query(f"WITH {P}, {L}, m AS (SELECT DISTINCT site_key, '/p' || (p_partkey % 500) AS url FROM p) SELECT site_key, url FROM m WHERE (site_key, url) NOT IN (SELECT site_key, dst FROM l) AND (site_key, url) IN (SELECT site_key, url FROM p)")
+@query(f"WITH {P}, {L} SELECT site_key, url FROM p WHERE (site_key, url) NOT IN (SELECT site_key, dst FROM l)")
 def site_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sitemap = table(spark, sf_dir, "part").select(F.col("p_brand").alias("site_key"), F.concat(F.lit("/p"), F.expr("p_partkey % 500").cast("string")).alias("url"))
+    """A sitemap of every part."""
+    sitemap = table(spark, sf_dir, "part").select(F.col("p_brand").alias("site_key"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("url"))
     return site.orphans(pages_of_parts(spark, sf_dir), links_of_lineitem(spark, sf_dir), sitemap)
 
 
@@ -143,59 +147,21 @@ def site_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.by_url(pages_of_parts(spark, sf_dir)).select("site_key", "url", long("place").alias("place"))
 
 
-@query()
-def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frontier under its budget of 25 pages; the claim order is sequential, so tests hold it against a queue."""
-    links = links_of_lineitem(spark, sf_dir)
-    seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
-    return frontier.crawl_frontier(seeds, links)
-
-
-# -- the same over links to every part, and a sitemap of all ------------------------------------------------------------
-
-
-def links_over_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link for each line item, from its part to any number of the parts' whole key range."""
-    part = table(spark, sf_dir, "part")
-    pages = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("site_key"))
-    i = table(spark, sf_dir, "lineitem").join(pages, "l_partkey").crossJoin(part.agg(F.max("p_partkey").alias("keys")))
-    return i.select("site_key", F.concat(F.lit("/p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("/p"), F.expr("(l_orderkey * 7 + l_suppkey * 11) % keys + 1").cast("string")).alias("dst"))
-
-
-LINKS_OVER_PARTS = "l AS (SELECT p_brand AS site_key, '/p' || l_partkey AS src, '/p' || ((l_orderkey * 7 + l_suppkey * 11) % (SELECT max(p_partkey) FROM part) + 1) AS dst FROM lineitem JOIN part ON p_partkey = l_partkey)"
-
-
-def _over_parts(name: str) -> str:
-    return ORACLE[name].replace(L, LINKS_OVER_PARTS)
+def _levels(depth: int, budget: int) -> str:
+    """The frontier's levels as SQL: a page's place follows from the first page that links to it and the link's place."""
+    out = ["c0 AS (SELECT site_key, min(src) AS url, 0 AS depth, CAST(1 AS BIGINT) AS place FROM l GROUP BY 1)", "s0 AS (SELECT * FROM c0)"]
+    for d in range(1, depth + 1):
+        out.append(
+            f"""n{d} AS (SELECT e.site_key, e.dst AS url, min((c.place, e.pos)) AS by FROM c{d - 1} c JOIN e ON e.site_key = c.site_key AND e.src = c.url WHERE (e.site_key, e.dst) NOT IN (SELECT site_key, url FROM s{d - 1}) GROUP BY 1, 2),
+    c{d} AS (SELECT n.site_key, n.url, {d} AS depth, u.used + row_number() OVER (PARTITION BY n.site_key ORDER BY n.by, n.url) AS place FROM n{d} n JOIN (SELECT site_key, count(*) AS used FROM s{d - 1} GROUP BY 1) u USING (site_key) QUALIFY place <= {budget}),
+    s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM c{d})"""
+        )
+    return ", ".join(out)
 
 
-@query(_over_parts("site_inbound_links"))
-def site_inbound_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.inbound_links(links_over_parts(spark, sf_dir))
-
-
-@query(_over_parts("site_broken_pages"))
-def site_broken_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = site.broken_pages(pages_of_parts(spark, sf_dir), links_over_parts(spark, sf_dir))
-    return b.select("site_key", "url", long("status").alias("status"), F.array_join("linked_from", " ").alias("linked_from"))
-
-
-@query(f"WITH {P}, {LINKS_OVER_PARTS} SELECT site_key, url FROM p WHERE (site_key, url) NOT IN (SELECT site_key, dst FROM l)")
-def site_orphans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sitemap = table(spark, sf_dir, "part").select(F.col("p_brand").alias("site_key"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("url"))
-    return site.orphans(pages_of_parts(spark, sf_dir), links_over_parts(spark, sf_dir), sitemap)
-
-
-@query(_over_parts("crawl_depths"))
-def crawl_depths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = links_over_parts(spark, sf_dir)
-    seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
-    return frontier.crawl_frontier(seeds, links, 4, 1 << 40).select("site_key", "url", long("depth").alias("depth"))
-
-
-@query()
-def crawl_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under the frontier's budget; its claim order is sequential, so tests hold it against a queue."""
-    links = links_over_parts(spark, sf_dir)
+@query(f"WITH {L}, e AS (SELECT site_key, src, dst, min(pos) AS pos FROM l WHERE src <> dst GROUP BY 1, 2, 3), {_levels(MAX_DEPTH, MAX_PAGES)} SELECT site_key, url, CAST(depth AS BIGINT) AS depth, place, CASE WHEN depth = 0 THEN 'seed' ELSE 'link' END AS source FROM s{MAX_DEPTH}")
+def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier under its budgets; tests hold it against a queue."""
+    links = links_of_lineitem(spark, sf_dir)
     seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
-    return frontier.crawl_frontier(seeds, links)
+    return frontier.crawl_frontier(seeds, links).withColumn("depth", long("depth"))

@@ -56,19 +56,17 @@ def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("l.code").alias("code"), six(F.col("l.confidence")).alias("confidence"))
 
 
-WIDTHS = sql_values([(c, w) for w, chars in ARIAL_WIDTHS.items() for c in chars])
-LINE = "split_part(coalesce(text, ''), chr(10), 1)"
+WIDTHS = sql_values(list(ARIAL_WIDTHS.items()))
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, unnest(string_split({LINE}, '')) AS ch FROM documents WHERE {LINE} <> ''),
+    f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''),
     w AS (SELECT * FROM {WIDTHS} AS w(ch, units)),
     s AS (SELECT doc_id, sum(coalesce(units, {FALLBACK_WIDTH})) AS units FROM c LEFT JOIN w USING (ch) GROUP BY doc_id)
     SELECT doc_id, CAST(floor(coalesce(units, 0) / CAST(1000 AS DOUBLE) * 20 + 0.5) AS BIGINT) AS title_px, CAST(floor(coalesce(units, 0) / CAST(1000 AS DOUBLE) * 14 + 0.5) AS BIGINT) AS description_px FROM documents LEFT JOIN s USING (doc_id)"""
 )
 def text_pixel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.split_part(_text(), F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", long(tx.pixel_width(line, 20)).alias("title_px"), long(tx.pixel_width(line, 14)).alias("description_px"))
+    return table(spark, sf_dir, "documents").select("doc_id", long(tx.pixel_width(_text(), 20)).alias("title_px"), long(tx.pixel_width(_text(), 14)).alias("description_px"))
 
 
 KEYS = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: regexp_replace(lower(p), '[^\p{L}\p{N} ]', '', 'g')), lambda k: k <> '')"

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _built: dict[tuple, object] = {}
+#: Tables written by ``materialize``, by their object's id.
+_written: dict[int, tuple] = {}
 
 
 def built_once(spark: SparkSession, name: str, build):
@@ -39,21 +42,54 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a local folder that is set for it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, as in tests, a local folder is made and set for it, but only on a local master: on a cluster the
+    executors couldn't see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="webgauge-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several branches of a plan read to the shared folder, and read it back."""
-    spark = df.sparkSession
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, p = _hadoop(spark, path)
+    files.deleteOnExit(p)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    files, p = _hadoop(spark, path)
+    files.delete(p, True)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back.
+
+    A lost executor then costs a reread of finished files, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` gave and that nothing reads any more."""
+    ref, path = _written.pop(id(df), (None, None))
+    if ref is not None and ref() is df:
+        remove_path(df.sparkSession, path)
