@@ -2,11 +2,13 @@
 
 Pieces are dealt to cells of bounded size and packed best-fit decreasing.  Dual feasible functions give a lower bound
 on each cell's sequences; a cell that meets its bound is certified.  Cells with a gap exchange the documents of their
-loose sequences (every cell gives its loosest one), which are dealt anew and packed again while that saves sequences.
+loose sequences (every cell gives its loosest one), which are dealt anew and packed again until the whole is certified
+or a round saves nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,6 @@ from .encode import encoder
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
 CELL_ROWS = 50_000
-MAX_ROUNDS = 6
 
 
 def dual_feasible_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -95,26 +96,41 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def _bound(pieces: DataFrame, capacity: int) -> int:
+    """The bound over all pieces; the driver gets their lengths' histogram, at most ``capacity`` rows."""
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
+        histogram[r["length"]] = r["n"]
+    return dual_feasible_bound(histogram, capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences of a packing, the least number that its pieces need): equal where it is certified as optimal."""
+    return packed.agg(F.count_if(F.col("offset") == 0)).first()[0], _bound(packed, capacity)
+
+
 def _pack_cells(pieces: DataFrame, cells: int, round_no: int, capacity: int) -> DataFrame:
-    """Deal ``pieces`` to cells and pack each; adds sequence_id, offset, fill, gap (sequences over the cell's bound), loosest."""
+    """Deal ``pieces`` to cells and pack each; adds sequence_id, offset, cell_bound, gap (sequences over it), fill, loosest."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["length"].to_numpy(np.int64)
         where, offset, bins = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(where, weights=sizes, minlength=bins).astype(np.int64)
-        gap = bins - dual_feasible_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+        bound = dual_feasible_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
         cell = int(pdf["cell"].iloc[0])
-        return pdf.drop(columns="cell").assign(sequence_id=(round_no << 56) + (cell << 20) + where, offset=offset, fill=fill[where], gap=gap, loosest=where == int(fill.argmin()))
+        return pdf.drop(columns="cell").assign(sequence_id=(round_no << 48) + (cell << 20) + where, offset=offset, cell_bound=bound, gap=bins - bound, fill=fill[where], loosest=where == int(fill.argmin()))
 
     # rows don't depend on each other's place: equal keys (repeated rows) only share a cell
     dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("key", F.lit(round_no)), F.lit(cells)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("cell").applyInPandas(pack, f"{fields}, sequence_id long, offset long, fill long, gap long, loosest boolean")
+    return dealt.groupBy("cell").applyInPandas(pack, f"{fields}, sequence_id long, offset long, cell_bound long, gap long, fill long, loosest boolean")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, cell_bound, gap): a row for each piece of each document.
 
+    cell_bound is the least number of sequences that the pieces packed together with this one need, gap how many more
+    they got when packed; ``certificate`` gives both for the whole.
     A null text counts as empty (one piece, the end id); null ids are kept; repeated rows are packed each; other
     columns aren't read; an empty table gives an empty result.
     """
@@ -123,17 +139,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     pieces = write_table(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")
     total = pieces.count()
     if not total:
-        return pieces.drop("key").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    histogram = np.zeros(capacity + 1, np.int64)
-    histogram[list(sizes)] = list(sizes.values())
-    bound = dual_feasible_bound(histogram, capacity)
+        return pieces.drop("key").withColumns({c: F.lit(0).cast("long") for c in ("sequence_id", "offset", "cell_bound", "gap")})
+    bound = _bound(pieces, capacity)
 
     columns = pieces.columns
     done: list[DataFrame] = []  # tables whose sequences stay
     todo, rows, before = pieces, total, None
     kept = 0
-    for round_no in range(MAX_ROUNDS):
+    for round_no in itertools.count():  # each round but the last has fewer sequences than the one before
         packed = write_table(_pack_cells(todo, max(1, -(-rows // cell_rows)), round_no, capacity), "packed")
         full = (F.col("gap") <= 0) | (F.col("fill") == capacity)
         give = ~full | F.col("loosest")
@@ -142,7 +155,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
         if before is not None and s["bins"] >= before[1]:
             done.append(before[0])  # the exchange saved nothing: what was exchanged stays as it was
             break
-        if kept + s["bins"] <= bound or s["loose"] <= 1 or round_no == MAX_ROUNDS - 1:
+        if kept + s["bins"] <= bound or s["loose"] <= 1:
             done.append(packed)
             break
         done.append(packed.where(~give))
@@ -152,4 +165,4 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "cell_bound", "gap")
