@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from webgauge.llm.components import connected_components
 from webgauge.llm.embedding_dedup import cells_of, near_duplicates
 from webgauge.llm.exact_dedup import exact_dedup
-from webgauge.llm.jaccard_join import jaccard_join, keep_one_of_each, least_matches, surviving, verify
+from webgauge.llm.jaccard_join import _block_tasks, jaccard_join, keep_one_of_each, least_matches, surviving, verify
 from webgauge.llm.line_dedup import dedup_lines, fingerprints, line_hashes
 
 
@@ -114,6 +114,57 @@ def test_pruning_keeps_similar_pairs():
     assert surviving(sig, i, i + 500, 0.8, 1e-6).all() and not surviving(sig, i, i + 1000, 0.8, 1e-6).any()
 
 
+def bucket_of(near, apart, seed=0):
+    """Signatures that share a band: near copies of one another, and others that share nothing else."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    sig = np.tile(base, (near + apart, 1))
+    change = rng.random(sig.shape) < 0.05
+    change[near:] = True
+    change[:, :4] = False
+    sig[change] = rng.integers(0, 2**32, int(change.sum()), dtype=np.uint32)
+    order = rng.permutation(len(sig))
+    return sig[order], np.argsort(order)[:near]
+
+
+@pytest.mark.parametrize("near, apart, block_rows", [(60, 40, 7), (0, 50, 8), (50, 0, 10), (97_000, 3_000, 2_000)])
+def test_one_bucket_of_many(spark, near, apart, block_rows):
+    sig, group = bucket_of(near, apart)
+    if apart == 40:  # two that only meet each other, in blocks of their own
+        rest = np.setdiff1d(np.arange(len(sig)), group)
+        sig[rest[-1]] = sig[rest[0]]
+        sig[rest[-1], 100] += 1
+    import pandas as pd
+
+    reps = spark.createDataFrame(pd.DataFrame({"rep": np.arange(len(sig)), "sig": [r.tobytes() for r in sig]}), "rep long, sig binary")
+    from webgauge.llm.jaccard_join import _candidate_edges
+
+    edges = [(r.a, r.b) for r in _candidate_edges(reps, 0.8, 1e-6, block_rows).collect()]
+    found = components(len(sig), edges)
+    assert len({found[i] for i in group}) == min(1, near)
+    assert len(set(found)) == min(1, near) + apart - (apart == 40)
+    assert len(edges) < 8 * len(sig)
+
+
+def test_blocks_compare_every_pair_once(spark):
+    rows = [(1, r, 0 if r < 25 else r) for r in range(60)] + [(2, r, r % 2) for r in range(100, 104)]
+    tasks = _block_tasks(spark.createDataFrame(rows, "band long, rep long, root long"), 10).collect()
+    by = {}
+    for t in tasks:
+        by.setdefault((t.band, t.task), []).append(t)
+    seen = {}
+    for (band, _), members in by.items():
+        assert len(members) < 45  # two blocks by hash
+        sides = {m.side for m in members}
+        for a in members:
+            for b in members:
+                if a.rep < b.rep and a.root != b.root and (len(sides) == 1 or a.side != b.side):
+                    seen[band, a.rep, b.rep] = seen.get((band, a.rep, b.rep), 0) + 1
+    root = {(b, r): x for b, r, x in rows}
+    want = {(b, r, q) for b, r, x in rows for c, q, y in rows if b == c and r < q and x != y}
+    assert set(seen) == want and root
+
+
 def test_verification_counts_exactly():
     rng = np.random.default_rng(2)
     base = np.arange(100, dtype=np.uint64)

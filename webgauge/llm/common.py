@@ -3,43 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgauge.runtime import discard, scratch_path
+from webgauge.runtime import materialize as write_table
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in tests, a local folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="webgauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back.
-
-    A lost executor then costs a reread of finished files, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "scratch_path", "write_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +46,22 @@ def chunks_by_size(texts: list[str], limit: int):
         yield lo, len(texts)
 
 
+#: At most so many keys are hot at once: each holds over a HOT_KEYS-th of all rows.
+HOT_KEYS, HOT_LEAST = 512, 1000
+
+
+def join_to_unique(big: DataFrame, unique: DataFrame, key: str, rows: int) -> DataFrame:
+    """``big`` joined with ``unique``, which has one row of each key and n, the key's number of rows in ``big``.
+
+    The rows of hot keys aren't sent to one task: what ``unique`` has for these, at most ``HOT_KEYS`` rows, is broadcast.
+    ``rows``: those of ``big`` in all, or more.
+    """
+    limit = max(HOT_LEAST, rows // HOT_KEYS)
+    hot = F.broadcast(unique.where(F.col("n") > limit))
+    cold = big.join(hot.select(key), key, "left_anti").join(unique.where(F.col("n") <= limit), key)
+    return cold.unionByName(big.join(hot, key))
+
+
 SLOTS = 1 << 20
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import discard, join_to_unique, write_table
 
 
 def _sum(edges: DataFrame):
@@ -14,13 +14,13 @@ def _sum(edges: DataFrame):
     return r["n"], r["s"]
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, rows: int) -> DataFrame:
     """edges (a, b), a > b.  Neighbours of each u are linked to the least of them and u; small: only lesser neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not small:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = join_to_unique(both, least, "u", 2 * rows)
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -34,8 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = write_table(edges, "edges")
     mark = _sum(edges)
     while mark[0]:
-        edges = write_table(_star(_star(edges, small=False), small=True), "edges")
+        last, edges = edges, write_table(_star(_star(edges, small=False, rows=mark[0]), small=True, rows=mark[0]), "edges")
         now = _sum(edges)
+        discard(last)
         if now == mark:
             break
         mark = now

@@ -4,6 +4,10 @@ Texts of equal word sequence form a class.  MinHash bands of the classes' shingl
 values are compared a few at a time, and a pair is dropped as soon as the posterior probability that its similarity
 reaches the threshold (uniform prior, binomial likelihood) falls below a tolerance.  What survives connects classes to
 cells; all pairs of a cell are then verified exactly by their shingles, whichever bucket they came from.
+
+A bucket's members are first compared with its least one, wherever they are, so that a large group of near copies is
+one set before anything is grouped.  Only buckets that still hold several sets have their other pairs compared, and a
+large one is dealt to blocks: a task compares two blocks, and two blocks of one and the same set are never compared.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_slots_of, split_by_slots, text_or_empty, write_table
+from .common import discard, join_to_unique, only_slots_of, split_by_slots, text_or_empty, write_table
 from .components import connected_components, union_pairs
 from .shingles import shingle_batches, shingle_sets
 
@@ -26,6 +30,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 STEP, TOLERANCE = 16, 1e-6
 CELL_ROWS = 1500
+#: Members of a bucket that one task compares with as many others at most.
+BLOCK_ROWS = 2000
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +88,21 @@ def surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, t
     return out
 
 
-def connect_bucket(sig: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
-    """Least member of each row's set after pruning; pairs already in one set aren't compared."""
-    root = np.arange(len(sig))
-    for i in range(len(sig) - 1):
-        j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+def connect_bucket(sig: np.ndarray, known: np.ndarray, side: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """Least row of each row's set after pruning; pairs already in one set aren't compared.
+
+    known: numbers of sets that rows are in; side: False and True in a task of two blocks, whose rows are compared
+    across only; else all False.
+    """
+    _, first, back = np.unique(known, return_index=True, return_inverse=True)
+    root = first[back]
+    both = bool(side.any())
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    if len(left) > len(right) and both:
+        left, right = right, left
+    for i in left.tolist():
+        j = right if both else np.arange(i + 1, len(sig))
+        j = j[root[j] != root[i]]
         if len(j):
             j = j[surviving(sig, np.full(len(j), i), j, threshold, tolerance)]
             union_pairs(root, np.full(len(j), i), j)
@@ -162,8 +178,8 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, text_hash long, digest string, some boolean, sig binary")
 
 
-def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (a, b) between classes of a bucket that survive the pruning: a star for each connected set."""
+def _bands(reps: DataFrame) -> DataFrame:
+    """(rep, band) of every band of every class."""
 
     def bands(batches):
         for b in batches:
@@ -175,46 +191,94 @@ def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> Dat
             flat = pa.array(key.view(np.int64).reshape(-1))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), flat], names=["rep", "band"])
 
-    banded = reps.select("rep", "sig").mapInArrow(bands, "rep long, band long")
-    banded = write_table(banded, "bands")
-    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.sum("rep").alias("total")).where("n > 1")
+    return reps.select("rep", "sig").mapInArrow(bands, "rep long, band long")
+
+
+def _star_edges(pairs: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """The pairs (rep, low) that survive the pruning, as edges (a, b); few values of low may have most rows."""
+
+    def compare(batches):
+        for b in batches:
+            if b.num_rows:
+                sig = np.array([np.frombuffer(x, np.uint32) for k in (2, 3) for x in b.column(k).to_pylist()])
+                n = b.num_rows
+                ok = pa.array(surviving(sig, np.arange(n), np.arange(n) + n, threshold, tolerance))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    sigs = reps.select("rep", "sig")
+    lows = pairs.groupBy("low").agg(F.count("*").alias("n")).join(sigs.select(F.col("rep").alias("low"), F.col("sig").alias("low_sig")), "low")
+    both = join_to_unique(pairs.join(sigs, "rep"), lows, "low", pairs.count())
+    return both.select("rep", "low", "sig", "low_sig").mapInArrow(compare, "a long, b long")
+
+
+def _block_tasks(members: DataFrame, block_rows: int) -> DataFrame:
+    """(task, side, ...) of bucket members (band, rep, root): a row for each task that a member is part of.
+
+    A bucket of up to ``block_rows`` members is one task.  In a larger one, sets of over ``block_rows`` members get
+    blocks of their own, all others share blocks, and each two blocks that aren't of one set are a task.
+    """
+    sets = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    sets = sets.withColumn("owner", F.when(F.col("n") > block_rows, F.col("root")).otherwise(F.lit(-1)))  # classes are numbered from 0
+    blocks = sets.groupBy("band", "owner").agg(F.sum("n").alias("rows")).withColumn("k", F.ceil(F.col("rows") / block_rows).cast("int"))
+    own = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.col("owner").alias("owner"), i.alias("i")))
+    lists = blocks.groupBy("band").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("blocks"), F.collect_set(F.when(F.col("owner") >= 0, F.col("owner"))).alias("owners"), F.max(F.when(F.col("owner") < 0, F.col("k"))).alias("shared"), F.sum("rows").alias("n"))
+    dealt = join_to_unique(members, lists, "band", members.count())
+    owner = F.when(F.array_contains("owners", F.col("root")), F.col("root")).otherwise(F.lit(-1))
+    count = F.when(F.col("owner") < 0, F.col("shared")).otherwise(F.size(F.filter("blocks", lambda b: b["owner"] == F.col("owner"))))
+    dealt = dealt.withColumn("owner", owner).withColumn("block", F.struct("owner", F.pmod(F.xxhash64("rep"), count).cast("int").alias("i")))
+    others = F.filter("blocks", lambda b: (b["owner"] < 0) | (b["owner"] != F.col("owner")))
+    dealt = dealt.select("band", "rep", "root", "block", F.explode(others).alias("other"))
+    return dealt.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "band", (F.col("block") > F.col("other")).alias("side"), "rep", "root")
+
+
+def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) between classes that connect what survives the pruning in some bucket."""
+    banded = write_table(_bands(reps), "bands")
+    h = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
+    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), h(1).alias("x"), h(2).alias("y")).where("n > 1")
     # buckets with the same members hold the same pairs: one of them is enough
-    full = full.groupBy("n", "low", "high", "total", F.when(F.col("n") > 2, F.lit(None)).otherwise(F.lit(0)).alias("same"), F.when(F.col("n") > 2, F.col("band")).alias("other")).agg(F.min("band").alias("band"), F.first("n").alias("m"))
-    members = banded.join(full.select("band", "m"), "band").select("band", "m", "rep")
-    members = members.join(reps.select("rep", "sig"), "rep")
+    buckets = write_table(full.groupBy("n", "low", "x", "y").agg(F.min("band").alias("band")).select("band", "n", "low"), "buckets")
+    members = write_table(join_to_unique(banded, buckets, "band", BANDS * reps.count()).select("band", "n", "low", "rep"), "members")
+    discard(banded)
+    pairs = write_table(members.where("rep <> low").select("rep", "low").distinct(), "pairs")
+    star = write_table(_star_edges(pairs, reps, threshold, tolerance), "star")
+    sets = connected_components(star).select(F.col("id").alias("rep"), F.col("component").alias("root"))
+
+    rooted = members.where("n > 2").join(sets, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    rooted = write_table(rooted, "rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most").select("band", "n")
+    tasks = _block_tasks(write_table(join_to_unique(rooted, mixed, "band", members.count()).select("band", "rep", "root"), "mixed"), block_rows)
+    tasks = tasks.join(reps.select("rep", "sig"), "rep")
 
     def connect(batches):
-        held = []
-
         def solve(pdf):
             sig = np.array([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
-            rep, band = pdf["rep"].to_numpy(), pdf["band"].to_numpy()
-            at = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            ok = surviving(sig, two, two + 1, threshold, tolerance)
-            a, b = [rep[two[ok]]], [rep[two[ok] + 1]]
-            for lo, n in zip(at[:-1][size > 2], size[size > 2]):
-                root = connect_bucket(sig[lo : lo + n], threshold, tolerance)
-                moved = np.flatnonzero(root != np.arange(n))
+            rep, task = pdf["rep"].to_numpy(), pdf["task"].to_numpy()
+            known, side = pdf["root"].to_numpy(), pdf["side"].to_numpy(bool)
+            at = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+            a, b = [rep[:0]], [rep[:0]]
+            for lo, hi in zip(at[:-1], at[1:]):
+                root = connect_bucket(sig[lo:hi], known[lo:hi], side[lo:hi], threshold, tolerance)
+                moved = np.flatnonzero(root != np.arange(hi - lo))
                 a.append(rep[lo + moved])
                 b.append(rep[lo + root[moved]])
             return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-        for pdf in batches:  # sorted by band: the last bucket may go on in the next batch
+        held = []  # of the last task, which may go on in the next batch; a task has two blocks at most
+        for pdf in batches:
             if len(pdf):
-                pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf
-                last = pdf["band"].iloc[-1]
-                if pdf["band"].iloc[0] == last:
-                    held = [pdf]
+                last = pdf["task"].iloc[-1]
+                cut = int((pdf["task"] == last).to_numpy().argmax())
+                if cut == 0 and held and held[0]["task"].iloc[-1] == last:
+                    held.append(pdf)
                     continue
-                cut = int((pdf["band"] == last).to_numpy().argmax())
+                yield solve(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
                 held = [pdf.iloc[cut:]]
-                yield solve(pdf.iloc[:cut])
         if held:
-            yield solve(held[0])
+            yield solve(pd.concat(held, ignore_index=True))
 
-    return members.repartition("band").sortWithinPartitions("band").select("band", "rep", "sig").mapInPandas(connect, "a long, b long").distinct()
+    found = tasks.repartition("task").sortWithinPartitions("task").select("task", "side", "rep", "root", "sig").mapInPandas(connect, "a long, b long")
+    return star.unionByName(found).distinct()
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -238,7 +302,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = only_slots_of(texts, "text_hash", active, "text_hash")
     keyed = active.join(texts, (active["doc_id"].eqNullSafe(texts["doc_id"])) & (active["text_hash"] == texts["text_hash"])).select("rep", "cell", "n", "weight", "text")
-    keyed = write_table(keyed.dropDuplicates(["rep"]), "cell_texts")
+    keyed = cell_texts = write_table(keyed.dropDuplicates(["rep"]), "cell_texts")
 
     small = max(1, math.ceil(active.count() / cell_rows))
     # small cells share a task; a large one is dealt to blocks, and each pair of blocks is a task of bounded size
@@ -266,6 +330,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
     joined = keyed.select("task", "cell", "rep", "block", "weight", "text").groupBy("task").applyInPandas(check, "rep long, links long, root long")
     joined = write_table(joined, "joined")
+    discard(cell_texts)
     sets = connected_components(joined.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     known = slim.select("rep", "digest", "least", "weight").join(counts, "rep", "left").join(sets.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
