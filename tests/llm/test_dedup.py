@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webgauge.llm.components import connected_components
-from webgauge.llm.embedding_dedup import cells_of, near_duplicates
+from webgauge.llm.embedding_dedup import cells_of, join_label, near_duplicates
 from webgauge.llm.exact_dedup import exact_dedup
 from webgauge.llm.jaccard_join import _block_tasks, jaccard_join, keep_one_of_each, least_matches, surviving, verify
 from webgauge.llm.line_dedup import dedup_lines, fingerprints, line_hashes
@@ -217,10 +217,35 @@ def test_replication_covers_every_link():
     y = x + rng.normal(size=x.shape) * 0.05
     y /= np.linalg.norm(y, axis=1)[:, None]
     all_ = np.concatenate([x, y])
-    home, to = cells_of(all_, x[:9], np.sqrt(2 - 2 * 0.98))
+    home, who, where = cells_of(all_, x[:9], np.sqrt(2 - 2 * 0.98))
+    to = set(zip(who.tolist(), where.tolist()))
     hit = all_ @ all_.T >= 0.98
     for i, j in zip(*np.nonzero(hit)):
-        assert home[i] == home[j] or to[i][home[j]] and to[j][home[i]]
+        assert home[i] == home[j] or (i, home[j]) in to and (j, home[i]) in to
+    links, root = join_label(all_, np.ones(600, np.int64), 0.98)
+    assert links.tolist() == (hit.sum(axis=1) - 1).tolist()
+    assert root.tolist() == components(600, [(i, j) for i, j in zip(*np.nonzero(hit)) if i < j])
+    assert len(who) < 0.5 * 9 * 600  # cells are smaller than the whole
+
+
+def test_one_label_of_100_000_vectors(spark):
+    """A label of any size has its own pivots, and no task gets all of it."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    n = 50_000
+    x = rng.normal(size=(n, 8))
+    y = x + rng.normal(size=x.shape) * 0.002  # each has one near copy
+    frame = pd.DataFrame({"vec_id": np.arange(2 * n), "embedding": np.concatenate([x, y]).tolist(), "label": 1})
+    got = near_duplicates(spark.createDataFrame(frame, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id").sort_index()
+    units = np.concatenate([x, y])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    for lo in range(0, 2 * n, 10_000):  # whole links of every 10,000th block's first 50
+        rows = slice(lo, lo + 50)
+        hit = units[rows] @ units.T >= 0.98
+        assert got.n_links.to_numpy()[rows].tolist() == (hit.sum(axis=1) - 1).tolist()
+        for k, i in enumerate(range(lo, lo + 50)):
+            assert set(got.component_id.to_numpy()[hit[k]]) == {got.component_id.to_numpy()[i]}
 
 
 def text_of(result):

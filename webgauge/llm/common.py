@@ -46,6 +46,33 @@ def chunks_by_size(texts: list[str], limit: int):
         yield lo, len(texts)
 
 
+def whole_groups(batches, key: str):
+    """Batches sorted by ``key`` again, cut only between groups.  Each group has to fit in memory."""
+    import pandas as pd
+
+    held = []  # of the last group, which may go on in the next batch
+    for pdf in batches:
+        if len(pdf):
+            last = pdf[key].iloc[-1]
+            cut = int((pdf[key] == last).to_numpy().argmax())
+            if cut == 0 and held and held[0][key].iloc[-1] == last:
+                held.append(pdf)
+                continue
+            if held or cut:
+                yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(keys):
+    """(lo, hi) of each run of equal keys in an array."""
+    import numpy as np
+
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+    return zip(at[:-1], at[1:])
+
+
 #: At most so many keys are hot at once: each holds over a HOT_KEYS-th of all rows.
 HOT_KEYS, HOT_LEAST = 512, 1000
 

@@ -1,9 +1,13 @@
 """Embedding near-duplicates as an exact metric range join.
 
-Unit vectors are points on the sphere; cosine >= t is chord distance <= r = sqrt(2 - 2t).  Pivots split a large label's
-vectors into cells by nearest pivot.  A vector is replicated to every other cell whose members can lie within r of it:
-by the triangle inequality only where d(x, q) - d(x, home) <= 2r, and of these only where the plane halfway between
-the two pivots is no farther than r.  Each cell then joins alone: its home vectors against home and replicas, in blocks.
+Unit vectors are points on the sphere; cosine >= t is chord distance <= r = sqrt(2 - 2t).  Pivots, as many as the square
+root of a label's vectors, split them into cells by nearest pivot.  A vector is replicated to every other cell whose
+members can lie within r of it: by the triangle inequality only where d(x, q) - d(x, home) <= 2r, and of these only where
+the plane halfway between the two pivots is no farther than r.  Each cell then joins alone: its home vectors against home
+and replicas.
+
+A label of up to CELL_ROWS vectors has its cells made and joined within one task.  Of a larger one pivots are a table,
+vectors are dealt to chunks that meet them, and cells are joined as tasks, large ones in blocks.
 """
 
 from __future__ import annotations
@@ -12,16 +16,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import discard, group_bounds, join_to_unique, whole_groups, write_table
 from .components import connected_components, union_pairs
 
 THRESHOLD = 0.98
 CELL_ROWS = 2000
-#: Bounds what is broadcast: at most so many pivots in all, for the labels with most vectors.
-MAX_PIVOTS, PIVOTS_A_LABEL = 1024, 64
+#: Vectors that one task compares with all pivots of their label, some at a time.
+CHUNK_ROWS, AT_ONCE = 20_000, 256
 #: A float computed from r may be off by rounding; cells take a little more than the bound.
 SLACK = 1e-6
 
@@ -47,53 +51,31 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     units = source.mapInPandas(run, "vec_id long, label string, unit binary")
     usable = F.col("label").isNotNull() & F.col("unit").isNotNull()
-    return units.withColumn("key", F.when(usable, F.sha2("unit", 256))).withColumn("unit", F.when(usable, F.col("unit")))
-
-
-def choose_pivots(reps: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots by (label, bytes of a vector), farthest first from a bounded sample; none where one cell is enough."""
-    size = F.octet_length("unit")
-    large = reps.groupBy("label", size.alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).orderBy(F.desc("n"), "label", "size").limit(max_pivots // 2).collect()
-    wanted, left = {}, max_pivots
-    for r in large:
-        k = min(PIVOTS_A_LABEL, -(-r["n"] // cell_rows), left)
-        if k < 2:
-            break
-        wanted[r["label"], r["size"]] = (k, r["n"])
-        left -= k
-    if not wanted:
-        return {}
-    spark = reps.sparkSession
-    share = spark.createDataFrame([(label, size, min(1.0, 4.0 * k / n)) for (label, size), (k, n) in wanted.items()], "label string, size int, share double")
-    chance = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    sample = reps.withColumn("size", size).join(F.broadcast(share), ["label", "size"]).where(chance < F.col("share")).select("label", "size", "rep", "unit").orderBy("rep").limit(8 * max_pivots).collect()
-    pivots = {}
-    for key, (k, _) in wanted.items():
-        own = np.array([np.frombuffer(r["unit"]) for r in sample if (r["label"], r["size"]) == key])
-        if len(own) < 2:
-            continue
-        chosen = [0]
-        near = own @ own[0]
-        while len(chosen) < min(k, len(own)) and near.min() < 1 - 1e-9:
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, own @ own[chosen[-1]])
-        if len(chosen) > 1:
-            pivots[key] = own[chosen]
-    return pivots
-
-
-def cells_of(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell of each vector, boolean matrix of the cells that it must be replicated to)."""
-    dots = units @ pivots.T
-    home = dots.argmax(axis=1)
-    distance = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
-    rows = np.arange(len(units))
-    triangle = distance - distance[rows, home][:, None] <= 2 * radius + SLACK
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots @ pivots.T)))[home]
-    plane = (dots[rows, home][:, None] - dots) <= (radius + SLACK) * np.maximum(apart, 1e-12)
-    to = triangle & plane
-    to[rows, home] = False
-    return home, to
+    return units.withColumn("key", F.when(usable, F.sha2(F.concat(F.sha2("unit", 256), F.col("label")).cast("binary"), 256))).withColumn("unit", F.when(usable, F.col("unit")))
+
+
+def pivot_count(rows: int) -> int:
+    """As many pivots as a cell then has vectors on average."""
+    return max(1, math.ceil(math.sqrt(rows)))
+
+
+def cells_of(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home cell of each vector; vector and cell of each replica)."""
+    homes, who, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(units), AT_ONCE):
+        dots = units[lo : lo + AT_ONCE] @ pivots.T
+        home = dots.argmax(axis=1)
+        distance = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
+        rows = np.arange(len(dots))
+        to = distance - distance[rows, home][:, None] <= 2 * radius + SLACK
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots[home] @ pivots.T)))
+        to &= (dots[rows, home][:, None] - dots) <= (radius + SLACK) * np.maximum(apart, 1e-12)
+        to[rows, home] = False
+        i, j = np.nonzero(to)
+        homes.append(home)
+        who.append(i + lo)
+        where.append(j)
+    return np.concatenate(homes), np.concatenate(who), np.concatenate(where)
 
 
 def link_cell(units: np.ndarray, home: np.ndarray, member: np.ndarray, weight: np.ndarray, threshold: float, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -112,65 +94,135 @@ def link_cell(units: np.ndarray, home: np.ndarray, member: np.ndarray, weight: n
     return links[index], root
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
-
-    Rows link when labels are equal and cosine >= threshold in double precision.  Null labels, and vectors that are
-    null, empty, zero or hold null or non-finite components link with nothing; so do vectors of different length.
-    Repeated rows link with each other.  A null vec_id gives null component_id and kept false.  Other columns aren't
-    read; an empty table gives an empty result.
-    """
-    radius = math.sqrt(2 - 2 * threshold)
-    rows = write_table(unit_vectors(vectors), "units")
-    reps = rows.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.max("unit").alias("unit"))
-    reps = write_table(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    pivots = choose_pivots(reps, cell_rows)
+def join_label(units: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of the members linked to each vector, least linked vector of each set) of one label's distinct vectors."""
+    n = len(units)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    pivots = units[np.unique(np.linspace(0, n - 1, pivot_count(n)).astype(np.int64))]
+    home, who, where = cells_of(units, pivots, math.sqrt(2 - 2 * threshold))
+    index, cell = np.concatenate([np.arange(n), who]), np.concatenate([home, where])
+    own = np.arange(len(index)) < n
+    order = np.lexsort((index, cell))
+    index, cell, own = index[order], cell[order], own[order]
+    at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    for lo, hi in zip(at[:-1], at[1:]):
+        if hi - lo > 1 and own[lo:hi].any():
+            part = index[lo:hi]
+            linked, least = link_cell(units[part], own[lo:hi], np.ones(hi - lo, bool), weight[part], threshold)
+            links[part[own[lo:hi]]] = linked
+            moved = np.flatnonzero(least != np.arange(hi - lo))
+            union_pairs(root, part[moved], part[least[moved]])
+    return links, root
+
+
+def _join_small(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, root) of labels that fit a task: each is split by its own pivots there."""
 
-    def assign(batches):
-        for pdf in batches:
-            home, to = np.zeros(len(pdf), np.int64), [[] for _ in range(len(pdf))]
-            sizes = pdf["unit"].map(len)
-            for key, at in pdf.groupby([pdf["label"], sizes], sort=False).indices.items():
-                if key in pivots:
-                    units = np.array([np.frombuffer(u) for u in pdf["unit"].iloc[at]])
-                    home[at], more = cells_of(units, pivots[key], radius)
-                    for i, m in zip(at, more):
-                        to[i] = np.flatnonzero(m).tolist()
-            yield pdf.assign(size=sizes.astype("int32"), home=home, to=to)
-
-    placed = reps.select("label", "rep", "weight", "unit").mapInPandas(assign, "label string, rep long, weight long, unit binary, size int, home long, to array<long>")
-    placed = write_table(placed, "placed")
+    def run(batches):
+        for pdf in whole_groups(batches, "group"):
+            out = []
+            for lo, hi in group_bounds(pdf["group"].to_numpy()):
+                part = pdf.iloc[lo:hi].sort_values("rep")  # so that the least member is the least rep
+                rep = part["rep"].to_numpy()
+                links, root = join_label(np.array([np.frombuffer(u) for u in part["unit"]]), part["weight"].to_numpy(np.int64), threshold)
+                out.append(pd.DataFrame({"rep": rep, "links": links, "root": rep[root]}))
+            yield pd.concat(out, ignore_index=True)
+
+    return reps.repartition("group").sortWithinPartitions("group").select("group", "rep", "weight", "unit").mapInPandas(run, "rep long, links long, root long")
+
+
+def _assign(reps: DataFrame, radius: float) -> DataFrame:
+    """(group, rep, weight, unit, home, to) of vectors of large labels (with n, the label's vectors)."""
+    k = F.ceil(F.sqrt("n")).cast("int")
+    drawn = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 40))
+    # about twice as many as pivots are drawn, then the first of these by the same number
+    sample = reps.select("group", "unit", "n", drawn.alias("drawn"), "rep").where(F.col("drawn") < (1 << 40) * 2.0 * k / F.col("n"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("drawn", "rep"))
+    pivots = sample.withColumn("cell", place - 1).where(F.col("cell") < k)
+    chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
+    pivots = write_table(pivots.select("group", "cell", "unit", "n"), "pivots").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
+    dealt = reps.select("group", "rep", "weight", "unit", F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int").alias("chunk"))
+
+    def assign(vectors: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"group": [], "rep": [], "weight": [], "unit": [], "home": [], "to": []})
+        units = np.array([np.frombuffer(u) for u in vectors["unit"]])
+        if len(pivots):
+            centers = np.array([np.frombuffer(u) for u in pivots.sort_values("cell")["unit"]])
+            home, who, where = cells_of(units, centers, radius)
+        else:  # none was drawn: one cell
+            home, who, where = np.zeros(len(units), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        to = np.split(where, np.searchsorted(who, np.arange(1, len(units))))
+        return vectors.drop(columns="chunk").assign(home=home, to=[t.tolist() for t in to])
+
+    return dealt.groupBy("group", "chunk").cogroup(pivots.groupBy("group", "chunk")).applyInPandas(assign, "group binary, rep long, weight long, unit binary, home long, to array<long>")
+
+
+def _join_large(reps: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """(rep, links, root) of labels that are split by a table of pivots; a root may come several times."""
+    placed = write_table(_assign(reps, math.sqrt(2 - 2 * threshold)), "placed")
     # a cell's home vectors and its members (replicas too) are dealt to blocks; a task joins one of each, so its size is
     # bounded however many vectors a cell has
-    members = placed.select("label", "size", "rep", "weight", "unit", "home", F.explode(F.concat(F.array("home"), "to")).alias("cell"))
+    members = placed.select("group", "rep", "weight", "unit", "home", F.explode(F.concat(F.array("home"), "to")).alias("cell"))
     own = F.col("home") == F.col("cell")
     block = lambda n: F.ceil(F.col(n) / (2 * cell_rows)).cast("int")
-    parts = members.groupBy("label", "size", "cell").agg(F.count_if(own).alias("homes"), F.count("*").alias("all"))
-    parts = parts.where("homes > 0").select("label", "size", "cell", block("homes").alias("k"), block("all").alias("m"))
-    members = members.join(parts, ["label", "size", "cell"])
+    parts = members.groupBy("group", "cell").agg(F.count_if(own).alias("homes"), F.count("*").alias("n"))
+    parts = parts.where("homes > 0").select(F.struct("group", "cell").alias("part"), block("homes").alias("k"), block("n").alias("m"), "n")
+    members = join_to_unique(members.withColumn("part", F.struct("group", "cell")), parts, "part", members.count())
     h, j = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("m")).cast("int")
     members = members.withColumns({"own": own, "h": h, "j": j})
     as_member = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(x.alias("h"), F.col("j").alias("j")))
     as_home = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(F.col("h").alias("h"), x.alias("j")))
     tasks = F.when(F.col("own"), F.array_distinct(F.concat(as_member, as_home))).otherwise(as_member)
     members = members.withColumn("t", F.explode(tasks))
-    members = members.select("label", "size", "cell", F.col("t.h").alias("th"), F.col("t.j").alias("tj"), "rep", "weight", "unit", (F.col("own") & (F.col("h") == F.col("t.h"))).alias("mine"), (F.col("j") == F.col("t.j")).alias("member"))
+    task = F.concat_ws("-", F.hex("group"), "cell", "t.h", "t.j")
+    members = members.select(task.alias("task"), "rep", "weight", "unit", (F.col("own") & (F.col("h") == F.col("t.h"))).alias("mine"), (F.col("j") == F.col("t.j")).alias("member"))
+
+    def run(batches):
+        for pdf in whole_groups(batches, "task"):
+            pdf = pdf.sort_values(["task", "rep"], ignore_index=True)  # so that the least member is the least rep
+            units, weight = np.array([np.frombuffer(u) for u in pdf["unit"]]), pdf["weight"].to_numpy(np.int64)
+            mine, member, rep = pdf["mine"].to_numpy(bool), pdf["member"].to_numpy(bool), pdf["rep"].to_numpy()
+            out = [(rep[:0], rep[:0], rep[:0])]
+            for lo, hi in group_bounds(pdf["task"].to_numpy()):
+                own = rep[lo:hi]
+                links, root = link_cell(units[lo:hi], mine[lo:hi], member[lo:hi], weight[lo:hi], threshold)
+                moved = np.flatnonzero(root != np.arange(hi - lo))
+                home = own[mine[lo:hi]]
+                out += [(home, links, home), (own[moved], np.zeros(len(moved), np.int64), own[root[moved]])]
+            yield pd.DataFrame(dict(zip(("rep", "links", "root"), map(np.concatenate, zip(*out)))))
+
+    return members.repartition("task").sortWithinPartitions("task").mapInPandas(run, "rep long, links long, root long")
+
 
-    def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")  # so that the least member is the least rep
-        units = np.array([np.frombuffer(u) for u in pdf["unit"]])
-        mine, rep = pdf["mine"].to_numpy(bool), pdf["rep"].to_numpy()
-        links, root = link_cell(units, mine, pdf["member"].to_numpy(bool), pdf["weight"].to_numpy(np.int64), threshold)
-        moved = np.flatnonzero(root != np.arange(len(rep)))
-        return pd.DataFrame({"rep": np.concatenate([rep[mine], rep[moved]]), "links": np.concatenate([links, np.zeros(len(moved), np.int64)]), "root": np.concatenate([rep[mine], rep[root[moved]]])})
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
-    joined = write_table(members.groupBy("label", "size", "cell", "th", "tj").applyInPandas(join_cell, "rep long, links long, root long"), "joined")
+    Rows link when labels are equal (as text) and cosine >= threshold in double precision.  Null labels, and vectors that
+    are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of different length.
+    Repeated rows link with each other.  A null vec_id gives null component_id and kept false.  Other columns aren't
+    read; an empty table gives an empty result.
+    """
+    rows = write_table(unit_vectors(vectors), "units")
+    group = F.unhex(F.sha2(F.concat_ws(":", F.octet_length("unit"), "label"), 256))
+    reps = rows.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.max("unit").alias("unit"))
+    reps = write_table(reps.select("*", F.monotonically_increasing_id().alias("rep"), group.alias("group")), "reps")
+    total = reps.count()
+    sizes = write_table(reps.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    slim = reps.select("group", "rep", "weight", "unit")
+    joined = _join_small(join_to_unique(slim, sizes.where(F.col("n") <= cell_rows), "group", total), threshold)
+    large = sizes.where(F.col("n") > cell_rows)
+    if not large.isEmpty():
+        joined = joined.unionByName(_join_large(join_to_unique(slim, large, "group", total), threshold, cell_rows))
+    joined = write_table(joined, "joined")
     sets = connected_components(joined.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("label", "key", "rep", "least", "weight").join(counts, "rep").join(sets.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = write_table(known.join(least, "component").select("label", "key", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "known")
-    slim = rows.select("vec_id", "label", "key")
-    found = slim.where("key is not null").join(known, ["label", "key"]).select("vec_id", "n_links", "component_id")
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    known = join_to_unique(known, least, "component", total)
+    known = write_table(known.select("key", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id", "weight"), "known")
+    discard(joined)
+    slim = rows.select("vec_id", "key")
+    found = join_to_unique(slim.where("key is not null"), known.withColumnRenamed("weight", "n"), "key", rows.count()).select("vec_id", "n_links", "component_id")
     alone = slim.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_to_unique, only_slots_of, split_by_slots, text_or_empty, write_table
+from .common import discard, group_bounds, join_to_unique, only_slots_of, split_by_slots, text_or_empty, whole_groups, write_table
 from .components import connected_components, union_pairs
 from .shingles import shingle_batches, shingle_sets
 
@@ -255,27 +255,16 @@ def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block_
             sig = np.array([np.frombuffer(x, np.uint32) for x in pdf["sig"]])
             rep, task = pdf["rep"].to_numpy(), pdf["task"].to_numpy()
             known, side = pdf["root"].to_numpy(), pdf["side"].to_numpy(bool)
-            at = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             a, b = [rep[:0]], [rep[:0]]
-            for lo, hi in zip(at[:-1], at[1:]):
+            for lo, hi in group_bounds(task):
                 root = connect_bucket(sig[lo:hi], known[lo:hi], side[lo:hi], threshold, tolerance)
                 moved = np.flatnonzero(root != np.arange(hi - lo))
                 a.append(rep[lo + moved])
                 b.append(rep[lo + root[moved]])
             return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-        held = []  # of the last task, which may go on in the next batch; a task has two blocks at most
-        for pdf in batches:
-            if len(pdf):
-                last = pdf["task"].iloc[-1]
-                cut = int((pdf["task"] == last).to_numpy().argmax())
-                if cut == 0 and held and held[0]["task"].iloc[-1] == last:
-                    held.append(pdf)
-                    continue
-                yield solve(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
-                held = [pdf.iloc[cut:]]
-        if held:
-            yield solve(pd.concat(held, ignore_index=True))
+        for pdf in whole_groups(batches, "task"):  # a task has two blocks at most
+            yield solve(pdf)
 
     found = tasks.repartition("task").sortWithinPartitions("task").select("task", "side", "rep", "root", "sig").mapInPandas(connect, "a long, b long")
     return star.unionByName(found).distinct()
@@ -319,8 +308,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
         cell, rep, block = pdf["cell"].to_numpy(), pdf["rep"].to_numpy(), pdf["block"].to_numpy()
         weight = pdf["weight"].to_numpy(np.int64)
         out = []
-        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-        for lo, hi in zip(at[:-1], at[1:]):
+        for lo, hi in group_bounds(cell):
             first = block[lo:hi] == block[lo:hi].min()
             across = () if first.all() else (first, ~first)
             links, root = verify(sets[lo:hi], weight[lo:hi], threshold, *across)
