@@ -55,6 +55,16 @@ def test_exact_dedup(spark, make_docs, odd_rows, tmp_path, weak):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_exact_dedup_of_a_hot_group(spark, make_docs, tmp_path):
+    """Most rows of one text, in a folder whose name is a pattern."""
+    path = str(tmp_path / "a[1]{b}*" / "docs")
+    make_docs([(k, "hot text " * 9) for k in range(3000)] + [(5000 + k, f"own {k}") for k in range(50)]).repartition(4).write.parquet(path)
+    got = exact_dedup(spark, path).toPandas()
+    assert len(got) == 3050 and got.group_size.max() == 3000 and (got.keep_id[got.group_size > 1] == 0).all() and got.kept.sum() == 51
+    weak = exact_dedup(spark, path, lambda n: F.substring(F.md5(n), 1, 0)).toPandas()  # all texts share a digest
+    assert sorted(weak.group_size.value_counts().items()) == [(1, 50), (3000, 3000)]
+
+
 def test_exact_dedup_of_nothing_and_of_one_file(spark, make_docs, tmp_path):
     import pyarrow.parquet as pq
 

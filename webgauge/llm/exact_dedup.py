@@ -8,13 +8,14 @@ that only share a digest are grouped by their bytes instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only_slots_of, scratch_path, write_table
+from .common import HOT_KEYS, HOT_LEAST, discard, join_to_unique, only_slots_of, scratch_path, write_table
 
 #: Fixed value: the characters that normalisation deletes.
 DELETED = r"[\x20\x09-\x0D]"
@@ -53,17 +54,24 @@ def _rank() -> Column:
     return F.struct(F.col("chars"), (-F.col("doc_id")).alias("less"), F.col("doc_id"), F.col("place"))
 
 
+def _literal(path: str) -> str:
+    """A path that Spark would read as a pattern, escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _stream_path(spark: SparkSession, path: str) -> str:
     """A stream takes a folder or a pattern: a single file becomes a pattern that only it matches."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     single = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
-    return f"{path[:-1]}[{path[-1]}]" if single else path
+    return f"{_literal(path[:-1])}[{path[-1]}]" if single else _literal(path)
 
 
 def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Column], files_per_trigger: int | None = None) -> DataFrame:
     """(digest, best, n) of each digest after the stream has read every file below ``path``."""
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(_literal(path)).schema
     ledger, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "stream")
+    if _literal(path) != path:  # Spark reads a batch of files below an escaped path once for each file
+        files_per_trigger = 1
     reader = spark.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader.option("maxBytesPerTrigger", str(64 << 30))
     state = _keyed(reader.parquet(_stream_path(spark, path)), digest).groupBy("digest").agg(F.max(_rank()).alias("best"), F.count("*").alias("n"))
@@ -92,18 +100,26 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     digest = digest or (lambda norm: F.unhex(F.sha2(norm, 256)))
     state = write_table(stream_state(spark, path, digest, files_per_trigger), "state")
     several = state.where("n > 1")
-    docs = _keyed(spark.read.parquet(path), digest)
+    docs = _keyed(spark.read.parquet(_literal(path)), digest)
+    total = state.agg(F.sum("n")).first()[0] or 0
 
     texts = write_table(only_slots_of(docs, "digest", several, "digest"), "texts")
-    kept_text = texts.join(several.select("digest", F.col("best.place").alias("place")), ["digest", "place"]).select("digest", F.col("norm").alias("kept_norm"))
-    other = texts.join(kept_text, "digest").where("norm <> kept_norm").select("digest").distinct()
+    # a digest with many rows is dealt to salts, each with a copy of the kept text; its name and number are broadcast
+    hot = F.broadcast(several.where(F.col("n") > (limit := max(HOT_LEAST, total // HOT_KEYS))).select("digest", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    kept_text = texts.join(several.select("digest", F.col("best.place").alias("place")), ["digest", "place"]).join(hot, "digest", "left")
+    kept_text = kept_text.select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    salted = texts.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("place"), F.coalesce("salts", F.lit(1))).cast("int"))
+    other = salted.join(kept_text, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct()
     other = write_table(other, "collisions")
 
     rows = docs.select("doc_id", "sha", "digest", "place")
     if other.isEmpty():
-        grouped = rows.join(state, "digest")
+        discard(texts)
+        grouped = join_to_unique(rows, state, "digest", total)
     else:  # digests that different texts share: their rows are grouped by the bytes
         shared = texts.join(other, "digest", "left_semi")
         exact = shared.groupBy("digest", "norm").agg(F.max(_rank()).alias("best"), F.count("*").alias("n"))
-        grouped = rows.join(state.join(other, "digest", "left_anti"), "digest").unionByName(shared.join(exact, ["digest", "norm"]).select("digest", "doc_id", "sha", "place", "best", "n"))
+        alone = join_to_unique(rows, state.join(other, "digest", "left_anti"), "digest", total)
+        columns = ["digest", "doc_id", "sha", "place", "best", "n"]
+        grouped = alone.select(columns).unionByName(shared.join(exact, ["digest", "norm"]).select(columns))
     return grouped.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == F.col("best.place")).alias("kept"), F.col("sha").alias("text_sha256"))
