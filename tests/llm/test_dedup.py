@@ -341,6 +341,61 @@ def test_line_dedup_of_runs_beyond_the_first_holder(spark, make_docs):
     assert text_of(dedup_lines(make_docs(rows))) == want
 
 
+def test_every_later_shared_run_of_two_stretches_goes(spark, make_docs):
+    """A = X, B = P X Q, C = P X Q and other mixes of shared parts; each case has words of its own."""
+    import random
+
+    rng = random.Random(4)
+
+    def part(case, name, words):
+        out, k = [], 0
+        while k < words:
+            n = min(words - k, rng.randint(1, 14))
+            out.append(" ".join(f"c{case}{name}{j}" for j in range(k, k + n)))
+            k += n
+        return out
+
+    rows, cases = [], []
+    for case in range(500):
+        x, p, q = (part(case, name, n) for name, n in (("x", 80), ("p", 4), ("q", 4)))
+        if case % 2:
+            docs = [x, p + x + q, p + x + q]
+        else:
+            parts = [part(case, f"s{k}", rng.choice([4, 12, 30, 55, 80])) for k in range(5)]
+            docs = [sum(rng.choices(parts, k=rng.randint(1, 5)), []) + part(case, f"own{d}", rng.randint(1, 30)) for d in range(4)]
+        cases.append([(len(rows) + d, lines) for d, lines in enumerate(docs)])
+        rows += [(i, "\n".join(lines)) for i, lines in cases[-1]]
+    out = text_of(dedup_lines(make_docs(rows)))
+    words = lambda lines: sum(len(line.split()) for line in lines)
+    missed = 0
+    for docs in cases:
+        for d, (i, own) in enumerate(docs):
+            must = [False] * len(own)
+            for e in range(d + 1):
+                other = docs[e][1]
+                for a in range(len(own)):
+                    for b in range(len(other) if e < d else a):
+                        n = 0
+                        while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n]:
+                            n += 1
+                        if n and words(own[a : a + n]) >= 50:
+                            must[a : a + n] = [True] * n
+            left = out[i].split("\n")
+            # what has to go is gone: what is left is a subsequence of the other lines
+            rest = iter(line for line, gone in zip(own, must) if not gone)
+            missed += not all(any(line == r for r in rest) for line in left if line)
+    assert missed == 0
+
+
+def test_line_dedup_of_a_hot_line(spark, make_docs):
+    hot = " ".join(f"hot{j}" for j in range(30))
+    rows = [(k, f"{hot}\nown {k}\n{hot}") for k in range(3000)]
+    out = text_of(dedup_lines(make_docs(rows)))
+    assert out[0] == f"{hot}\nown 0\n" or out[0] == f"{hot}\nown 0"
+    assert all(out[k].strip() == f"own {k}" for k in range(1, 3000))
+    assert dedup_lines(make_docs([])).count() == 0
+
+
 def test_fingerprints_guarantee():
     shared = "\n".join(" ".join(f"s{k}q{j}" for j in range(5)) for k in range(10))  # two stretches of 25 words
     a = fingerprints(*line_hashes("one two three\n" + shared + "\nend of a")[:2])

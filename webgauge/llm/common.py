@@ -89,6 +89,17 @@ def join_to_unique(big: DataFrame, unique: DataFrame, key: str, rows: int) -> Da
     return cold.unionByName(big.join(hot, key))
 
 
+def join_salted(big: DataFrame, unique: DataFrame, key: str, rows: int, by: str) -> DataFrame:
+    """As ``join_to_unique`` for wide rows of ``unique``: hot keys are dealt by a hash of ``by`` to salts, each of which
+    gets a copy of the key's row; only names and numbers of hot keys are broadcast."""
+    limit = max(HOT_LEAST, rows // HOT_KEYS)
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(unique.where(F.col("n") > limit).select(key, salts.alias("__wg_salts")))
+    dealt = big.join(hot, key, "left").withColumn("__wg_salt", F.pmod(F.xxhash64(by), F.coalesce("__wg_salts", F.lit(1))).cast("int"))
+    copies = unique.withColumn("__wg_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, salts).otherwise(1) - 1)))
+    return dealt.drop("__wg_salts").join(copies.drop("n"), [key, "__wg_salt"]).drop("__wg_salt")
+
+
 SLOTS = 1 << 20
 
 

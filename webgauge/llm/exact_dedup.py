@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_LEAST, discard, join_to_unique, only_slots_of, scratch_path, write_table
+from .common import discard, join_salted, join_to_unique, only_slots_of, scratch_path, write_table
 
 #: Fixed value: the characters that normalisation deletes.
 DELETED = r"[\x20\x09-\x0D]"
@@ -104,12 +104,8 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     total = state.agg(F.sum("n")).first()[0] or 0
 
     texts = write_table(only_slots_of(docs, "digest", several, "digest"), "texts")
-    # a digest with many rows is dealt to salts, each with a copy of the kept text; its name and number are broadcast
-    hot = F.broadcast(several.where(F.col("n") > (limit := max(HOT_LEAST, total // HOT_KEYS))).select("digest", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
-    kept_text = texts.join(several.select("digest", F.col("best.place").alias("place")), ["digest", "place"]).join(hot, "digest", "left")
-    kept_text = kept_text.select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    salted = texts.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("place"), F.coalesce("salts", F.lit(1))).cast("int"))
-    other = salted.join(kept_text, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct()
+    kept_text = texts.join(several.select("digest", F.col("best.place").alias("place"), "n"), ["digest", "place"]).select("digest", F.col("norm").alias("kept_norm"), "n")
+    other = join_salted(texts, kept_text, "digest", total, "place").where("norm <> kept_norm").select("digest").distinct()
     other = write_table(other, "collisions")
 
     rows = docs.select("doc_id", "sha", "digest", "place")

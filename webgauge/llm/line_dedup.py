@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, text_or_empty, write_table
+from .common import SLOTS, discard, join_salted, join_to_unique, text_or_empty, write_table
 
 GRAM_WORDS = 25
 
@@ -104,9 +104,9 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     """Every row of ``docs`` with all its columns, text without repeated runs, and lines_removed (int).
 
     The first of repeated runs, in the order of doc_id (null last), stays whole unless part of it repeats an earlier
-    one; a run may repeat within a text.  A run is deleted if it has a fingerprint in common with any earlier copy, so of
-    fewer than ``gram_words`` words none is.  A null text stays null; repeated rows keep one text; a document may be left with an empty text; an
-    input column named lines_removed is replaced.
+    one; a run may repeat within a text.  A run is deleted if it has a fingerprint in common with any earlier copy: surely
+    if it has twice ``gram_words`` words or is a line of ``gram_words``, never if it has fewer than ``gram_words``.  A null text stays null; repeated rows keep one text; a document may be left with an empty text; an
+    input column named lines_removed is replaced; an empty table gives an empty result.
     """
 
     @F.pandas_udf("lines binary, words binary, h array<long>, at array<int>")
@@ -124,12 +124,15 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
 
     order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").cast("long").alias("id"), F.col("row"), F.col("p.at").alias("at"))
     marks = table.select("row", "doc.doc_id", "doc", F.explode(F.arrays_zip("h", "at")).alias("p")).select("row", F.col("p.h").alias("h"), F.col("p.at").alias("at"), order.alias("place"))
-    first = marks.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    later = marks.join(first, "h").where("row <> first.row or at <> first.at")
+    marks = write_table(marks, "marks")
+    first = marks.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_to_unique(marks, first, "h", marks.count()).where("row <> first.row or at <> first.at")
     rank = [F.col("place.none").alias("none"), F.coalesce("place.id", F.lit(0)).alias("id")]
     pairs = later.groupBy("row", *rank, F.col("first.row").alias("source")).agg(F.collect_list(F.struct(F.col("at"), F.col("first.at").alias("source_at"))).alias("matches"))
+    pairs = write_table(pairs, "pairs")
     lines = table.select("row", "lines", "words")
-    pairs = pairs.join(lines, "row").join(lines.select(F.col("row").alias("source"), F.col("lines").alias("source_lines")), "source")
+    sources = pairs.groupBy("source").agg(F.count("*").alias("n")).join(lines.select(F.col("row").alias("source"), F.col("lines").alias("source_lines")), "source")
+    joined = join_salted(pairs.join(lines, "row"), sources, "source", pairs.count(), "row")
 
     def runs(batches):
         for pdf in batches:
@@ -151,13 +154,16 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
                 found.append((np.flatnonzero(cut).tolist(), [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in at], [a for a, _ in at], [b for _, b in at]))
             yield pd.concat([pdf[["row", "none", "id"]], pd.DataFrame(found, columns=["gone", "h", "a", "b"], index=pdf.index)], axis=1)
 
-    found = pairs.select("row", "none", "id", "lines", "words", "source_lines", "matches").mapInPandas(runs, "row long, none boolean, id long, gone array<int>, h array<long>, a array<int>, b array<int>")
+    found = joined.select("row", "none", "id", "lines", "words", "source_lines", "matches").mapInPandas(runs, "row long, none boolean, id long, gone array<int>, h array<long>, a array<int>, b array<int>")
     found = write_table(found, "runs")
+    for scratch in (marks, pairs):
+        discard(scratch)
     beyond = found.select("row", "none", "id", F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("row", "r.*", F.struct("none", "id", "row", F.col("r.a").alias("a")).alias("place"))
-    first = beyond.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    more = beyond.join(first, "h").where("row <> first.row or a <> first.a").select("row", F.sequence("a", F.col("b") - 1).alias("gone"))
+    first = beyond.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    more = join_to_unique(beyond, first, "h", beyond.count()).where("row <> first.row or a <> first.a").select("row", F.sequence("a", F.col("b") - 1).alias("gone"))
     gone = found.select("row", "gone").unionByName(more).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = write_table(gone, "gone")
+    discard(found)
 
     # rows that no deleted line can belong to skip the join
     slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")
