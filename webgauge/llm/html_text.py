@@ -437,7 +437,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page row.
 
     A null html counts as empty and gives an empty text; null ids and urls are kept; repeated rows give repeated
-    results; other columns aren't read; an empty table gives an empty result.  Row-wise: no shuffle.
+    results; other columns aren't read; an empty table gives an empty result.  A page of any length or nesting is read
+    whole, in time in proportion to its length.  Row-wise: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,11 +151,16 @@ def held_out(column: str = "doc_id"):
 
 
 def train_ranker(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_column: str = "quality") -> Ranker:
-    """Fit on at most ``sample_rows`` labelled documents that aren't held out; several labels of an id are averaged."""
+    """Fit on at most ``sample_rows`` labelled documents that aren't held out.
+
+    Several labels of an id are averaged; of several texts of an id the least is learned.  Null ids, null labels, labels
+    without a document and documents without a label are left out; a null text counts as empty; without both classes,
+    as from an empty table, every text gets one score (1, or 0 if all labels are 0).
+    """
     label = labels.where(F.col("doc_id").isNotNull() & F.col(label_column).isNotNull() & ~held_out())
     label = label.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg(F.col(label_column).cast("double")).alias("y"))
     chosen = label.orderBy(F.xxhash64("id"), "id").limit(sample_rows)  # bounded, so it can be broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,5 +196,9 @@ def rank_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, unchanged, that the ranker doesn't reject."""
+    """The rows of ``docs``, unchanged, that the ranker doesn't reject.
+
+    A null text is scored as empty and stays null where kept; repeated rows stay or go together; a null id may stay; extra
+    columns are kept whatever their names; an empty table gives an empty result.
+    """
     return score_documents(docs, train_ranker(docs, labels, sample_rows)).where(F.col("score") >= CUT).select("doc.*")

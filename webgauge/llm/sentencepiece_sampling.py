@@ -255,7 +255,8 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, theta: float
     """(doc_id, ids) of every document: a segmentation drawn by the row's key.
 
     A null text counts as empty (no ids); a null id is a key like another; rows of equal id and text get equal results;
-    other columns aren't read.
+    other columns aren't read; an empty table gives an empty result.  Texts of any length are segmented whole: a task
+    holds some 200 bytes for each character of the longest one.
     """
     path = model or tokenizer_path(MODEL)
 
@@ -271,7 +272,11 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, theta: float
 
 
 def decode_segmentations(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) of rows (doc_id, ids).
+
+    Null or no ids give an empty text; a null doc_id is kept; repeated rows give repeated results; other columns aren't
+    read; an empty table gives an empty result.
+    """
     path = model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +289,11 @@ def decode_segmentations(encoded: DataFrame, model: str | None = None) -> DataFr
 
 
 def segmentation_digests(docs: DataFrame, model: str | None = None, theta: float = THETA, seed: int = 0) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, lossless) of every document; lossless: its pieces decode to the text itself."""
+    """(doc_id, n_pieces, ids_crc32, lossless) of every document; lossless: its pieces decode to the text itself.
+
+    Nulls, repeated rows, long texts and an empty table as for ``sample_segmentations``; an empty text has no pieces and
+    the crc32 of nothing.
+    """
     path = model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
