@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  A
 stage's result is written as Parquet and read again as the next one's docs.
+
+In every stage a null text counts as empty and stays null where its row stays; null ids and extra columns are kept; an
+empty table gives an empty result.  Repeated rows (equal id and text): the classifier keeps or rejects all of them, line
+dedup leaves shared runs in the first of them, the near-duplicate stage keeps one, packing packs each.
 """
 
 from __future__ import annotations
