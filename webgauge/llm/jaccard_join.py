@@ -194,7 +194,7 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(bands, "rep long, band long")
 
 
-def _star_edges(pairs: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def _star_edges(pairs: DataFrame, sigs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """The pairs (rep, low) that survive the pruning, as edges (a, b); few values of low may have most rows."""
 
     def compare(batches):
@@ -205,7 +205,6 @@ def _star_edges(pairs: DataFrame, reps: DataFrame, threshold: float, tolerance:
                 ok = pa.array(surviving(sig, np.arange(n), np.arange(n) + n, threshold, tolerance))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    sigs = reps.select("rep", "sig")
     lows = pairs.groupBy("low").agg(F.count("*").alias("n")).join(sigs.select(F.col("rep").alias("low"), F.col("sig").alias("low_sig")), "low")
     both = join_to_unique(pairs.join(sigs, "rep"), lows, "low", pairs.count())
     return both.select("rep", "low", "sig", "low_sig").mapInArrow(compare, "a long, b long")
@@ -234,21 +233,31 @@ def _block_tasks(members: DataFrame, block_rows: int) -> DataFrame:
 def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between classes that connect what survives the pruning in some bucket."""
     banded = write_table(_bands(reps), "bands")
-    h = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
-    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), h(1).alias("x"), h(2).alias("y")).where("n > 1")
-    # buckets with the same members hold the same pairs: one of them is enough
-    buckets = write_table(full.groupBy("n", "low", "x", "y").agg(F.min("band").alias("band")).select("band", "n", "low"), "buckets")
-    members = write_table(join_to_unique(banded, buckets, "band", BANDS * reps.count()).select("band", "n", "low", "rep"), "members")
+    full = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    full = write_table(full, "full")
+    total = BANDS * reps.count()
+    members = write_table(join_to_unique(only_slots_of(banded, "band", full, "band"), full, "band", total).select("band", "n", "low", "rep"), "members")
     discard(banded)
+    # buckets with the same members hold the same pairs: one of them is enough
+    h = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
+    same = members.groupBy("band").agg(F.first("n").alias("n"), F.first("low").alias("low"), h(1).alias("x"), h(2).alias("y"))
+    single = write_table(same.groupBy("n", "low", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "single")
+    members = write_table(join_to_unique(members.drop("n"), single, "band", total), "members")
     pairs = write_table(members.where("rep <> low").select("rep", "low").distinct(), "pairs")
-    star = write_table(_star_edges(pairs, reps, threshold, tolerance), "star")
-    sets = connected_components(star).select(F.col("id").alias("rep"), F.col("component").alias("root"))
+    involved = pairs.select("rep").union(pairs.select("low")).distinct()
+    sigs = write_table(only_slots_of(reps.select("rep", "sig"), "rep", involved, "rep").join(involved, "rep"), "sigs")
+    star = write_table(_star_edges(pairs, sigs, threshold, tolerance), "star")
+    discard(pairs)
 
+    # a member that goes with its bucket's least one, in whatever bucket, is of that one's set
+    sets = star.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("root"))
     rooted = members.where("n > 2").join(sets, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
     rooted = write_table(rooted, "rooted")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most").select("band", "n")
-    tasks = _block_tasks(write_table(join_to_unique(rooted, mixed, "band", members.count()).select("band", "rep", "root"), "mixed"), block_rows)
-    tasks = tasks.join(reps.select("rep", "sig"), "rep")
+    mixed = write_table(join_to_unique(rooted, mixed, "band", total).select("band", "rep", "root"), "mixed")
+    for scratch in (members, rooted):
+        discard(scratch)
+    tasks = _block_tasks(mixed, block_rows).join(sigs, "rep")
 
     def connect(batches):
         def solve(pdf):
