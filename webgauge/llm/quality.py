@@ -109,7 +109,7 @@ class Ranker:
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 128, seed: int = 11) -> Ranker:
-    """Fit on feature rows x and labels y (1 preferred to 0).
+    """Fit on feature rows x, which are scaled in place, and labels y (1 preferred to 0).
 
     Without both classes nothing can be ranked: every text scores 1 unless all labels are 0, then 0.
     """
@@ -118,7 +118,6 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 128,
     if not len(good) or not len(bad):
         return Ranker(*nothing, constant=0.0 if len(bad) else 1.0)
     mean, scale = x[:, :SHAPES].mean(axis=0), x[:, :SHAPES].std(axis=0) + 1e-6
-    x = np.array(x)
     x[:, :SHAPES] = np.clip((x[:, :SHAPES] - mean) / scale, -6, 6)
     boost = np.ones(x.shape[1], np.float32)
     boost[SHAPES:] = 20  # shares are small numbers
@@ -165,13 +164,15 @@ def train_ranker(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
-
-    rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y double, x binary").toPandas().sort_values("id")
-    y = rows["y"].to_numpy(float).copy()
-    raw = b"".join(rows.pop("x"))
-    del rows  # the driver holds the features once, and once more while they are scaled
-    return fit_pairs(np.frombuffer(raw, np.float32).reshape(-1, SHAPES + BUCKETS), y)
+            some = [np.flatnonzero(r) for r in x]  # most buckets of a text are empty
+            at, value = ([v.tobytes() for v in vs] for vs in ([k.astype(np.uint16) for k in some], [r[k] for r, k in zip(x, some)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["id", "y", "at", "value"])
+
+    rows = texts.select("id", "y", "text").mapInArrow(run, "id long, y double, at binary, value binary").toPandas().sort_values("id")
+    x = np.zeros((len(rows), SHAPES + BUCKETS), np.float32)
+    for r, at, value in zip(x, rows["at"], rows["value"]):
+        r[np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    return fit_pairs(x, rows["y"].to_numpy(float).copy())
 
 
 def score_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
