@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +28,27 @@ IPV4_REFUSED = [
 ]
 
 
-def _number(dotted: str) -> int:
-    out = 0
-    for part in dotted.split("."):
-        out = out * 256 + int(part)
-    return out
+# Refused IPv6 ranges: (network, reason).
+IPV6_REFUSED = [
+    ("::/128", "the unspecified address"),
+    ("::1/128", "a loopback address"),
+    ("ff00::/8", "a multicast address"),
+    ("fe80::/10", "a link-local address"),
+    ("fc00::/7", "a unique-local address"),
+    ("0:0:0:0:ffff::/80", "in the discard-only 100::/64 range"),
+    ("2001::/32", "a Teredo tunnel address"),
+]
+
+# IPv6 ranges whose addresses carry an IPv4 address: (network, bits before it, name).
+IPV6_CARRIERS = [
+    ("::ffff:0:0/96", 96, "an IPv4-mapped"),
+    ("64:ff9b::/96", 96, "a NAT64"),
+    ("2002::/16", 16, "a 6to4"),
+]
+
+_V4 = [(ipaddress.IPv4Network((network, bits)), why) for network, bits, why in IPV4_REFUSED]
+_V6 = [(ipaddress.IPv6Network(network), why) for network, why in IPV6_REFUSED]
+_CARRIERS = [(ipaddress.IPv6Network(network), at, name) for network, at, name in IPV6_CARRIERS]
 
 
 def ipv4_reason(ip: Column) -> Column:
@@ -40,68 +58,27 @@ def ipv4_reason(ip: Column) -> Column:
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
     out = F.when(~F.coalesce(valid, F.lit(False)), "not a valid IPv4 address")
     for network, bits, why in IPV4_REFUSED:
-        out = out.when(F.shiftright(number, 32 - bits) == (_number(network) >> (32 - bits)), why)
+        out = out.when(F.shiftright(number, 32 - bits) == (int(ipaddress.IPv4Address(network)) >> (32 - bits)), why)
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def _ipv4(octets) -> str | None:
-    number = int.from_bytes(bytes(octets), "big")
-    return next((why for network, bits, why in IPV4_REFUSED if number >> (32 - bits) == _number(network) >> (32 - bits)), None)
-
-
-def ipv6_bytes(text: str) -> bytes | None:
-    """The 16 bytes of an address, a dotted quad at its end included; null if it isn't one."""
-    head, dot, quad = text, "", None
-    if "." in text:
-        head, _, dot = text.rpartition(":")
-        parts = dot.split(".")
-        if len(parts) != 4 or not all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts):
-            return None
-        quad = [int(p) for p in parts]
-        head += ":0:0"
-    sides = head.split("::")
-    if len(sides) > 2:
-        return None
-    groups = []
-    for side in sides:
-        values = side.split(":") if side else []
-        if not all(1 <= len(g) <= 4 and all(c in "0123456789abcdefABCDEF" for c in g) for g in values):
-            return None
-        groups.append([int(g, 16) for g in values])
-    if len(sides) == 1:
-        if len(groups[0]) != 8:
-            return None
-        full = groups[0]
-    else:
-        missing = 8 - len(groups[0]) - len(groups[1])
-        if missing < 0:
-            return None
-        full = groups[0] + [0] * missing + groups[1]
-    raw = b"".join(g.to_bytes(2, "big") for g in full)
-    return raw[:12] + bytes(quad) if quad else raw
+def _first(ranges: list, address) -> str | None:
+    return next((why for network, why in ranges if address in network), None)
 
 
 def ipv6_refusal(text: str) -> str | None:
-    b = ipv6_bytes(text)
-    if b is None:
+    """Why an IPv6 address in any text form is refused; one that carries an IPv4 address is judged by that."""
+    try:
+        address = ipaddress.IPv6Address(text.strip("[]"))
+    except ValueError:
         return "not a valid IPv6 address"
-    if not any(b):
-        return "the unspecified address"
-    if not any(b[:15]) and b[15] == 1:
-        return "a loopback address"
-    if b[0] == 0xFF:
-        return "a multicast address"
-    if b[0] == 0xFE and b[1] >> 6 == 2:
-        return "a link-local address"
-    if b[0] >> 1 == 0x7E:
-        return "a unique-local address"
-    if not any(b[:8]) and b[8:10] == b"\xff\xff":
-        return "in the discard-only 100::/64 range"
-    for prefix, at, name in ((bytes(10) + b"\xff\xff", 12, "an IPv4-mapped"), (b"\x00\x64\xff\x9b" + bytes(8), 12, "a NAT64"), (b"\x20\x02", 2, "a 6to4")):
-        if b.startswith(prefix):
-            why = _ipv4(b[at : at + 4])
-            return f"{name} address for {'.'.join(map(str, b[at : at + 4]))}, which is {why}" if why else None
-    return "a Teredo tunnel address" if b.startswith(b"\x20\x01\x00\x00") else None
+    address = ipaddress.IPv6Address(int(address))  # without a zone
+    for network, at, name in _CARRIERS:
+        if address in network:
+            inner = ipaddress.IPv4Address(int(address) >> (96 - at) & 0xFFFFFFFF)
+            why = _first(_V4, inner)
+            return f"{name} address for {inner}, which is {why}" if why else None
+    return _first(_V6, address)
 
 
 @F.arrow_udf(T.StringType())

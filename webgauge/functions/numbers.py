@@ -52,3 +52,8 @@ def clock_drift_ok(as_of: Column, date_header: Column, seconds: int = 90) -> Col
     """Whether a server's Date header (RFC 1123 text) is within ``seconds`` of ``as_of``; null if it can't be read."""
     at = F.try_to_timestamp(F.regexp_replace(date_header, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.abs(F.unix_millis(as_of) - F.unix_millis(at)) < seconds * 1000
+
+
+def status_band(status: Column) -> Column:
+    """How a page's status code is marked: ok, warn (redirects and what has no code of its own) or fail."""
+    return F.when((status >= 200) & (status < 300), "ok").when(status >= 400, "fail").otherwise("warn")

@@ -53,11 +53,15 @@ def category_averages(pages: DataFrame, mode: str = "seo") -> DataFrame:
 
 
 def duplicate_groups(pages: DataFrame, value: Column, label: Column | None = None) -> DataFrame:
-    """(site_key, key, label, count, urls): values that several pages share, by their trimmed lower-case form."""
+    """(site_key, place, key, label, count, urls): values that several pages share, by their trimmed lower-case form.
+
+    place: most pages first, then the group that a page list by URL meets first.
+    """
     key = F.lower(F.trim(value))
     rows = pages.withColumn("_key", key).withColumn("_label", F.trim(value) if label is None else label).where("_key <> ''")
     grouped = rows.groupBy("site_key", F.col("_key").alias("key")).agg(F.min_by("_label", "url").alias("label"), F.count("*").alias("count"), F.array_sort(F.collect_list("url")).alias("urls"))
-    return grouped.where("count > 1")
+    order = Window.partitionBy("site_key").orderBy(F.desc("count"), F.get("urls", F.lit(0)), "key")
+    return grouped.where("count > 1").withColumn("place", F.row_number().over(order))
 
 
 def inbound_links(links: DataFrame) -> DataFrame:
@@ -88,6 +92,25 @@ def issue_lists(pages: DataFrame) -> DataFrame:
     return pages.select("site_key", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("issue"), "url")
 
 
+#: What a list says of its pages beside the URL, and whether it goes by it: least first (1) or most first (-1).
+LISTED = {"broken": ("status", 0), "thin": ("word_count", 1), "deep": ("depth", 0), "slow": ("response_ms", -1), "redirected": ("redirect_hops", 0)}
+
+
+def page_lists(pages: DataFrame) -> DataFrame:
+    """(site_key, issue, place, url, value): pages of each issue in the order that a report lists them."""
+    numbers = {name: F.col(column).cast("double") for name, (column, _) in LISTED.items()}
+    flags = F.array(*[F.when(test(), F.struct(F.lit(name).alias("issue"), numbers.get(name, F.lit(None).cast("double")).alias("value"), (numbers.get(name, F.lit(0.0)) * LISTED.get(name, ("", 0))[1]).alias("rank"))) for name, test in ISSUES.items()])
+    rows = pages.select("site_key", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("f"), "url").select("site_key", "f.*", "url")
+    place = F.row_number().over(Window.partitionBy("site_key", "issue").orderBy("rank", "url"))
+    return rows.select("site_key", "issue", place.alias("place"), "url", "value")
+
+
+def redirect_pairs(pages: DataFrame) -> DataFrame:
+    """(site_key, from, to, hops) of pages that were reached through redirects."""
+    start = F.coalesce(F.get("redirect_chain", F.lit(0))["url"], "requested_url")
+    return pages.where("redirect_hops > 0").select("site_key", start.alias("from"), F.col("final_url").alias("to"), F.col("redirect_hops").alias("hops"))
+
+
 def issue_counts(pages: DataFrame) -> DataFrame:
     return issue_lists(pages).groupBy("site_key", "issue").agg(F.count("*").alias("pages"))
 

@@ -61,7 +61,7 @@ def checks() -> list[Check]:
         ]),
         Check("meta", "Canonical link", "high", [
             holds(canonical_raw.isNotNull(), "There is a canonical link", "Name the canonical URL."),
-            holds(F.regexp_like(canonical_raw, F.lit("(?i)^https?://")), "The canonical link is absolute", "Make the canonical link absolute.", where=canonical_raw.isNotNull()),
+            holds(F.regexp_like(canonical_raw, F.lit(r"(?i)^\s*https?://")), "The canonical link is absolute", "Make the canonical link absolute.", where=canonical_raw.isNotNull()),
             holds(urls.strip_hash(canonical) == urls.strip_hash(url), "The canonical link is the page itself", "Check whether the canonical link should point elsewhere.", where=canonical_raw.isNotNull()),
         ]),
         Check("meta", "Language", "low", [

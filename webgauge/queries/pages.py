@@ -49,13 +49,16 @@ HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
 
 @query(
-    f"""WITH {U}, h AS (SELECT page_id, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) - 1 AS pos FROM pages)
-    SELECT page_id, pos, scheme || '://' || host || href AS resolved, regexp_replace(host, '^www\\.', '') = regexp_replace(host, '^www\\.', '') AS same_site FROM h JOIN u USING (page_id)"""
+    f"""WITH {U}, h AS (SELECT page_id, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) - 1 AS pos FROM pages),
+    t AS (SELECT page_id, pos, host, scheme || '://' || host || href AS resolved, CASE pos % 4 WHEN 0 THEN host WHEN 1 THEN 'www.' || host WHEN 2 THEN 'sub.' || host ELSE regexp_replace(host, '^www\\.', '') END AS other FROM h JOIN u USING (page_id))
+    SELECT page_id, pos, resolved, regexp_replace(host, '^www\\.', '') = regexp_replace(other, '^www\\.', '') AS same_site FROM t"""
 )
 def url_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links made absolute, and whether an address of the same or a like host, by the link's place, is of the page's site."""
     links = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    full = urls.resolve(F.col("href"), F.col("url"))
-    return links.select("page_id", long("pos").alias("pos"), full.alias("resolved"), urls.same_site(full, F.col("url")).alias("same_site"))
+    own = urls.full_host(F.col("url"))
+    other = F.when(F.col("pos") % 4 == 0, own).when(F.col("pos") % 4 == 1, F.concat(F.lit("www."), own)).when(F.col("pos") % 4 == 2, F.concat(F.lit("sub."), own)).otherwise(F.regexp_replace(own, r"^www\.", ""))
+    return links.select("page_id", long("pos").alias("pos"), urls.resolve(F.col("href"), F.col("url")).alias("resolved"), urls.same_site(F.concat(F.lit("https://"), other, F.col("href")), F.col("url")).alias("same_site"))
 
 
 # -- page model ------------------------------------------------------------------------------------------------------

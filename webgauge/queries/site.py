@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgauge.constants import CATEGORIES, MAX_DEPTH, MAX_PAGES
+from webgauge.functions.numbers import status_band
 from webgauge.operators import frontier, site
 from webgauge.plans import views
 from webgauge.queries.registry import ORACLE, long, query, sql_values, table
@@ -21,14 +22,14 @@ def pages_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.col("p_brand").alias("site_key"), F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("url"), F.expr("if(p_partkey % 11 = 0, 404, 200)").alias("status"), F.expr("cast(p_partkey * 37 % 101 as int)").alias("score"),
         F.expr("p_partkey % 5").alias("errors"), F.expr("p_partkey % 7").alias("warnings"), F.concat(F.lit(" "), F.upper(F.substring("p_name", 1, 6))).alias("title"), F.expr("if(p_partkey % 13 = 0, '', p_type)").alias("description"),
-        F.col("p_name").alias("h1"), F.expr("p_partkey * 7 % 900").alias("word_count"), F.expr("p_partkey * 3 % 1700").alias("response_ms"), F.expr("p_partkey % 17 <> 0").alias("index"), F.expr("p_partkey % 6").alias("depth"),
+        F.col("p_name").alias("h1"), F.expr("if(p_partkey % 9 = 0, null, concat(p_type, p_size))").alias("content_hash"), F.expr("p_partkey * 7 % 900").alias("word_count"), F.expr("p_partkey * 3 % 1700").alias("response_ms"), F.expr("p_partkey % 17 <> 0").alias("index"), F.expr("p_partkey % 6").alias("depth"),
         F.expr("if(p_partkey % 10 = 0, 1, 0)").alias("redirect_hops"), F.map_from_arrays(F.array(F.lit("meta"), F.lit("links")), F.array(F.expr("cast(p_size as int)"), F.expr("if(p_partkey % 4 = 0, null, cast(p_partkey % 90 as int))"))).alias("categories"),
         F.array(item(0), item(1)).alias("todos"),
     )
 
 
 P = """p AS (SELECT p_brand AS site_key, '/p' || p_partkey AS url, CASE WHEN p_partkey % 11 = 0 THEN 404 ELSE 200 END AS status, p_partkey * 37 % 101 AS score, p_partkey % 5 AS errors, p_partkey % 7 AS warnings,
-    ' ' || upper(left(p_name, 6)) AS title, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS description, p_name AS h1, p_partkey * 7 % 900 AS word_count, p_partkey * 3 % 1700 AS response_ms, p_partkey % 17 <> 0 AS index,
+    ' ' || upper(left(p_name, 6)) AS title, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS description, p_name AS h1, CASE WHEN p_partkey % 9 <> 0 THEN p_type || p_size END AS content_hash, p_partkey * 7 % 900 AS word_count, p_partkey * 3 % 1700 AS response_ms, p_partkey % 17 <> 0 AS index,
     p_partkey % 6 AS depth, CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS redirect_hops, p_partkey, p_size FROM part)"""
 
 
@@ -67,17 +68,47 @@ def site_category_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicates(column: str) -> str:
-    return f"""WITH {P} SELECT site_key, lower(trim({column})) AS key, arg_min(trim({column}), url) AS label, count(*) AS count, array_to_string(list_sort(list(url)), ' ') AS urls FROM p WHERE trim({column}) <> '' GROUP BY 1, 2 HAVING count(*) > 1"""
+    return f"""WITH {P}, g AS (SELECT site_key, lower(trim({column})) AS key, arg_min(trim({column}), url) AS label, count(*) AS count, list_sort(list(url)) AS urls FROM p WHERE trim({column}) <> '' GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY count DESC, urls[1], key) AS place, key, label, count, array_to_string(urls, ' ') AS urls FROM g"""
+
+
+def _duplicate_query(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return site.duplicate_groups(pages_of_parts(spark, sf_dir), F.col(column)).withColumns({"urls": F.array_join("urls", " "), "place": long("place")})
 
 
 @query(_duplicates("title"))
 def site_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicate_groups(pages_of_parts(spark, sf_dir), F.col("title")).withColumn("urls", F.array_join("urls", " "))
+    return _duplicate_query(spark, sf_dir, "title")
 
 
 @query(_duplicates("description"))
 def site_duplicate_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicate_groups(pages_of_parts(spark, sf_dir), F.col("description")).withColumn("urls", F.array_join("urls", " "))
+    return _duplicate_query(spark, sf_dir, "description")
+
+
+@query(_duplicates("h1"))
+def site_duplicate_h1s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _duplicate_query(spark, sf_dir, "h1")
+
+
+@query(_duplicates("content_hash"))
+def site_duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _duplicate_query(spark, sf_dir, "content_hash")
+
+
+@query(
+    f"""WITH {P}, i AS (SELECT site_key, url, unnest([CASE WHEN status >= 400 THEN ('broken', status, 0) END, CASE WHEN NOT index THEN ('not_indexable', NULL, 0) END, CASE WHEN word_count < 300 THEN ('thin', word_count, word_count) END,
+    CASE WHEN depth > 3 THEN ('deep', depth, 0) END, CASE WHEN response_ms > 800 THEN ('slow', response_ms, -response_ms) END, CASE WHEN redirect_hops > 0 THEN ('redirected', redirect_hops, 0) END,
+    CASE WHEN trim(title) = '' THEN ('no_title', NULL, 0) END, CASE WHEN trim(description) = '' THEN ('no_description', NULL, 0) END, CASE WHEN trim(h1) = '' THEN ('no_h1', NULL, 0) END]) AS x FROM p)
+    SELECT site_key, x[1] AS issue, row_number() OVER (PARTITION BY site_key, x[1] ORDER BY x[3], url) AS place, url, CAST(x[2] AS DOUBLE) AS value FROM i WHERE x IS NOT NULL"""
+)
+def site_page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.page_lists(pages_of_parts(spark, sf_dir)).withColumn("place", long("place"))
+
+
+@query("SELECT event_id, CASE WHEN s BETWEEN 200 AND 299 THEN 'ok' WHEN s >= 400 THEN 'fail' ELSE 'warn' END AS band FROM (SELECT event_id, event_id * 7 % 600 AS s FROM events)")
+def status_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", status_band(F.expr("event_id * 7 % 600")).alias("band"))
 
 
 @query(f"WITH {L} SELECT site_key, dst, count(DISTINCT src) AS sources FROM l GROUP BY 1, 2")
