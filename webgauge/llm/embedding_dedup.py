@@ -1,7 +1,7 @@
 """Embedding near-duplicates as an exact metric range join.
 
-Unit vectors are points on the sphere; cosine >= t is chord distance <= r = sqrt(2 - 2t).  Pivots, as many as the square
-root of a label's vectors, split them into cells by nearest pivot.  A vector is replicated to every other cell whose
+Unit vectors are points on the sphere; cosine >= t is chord distance <= r = sqrt(2 - 2t).  Pivots, more the more vectors
+a label has, split them into cells by nearest pivot.  A vector is replicated to every other cell whose
 members can lie within r of it: by the triangle inequality only where d(x, q) - d(x, home) <= 2r, and of these only where
 the plane halfway between the two pivots is no farther than r.  Each cell then joins alone: its home vectors against home
 and replicas.
@@ -55,7 +55,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def pivot_count(rows: int) -> int:
-    """As many pivots as a cell then has vectors on average."""
+    """Of a label in one task: as many pivots as a cell then has vectors on average."""
     return max(1, math.ceil(math.sqrt(rows)))
 
 
@@ -131,9 +131,13 @@ def _join_small(reps: DataFrame, threshold: float) -> DataFrame:
     return reps.repartition("group").sortWithinPartitions("group").select("group", "rep", "weight", "unit").mapInPandas(run, "rep long, links long, root long")
 
 
-def _assign(reps: DataFrame, radius: float) -> DataFrame:
-    """(group, rep, weight, unit, home, to) of vectors of large labels (with n, the label's vectors)."""
-    k = F.ceil(F.sqrt("n")).cast("int")
+def _assign(reps: DataFrame, radius: float, cell_rows: int) -> DataFrame:
+    """(group, rep, weight, unit, home, to) of vectors of large labels (with n, the label's vectors).
+
+    Replicas have to be moved and, where vectors lie all alike, grow with the pivots: so there are pivots for cells of
+    half ``cell_rows``, and from where these are more, the square root of the vectors.
+    """
+    k = F.least(F.ceil(F.sqrt("n")), F.ceil(F.col("n") * 2 / cell_rows)).cast("int")
     drawn = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 40))
     # about twice as many as pivots are drawn, then the first of these by the same number
     sample = reps.select("group", "unit", "n", drawn.alias("drawn"), "rep").where(F.col("drawn") < (1 << 40) * 2.0 * k / F.col("n"))
@@ -160,7 +164,7 @@ def _assign(reps: DataFrame, radius: float) -> DataFrame:
 
 def _join_large(reps: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     """(rep, links, root) of labels that are split by a table of pivots; a root may come several times."""
-    placed = write_table(_assign(reps, math.sqrt(2 - 2 * threshold)), "placed")
+    placed = write_table(_assign(reps, math.sqrt(2 - 2 * threshold), cell_rows), "placed")
     # a cell's home vectors and its members (replicas too) are dealt to blocks; a task joins one of each, so its size is
     # bounded however many vectors a cell has
     members = placed.select("group", "rep", "weight", "unit", "home", F.explode(F.concat(F.array("home"), "to")).alias("cell"))
