@@ -107,8 +107,7 @@ def page_lists(pages: DataFrame) -> DataFrame:
 
 def redirect_pairs(pages: DataFrame) -> DataFrame:
     """(site_key, from, to, hops) of pages that were reached through redirects."""
-    start = F.coalesce(F.get("redirect_chain", F.lit(0))["url"], "requested_url")
-    return pages.where("redirect_hops > 0").select("site_key", start.alias("from"), F.col("final_url").alias("to"), F.col("redirect_hops").alias("hops"))
+    return pages.where("redirect_hops > 0").select("site_key", F.col("redirect_from").alias("from"), F.col("final_url").alias("to"), F.col("redirect_hops").alias("hops"))
 
 
 def issue_counts(pages: DataFrame) -> DataFrame:

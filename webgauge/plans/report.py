@@ -15,11 +15,10 @@ from webgauge.runtime import built_once, materialize
 
 
 def audited(captures: DataFrame) -> DataFrame:
-    """Captures (page_id, url, html, ...) with doc, x and g; absent capture columns are assumed."""
-    spark = captures.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if captures._jdf.queryExecution().toRdd().getNumPartitions() < cores:  # a small file is one partition
-        captures = captures.repartition(cores)
+    """Captures (page_id, url, html, ...) with doc, x and g; absent capture columns are assumed.
+
+    Row by row: the partitions are those of the captures, which ``spark.sql.files.maxPartitionBytes`` sets for files.
+    """
     out = with_derived(extract_documents(complete(captures)))
     return out.withColumn("g", built_once(captures.sparkSession, "signals", geo.signals))
 
@@ -72,13 +71,14 @@ def page_summaries(pages: DataFrame, found: DataFrame, mode: str = "seo") -> Dat
     flat = pages.select(
         "page_id", urls.host(F.col("url")).alias("site_key"), urls.canonical(F.col("url")).alias("url"), F.coalesce("requested_url", "url").alias("requested_url"), "status", d["title"].alias("title"), d["description"].alias("description"),
         F.get(x["h1s"], F.lit(0))["text"].alias("h1"), x["word_count"].alias("word_count"), F.col("total_ms").alias("response_ms"), (~F.regexp_like(d["robots_meta"], F.lit(r"\bnoindex\b"))).alias("index"),
-        d["canonical"].alias("canonical"), F.coalesce(F.size("redirect_chain"), F.lit(0)).alias("redirect_hops"), F.size(d["internal"]).alias("internal_links"), F.size(d["external"]).alias("external_links"), x["content_hash"].alias("content_hash"),
+        d["canonical"].alias("canonical"), F.coalesce(F.size("redirect_chain"), F.lit(0)).alias("redirect_hops"), F.coalesce(F.get("redirect_chain", F.lit(0))["url"], "requested_url", "url").alias("redirect_from"), F.col("url").alias("final_url"), F.size(d["internal"]).alias("internal_links"), F.size(d["external"]).alias("external_links"), x["content_hash"].alias("content_hash"),
     )
     out = flat.join(overall, "page_id").join(scoring.page_totals(found).select("page_id", "errors", "warnings"), "page_id").join(by_key, "page_id")
     return out.join(actions, "page_id", "left")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(site_key, src, dst, nofollow) of links between pages of a site, in canonical form."""
-    links = pages.select(urls.host(F.col("url")).alias("site_key"), urls.canonical(F.col("url")).alias("src"), F.explode("doc.internal").alias("a"))
-    return links.select("site_key", "src", urls.canonical(F.col("a.href")).alias("dst"), F.col("a.nofollow").alias("nofollow")).where("dst is not null").where(urls.is_page(F.col("dst"))).distinct()
+    """(site_key, src, dst, pos, nofollow) of links between pages of a site, in canonical form; pos: the first's place."""
+    links = pages.select(urls.host(F.col("url")).alias("site_key"), urls.canonical(F.col("url")).alias("src"), F.posexplode("doc.internal").alias("pos", "a"))
+    links = links.select("site_key", "src", urls.canonical(F.col("a.href")).alias("dst"), "pos", F.col("a.nofollow").alias("nofollow")).where("dst is not null").where(urls.is_page(F.col("dst")))
+    return links.groupBy("site_key", "src", "dst").agg(F.min("pos").alias("pos"), F.bool_and("nofollow").alias("nofollow"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, STOP_WORDS
 from webgauge.functions import urls
 from webgauge.operators import scoring
-from webgauge.plans import report, views
+from webgauge.plans import audit, report, views
 from webgauge.queries.registry import long, query, sql_list, sql_tokens, sql_values, table
 from webgauge.runtime import materialize
 from webgauge.sources import captures
@@ -61,6 +61,12 @@ def url_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("page_id", long("pos").alias("pos"), urls.resolve(F.col("href"), F.col("url")).alias("resolved"), urls.same_site(F.concat(F.lit("https://"), other, F.col("href")), F.col("url")).alias("same_site"))
 
 
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured pages.  The table given is one file of one row group, which no split divides: it's dealt to all cores."""
+    pages = table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))
+    return pages.repartition(spark.sparkContext.defaultParallelism) if len(pages.inputFiles()) == 1 else pages
+
+
 # -- page model ------------------------------------------------------------------------------------------------------
 
 BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
@@ -89,19 +95,19 @@ def page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that depend on tree construction (reopened formatting elements), held against cases in tests."""
-    pages = report.audited(table(spark, sf_dir, "pages"))
+    pages = report.audited(captured(spark, sf_dir))
     d, x = F.col("doc"), F.col("x")
     return pages.select("page_id", F.size(d["bold"]).alias("bold"), F.size(d["paragraphs"]).alias("paragraphs"), F.size(d["headings"]).alias("headings"), x["word_count"].alias("word_count"), x["sentence_count"].alias("sentences"), x["language"]["code"].alias("language"), x["duplicate_paragraphs"].alias("duplicate_paragraphs"), F.size(d["text_issues"]).alias("text_issues"))
 
 
 @query()
 def seo_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.findings(report.audited(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))), "seo")
+    return report.findings(report.audited(captured(spark, sf_dir)), "seo")
 
 
 @query()
 def geo_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.findings(report.audited(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))), "geo")
+    return report.findings(report.audited(captured(spark, sf_dir)), "geo")
 
 
 @query()
@@ -116,12 +122,12 @@ def geo_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.page_reports(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp")), "seo")
+    return report.page_reports(captured(spark, sf_dir), "seo")
 
 
 @query()
 def site_page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = materialize(report.audited(table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))), "audited")
+    pages = materialize(report.audited(captured(spark, sf_dir)), "audited")
     return report.page_summaries(pages, report.findings(pages, "seo"), "seo")
 
 
@@ -243,12 +249,12 @@ def site_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def element_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.element_counts(report.audited(table(spark, sf_dir, "pages")))
+    return views.element_counts(report.audited(captured(spark, sf_dir)))
 
 
 @query()
 def evidence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.evidence_verdicts(report.audited(table(spark, sf_dir, "pages")))
+    return views.evidence_verdicts(report.audited(captured(spark, sf_dir)))
 
 
 RULE_SAMPLE = ["Title", "Meta description", "Domain", "Page URL", "HTTPS", "H1 heading", "Doctype", "Charset encoding", "Frames", "Other meta tags"]
@@ -284,5 +290,37 @@ def _holds(test: str, otherwise: str = "warn") -> str:
 )
 def seo_rule_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten checks of the search ruleset whose predicates SQL can restate over the raw HTML and URL."""
-    found = report.findings(report.audited(table(spark, sf_dir, "pages")), "seo")
+    found = report.findings(report.audited(captured(spark, sf_dir)), "seo")
     return found.where(F.col("check").isin(RULE_SAMPLE)).select("page_id", "check", long("find_pos").alias("find_pos"), "status")
+
+
+# -- whole sites -------------------------------------------------------------------------------------------------------
+
+
+def fetched_of_pages(spark: SparkSession, sf_dir: str) -> audit.Fetched:
+    """The captured pages, and for each of their origins a robots.txt, a sitemap of all its pages and an llms.txt."""
+    pages = captured(spark, sf_dir)
+    own = pages.select("page_id", "url", urls.origin(F.col("url")).alias("origin"))
+    origins = own.select("origin").distinct()
+    kind = F.length("origin") % 3
+    robots = origins.select("origin", F.when(kind == 2, 404).otherwise(200).alias("status"), F.when(kind == 0, "User-agent: GPTBot\nDisallow: /\n").otherwise("User-agent: *\nDisallow: /p\n").alias("text"))
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    lists = own.groupBy("origin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    sitemaps = lists.select(F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("xml"))
+    llms = origins.select("origin", F.when(kind == 1, 200).otherwise(404).alias("status"), F.lit("# site\n[a](/a)").alias("text"))
+    return audit.Fetched(pages, robots, sitemaps, llms)
+
+
+@query(
+    f"""WITH {U}, o AS (SELECT page_id, path, length(scheme || '://' || host) % 3 AS k FROM u)
+    SELECT page_id, k <> 2 AS robots_found, CASE WHEN k = 1 AND starts_with(path, '/p') THEN '/p' END AS blocking_rule, CASE WHEN k = 1 AND starts_with(path, '/p') THEN 5 ELSE 0 END AS blocked_retrieval, TRUE AS sitemap_found, k = 1 AS llms_found FROM o"""
+)
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.with_context(fetched_of_pages(spark, sf_dir))
+    return found.select("page_id", "robots_found", "blocking_rule", F.coalesce(long("blocked_retrieval"), F.lit(0)).alias("blocked_retrieval"), "sitemap_found", "llms_found")
+
+
+@query()
+def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each site of the captured pages; tests hold its parts against a small site counted by hand."""
+    return audit.audit_sites(fetched_of_pages(spark, sf_dir)).withColumn("score", F.to_json("score")).select("site_key", "mode", "score", F.to_json("issues").alias("issues"), F.size("todos").alias("todos"), F.size("pages").alias("pages"))
