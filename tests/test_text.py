@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from webgauge.functions import numbers
 from webgauge.functions import text as tx
 from webgauge.operators.extract import text_issues
-from webgauge.operators.keywords import keep_keywords, keyword_candidates, keywords
+from webgauge.operators.keywords import keyword_candidates, keywords
 
 
 def one(spark, column, text):
@@ -87,5 +87,5 @@ def test_keywords_drop_what_a_longer_one_covers(spark):
 def test_keywords_stop_at_the_limit_and_survive_bad_urls(spark):
     text = " ".join(f"{a}word{a}" for a in "abcdefghijklmnopqrstuvwxyzABCDEFGH" for _ in range(2))
     rows = spark.createDataFrame([(1, text, None, None, None, "https://x.org/%zz"), (2, "", "", "", [], "")], CASE)
-    got = keep_keywords(keyword_candidates(rows)).collect()
+    got = keywords(rows).collect()
     assert len(got) == 25 and {r.id for r in got} == {1} and not any(r.in_url for r in got)

@@ -108,16 +108,3 @@ def plural(word: Column, n: Column) -> Column:
 
 def is_stop(word: Column) -> Column:
     return word.isin(STOP_WORDS)
-
-
-def is_keyword_gram(gram: Column) -> Column:
-    """Whether 1 to 3 tokens can be a keyword."""
-    stops = F.size(F.filter(gram, is_stop))
-    return (
-        ~is_stop(F.element_at(gram, 1))
-        & ~is_stop(F.element_at(gram, -1))
-        & ~F.forall(gram, lambda w: w.isin(NOISE_WORDS))
-        & F.forall(gram, lambda w: F.char_length(w) >= 2)
-        & ~F.forall(gram, lambda w: F.regexp_like(w, F.lit(r"^[0-9]+$")))
-        & ((F.size(gram) == 1) | (stops <= F.size(gram) - 2))
-    )

@@ -9,7 +9,7 @@ from webgauge.constants import ARIAL_WIDTHS, FALLBACK_WIDTH, LANGUAGE_MARKERS, N
 from webgauge.functions import numbers
 from webgauge.functions import text as tx
 from webgauge.operators.extract import text_issues
-from webgauge.operators.keywords import keep_keywords, keyword_candidates
+from webgauge.operators.keywords import keyword_candidates, keywords
 from webgauge.plans import views
 from webgauge.queries.registry import long, query, six, sql_list, sql_six, sql_tokens, sql_values, table
 
@@ -139,7 +139,7 @@ def keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n.id, n.rank, r.keyword, CAST(r.words AS BIGINT) AS words, r.count, floor(r.density * 100 + 0.5) / CAST(100 AS DOUBLE) AS density, floor(r.score * 10 + 0.5) / CAST(10 AS DOUBLE) AS score FROM n JOIN r ON r.id = n.id AND r.place = n.place"""
 )
 def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = keep_keywords(keyword_candidates(_keyword_rows(spark, sf_dir)))
+    k = keywords(_keyword_rows(spark, sf_dir))
     return k.select("id", long("rank").alias("rank"), "keyword", long("words").alias("words"), "count", "density", "score")
 
 
