@@ -9,7 +9,7 @@ from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTA
 from webgauge.functions import urls
 from webgauge.operators import scoring
 from webgauge.plans import audit, report, views
-from webgauge.queries.registry import long, query, sql_list, sql_tokens, sql_values, table
+from webgauge.queries.registry import dealt, long, query, sql_list, sql_tokens, sql_values, table
 from webgauge.runtime import materialize
 from webgauge.sources import captures
 
@@ -62,9 +62,7 @@ def url_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captured pages.  The table given is one file of one row group, which no split divides: it's dealt to all cores."""
-    pages = table(spark, sf_dir, "pages").withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))
-    return pages.repartition(spark.sparkContext.defaultParallelism) if len(pages.inputFiles()) == 1 else pages
+    return dealt(table(spark, sf_dir, "pages")).withColumn("as_of", F.lit("2024-06-01").cast("timestamp"))
 
 
 # -- page model ------------------------------------------------------------------------------------------------------
@@ -85,7 +83,7 @@ def page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webgauge.operators.extract import extract_documents
 
     d = F.col("doc")
-    docs = extract_documents(table(spark, sf_dir, "pages"))
+    docs = extract_documents(dealt(table(spark, sf_dir, "pages")))
     return docs.select(
         "page_id", d["title"].alias("title"), F.get(d["headings"], F.lit(0))["text"].alias("h1"), d["html_lang"].alias("html_lang"), F.upper(d["charset_meta"]).alias("charset"), long(F.size(d["internal"])).alias("internal_links"),
         long(F.size(d["item_texts"])).alias("items"), d["body_text"].alias("body_text"),

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for work that is heavy on each.  The tables given are one file of one row group, which no split divides: such a
+    file is dealt to all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if len(rows.inputFiles()) == 1 else rows
+
+
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 

@@ -11,7 +11,7 @@ from webgauge.functions import text as tx
 from webgauge.operators.extract import text_issues
 from webgauge.operators.keywords import keyword_candidates, keywords
 from webgauge.plans import views
-from webgauge.queries.registry import long, query, six, sql_list, sql_six, sql_tokens, sql_values, table
+from webgauge.queries.registry import dealt, long, query, six, sql_list, sql_six, sql_tokens, sql_values, table
 
 STOPS = sql_list(STOP_WORDS)
 
@@ -52,7 +52,7 @@ def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id AND r.n = 1"""
 )
 def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", tx.language(_text()).alias("l"))
+    found = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.language(_text()).alias("l"))
     return found.select("doc_id", F.col("l.code").alias("code"), six(F.col("l.confidence")).alias("confidence"))
 
 
@@ -101,7 +101,7 @@ def text_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     line = F.split_part(_text(), F.lit("\n"), F.lit(1))
     return d.select(F.col("doc_id").alias("id"), _text().alias("text"), line.alias("title"), F.col("lang").alias("description"), F.array(line, F.col("source")).alias("headings"), F.concat(F.lit("https://example.org/"), F.col("source"), F.lit("/the-page")).alias("url"))
 
