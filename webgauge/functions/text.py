@@ -11,7 +11,6 @@ from webgauge.constants import (
     LANGUAGE_LEAST_TOKENS,
     LANGUAGE_MARKERS,
     LANGUAGE_TOKENS,
-    NOISE_WORDS,
     STOP_WORDS,
 )
 from webgauge.functions.numbers import round_half_up
@@ -104,7 +103,3 @@ def content_hash(words: Column, paragraphs: Column, least_words: int = 50) -> Co
 def plural(word: Column, n: Column) -> Column:
     many = F.when(F.regexp_like(word, F.lit("[^aeiou]y$")), F.regexp_replace(word, "y$", "ies")).when(F.regexp_like(word, F.lit("(s|sh|ch|x)$")), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
     return F.when(n == 1, word).otherwise(many)
-
-
-def is_stop(word: Column) -> Column:
-    return word.isin(STOP_WORDS)

@@ -11,6 +11,7 @@ from webgauge.functions import urls
 from webgauge.functions.numbers import days_between
 from webgauge.plans.catalog import Check, cases, holds, info
 
+# Fixed value: types of publishers.
 ORGANIZATION = "(?i)Organization|LocalBusiness|Corporation|MedicalOrganization"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, STOP_WORDS
+from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, SESSION_PARAMS, STOP_WORDS, TRACKING_ANALYSIS
 from webgauge.functions import urls
 from webgauge.operators import scoring
 from webgauge.plans import audit, report, views
@@ -203,7 +203,7 @@ def page_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY child, i) - 1 AS pos, replace(loc, '&amp;', '&') AS url FROM l QUALIFY pos < {MAX_SITEMAP_URLS}"""
 )
 def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of sitemaps for each origin, of all its pages; an origin gives as many as the reference reads of one."""
+    """An index of sitemaps for each origin, of all its pages; an origin gives the first MAX_SITEMAP_URLS of them."""
     p = table(spark, sf_dir, "pages").withColumn("origin", urls.origin(F.col("url")))
     entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
     lists = p.groupBy("origin", (F.col("page_id") % MAX_CHILD_SITEMAPS).alias("child")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("x")))), lambda s: s["x"]), "").alias("x"))
@@ -256,8 +256,6 @@ def evidence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULE_SAMPLE = ["Title", "Meta description", "Domain", "Page URL", "HTTPS", "H1 heading", "Doctype", "Charset encoding", "Frames", "Other meta tags"]
-TRACKING = "(?i)^(utm_|gclid|fbclid|msclkid|mc_cid|mc_eid|_ga)"
-SESSION = "(?i)^(sid|sessionid|session_id|phpsessid|jsessionid|aspsessionid|zenid)$"
 PLAIN_TITLE = _plain("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")
 
 
@@ -275,7 +273,7 @@ def _holds(test: str, otherwise: str = "warn") -> str:
             CASE WHEN title <> '' AND upper(title) = title AND length(title) > 12 THEN 'warn' END, 'info']) AS status, unnest(range(0, 5)) AS find_pos FROM a
         UNION ALL SELECT page_id, 'Meta description', 'fail', 0 FROM a
         UNION ALL SELECT page_id, 'Domain', unnest([{_holds("len(string_split(host, '.')) <= 2 OR starts_with(host, 'www.')")}, {_holds("length(split_part(host, '.', -2)) <= 20")}, {_holds("NOT contains(host, 'xn--') AND regexp_full_match(host, '[\\x00-\\x7f]*')")}]), unnest(range(0, 3)) FROM a
-        UNION ALL SELECT page_id, 'Page URL', unnest([{_holds(f"len(list_filter(keys, lambda x: NOT regexp_matches(x, '{TRACKING}'))) = 0")}, {_holds(f"len(list_filter(keys, lambda x: regexp_matches(x, '{SESSION}'))) = 0", "fail")},
+        UNION ALL SELECT page_id, 'Page URL', unnest([{_holds(f"len(list_filter(keys, lambda x: NOT regexp_matches(x, '{TRACKING_ANALYSIS}'))) = 0")}, {_holds(f"len(list_filter(keys, lambda x: regexp_matches(x, '{SESSION_PARAMS}'))) = 0", "fail")},
             {_holds("len(list_filter(string_split(path, '/'), lambda s: s <> '')) <= 4")}, {_holds("length(path) <= 100")}, {_holds("NOT regexp_matches(path, '[A-Z_]')")}]), unnest(range(0, 5)) FROM a
         UNION ALL SELECT page_id, 'HTTPS', unnest([{_holds("scheme = 'https'", "fail")}, CASE WHEN scheme = 'https' THEN 'ok' END]), unnest(range(0, 2)) FROM a
         UNION ALL SELECT page_id, 'H1 heading', unnest([CASE WHEN len(h1) = 0 THEN 'fail' WHEN len(h1) > 1 THEN 'warn' ELSE 'ok' END, CASE WHEN len(h1) > 0 THEN CASE WHEN h1[1] = 0 THEN 'fail' WHEN h1[1] < 15 OR h1[1] > 110 THEN 'warn' ELSE 'ok' END END]), unnest(range(0, 2)) FROM a
