@@ -1,7 +1,8 @@
 """HTML tree construction by the HTML standard's rules that matter for scoring.
 
 Implied html, head and body; implied end tags; raw text; reconstruction of active formatting elements and the adoption
-agency for misnested ones.  Tables don't foster-parent stray content: it stays where it is.
+agency for misnested ones; the table modes, with implied sections and rows, and what doesn't belong in a table moved
+before it.
 """
 
 from __future__ import annotations
@@ -23,16 +24,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
 SPECIAL = CLOSES_P | VOID | SCOPE | frozenset("body button colgroup frame frameset head iframe li dd dt noembed noframes noscript script select style tbody textarea tfoot thead title tr".split())
-TABLE_PARTS = {
-    "caption": {"table"},
-    "colgroup": {"table"},
-    "thead": {"table"},
-    "tbody": {"table"},
-    "tfoot": {"table"},
-    "tr": {"table", "thead", "tbody", "tfoot"},
-    "td": {"tr", "table"},
-    "th": {"tr", "table"},
-}
+SECTIONS, CELLS = frozenset({"tbody", "tfoot", "thead"}), frozenset({"td", "th"})
+TABLE_PARTS = SECTIONS | CELLS | {"caption", "col", "colgroup", "tr"}
+#: Where text and most elements don't belong; they go before the table.
+NO_CONTENT = SECTIONS | {"table", "tr"}
+#: The innermost of these that is open says which rules hold.
+MODES = dict.fromkeys(SECTIONS, "section") | dict.fromkeys(CELLS, "cell") | {"tr": "row", "caption": "caption", "colgroup": "colgroup", "table": "table", "template": "template"}
+WHITE = " \t\n\f\r"
+#: Beginnings of public identifiers of document types under which a table doesn't end a paragraph.
+OLD_DOCTYPE = re.compile(r"(?i)<!doctype\s+html\s+public\s+[\"'](-//w3c//dtd html (3|4\.0 )|-//ietf//|-//w3o//|-//netscape|-//microsoft|-//w3c//dtd html 4\.01 (frameset|transitional)//[^\"']*[\"']\s*>)")
 
 
 class Node:
@@ -53,6 +53,19 @@ class Node:
         else:
             self.children.append(child)
 
+    def add_before(self, child: "Node | str", mark: "Node") -> None:
+        """Put a child before another of this node; text joins the text that is there."""
+        if isinstance(child, Node) and child.parent is not None:
+            child.parent.children = [c for c in child.parent.children if c is not child]
+        at = next(i for i in range(len(self.children) - 1, -1, -1) if self.children[i] is mark)
+        if isinstance(child, Node):
+            child.parent = self
+            self.children.insert(at, child)
+        elif at and isinstance(self.children[at - 1], str):
+            self.children[at - 1] += child
+        else:
+            self.children.insert(at, child)
+
     def walk(self):
         """Descendant elements in document order."""
         todo = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -109,6 +122,10 @@ class Builder:
         self.stack: list[Node] = [self.html]
         self.active: list[Node | None] = []  # None marks a scope
         self.in_head = True
+        self.quirks = False  # an old document type; a page without one is read like a current one
+        self.tables = False  # whether a table or template was opened at all
+        self.fostering = False
+        self.form: Node | None = None
 
     def open_body(self, attrs: dict[str, str] | None = None) -> None:
         if self.body is None:
@@ -145,11 +162,188 @@ class Builder:
 
     def insert(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        self.top.add(node)
+        self.place(node, self.top)
+        self.tables = self.tables or tag in ("table", "template")
         if tag not in VOID:
             self.stack.append(node)
         return node
 
+    def place(self, child: Node | str, parent: Node) -> None:
+        """Add a child, or put it before the innermost table where ``parent`` may not hold it."""
+        if not self.fostering or parent.tag not in NO_CONTENT:
+            parent.add(child)
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            n = self.stack[k]
+            if n.tag == "template":
+                n.add(child)
+                return
+            if n.tag == "table":
+                if n.parent is not None:
+                    n.parent.add_before(child, n)
+                else:
+                    self.stack[k - 1].add(child)
+                return
+        self.html.add(child)
+
+    def mode(self) -> str:
+        if self.tables:
+            for n in reversed(self.stack):
+                if n.tag in MODES:
+                    return MODES[n.tag]
+        return "body"
+
+    def in_table_scope(self, tags) -> bool:
+        for n in reversed(self.stack):
+            if n.tag in tags:
+                return True
+            if n.tag in ("html", "table", "template"):
+                return False
+        return False
+
+    def back_to(self, *tags: str) -> None:
+        """Close what is open in a part of a table."""
+        while self.top.tag not in tags and self.top.tag not in ("template", "html", "body"):
+            self.stack.pop()
+
+    def end_part(self, *tags: str) -> None:
+        self.back_to(*tags)
+        if self.top.tag in tags:
+            self.stack.pop()
+
+    def end_cell(self, *tags: str) -> None:
+        """Close a cell or caption and the formatting opened in it."""
+        self.implied_ends()
+        self.pop_to(set(tags))
+        self.clear_to_marker()
+
+    def table_start(self, tag: str, attrs: dict[str, str], closed: bool) -> bool:
+        """What the table modes do with a start tag; False leaves it to the rules of the body."""
+        while True:
+            mode = self.mode()
+            if mode == "body":
+                return False
+            if mode == "template":
+                if tag not in TABLE_PARTS or self.top.tag != "template":
+                    return False
+                self.insert(tag, attrs)
+                if tag in CELLS or tag == "caption":
+                    self.active.append(None)
+                return True
+            if mode in ("cell", "caption"):
+                if tag not in TABLE_PARTS:
+                    return False
+                self.end_cell(*(CELLS if mode == "cell" else ("caption",)))
+                continue
+            if mode == "colgroup":
+                if tag == "template":
+                    return False
+                if tag == "col":
+                    self.insert(tag, attrs)
+                    return True
+                if self.top.tag != "colgroup":
+                    return True
+                self.stack.pop()
+                continue
+            if tag in TABLE_PARTS:
+                if mode == "row":
+                    if tag not in CELLS:
+                        self.end_part("tr")
+                        continue
+                    self.back_to("tr")
+                elif mode == "section":
+                    if tag in CELLS:
+                        self.back_to(*SECTIONS)
+                        self.insert("tr", {})
+                        continue
+                    if tag != "tr":
+                        self.end_part(*SECTIONS)
+                        continue
+                    self.back_to(*SECTIONS)
+                else:
+                    self.back_to("table")
+                    if tag in CELLS or tag == "tr":
+                        self.insert("tbody", {})
+                        continue
+                    if tag == "col":
+                        self.insert("colgroup", {})
+                        continue
+                self.insert(tag, attrs)
+                if tag in CELLS or tag == "caption":
+                    self.active.append(None)
+                return True
+            if tag == "table":
+                self.pop_to({"table"})
+                continue
+            if tag in ("script", "style", "template"):
+                return False
+            if tag == "input" and attrs.get("type", "").lower() == "hidden":
+                self.insert(tag, attrs)
+                return True
+            if tag == "form":
+                if self.form is None and not any(n.tag == "template" for n in self.stack):
+                    self.form = self.insert(tag, attrs)
+                    self.stack.pop()
+                return True
+            self.fostering = True
+            self.body_start(tag, attrs, closed)
+            self.fostering = False
+            return True
+
+    def table_end(self, tag: str) -> bool:
+        """What the table modes do with an end tag; False leaves it to the rules of the body."""
+        outer = SECTIONS | {"table", "tr"}
+        while True:
+            mode = self.mode()
+            if mode in ("body", "template"):
+                return False
+            if mode in ("cell", "caption"):
+                own = CELLS if mode == "cell" else {"caption"}
+                if tag in own:
+                    if self.in_table_scope({tag}):
+                        self.end_cell(tag)
+                    return True
+                if tag in (outer if mode == "cell" else {"table"}):
+                    if not self.in_table_scope({tag}):
+                        return True
+                    self.end_cell(*own)
+                    continue
+                return tag in TABLE_PARTS
+            if mode == "colgroup":
+                if tag == "template":
+                    return False
+                if tag == "col" or self.top.tag != "colgroup":
+                    return True
+                self.stack.pop()
+                if tag == "colgroup":
+                    return True
+                continue
+            if mode == "row" and tag in outer:
+                if not self.in_table_scope({tag}):
+                    return True
+                self.end_part("tr")
+                if tag == "tr":
+                    return True
+                continue
+            if mode == "section" and tag in outer - {"tr"}:
+                if tag != "table" and not self.in_table_scope({tag}):
+                    return True
+                self.end_part(*SECTIONS)
+                if tag != "table":
+                    return True
+                continue
+            if tag == "table":
+                self.pop_to({"table"})
+                return True
+            if tag in TABLE_PARTS:
+                return True
+            if tag == "template":
+                return False
+            self.fostering = True
+            self.body_end(tag)
+            self.fostering = False
+            return True
+
     def reconstruct(self) -> None:
         """Open again the formatting elements that a block end closed."""
         if not self.active or self.active[-1] is None or self.active[-1] in self.stack:
@@ -224,7 +418,7 @@ class Builder:
                     bookmark = self.active.index(clone) + 1
                 clone.add(last)
                 last = clone
-            common.add(last)
+            self.place(last, common)
             clone = Node(element.tag, dict(element.attrs))
             for c in list(furthest.children):
                 if isinstance(c, Node):
@@ -270,13 +464,26 @@ class Builder:
             if self.top.tag in RAW or self.top.tag in ("noscript", "template"):
                 self.top.add(value)
                 return
-            if not value.strip(" \t\n\f\r"):
+            if not value.strip(WHITE):
                 return
             self.open_body()
-            value = value.lstrip(" \t\n\f\r")
-        if value.strip(" \t\n\f\r") or self.top.tag not in ("table", "tbody", "thead", "tfoot", "tr"):
-            self.reconstruct()
-            self.top.add(value)
+            value = value.lstrip(WHITE)
+        if self.top.tag == "colgroup":
+            rest = value.lstrip(WHITE)
+            if len(rest) < len(value):
+                self.top.add(value[: len(value) - len(rest)])
+            if not rest:
+                return
+            self.stack.pop()
+            value = rest
+        if self.top.tag in NO_CONTENT:
+            if not value.strip(WHITE):
+                self.top.add(value)
+                return
+            self.fostering = True
+        self.reconstruct()
+        self.place(value, self.top)
+        self.fostering = False
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag == "html":
@@ -308,13 +515,29 @@ class Builder:
             for k, v in attrs.items():
                 self.body.attrs.setdefault(k, v)
             return
+        if not self.table_start(tag, attrs, closed):
+            self.body_start(tag, attrs, closed)
+
+    def body_start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        if tag in TABLE_PARTS or tag == "frame":
+            return
+        if tag == "form":
+            templated = any(n.tag == "template" for n in self.stack)
+            if self.form is not None and not templated:
+                return
+            self.close_p()
+            node = self.insert(tag, attrs)
+            if not templated:
+                self.form = node
+            return
         if tag in HEAD_ONLY and tag not in ("noscript",):
             self.insert(tag, attrs)
             if tag == "template":
                 self.active.append(None)
             return
         if tag in CLOSES_P:
-            self.close_p()
+            if tag != "table" or not self.quirks:
+                self.close_p()
             if tag in HEADINGS and self.top.tag in HEADINGS:
                 self.stack.pop()
         elif tag == "li" or tag in ("dd", "dt"):
@@ -342,23 +565,6 @@ class Builder:
             self.adopt("nobr")
         elif tag in ("option", "optgroup") and self.top.tag == "option":
             self.stack.pop()
-        elif tag in TABLE_PARTS:
-            if not any(n.tag == "table" for n in self.stack):
-                return  # a table part outside tables is ignored
-            bounds = TABLE_PARTS[tag]
-            while self.top.tag not in bounds and self.top.tag not in ("html", "body", "template"):
-                if self.stack.pop().tag in ("td", "th", "caption"):
-                    self.clear_to_marker()
-            if tag in ("td", "th") and self.top.tag in ("table", "tbody", "thead", "tfoot"):
-                if self.top.tag == "table":
-                    self.insert("tbody", {})
-                self.insert("tr", {})
-            elif tag == "tr" and self.top.tag == "table":
-                self.insert("tbody", {})
-            self.insert(tag, attrs)
-            if tag in ("td", "th", "caption"):
-                self.active.append(None)
-            return
         if tag in FORMATTING:
             self.reconstruct()
             self.push_active(self.insert(tag, attrs))
@@ -380,6 +586,16 @@ class Builder:
             return
         if tag in ("html", "body", "head"):
             return
+        if not self.table_end(tag):
+            self.body_end(tag)
+
+    def body_end(self, tag: str) -> None:
+        if tag == "form" and not any(n.tag == "template" for n in self.stack):
+            node, self.form = self.form, None
+            if node is not None and self._node_in_scope(node):
+                self.implied_ends()
+                self.stack.remove(node)
+            return
         if tag == "br":
             self.reconstruct()
             self.insert("br", {})
@@ -406,14 +622,6 @@ class Builder:
                 self.implied_ends()
                 self.pop_to({tag})
                 self.clear_to_marker()
-        elif tag in TABLE_PARTS or tag == "table":
-            if any(n.tag == tag for n in self.stack):
-                while len(self.stack) > 2:
-                    n = self.stack.pop()
-                    if n.tag in ("td", "th", "caption"):
-                        self.clear_to_marker()
-                    if n.tag == tag:
-                        break
         elif tag in BLOCK_END:
             if self.in_scope({tag}):
                 self.implied_ends()
@@ -430,16 +638,24 @@ def parse(source: str) -> Node:
     """The document node of a page."""
     b = Builder()
     at, n = 0, len(source)
+    held: list[str] = []  # characters up to the next tag or comment: a table takes them as one
+
+    def flush() -> None:
+        if held:
+            b.text("".join(held))
+            held.clear()
+
     while at < n:
         lt = source.find("<", at)
         lt = n if lt < 0 else lt
         if lt > at:
             t = source[at:lt]
-            b.text(html.unescape(t) if "&" in t else t)
+            held.append(html.unescape(t) if "&" in t else t)
         if lt == n:
             break
         m = TAG.match(source, lt) or LOOSE_TAG.match(source, lt)
         if m:
+            flush()
             at = m.end()
             tag = m[2].lower()
             if m[1]:
@@ -456,15 +672,20 @@ def parse(source: str) -> Node:
                 gt = source.find(">", stop)
                 at = n if gt < 0 else gt + 1
         elif source.startswith("<!--", lt):
+            flush()
             end = source.find("-->", lt + 2)
             at = n if end < 0 else end + 3
         elif source[lt + 1 : lt + 2] in ("!", "?") or source.startswith("</", lt) and source[lt + 2 : lt + 3]:
+            flush()
             end = source.find(">", lt)
             at = n if end < 0 else end + 1
+            if b.body is None and source[lt : lt + 9].lower() == "<!doctype":
+                b.quirks = bool(OLD_DOCTYPE.match(source, lt))
         elif source[lt + 1 : lt + 2].isalpha():
             break
         else:
-            b.text("<")
+            held.append("<")
             at = lt + 1
+    flush()
     b.open_body()
     return b.document

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webgauge.queries import net, pages, site, text
+from webgauge.queries import capture, net, pages, site, text
 from webgauge.queries.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "net", "pages", "site", "text"]
+__all__ = ["ORACLE", "QUERIES", "capture", "net", "pages", "site", "text"]
