@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from webgauge.operators.extract import extract_documents
 from webgauge.queries.registry import long, query, table
+from webgauge.runtime import scratch_path
+from webgauge.sources import messages
+from webgauge.sources.captures import deflate
 
 #: Pages with broken tables, by part number: {n}, {b} and {t} are a part's name, brand and type.
 BROKEN_TABLES = [
@@ -41,3 +44,45 @@ def table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example/"), "p_partkey").alias("url"), F.concat(F.lit("<!doctype html>"), html).alias("html"))
     d = F.col("doc")
     return extract_documents(pages).select("page_id", d["body_text"].alias("body_text"), long(F.size(d["item_texts"])).alias("cells"), long(d["tables"]).alias("tables"))
+
+
+# -- HTTP messages -------------------------------------------------------------------------------------------------------
+
+ENCODINGS = ["identity", "gzip", "deflate"]
+
+
+def messages_of_pages(pages: DataFrame) -> DataFrame:
+    """Pages as responses in three content encodings, two in chunks, with headers that repeat."""
+    kind = (F.col("page_id") % 3).cast("int")
+    encoding = F.get(F.array(*map(F.lit, ENCODINGS)), kind)
+    latin = (kind == 0) & F.regexp_like("html", F.lit(r"^[\x00-\xff]*$"))
+    plain = F.when(latin, F.encode("html", "iso-8859-1")).otherwise(F.encode("html", "utf-8"))
+    body = deflate(plain, encoding)
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    lines = F.array(
+        header("Content-Type", F.when(latin, F.lit("text/html; charset=ISO-8859-1")).otherwise(F.lit("text/html; charset=utf-8"))), header("X-Seen", F.lit("first")), header("Content-Encoding", encoding),
+        header("x-seen", F.lit("again")), header("X-Page", F.col("page_id").cast("string")), header("Server", F.lit("one")), header("Server", F.lit("two")),
+        F.when(kind == 0, header("Content-Length", F.octet_length(body).cast("string"))).otherwise(header("Transfer-Encoding", F.lit("chunked"))),
+    )
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
+    status = F.when(F.col("page_id") % 10 == 9, 404).otherwise(200)
+    reason = F.when(F.col("page_id") % 10 == 9, "Not Found").otherwise("OK")
+    return pages.select("url", when.alias("fetched_at"), status.alias("status"), reason.alias("status_message"), F.lit("1.1").alias("http_version"), lines.alias("raw_headers"), body.alias("body"))
+
+
+@query(
+    f"""SELECT page_id, url, 1700000000 + page_id AS fetched, CASE WHEN page_id % 10 = 9 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 10 = 9 THEN 'Not Found' ELSE 'OK' END AS reason, '1.1' AS version,
+    {ENCODINGS!r}[page_id % 3 + 1] AS encoding, 'first, again' AS seen, 'one' AS server, CASE WHEN page_id % 3 = 0 THEN 'Content-Length' ELSE 'Transfer-Encoding' END AS last_header, CAST(8 AS BIGINT) AS header_lines,
+    sha256(html) AS digest, CAST(length(html) AS BIGINT) AS chars, FALSE AS truncated FROM pages"""
+)
+def message_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as HTTP messages to an archive and read from byte ranges of 64 KiB give the same pages."""
+    folder = scratch_path(spark, "archive")
+    messages.write_messages(messages_of_pages(table(spark, sf_dir, "pages")).repartition(4), folder)
+    found = messages.captures_of_messages(messages.read_messages(spark, folder, split_bytes=64 << 10))
+    header = lambda name: F.try_element_at("headers", F.lit(name))
+    return found.select(
+        header("x-page").cast("long").alias("page_id"), "url", F.unix_seconds("fetched_at").alias("fetched"), "status", F.col("status_message").alias("reason"), F.col("http_version").alias("version"),
+        F.col("content_encoding").alias("encoding"), header("x-seen").alias("seen"), header("server").alias("server"), F.element_at("raw_headers", -1)["name"].alias("last_header"), long(F.size("raw_headers")).alias("header_lines"),
+        F.sha2("html", 256).alias("digest"), long(F.char_length("html")).alias("chars"), "truncated",
+    )

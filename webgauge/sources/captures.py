@@ -32,9 +32,8 @@ def charset(content_type: Column, body: Column) -> Column:
     head = F.decode(F.substring(body, 1, 4096), "iso-8859-1")
     sniffed = F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)
     named = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=\"?([^\s;\"']+)", 1), F.lit("")), F.nullif(sniffed, F.lit("")), F.lit("utf-8")))
-    for alias, encoding in READ_AS.items():
-        named = F.when(named == alias, encoding).otherwise(named)
-    return named
+    read_as = F.create_map(*[F.lit(x) for pair in READ_AS.items() for x in pair])
+    return F.coalesce(F.try_element_at(read_as, named), named)
 
 
 @F.arrow_udf(T.StringType())
@@ -55,16 +54,29 @@ def decode_body(content_type: Column, body: Column) -> Column:
     return F.when((name == "utf-8") & text.isNotNull(), text).otherwise(_decode_other(body, name))
 
 
+def _unpacked(data: bytes, window: int) -> bytes:
+    """What one or more deflate streams, one after the other, hold; bytes after the last that are none are left out."""
+    out = []
+    while data:
+        d = zlib.decompressobj(window)
+        out.append(d.decompress(data) + d.flush())
+        if not d.eof:
+            raise zlib.error("the stream ends early")
+        data = d.unused_data if window == 31 and d.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
 @F.arrow_udf(T.BinaryType())
 def inflate(body: pa.Array, encoding: pa.Array) -> pa.Array:
     """gzip, deflate (with or without header) undone; other or broken bodies as they are."""
     out = []
     for b, e in zip(body.to_pylist(), encoding.to_pylist()):
-        windows = {"gzip": [31], "x-gzip": [31], "deflate": [15, -15]}.get((e or "").strip().lower(), [])
+        name = (e or "").lower()
+        windows = [] if "br" in name else [31] if "gzip" in name else [15, -15] if "deflate" in name else []
         done = b
-        for w in windows:
+        for w in windows if b else []:
             try:
-                done = zlib.decompress(b or b"", w)
+                done = _unpacked(b, w)
                 break
             except zlib.error:
                 continue
@@ -72,6 +84,19 @@ def inflate(body: pa.Array, encoding: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def deflate(body: pa.Array, encoding: pa.Array) -> pa.Array:
+    """Bodies packed by gzip or deflate; other encodings leave them as they are."""
+    out = []
+    for b, e in zip(body.to_pylist(), encoding.to_pylist()):
+        window = {"gzip": 31, "deflate": 15}.get(e or "")
+        if b is not None and window:
+            c = zlib.compressobj(wbits=window)
+            b = c.compress(b) + c.flush()
+        out.append(b)
+    return pa.array(out, pa.binary())
+
+
 def redirects(captures: DataFrame) -> DataFrame:
     """Captures with redirect_hops and whether they went too far."""
     hops = F.coalesce(F.size("redirect_chain"), F.lit(0))
