@@ -16,9 +16,11 @@ from webgauge.constants import MAX_DEPTH, MAX_PAGES
 from webgauge.functions import urls
 from webgauge.operators import robots, site, vitals
 from webgauge.operators.frontier import crawl_frontier, crawlable
+from webgauge.operators.redirects import followed
 from webgauge.plans import report
 from webgauge.runtime import materialize
 from webgauge.sources import captures as files
+from webgauge.sources.messages import captures_of_messages
 
 SITEMAP = r"(?i)<(urlset|sitemapindex)"
 
@@ -33,6 +35,18 @@ class Fetched:
     favicons: DataFrame | None = None
     field: DataFrame | None = None
 
+    @classmethod
+    def of_messages(cls, messages: DataFrame, probes: DataFrame | None = None, field: DataFrame | None = None) -> "Fetched":
+        """What captured HTTP messages hold: each address with what its redirects lead to, files by their address."""
+        answers = materialize(followed(captures_of_messages(messages)), "answers")
+        path, asked = urls.path(F.col("requested_url")), urls.origin(F.col("requested_url"))
+        own = answers.withColumns({"_path": path, "_asked": asked})
+        file = lambda name: own.where(F.col("_path") == name).groupBy(F.col("_asked").alias("origin")).agg(F.max_by(F.struct("status", F.col("html").alias("text")), "fetched_at").alias("a")).select("origin", "a.*")
+        maps = own.where(F.regexp_like("html", F.lit(SITEMAP))).groupBy(F.col("requested_url").alias("url")).agg(F.max_by(F.struct("status", F.col("html").alias("xml")), "fetched_at").alias("a")).select("url", "a.*")
+        page = ~F.col("_path").isin("/robots.txt", "/llms.txt") & ~F.regexp_like("html", F.lit(SITEMAP))
+        pages = own.where(page).drop("_path", "_asked", "site_key", "origin").withColumns({"page_id": F.xxhash64("requested_url"), "as_of": F.col("fetched_at")})
+        return cls(pages, file("/robots.txt"), maps, file("/llms.txt"), probes, None, field)
+
     def robots_texts(self) -> DataFrame:
         return files.read_robots(self.robots).where("found").select("origin", "text")
 
@@ -126,10 +140,11 @@ def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH,
     moved = summaries.select("site_key", urls.canonical(F.col("requested_url")).alias("asked"), F.col("url").alias("identity")).where("asked <> identity").groupBy("site_key", F.col("asked").alias("url")).agg(F.min("identity").alias("identity"))
     open_pages = crawlable(listed.withColumns({"src": F.col("url"), "dst": F.col("url")}), rules).select("site_key", "pos", "url")
     claimed = crawl_frontier(seeds, links, max_depth, max_pages, open_pages, moved)
-    claimed = claimed.join(moved, ["site_key", "url"], "left").select("site_key", F.coalesce("identity", "url").alias("url"), "depth", "source", "place")
+    claimed = claimed.join(moved, ["site_key", "url"], "left").select("site_key", F.coalesce("identity", "url").alias("url"), F.col("url").alias("asked"), "depth", "source", "place")
     claimed = materialize(claimed, "claimed")
-    first = Window.partitionBy("site_key", "url").orderBy("page_id")
-    crawled = summaries.withColumn("again", F.row_number().over(first)).where("again = 1").join(claimed.drop("place"), ["site_key", "url"])
+    # of several captures that end at one address the one that the crawl asked for
+    first = Window.partitionBy("site_key", "url").orderBy(urls.canonical(F.col("requested_url")) != F.col("asked"), "page_id")
+    crawled = summaries.join(claimed.drop("place"), ["site_key", "url"]).withColumn("again", F.row_number().over(first)).where("again = 1").drop("again", "asked")
     unreachable = claimed.join(summaries, ["site_key", "url"], "left_anti").select("site_key", "url")
     between = links.join(claimed.select("site_key", F.col("url").alias("src")), ["site_key", "src"], "left_semi")
     return site_reports(crawled, between, listed, unreachable, mode)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgauge.constants import MAX_REDIRECTS
+from webgauge.operators import redirects
 from webgauge.operators.extract import extract_documents
 from webgauge.queries.registry import long, query, table
 from webgauge.runtime import scratch_path
@@ -86,3 +88,40 @@ def message_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("content_encoding").alias("encoding"), header("x-seen").alias("seen"), header("server").alias("server"), F.element_at("raw_headers", -1)["name"].alias("last_header"), long(F.size("raw_headers")).alias("header_lines"),
         F.sha2("html", 256).alias("digest"), long(F.char_length("html")).alias("chars"), "truncated",
     )
+
+
+# -- redirects -------------------------------------------------------------------------------------------------------------
+
+
+def hops_of_pages(pages: DataFrame) -> DataFrame:
+    """Answers of made-up addresses, one for each page: rows of twelve that lead on, end, return and lead nowhere."""
+    at, kind = F.col("page_id") % 12, F.floor(F.col("page_id") / 12) % 3
+    address = lambda n: F.concat(F.lit("https://r.example/a/"), n.cast("string"))
+    location = (
+        F.when(at < 9, F.concat(F.when(at % 3 == 0, "../a/").when(at % 3 == 1, "/a/").otherwise("//r.example/a/"), (F.col("page_id") + 1).cast("string"), F.when(at % 4 == 0, "#top").otherwise("")))
+        .when((at == 9) & (kind == 1), address(F.col("page_id") - 3))
+        .when((at == 9) & (kind == 2), "https://gone.example/")
+        .when(at == 10, address(F.col("page_id")))
+    )
+    return pages.select(address(F.col("page_id")).alias("url"), F.when(location.isNull(), 200).otherwise(F.lit(301) + F.col("page_id") % 2).cast("int").alias("status"), location.alias("location"))
+
+
+@query(
+    f"""WITH RECURSIVE h AS (
+        SELECT 'https://r.example/a/' || page_id AS url, CASE WHEN page_id % 12 < 9 THEN 'https://r.example/a/' || (page_id + 1) WHEN page_id % 12 = 9 AND page_id // 12 % 3 = 1 THEN 'https://r.example/a/' || (page_id - 3)
+            WHEN page_id % 12 = 9 AND page_id // 12 % 3 = 2 THEN 'https://gone.example/' WHEN page_id % 12 = 10 THEN 'https://r.example/a/' || page_id END AS location FROM pages
+    ), w AS (
+        SELECT url AS start, url AS cur, 0 AS n, [url] AS seen FROM h
+        UNION ALL SELECT start, location, n + 1, list_append(seen, location) FROM w JOIN h ON h.url = w.cur WHERE location IS NOT NULL AND n <= {MAX_REDIRECTS}
+    ), e AS (
+        SELECT w.*, h.url IS NOT NULL AS captured, CASE WHEN len(list_distinct(seen)) < len(seen) THEN '{redirects.LOOP}' WHEN n > {MAX_REDIRECTS} THEN '{redirects.TOO_MANY}' WHEN h.url IS NULL THEN '{redirects.MISSING}' END AS error
+        FROM w LEFT JOIN h ON h.url = w.cur QUALIFY row_number() OVER (PARTITION BY start ORDER BY n DESC) = 1
+    )
+    SELECT start AS url, seen[least(n, {MAX_REDIRECTS}) + 1] AS final_url, CASE WHEN error IS NULL THEN 200 END AS final_status, CAST(least(n, {MAX_REDIRECTS}) AS INTEGER) AS hops, array_to_string(seen[1:least(n, {MAX_REDIRECTS})], ' ') AS followed, error FROM e"""
+)
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of single hops: those that end, loop, go on beyond the limit or lead to an address nobody captured."""
+    hops = redirects.hops_of(hops_of_pages(table(spark, sf_dir, "pages")))
+    found = redirects.redirect_chains(hops)
+    followed = F.array_join(F.transform("chain", lambda x: x["url"]), " ")
+    return found.select("url", F.regexp_replace("final_url", "#.*$", "").alias("final_url"), "final_status", "hops", followed.alias("followed"), "error")

@@ -9,11 +9,11 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webgauge.constants import MAX_CHILD_SITEMAPS, MAX_REDIRECTS, MAX_SITEMAP_URLS
+from webgauge.constants import MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS
 from webgauge.functions import urls
 from webgauge.operators.robots import blocks_all
 
@@ -22,11 +22,6 @@ READ_AS = {"utf8": "utf-8", "iso-8859-1": "windows-1252", "iso8859-1": "windows-
 LOOKS_LIKE_HTML = r"(?i)^\s*<(!doctype|html)"
 
 
-def read_captures(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Page captures with site_key and origin."""
-    return spark.read.format(file_format).load(path).withColumns({"site_key": urls.host(F.col("url")), "origin": urls.origin(F.col("url"))})
-
-
 def charset(content_type: Column, body: Column) -> Column:
     """Name of a body's encoding: header, else a declaration in its first 4096 bytes, else UTF-8."""
     head = F.decode(F.substring(body, 1, 4096), "iso-8859-1")
@@ -97,12 +92,6 @@ def deflate(body: pa.Array, encoding: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def redirects(captures: DataFrame) -> DataFrame:
-    """Captures with redirect_hops and whether they went too far."""
-    hops = F.coalesce(F.size("redirect_chain"), F.lit(0))
-    return captures.withColumns({"redirect_hops": hops, "redirect_error": hops > MAX_REDIRECTS})
-
-
 def probe_ok(status: Column) -> Column:
     return (status >= 200) & (status < 400)
 
