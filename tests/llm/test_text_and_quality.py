@@ -155,5 +155,5 @@ def test_every_operator_is_registered():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert [n for n in names if n.startswith("op")] and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert [n for n in names if n.startswith("op")] and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(e.oracle_sql()) <= set(names)

@@ -34,6 +34,22 @@ def test_ids_and_counts_equal_the_library(name):
     assert counter(path).count(t).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_ids_of_marks_that_change_places(name):
+    """Marks in every order, those that only one of Python and the library knows among them."""
+    import unicodedata
+
+    rng, path = random.Random(9), public_tokenizers.path(name)
+    marks = [chr(c) for c in range(0x20000) if unicodedata.combining(chr(c))]
+    hard = ["İ", "i\u0307", "I", "ſ", "\u212a", "Å", "ẞ", "Σ", "ς", "ﬁ", "e\u0301", "가", "ᄀ\u1161", "\u200b", "'S", "½", "日", " ", "\x85", "Ǆ", "ᾼ", "the"]
+    piece = lambda: rng.choice(marks) if rng.random() < 0.5 else rng.choice(hard)
+    t = ["".join(piece() for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["İ\u09cd", "İ\u0f7a", "İ\u085b", "\u1acc\U0001e4ee"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(t, add_special_tokens=False)]
+    ids, n = encoder(path).encode(t)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert counter(path).count(t).tolist() == [len(w) for w in want]
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_ids_of_random_texts_over_all_planes(name):
     rng, path = random.Random(1), public_tokenizers.path(name)

@@ -34,23 +34,25 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         layout, self.kind, added = tokenizer_layout(path)
-        self.library = Tokenizer.from_file(path)
+        self.library = self.of_words = Tokenizer.from_file(path)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         if self.kind == WORD:
             vocab = layout["model"]["vocab"]
             self.is_end = np.zeros(max(vocab.values()) + 1, bool)
             self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+            # pre-tokens are normalised already, and doing so again may reorder marks
+            self.of_words = Tokenizer.from_str(json.dumps(layout | {"normalizer": None}))
         del layout
         self.cache = SpanCache(self._encode_words, np.uint16 if self.library.get_vocab_size() <= 65536 else np.uint32)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == WORD:  # white space is dropped and each pre-token's last id is marked, so words can share a call
             texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-            ids = np.concatenate([np.asarray(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([np.asarray(e.ids, np.int64) for e in self.of_words.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(words):
                 return np.diff(ends, prepend=0), ids
-        got = [e.ids for i in range(0, len(words), 5000) for e in self.library.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
+        got = [e.ids for i in range(0, len(words), 5000) for e in self.of_words.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
         return np.array([len(x) for x in got]), np.fromiter((i for x in got for i in x), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

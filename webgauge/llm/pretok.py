@@ -42,13 +42,39 @@ def _class_table() -> np.ndarray:
         within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         t[np.array(CLASSED)[np.repeat(runs[:, 0], lengths) + within]] = np.repeat(kind, lengths)
         _tables["class"] = t
-        new = np.zeros(0x110000, bool)
-        new[[i for i in CLASSED if unicodedata.category(chr(i)) == "Cn"]] = True
-        _tables["new"] = new  # letters, marks and the like that only the library may know
+        _tables["other"] = _normalised_otherwise()
         _tables["mix"] = np.random.default_rng(20240607).integers(1, 2**63, 0x110000, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     return _tables["class"]
 
 
+def library_normalizer():
+    """The word vocabulary's normaliser in the tokenizers library."""
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
+def _normalised_otherwise() -> np.ndarray:
+    """Code points that the library may normalise otherwise than Python: the two know letters and marks of different ages."""
+    other = np.zeros(0x110000, bool)
+    normalize = library_normalizer()
+    chars = [chr(i) for i in CLASSED if i]
+    other[[ord(c) for c in chars if unicodedata.category(c) == "Cn"]] = True
+    # single characters; marks before and after known ones of several classes; pairs that compose
+    cases = [(c, c) for c in chars]
+    cases += [(c, "a" + x) for c in chars if unicodedata.combining(c) for known in "\u0300\u0323\u0345\u3099" for x in (known + c, c + known)]
+    for c in chars:
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in parts.split())
+            cases += [(x, pair) for x in pair]
+    text = "\0".join(x for _, x in cases)
+    for (c, _), a, b in zip(cases, normalize(text).split("\0"), clean_word_text(text).split("\0")):
+        if a != b:
+            other[ord(c)] = True
+    return other
+
+
 def _mix_table() -> np.ndarray:
     _class_table()
     return _tables["mix"]
@@ -73,17 +99,15 @@ def clean_word_text(text: str) -> str:
 
 
 def clean_word_texts(texts: list[str]) -> list[str]:
-    """``clean_word_text`` of each; texts with characters that Python doesn't know are left to the library."""
+    """``clean_word_text`` of each; texts with characters that Python may normalise otherwise are left to the library."""
     out = [clean_word_text(t) for t in texts]
     _class_table()
     rest = [i for i, t in enumerate(texts) if not t.isascii()]
     cp, offsets = code_points([texts[i] for i in rest])
-    new = np.flatnonzero(_tables["new"][cp])
-    if len(new):
-        from tokenizers import normalizers
-
-        normalize = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
-        for k in np.unique(np.searchsorted(offsets, new, side="right") - 1).tolist():
+    other = np.flatnonzero(_tables["other"][cp])
+    if len(other):
+        normalize = library_normalizer()
+        for k in np.unique(np.searchsorted(offsets, other, side="right") - 1).tolist():
             out[rest[k]] = normalize(texts[rest[k]])
     return out
 
