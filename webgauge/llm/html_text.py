@@ -5,8 +5,11 @@ of its children.  The node with the largest sum holds the article; the least den
 threshold by which subtrees off that path belong to it.  Where the page itself marks an article around that node, all of
 that element is taken.
 
-Parts that markup names as something else (navigation, adverts, forms, comments, ...) are left out beforehand, but a name
-alone never empties a page: of parts that would take all prose with them, the one that holds most is opened again.
+Parts that markup names as something else (navigation, adverts, forms, comments, ...) are left out beforehand.  Headings
+and running text never go by a name; a container goes by a class that only such parts have, by one that may also tell what
+a part is about (menu, tags, related, ...) or by an id only where it holds no prose of its own or stands outside a marked
+article, and not by an id made of its own heading.  A name alone never empties a page: of parts that would take all prose
+with them, the one that holds most is opened again.
 """
 
 from __future__ import annotations
@@ -48,18 +51,29 @@ TABLE_ENDS = frozenset("td th tr table tbody thead tfoot".split())
 IN_HEAD = frozenset("head base link meta noscript script style template title".split())
 SCOPE = frozenset("table td th caption button object template".split())
 #: Never text of an article.
-NO_TEXT = frozenset("script style noscript template head title svg math iframe frame noframes noembed object applet embed canvas audio video map textarea select option button input datalist".split())
+NO_TEXT = frozenset("script style noscript template head title svg iframe frame noframes noembed object applet embed canvas audio video map textarea select option button input datalist".split())
 #: Parts that say by their tag that they are something else; only those in WRAPPERS may also hold a whole page.
 ASIDE = frozenset("nav aside footer menu dialog search".split())
 WRAPPERS = frozenset("form fieldset legend label".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
-COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?=$|[\s_-])", re.I)
+COMMENT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|responses|reactions|talkback|guestbook"
+    r"|(?:user|reader|visitor|member|guest)s?[_-]?(?:responses?|comments?|posts?|feedback|reviews?|opinions?|voices|reactions?|remarks?|thoughts|discussions?))(?=$|[\s_-])",
+    re.I,
+)
+#: Names of comments that headings of articles give, too.
+MAYBE_COMMENTS = re.compile(r"(?:^|[\s_-])(?:reply|respond|discussions?|feedback)(?=$|[\s_-])", re.I)
+COMMENT_HEADING = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:reader|user|visitor)s?['’]?s?\s+)?(?:comments?|responses?|replies)\W*\d*\W*|(?:leave|post|add|write) a (?:comment|reply|response)\b.*|join the (?:discussion|conversation)\b.*", re.I
+)
+#: Names that only parts beside the article have.
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|container|wrapper)|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
-    r"|sidebar|side|(?:left|right)(?:bar|rail)|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|topbar|toolbar|shar(?:e|ing)|social|follow|related|recommend\w*|widgets?"
-    r"|pagination|pager|skip|copyright|tags|outbrain|taboola)(?=$|[\s_-])",
+    r"|sidebar|(?:left|right)(?:bar|rail)|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|pagination|pager|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Names that also tell what a part of an article is about.
+TOPIC_NAMES = re.compile(r"(?:^|[\s_-])(?:side|menu|shar(?:e|ing)|social|follow|related|recommend\w*|widgets?|skip|copyright|tags)(?=$|[\s_-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
 #: Names that tell of a part elsewhere or of a state, as has-sidebar or comments-closed on a page's wrapper.
 ABOUT_OTHERS = re.compile(r"(?<!\S)(?:(?:has|with|no|without|is)[_-]\S+|\S+[_-](?:open|opened|closed|on|off|enabled|disabled|none))(?!\S)", re.I)
@@ -72,12 +86,16 @@ TEXT = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaptio
 PROSE_WORDS, PROSE_SHARE = 8, 0.1
 #: Of the characters of a part: from this share of linked ones on it is a list of links.
 LINKED = 0.5
+#: Characters of a block of unlinked text from which on it is prose.
+PROSE_RUN = 80
+#: Elements that go by name only as lists of links.
+LISTS = frozenset("ul ol dl table".split())
 
 TAKEN, ASIDE_PART, WRAPPER_PART, COMMENTS = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "part", "chars", "tags", "link_chars", "link_tags", "article_chars", "paragraphs", "titles", "density", "total", "depth")
+    __slots__ = ("tag", "attrs", "children", "parent", "part", "chars", "tags", "link_chars", "link_tags", "article_chars", "paragraphs", "titles", "longest", "run", "density", "total", "depth")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -216,22 +234,66 @@ def in_order(root: Node) -> list[Node]:
     return order
 
 
+def heading_in(node: Node) -> str | None:
+    """The text of the heading that a part begins with."""
+    for _ in range(4):
+        first = next((c for c in node.children if not isinstance(c, str) or c.strip()), None)
+        if first is None or isinstance(first, str):
+            return None
+        if first.tag in HEADINGS:
+            return " ".join(html.unescape("".join(_texts(first))).split())
+        node = first
+    return None
+
+
+def _texts(node: Node) -> Iterator[str]:
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            yield x
+        else:
+            todo += reversed(x.children)
+
+
+def made_of_heading(ident: str, heading: str | None) -> bool:
+    """Whether an id is that of a heading, as generators of pages write it, perhaps numbered."""
+    slug = lambda t: re.sub(r"[\W_]+", "-", t.lower()).strip("-")
+    return heading is not None and slug(heading) in (slug(ident), re.sub(r"-\d+$", "", slug(ident)))
+
+
 def named_part(node: Node, in_article: bool) -> int:
-    """What markup says a node is."""
+    """What markup says a node is; counts of its text must be known."""
     if node.tag in ASIDE or node.tag == "header" and not in_article:
         return ASIDE_PART
     part = WRAPPER_PART if node.tag in WRAPPERS else TAKEN
-    if not node.attrs:
-        return part
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
         return WRAPPER_PART
     if a.get("role", "").strip().lower() in ASIDE_ROLES:
         return WRAPPER_PART
-    names = ABOUT_OTHERS.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
-    if COMMENT_NAMES.search(names):
+    if node.tag in INLINE or node.tag in TEXT and node.tag not in LISTS:
+        return part
+    names, ident = ABOUT_OTHERS.sub(" ", a.get("class", "")), ABOUT_OTHERS.sub(" ", a.get("id", ""))
+    heading = heading_in(node)
+    if COMMENT_NAMES.search(names) or COMMENT_NAMES.search(ident) or "comment" in f"{a.get('itemprop', '')} {a.get('itemtype', '')}".lower().replace("/", " ").split():
+        return COMMENTS
+    if MAYBE_COMMENTS.search(names) or MAYBE_COMMENTS.search(ident) and not made_of_heading(ident, heading):
         return COMMENTS
-    if node.tag not in ARTICLES and (ASIDE_NAMES.search(names) or not in_article and HEADER_NAMES.search(names)):
+    if node.tag in ARTICLES:
+        return part
+    if heading is not None and COMMENT_HEADING.fullmatch(heading) and node.tag not in LISTS:
+        return COMMENTS
+    links = bool(node.chars) and _is_links(node)
+    if node.tag in LISTS:
+        return WRAPPER_PART if links and any(r.search(n) for r in (ASIDE_NAMES, TOPIC_NAMES) for n in (names, ident)) else part
+    if ASIDE_NAMES.search(names) or not in_article and HEADER_NAMES.search(f"{names} {ident}"):
+        return WRAPPER_PART
+    own = made_of_heading(ident, heading)
+    if ASIDE_NAMES.search(ident) and not own:
+        return WRAPPER_PART
+    prose = in_article and not links and node.longest >= PROSE_RUN
+    if not prose and (TOPIC_NAMES.search(names) or TOPIC_NAMES.search(ident) and not own):
         return WRAPPER_PART
     return part
 
@@ -243,15 +305,25 @@ def prune(root: Node) -> None:
     named inside it goes.  Where it leaves no prose either, so is the part with most text (readers' comments last) if it is laid out as an article:
     in several paragraphs, or below a title where there is some text outside.
     """
-    todo = [(root, False)]
+    todo = [root]
     while todo:
-        node, inside = todo.pop()
+        node = todo.pop()
         node.children = [c for c in node.children if isinstance(c, str) or c.tag not in NO_TEXT]
-        node.part = named_part(node, inside) if node is not root else TAKEN
-        inside = inside or node.tag in ARTICLES
-        todo += [(c, inside) for c in node.elements()]
+        todo += node.elements()
     order = in_order(root)
     _count(order)
+    _longest(order)
+    marked: list[tuple[Node, bool, Node | None]] = [(root, False, None)]
+    while marked:
+        node, inside, article_of = marked.pop()
+        node.part = named_part(node, inside) if node is not root else TAKEN
+        if node.tag == "article" and node.part == TAKEN:
+            # an article within an article is a comment on it, unless it holds most of it
+            if article_of is not None and 2 * node.chars < article_of.chars:
+                node.part = COMMENTS
+            article_of = node
+        inside = inside or node.tag in ARTICLES
+        marked += [(c, inside, article_of) for c in node.elements()]
     for node in reversed(order):
         inner = sum(c.article_chars for c in node.elements())
         node.article_chars = max(inner, node.chars - node.link_chars) if node.tag in ARTICLES and node.part != COMMENTS else inner
@@ -305,6 +377,18 @@ def prune(root: Node) -> None:
         node.children = [c for c in node.children if isinstance(c, str) or c.part == TAKEN]
 
 
+def _longest(order: list[Node]) -> None:
+    """Characters of the longest block of unlinked text in every subtree."""
+    for node in reversed(order):
+        run = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        longest = 0
+        for c in node.elements():
+            if c.tag in INLINE:
+                run += 0 if c.tag == "a" else c.run
+            longest = max(longest, c.longest)
+        node.run, node.longest = run, 0 if node.tag == "a" else max(run, longest)
+
+
 def _count(order: list[Node]) -> None:
     """Characters and tags of every subtree, in all and in links; white space isn't counted."""
     for node in reversed(order):
@@ -355,6 +439,26 @@ def _is_links(node: Node) -> bool:
     return node.link_chars >= LINKED * node.chars
 
 
+def titles_before(article: Node) -> list[Node]:
+    """The headings, and the running text after them, that stand before an article in its ``main``."""
+    path = list(_path(article))
+    within = next((k for k, n in enumerate(path) if n.tag == "main"), 0)
+    out: list[Node] = []
+    for inner, outer in zip(path[:within], path[1:]):
+        before: list[Node] = []
+        for c in outer.elements():
+            if c is inner:
+                break
+            if c.tag == "article":  # what stands before another article is that one's
+                before.clear()
+            elif c.tag in HEADINGS or before and c.tag == "p" and not _is_links(c):
+                before.append(c)
+            elif c.tag in ("header", "hgroup"):
+                before += [n for n in in_order(c) if n.tag in HEADINGS]
+        out = before + out
+    return out
+
+
 def select(body: Node) -> tuple[list[Node], bool]:
     """(subtrees of the article in page order, whether an article element beyond the densest node decided).
 
@@ -368,7 +472,7 @@ def select(body: Node) -> tuple[list[Node], bool]:
         return [body], False
     for node in _path(target):
         if node.tag in ARTICLES:
-            return [node], node is not target
+            return [*titles_before(node), node], node is not target
     while target is not body and (target.tag in TEXT or target.tag in INLINE):
         target = target.parent
     if target is body:
