@@ -60,7 +60,8 @@ def test_articles_within_an_article_are_comments_unless_they_are_most_of_it():
 
 
 def test_headings_before_an_article_in_main_belong_to_it():
-    text = main_text(f"<body><main><header><a href=/>Site</a><h1>Head of page</h1></header><p>Standfirst</p><article><p>{LONG * 3}</p></article><article><h2>Next</h2><p>Short</p></article></main>")
+    prose = f"<p>{LONG * 3}</p>" * 4
+    text = main_text(f"<body><main><header><a href=/>Site</a><h1>Head of page</h1></header><p>Standfirst</p><article>{prose}</article><article><h2>Next</h2><p>Short</p></article></main>")
     assert text.startswith("Head of page\n\nStandfirst\n\nLong") and "Site" not in text and "Next" not in text
 
 

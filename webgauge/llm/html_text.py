@@ -30,7 +30,10 @@ LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img"
+    " math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 #: Elements whose start ends an open paragraph, by the HTML standard.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: start tag -> (open elements that it ends, elements beyond which it doesn't look)
@@ -51,7 +54,7 @@ TABLE_ENDS = frozenset("td th tr table tbody thead tfoot".split())
 IN_HEAD = frozenset("head base link meta noscript script style template title".split())
 SCOPE = frozenset("table td th caption button object template".split())
 #: Never text of an article.
-NO_TEXT = frozenset("script style noscript template head title svg iframe frame noframes noembed object applet embed canvas audio video map textarea select option button input datalist".split())
+NO_TEXT = frozenset("annotation annotation-xml script style noscript template head title svg iframe frame noframes noembed object applet embed canvas audio video map textarea select option button input datalist".split())
 #: Parts that say by their tag that they are something else; only those in WRAPPERS may also hold a whole page.
 ASIDE = frozenset("nav aside footer menu dialog search".split())
 WRAPPERS = frozenset("form fieldset legend label".split())
