@@ -49,24 +49,24 @@ def access(rules: DataFrame, requests: DataFrame) -> DataFrame:
     The group of the longest agent name that is a prefix of the agent or has it as prefix is obeyed (the first of
     equals), else the first group of *; the longest matching rule decides (stars don't count), allow before disallow.
     """
-    requests = requests.withColumn("request", F.struct("origin", "path", "agent"))
-    distinct = requests.select("request").distinct().select("request", F.col("request.origin").alias("origin"), F.col("request.path").alias("path"), F.lower("request.agent").alias("ua"))
+    # an agent's group doesn't depend on the path, nor the rule that decides on the agent beyond its group
     agents = rules.where("kind = 'agent'").select("origin", "grp", F.col("value").alias("name"))
+    asking = requests.select("origin", "agent").distinct().withColumn("ua", F.lower("agent"))
     named = (F.col("name") != "*") & (F.col("name") != "") & (F.startswith("ua", F.col("name")) | F.startswith("name", F.col("ua")))
-    match = distinct.join(agents, "origin").where(named | (F.col("name") == "*"))
-    best = Window.partitionBy("request").orderBy(F.col("name") == "*", F.desc(F.length("name")), "grp")
-    group = match.withColumn("r", F.row_number().over(best)).where("r = 1").select("request", "origin", "path", "grp", (F.col("name") != "*").alias("specific"))
+    best = Window.partitionBy("origin", "agent").orderBy(F.col("name") == "*", F.desc(F.length("name")), "grp")
+    group = asking.join(agents, "origin").where(named | (F.col("name") == "*")).withColumn("r", F.row_number().over(best)).where("r = 1")
+    delay = rules.where("kind = 'crawl-delay'").groupBy("origin", "grp").agg(F.min_by("value", "pos").alias("crawl_delay"))
+    group = group.select("origin", "agent", "grp", (F.col("name") != "*").alias("specific")).join(delay, ["origin", "grp"], "left")
 
+    grouped = requests.join(group, ["origin", "agent"], "left")
     paths = rules.where("kind in ('allow', 'disallow') and value <> ''").select("origin", "grp", F.col("kind").alias("kind"), F.col("value").alias("rule"), "pos", path_pattern(F.col("value")).alias("pattern"))
-    hits = group.join(paths, ["origin", "grp"]).where(F.rlike(F.col("path"), F.col("pattern")))
-    longest = Window.partitionBy("request").orderBy(F.desc(F.length(F.replace(F.col("rule"), F.lit("*"), F.lit("")))), F.col("kind") == "disallow", "pos")
-    verdict = hits.withColumn("r", F.row_number().over(longest)).where("r = 1").select("request", "kind", "rule")
-    delay = rules.where("kind = 'crawl-delay'").groupBy("origin", "grp").agg(F.min_by("value", "pos").alias("crawl_delay"))
-    found = group.join(verdict, "request", "left").join(delay, ["origin", "grp"], "left").select("request", "kind", "rule", "specific", "crawl_delay")
+    hits = grouped.where("grp is not null").select("origin", "grp", "path").distinct().join(paths, ["origin", "grp"]).where(F.rlike(F.col("path"), F.col("pattern")))
+    strength = F.struct(F.length(F.replace(F.col("rule"), F.lit("*"), F.lit(""))), F.col("kind") == "allow", -F.col("pos"))
+    verdict = hits.groupBy("origin", "grp", "path").agg(F.max_by(F.struct("kind", "rule"), strength).alias("v")).select("origin", "grp", "path", "v.*")
     return (
-        requests.join(found, "request", "left")
+        grouped.join(verdict, ["origin", "grp", "path"], "left")
         .withColumns({"allowed": F.coalesce(F.col("kind") == "allow", F.lit(True)), "specific": F.coalesce("specific", F.lit(False)), "crawl_delay": F.expr("try_cast(crawl_delay as double)")})
-        .drop("request", "kind")
+        .select(*requests.columns, "rule", "specific", "crawl_delay", "allowed")
     )
 
 

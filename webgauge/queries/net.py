@@ -40,10 +40,15 @@ RULES = rf"""t AS (SELECT n_name AS origin, {[r for r in ROBOTS]!r}[n_nationkey
     fl AS (SELECT origin, pos, lower(trim(split_part(trim(regexp_replace(line, '#.*$', '')), ':', 1))) AS field, trim(regexp_replace(trim(regexp_replace(line, '#.*$', '')), '^[^:]*:', '')) AS value FROM ln WHERE contains(regexp_replace(line, '#.*$', ''), ':')),
     kp AS (SELECT *, CASE WHEN field = 'user-agent' AND coalesce(lag(field) OVER (PARTITION BY origin ORDER BY pos) <> 'user-agent', TRUE) THEN 1 ELSE 0 END AS begins FROM fl WHERE field IN ('user-agent', 'allow', 'disallow', 'crawl-delay')),
     ru AS (SELECT origin, CAST(sum(begins) OVER (PARTITION BY origin ORDER BY pos) AS BIGINT) AS grp, CASE WHEN field = 'user-agent' THEN 'agent' ELSE field END AS kind, CASE WHEN field = 'user-agent' THEN lower(value) ELSE value END AS value, pos FROM kp)"""
-VERDICT = r"""ag AS (SELECT rq.origin, rq.path, rq.agent, ru.grp, ru.value AS name, row_number() OVER (PARTITION BY rq.origin, rq.path, rq.agent ORDER BY ru.value = '*', length(ru.value) DESC, ru.grp) AS r FROM rq JOIN ru ON ru.origin = rq.origin AND ru.kind = 'agent' AND ru.grp > 0
-        WHERE ru.value = '*' OR (ru.value <> '' AND (starts_with(lower(rq.agent), ru.value) OR starts_with(ru.value, lower(rq.agent))))),
-    pt AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN ends_with(value, '$') THEN left(value, length(value) - 1) ELSE value END, '([\\.+?^$(){}\[\]|])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END AS pattern FROM ru WHERE kind IN ('allow', 'disallow') AND value <> '' AND grp > 0),
-    hit AS (SELECT ag.origin, ag.path, ag.agent, pt.kind, pt.value AS rule, row_number() OVER (PARTITION BY ag.origin, ag.path, ag.agent ORDER BY length(replace(pt.value, '*', '')) DESC, pt.kind = 'disallow', pt.pos) AS r FROM ag JOIN pt ON pt.origin = ag.origin AND pt.grp = ag.grp AND regexp_matches(ag.path, pt.pattern) WHERE ag.r = 1)"""
+#: The group of each (origin, agent), and the rule that decides for each (origin, group, path).
+VERDICT = r"""ag AS (SELECT q.origin, q.agent, ru.grp, ru.value AS name FROM (SELECT DISTINCT origin, agent FROM rq) q JOIN ru ON ru.origin = q.origin AND ru.kind = 'agent' AND ru.grp > 0
+        WHERE ru.value = '*' OR (ru.value <> '' AND (starts_with(lower(q.agent), ru.value) OR starts_with(ru.value, lower(q.agent))))
+        QUALIFY row_number() OVER (PARTITION BY q.origin, q.agent ORDER BY ru.value = '*', length(ru.value) DESC, ru.grp) = 1),
+    pt AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN ends_with(value, '$') THEN left(value, length(value) - 1) ELSE value END, '([\\.+?^$(){}\[\]|])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END AS pattern
+        FROM ru WHERE kind IN ('allow', 'disallow') AND value <> '' AND grp > 0),
+    dp AS (SELECT g.origin, g.grp, pa.path, pt.kind, pt.value AS rule FROM (SELECT DISTINCT origin, grp FROM ag) g JOIN pt ON pt.origin = g.origin AND pt.grp = g.grp JOIN pa ON pa.origin = g.origin
+        WHERE regexp_matches(pa.path, pt.pattern) QUALIFY row_number() OVER (PARTITION BY g.origin, g.grp, pa.path ORDER BY length(replace(pt.value, '*', '')) DESC, pt.kind = 'disallow', pt.pos) = 1),
+    hit AS (SELECT rq.*, dp.kind, dp.rule, ag.name FROM rq LEFT JOIN ag ON ag.origin = rq.origin AND ag.agent = rq.agent LEFT JOIN dp ON dp.origin = rq.origin AND dp.grp = ag.grp AND dp.path = rq.path)"""
 PATHS = "pa AS (SELECT DISTINCT n_name AS origin, '/p' || p_partkey AS path FROM part JOIN nation ON n_nationkey = p_partkey % 25)"
 
 
@@ -54,8 +59,7 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {RULES}, {PATHS}, bots AS (SELECT * FROM {sql_values([(i, *r) for i, r in enumerate(AI_CRAWLERS)])} AS b(bot_pos, agent, vendor, surface, role)), rq AS (SELECT * FROM pa CROSS JOIN bots), {VERDICT}
-    SELECT rq.origin, rq.path, rq.agent, rq.role, coalesce(hit.kind = 'allow', TRUE) AS allowed, hit.rule, coalesce(ag.name <> '*', FALSE) AS specific FROM rq
-    LEFT JOIN hit ON hit.origin = rq.origin AND hit.path = rq.path AND hit.agent = rq.agent AND hit.r = 1 LEFT JOIN ag ON ag.origin = rq.origin AND ag.path = rq.path AND ag.agent = rq.agent AND ag.r = 1"""
+    SELECT origin, path, agent, role, coalesce(kind = 'allow', TRUE) AS allowed, rule, coalesce(name <> '*', FALSE) AS specific FROM hit"""
 )
 def robots_crawler_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = robots.crawler_access(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_parts(spark, sf_dir))
@@ -64,8 +68,8 @@ def robots_crawler_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {RULES}, {PATHS}, bots AS (SELECT * FROM {sql_values([(i, *r) for i, r in enumerate(AI_CRAWLERS)])} AS b(bot_pos, agent, vendor, surface, role)), rq AS (SELECT * FROM pa CROSS JOIN bots), {VERDICT}
-    SELECT rq.origin, rq.path, rq.role, coalesce(string_agg(rq.agent, ' ' ORDER BY rq.agent) FILTER (coalesce(hit.kind = 'allow', TRUE)), '') AS allowed, coalesce(string_agg(rq.agent, ' ' ORDER BY rq.agent) FILTER (hit.kind = 'disallow'), '') AS blocked
-    FROM rq LEFT JOIN hit ON hit.origin = rq.origin AND hit.path = rq.path AND hit.agent = rq.agent AND hit.r = 1 GROUP BY 1, 2, 3"""
+    SELECT origin, path, role, coalesce(string_agg(agent, ' ' ORDER BY agent) FILTER (coalesce(kind = 'allow', TRUE)), '') AS allowed, coalesce(string_agg(agent, ' ' ORDER BY agent) FILTER (kind = 'disallow'), '') AS blocked
+    FROM hit GROUP BY 1, 2, 3"""
 )
 def robots_crawler_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = views.crawler_grid(robots_crawler_access(spark, sf_dir))
@@ -74,7 +78,7 @@ def robots_crawler_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {RULES}, {PATHS}, rq AS (SELECT origin, path, agent FROM pa CROSS JOIN (VALUES ('googlebot'), ('*')) AS a(agent)), {VERDICT}
-    SELECT pa.origin, pa.path, arg_min(hit.rule, hit.agent <> 'googlebot') AS blocking_rule FROM pa LEFT JOIN hit ON hit.origin = pa.origin AND hit.path = pa.path AND hit.r = 1 AND hit.kind = 'disallow' GROUP BY 1, 2"""
+    SELECT pa.origin, pa.path, arg_min(hit.rule, hit.agent <> 'googlebot') AS blocking_rule FROM pa LEFT JOIN hit ON hit.origin = pa.origin AND hit.path = pa.path AND hit.kind = 'disallow' GROUP BY 1, 2"""
 )
 def robots_search_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.search_blocked(robots.robots_rules(robots_of_nations(spark, sf_dir)), paths_of_parts(spark, sf_dir))
