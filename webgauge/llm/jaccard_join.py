@@ -294,8 +294,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     slim = reps.select("rep", "digest", "least", "weight", F.col("who.doc_id").alias("doc_id"), F.col("who.text_hash").alias("text_hash"))
     cells = connected_components(_candidate_edges(reps, threshold, tolerance)).select(F.col("id").alias("rep"), F.col("component").alias("cell"))
 
+    total = reps.count()
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    active = cells.join(sizes, "cell").join(slim, "rep").select("rep", "cell", "n", "weight", "doc_id", "text_hash")
+    active = join_to_unique(cells, sizes, "cell", total).join(slim, "rep").select("rep", "cell", "n", "weight", "doc_id", "text_hash")
     active = write_table(active, "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = only_slots_of(texts, "text_hash", active, "text_hash")
@@ -331,11 +332,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     sets = connected_components(joined.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     known = slim.select("rep", "digest", "least", "weight").join(counts, "rep", "left").join(sets.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = known.groupBy("component").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "component").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+    least = known.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    known = join_to_unique(known, least, "component", total).select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("weight").alias("n"))
     known = write_table(known, "known")
     slim_rows = rows.select("doc_id", "text_hash", "digest", "some")
-    found = slim_rows.where("some").join(known, "digest").select("doc_id", "class_id", "n_links", "text_hash")
+    found = join_to_unique(slim_rows.where("some"), known, "digest", rows.count()).select("doc_id", "class_id", "n_links", "text_hash")
     alone = slim_rows.where("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash")
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
