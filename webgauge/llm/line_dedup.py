@@ -64,6 +64,104 @@ def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tupl
     return lo, at + (int(differ[0]) if len(differ) else ahead)
 
 
+#: Line comparisons up to which matches are extended one by one.
+DIRECT = 1 << 22
+PRIMES, FACTORS = ((1 << 31) - 1, (1 << 31) - 19), (1_103_515_245, 1_999_999_943)
+
+
+def _powers(factor: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(factor, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+class Stretches:
+    """Equality of stretches of two line arrays at any places, in constant time each: by two polynomial hashes."""
+
+    def __init__(self, own: np.ndarray, source: np.ndarray):
+        n = self.n = max(len(own), len(source)) + 1
+        self.tables = []
+        for prime, factor in zip(PRIMES, FACTORS):
+            power = _powers(factor, prime, n)
+            sums = []
+            for lines in (own, source):
+                terms = lines.view(np.uint64) % np.uint64(prime) * power[: len(lines)] % np.uint64(prime)
+                sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms) % np.uint64(prime)]))
+            self.tables.append((np.uint64(prime), power, *sums))
+
+    def equal(self, at: np.ndarray, source_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the lines from each ``at`` equal those from each ``source_at``, so many as ``length``."""
+        same = np.ones(len(at), bool)
+        for prime, power, own, source in self.tables:
+            a = (own[at + length] + prime - own[at]) % prime * power[self.n - 1 - at] % prime
+            b = (source[source_at + length] + prime - source[source_at]) % prime * power[self.n - 1 - source_at] % prime
+            same &= a == b
+        return same
+
+    def longest(self, at: np.ndarray, source_at: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        """How many lines are equal from each pair of places on, or before them; ``most`` at most."""
+        least, most = np.zeros_like(most), most.copy()
+        while (least < most).any():
+            half = (least + most + 1) // 2
+            shift = half if back else 0
+            same = self.equal(at - shift, source_at - shift, half)
+            least, most = np.where(same, half, least), np.where(same, most, half - 1)
+        return least
+
+
+def extensions(own: np.ndarray, source: np.ndarray, at: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``extend`` for matches in the order of ``at``.
+
+    Matches of one distance that lie in each other's extension share it.  Where texts repeat themselves so often that
+    comparing lines would take time with the square of their length, lengths are found by halving, with hashes.
+    """
+    far = at - source_at
+    if len(np.unique(far)) * min(len(own), len(source)) > DIRECT:
+        same = Stretches(own, source)
+        lo = at - same.longest(at, source_at, np.minimum(at, source_at), True)
+        return lo, at + same.longest(at, source_at, np.minimum(len(own) - at, len(source) - source_at), False)
+    lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    done: dict[int, tuple[int, int]] = {}
+    for i, (a, b, d) in enumerate(zip(at.tolist(), source_at.tolist(), far.tolist())):
+        if a >= done.get(d, (0, 0))[1]:
+            done[d] = extend(own, source, a, b)
+        lo[i], hi[i] = done[d]
+    return lo, hi
+
+
+def around(before: np.ndarray, at: np.ndarray, gram_words: int = GRAM_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Between which lines all runs around each gram lie, that ``runs_beyond`` looks at."""
+    n, both = len(before) - 1, 2 * gram_words
+    e = np.searchsorted(before, before[at] + gram_words)
+    low = np.searchsorted(before, before[e] - both, side="right") - 1
+    high = np.minimum(np.searchsorted(before, before[at] + both), n)
+    first = np.searchsorted(before, before[e - 1] - both, side="right")
+    last = np.minimum(np.searchsorted(before, before[at + 1] + both) - 1, n)
+    return np.minimum(first, np.maximum(low, 0)), np.maximum(last, high)
+
+
+def matches_to_look_beyond(own: np.ndarray, before: np.ndarray, cut: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram_words: int = GRAM_WORDS) -> np.ndarray:
+    """The matches around which a run may leave the match, but for those that can tell nothing new.
+
+    Where all lines around are deleted already, runs are looked at only as first places of their kind: so of matches with
+    equal lines around them, cut at the same places, the first will do.
+    """
+    begin, end = around(before, at, gram_words)
+    rest = np.flatnonzero((lo > begin) | (hi < end))
+    if len(rest) < 64:
+        return rest
+    left = np.concatenate([[0], np.cumsum(~cut)])
+    spent = left[end[rest]] == left[begin[rest]]
+    a, b = begin[rest[spent]], end[rest[spent]]
+    key = [at[rest[spent]] - a, b - a, np.maximum(lo[rest[spent]], a) - a, np.minimum(hi[rest[spent]], b) - a]
+    same = Stretches(own, own[:0])
+    for prime, power, sums, _ in same.tables:
+        key.append(((sums[b] + prime - sums[a]) % prime * power[same.n - 1 - a] % prime).astype(np.int64))
+    _, first = np.unique(np.stack(key, axis=1), axis=0, return_index=True)
+    return np.sort(np.concatenate([rest[~spent], rest[spent][first]]))
+
+
 def runs_beyond(before: np.ndarray, at: int, lo: int, hi: int, gram_words: int = GRAM_WORDS) -> list[tuple[int, int]]:
     """Runs (a, b) of lines a .. b - 1 around the gram at line ``at`` that aren't within its match lo .. hi - 1.
 
@@ -104,7 +202,8 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     """Every row of ``docs`` with all its columns, text without repeated runs, and lines_removed (int).
 
     The first of repeated runs, in the order of doc_id (null last), stays whole unless part of it repeats an earlier
-    one; a run may repeat within a text.  A run is deleted if it has a fingerprint in common with any earlier copy: surely
+    one; a run may repeat within a text, and a text of any length that repeats itself takes time in proportion to its
+    length, but for a logarithm.  A run is deleted if it has a fingerprint in common with any earlier copy: surely
     if it has twice ``gram_words`` words or is a line of ``gram_words``, never if it has fewer than ``gram_words``.  A null text stays null; repeated rows keep one text; a document may be left with an empty text; an
     input column named lines_removed is replaced; an empty table gives an empty result.
     """
@@ -140,16 +239,19 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
             for own, words, source, matches in zip(pdf["lines"], pdf["words"], pdf["source_lines"], pdf["matches"]):
                 raw, own, source = own, np.frombuffer(own, "<i8"), np.frombuffer(source, "<i8")
                 before = np.concatenate([[0], np.cumsum(np.frombuffer(words, "<i4"), dtype=np.int64)])
-                cut = np.zeros(len(own), bool)
-                done: dict[int, tuple[int, int]] = {}  # of each distance between positions, the last extension
+                at, source_at = np.array([m["at"] for m in matches], np.int64), np.array([m["source_at"] for m in matches], np.int64)
+                order = np.lexsort((source_at, at))
+                at, source_at = at[order], source_at[order]
+                lo, hi = extensions(own, source, at, source_at)
+                covered = np.zeros(len(own) + 1, np.int64)
+                full = hi > lo
+                np.add.at(covered, lo[full], 1)
+                np.add.at(covered, hi[full], -1)
+                cut = np.cumsum(covered[:-1]) > 0
                 beyond: set[tuple[int, int]] = set()
-                for m in sorted(matches, key=lambda m: (m["at"], m["source_at"])):
-                    far = m["at"] - m["source_at"]
-                    lo, hi = done.get(far, (0, 0))
-                    if m["at"] >= hi:
-                        lo, hi = done[far] = extend(own, source, m["at"], m["source_at"])
-                        cut[lo:hi] = True
-                    beyond.update(runs_beyond(before, m["at"], lo, hi, gram_words))
+                rest = matches_to_look_beyond(own, before, cut, at, lo, hi, gram_words)
+                for a, x, y in zip(at[rest].tolist(), lo[rest].tolist(), hi[rest].tolist()):
+                    beyond.update(runs_beyond(before, a, x, y, gram_words))
                 at = sorted(beyond)
                 found.append((np.flatnonzero(cut).tolist(), [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in at], [a for a, _ in at], [b for _, b in at]))
             yield pd.concat([pdf[["row", "none", "id"]], pd.DataFrame(found, columns=["gone", "h", "a", "b"], index=pdf.index)], axis=1)
