@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -93,3 +94,17 @@ def discard(df: DataFrame) -> None:
     ref, path = _written.pop(id(df), (None, None))
     if ref is not None and ref() is df:
         remove_path(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, **settings: str):
+    """Settings of the session (dots written as double underscores) for a while."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webgauge.constants import AUDIT_QUOTA, AUDIT_WINDOW_S
-from webgauge.operators.admission import admit_times
+from webgauge.constants import AUDIT_QUOTA, AUDIT_WINDOW_S, RUNNING_OVERALL, RUNNING_PER_KEY, TRACKED_KEYS
+from webgauge.operators.admission import CAPPED, Limiter, admit_times, job_events
 
 OUTPUT = "key string, event_id long, ts timestamp, admitted boolean"
 
@@ -32,3 +34,36 @@ def stream_admissions(requests: DataFrame, quota: int = AUDIT_QUOTA, window_s: f
 
     source = requests.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts")).where("key is not null")
     return source.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(step, OUTPUT, "start double, count long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class CappedService(StatefulProcessor):
+    """The fold of ``capped_admissions`` for one service: its running jobs, and the windows of its keys."""
+
+    def __init__(self, *limits):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.running = handle.getValueState("running", "jobs string")
+        self.windows = handle.getValueState("windows", "keys string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = Limiter(*self.limits)
+        if self.windows.exists():
+            state.windows = {k: tuple(v) for k, v in json.loads(self.windows.get()[0]).items()}
+            state.running = json.loads(self.running.get()[0])
+        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "kind", "event_id"], ignore_index=True)
+        yield state.fold(events)
+        self.running.update((json.dumps(state.running),))
+        self.windows.update((json.dumps(state.windows),))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_capped(
+    events: DataFrame, quota: int = AUDIT_QUOTA, window_s: float = AUDIT_WINDOW_S, per_key: int = RUNNING_PER_KEY, overall: int = RUNNING_OVERALL, tracked: int = TRACKED_KEYS
+) -> DataFrame:
+    """``capped_admissions`` over a stream; needs the RocksDB state store.  Batches are taken in the order they come, the
+    events of one by their time; a service's jobs and windows outlive batches, and ``tracked`` bounds the windows."""
+    processor = CappedService(quota, round(window_s * 1e6), per_key, overall, tracked)
+    return job_events(events).groupBy("service").transformWithStateInPandas(processor, CAPPED, "Append", "none")
