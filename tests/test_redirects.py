@@ -116,3 +116,5 @@ def test_an_audit_of_captured_messages(spark, tmp_path):
     assert len(report) == 1 and report[0].site_key == "a.example"
     assert sorted(p.url.removeprefix(site) for p in report[0].pages) == ["/", "/lone", "/new"]
     assert [(x["from"].removeprefix(site), x["to"].removeprefix(site), x["hops"]) for x in report[0].issues.redirects] == [("/old", "/new", 1)]
+    crawl = report[0].crawl
+    assert (crawl.requested, crawl.crawled, crawl.failed, crawl.discovered, crawl.not_visited, crawl.stopped_early, crawl.sitemap_urls, crawl.robots_found, crawl.sitemap_found) == (25, 3, 0, 3, 0, False, 1, True, True)

@@ -1,13 +1,20 @@
-"""Breadth-first crawl order over a captured link graph, with depth and page budgets.
+"""Breadth-first crawl order over a captured link graph, with depth, page and time budgets.
 
-Each level is one DataFrame step: links of the level, less what was seen, ranked and cut by what is left of the site's
-budget.  The number of steps is the depth limit, whatever the graph's size; sitemap pages that link to pages not yet
-seen take further steps, at most as many as the page budget.
+A crawl of a site is a queue, but what it needs to know is bounded by its page budget: the links of the pages it claims,
+of each page no more than the budget, since earlier ones are claimed before later ones.  So every site's queue is run
+over the links known so far, pages whose links aren't known leading nowhere; the links of all pages claimed in that run
+are fetched with one join for all sites, and the queues are run again, until a run claims only pages whose links are known.
+Each round settles at least the next level of every branch, those of sitemap pages too: rounds grow with the depth limit,
+not with the pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from webgauge.constants import MAX_DEPTH, MAX_PAGES
@@ -26,7 +33,7 @@ def crawlable(links: DataFrame, rules: DataFrame) -> DataFrame:
     return keyed.join(closed.select(F.col("origin").alias("_origin"), F.col("path").alias("_path")), ["_origin", "_path"], "left_anti").drop("_origin", "_path")
 
 
-class _Crawl:
+class _Levels:
     """What is claimed so far: at most max_pages rows a site, each step written once so that plans stay short."""
 
     def __init__(self, edges: DataFrame, identities: DataFrame | None, max_pages: int):
@@ -68,7 +75,8 @@ class _Crawl:
     def follow(self, front: DataFrame, depths: range) -> None:
         """Claim what the pages of ``front`` link to, level by level."""
         for depth in depths:
-            step = front.select("site_key", F.col("url").alias("src"), "place").join(self.edges, ["site_key", "src"]).groupBy("site_key", F.col("dst").alias("url")).agg(F.min(F.struct("place", "pos")).alias("by"))
+            named = front.select("site_key", F.explode(F.array_distinct(F.array("url", "identity"))).alias("src"), "place")
+            step = named.join(self.edges, ["site_key", "src"]).groupBy("site_key", F.col("dst").alias("url")).agg(F.min(F.struct("place", "pos")).alias("by"))
             front = self.claim(step, ["by"], F.lit(depth), "link")
             if front is None:
                 return
@@ -82,19 +90,12 @@ class _Crawl:
         return left.join(leads, ["site_key", "url"], "left").withColumn("before", F.coalesce(before, F.lit(False))).where("not before").select("site_key", "url", "pos")
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
-    """(site_key, url, depth, place, source): pages in the order that a crawl claims them.
-
-    seeds: (site_key, url); links: (site_key, src, dst, and pos, the link's place on its page), already ``crawlable``.
-    Pages come in the order in which a queue meets them: by the page that links to them first, then by the link's place
-    there (without pos, by target).  Sitemap pages (site_key, pos, url) come when no link is left; their depth is null
-    and links on them lead to depth 1.  identities: (site_key, url, identity) of pages that end at another address: of
-    several pages of one identity the first is claimed, and the others take nothing of the budget.  A page that can't be
-    fetched is claimed like any other.
-    """
+def _by_levels(seeds: DataFrame, links: DataFrame, max_depth: int, max_pages: int, sitemap: DataFrame | None, identities: DataFrame | None) -> DataFrame:
+    """The claims of ``crawl_frontier`` under a budget beyond ``QUEUE_PAGES``: level by level over the whole graph, so that
+    no site is a group; sitemap pages that lead on take levels of their own."""
     pos = F.min("pos") if "pos" in links.columns else F.lit(0)
     edges = materialize(links.where("src <> dst").groupBy("site_key", "src", "dst").agg(pos.alias("pos")), "edges")
-    crawl = _Crawl(edges, identities, max_pages)
+    crawl = _Levels(edges, identities, max_pages)
     first = crawl.claim(seeds.select("site_key", "url").distinct(), [], F.lit(0), "seed")
     if first is None:
         return seeds.select("site_key", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.lit("seed").alias("source")).limit(0)
@@ -106,3 +107,184 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPT
         discard(pending)
     discard(edges)
     return crawl.claimed.drop("identity")
+
+
+#: Budgets up to this are queues in a task for each site.
+QUEUE_PAGES = 2000
+SEED, SITEMAP, LINK, PAGE = range(4)
+#: What is known of a site: seeds, sitemap pages and links by their place, and pages whose links are all here.
+KNOWN = "site_key string, kind int, src string, dst string, identity string, place long, ms double"
+CLAIMED = "site_key string, url string, identity string, depth int, place long, source string, elapsed_ms double, known boolean"
+
+
+def run_queue(known: pd.DataFrame, max_depth: int, max_pages: int, budget_ms: float | None) -> list[tuple]:
+    """The claims of one site's queue: (url, identity, depth, place, source, elapsed_ms, known)."""
+    links: dict[str, list[tuple[str, str]]] = {}
+    ms: dict[str, float] = {}
+    start, pending = [], deque()
+    known = known.sort_values(["kind", "src", "place", "dst"], na_position="first")
+    for kind, src, dst, identity, took in zip(known["kind"], known["src"], known["dst"], known["identity"], known["ms"]):
+        if kind == SEED:
+            start.append((dst, identity))
+        elif kind == SITEMAP:
+            pending.append((dst, identity))
+        elif kind == LINK:
+            links.setdefault(src, []).append((dst, identity))
+        else:
+            ms[dst] = 0.0 if pd.isna(took) else took
+    seen: set[str] = set()
+    queue: deque = deque()
+    out: list[tuple] = []
+    clock = 0.0
+
+    def meet(url: str, identity: str) -> bool:
+        if url in seen or identity in seen:
+            return False
+        seen.update((url, identity))
+        return True
+
+    for url, identity in start:
+        if meet(url, identity):
+            queue.append((url, identity, 0, "seed"))
+    while len(out) < max_pages and not (budget_ms is not None and clock > budget_ms):
+        while not queue and pending:
+            url, identity = pending.popleft()
+            if meet(url, identity):
+                queue.append((url, identity, None, "sitemap"))
+        if not queue:
+            break
+        url, identity, depth, source = queue.popleft()
+        clock += ms.get(url, 0.0)
+        out.append((url, identity, depth, len(out) + 1, source, clock, url in ms))
+        deeper = 1 if depth is None else depth + 1
+        if deeper <= max_depth:
+            for name in dict.fromkeys((identity, url)):
+                for dst, dst_identity in links.get(name, ()):
+                    if meet(dst, dst_identity):
+                        queue.append((dst, dst_identity, deeper, "link"))
+    return out
+
+
+def _with_identity(pages: DataFrame, identities: DataFrame | None, column: str) -> DataFrame:
+    """Pages with the identity of the address in a column: where it leads to, else itself."""
+    if identities is None:
+        return pages.withColumn("identity", F.col(column))
+    named = identities.select("site_key", F.col("url").alias(column), F.col("identity").alias("_identity")).groupBy("site_key", column).agg(F.min("_identity").alias("_identity"))
+    return pages.join(named, ["site_key", column], "left").withColumn("identity", F.coalesce("_identity", column)).drop("_identity")
+
+
+def _first_ones(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """Of each group the first rows of different identity, ``limit`` at most, with their place."""
+    once = F.row_number().over(Window.partitionBy(*by, "identity").orderBy(*order))
+    rows = rows.withColumn("_once", once).where("_once = 1").drop("_once")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("place") <= limit)
+
+
+def crawl_frontier(
+    seeds: DataFrame,
+    links: DataFrame,
+    max_depth: int = MAX_DEPTH,
+    max_pages: int = MAX_PAGES,
+    sitemap: DataFrame | None = None,
+    identities: DataFrame | None = None,
+    durations: DataFrame | None = None,
+    time_budget_ms: float | None = None,
+    on_progress: Callable[[dict], None] | None = None,
+) -> DataFrame:
+    """(site_key, url, depth, place, source): pages in the order that a crawl claims them.
+
+    seeds: (site_key, url); links: (site_key, src, dst, and pos, the link's place on its page), already ``crawlable``.
+    Pages come in the order in which a queue meets them: by the page that links to them first, then by the link's place
+    there (without pos, by target).  Sitemap pages (site_key, pos, url) come when no link is left; their depth is null
+    and links on them lead to depth 1.  identities: (site_key, url, identity) of pages that end at another address: of
+    several pages of one identity the first is claimed, the others take nothing of the budget, and a page's links are
+    those of its identity.  A page that can't be fetched is claimed like any other.
+
+    durations: (site_key, url, ms) of pages; with them there is a column elapsed_ms, the site's time after each page, and
+    no page is claimed once that is beyond ``time_budget_ms``.  ``on_progress`` gets the counts of each round: its number,
+    sites, pages claimed, and those of them whose links weren't known yet.
+
+    A site's group holds its first ``max_pages`` sitemap pages and as many links of each page fetched, whatever the site's
+    size.  Budgets beyond ``QUEUE_PAGES``, without limits of time, are worked off level by level instead, with the same
+    claims.
+    """
+    if max_pages > QUEUE_PAGES and durations is None:
+        return _by_levels(seeds, links, max_depth, max_pages, sitemap, identities)
+    pos = F.min("pos") if "pos" in links.columns else F.lit(0)
+    edges = links.where("src <> dst").groupBy("site_key", "src", "dst").agg(pos.alias("pos"))
+    edges = materialize(_first_ones(_with_identity(edges, identities, "dst"), ["site_key", "src"], ["pos", "dst"], max_pages), "edges")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def roots(pages: DataFrame, kind: int, order: list[str]) -> DataFrame:
+        found = _first_ones(_with_identity(pages, identities, "url"), ["site_key"], order, max_pages)
+        return found.select("site_key", F.lit(kind).alias("kind"), none("string").alias("src"), F.col("url").alias("dst"), "identity", "place", none("double").alias("ms"))
+
+    known = roots(seeds.select("site_key", "url").distinct(), SEED, ["url"])
+    if sitemap is not None:
+        crawled = seeds.select("site_key").distinct()  # a site without a seed isn't crawled
+        pending = sitemap.groupBy("site_key", "url").agg(F.min("pos").alias("pos")).join(crawled, "site_key", "left_semi")
+        known = known.unionByName(roots(pending, SITEMAP, ["pos", "url"]))
+    known = materialize(known, "known")
+    parts = [known]
+
+    def claims(rows: pd.DataFrame) -> pd.DataFrame:
+        out = run_queue(rows, max_depth, max_pages, time_budget_ms)
+        frame = pd.DataFrame(out, columns=["url", "identity", "depth", "place", "source", "elapsed_ms", "known"])
+        return frame.assign(site_key=rows["site_key"].iloc[0], depth=frame["depth"].astype("Int32"))[[c.split()[0] for c in CLAIMED.split(", ")]]
+
+    rounds = 0
+    while True:
+        rounds += 1
+        counts = Observation()
+        run = known.groupBy("site_key").applyInPandas(claims, CLAIMED)
+        run = run.observe(counts, F.count_if(F.col("place") == 1).alias("sites"), F.count("*").alias("claimed"), F.count_if(~F.col("known")).alias("open"))
+        claimed = materialize(run, "claims")
+        now = counts.get
+        if on_progress is not None:
+            on_progress({"round": rounds, **now})
+        if not now["open"]:
+            break
+        asked = claimed.where("not known").select("site_key", "url", "identity")
+        timed = asked.withColumn("ms", F.lit(0.0)) if durations is None else asked.join(durations.groupBy("site_key", "url").agg(F.max("ms").cast("double").alias("ms")), ["site_key", "url"], "left")
+        here = timed.select("site_key", F.lit(PAGE).alias("kind"), none("string").alias("src"), F.col("url").alias("dst"), "identity", none("long").alias("place"), "ms")
+        names = asked.select("site_key", F.explode(F.array_distinct(F.array("url", "identity"))).alias("src")).distinct()
+        have = known.where(F.col("kind") == LINK).select("site_key", "src").distinct()
+        more = edges.join(names.join(have, ["site_key", "src"], "left_anti"), ["site_key", "src"]).select("site_key", F.lit(LINK).alias("kind"), "src", "dst", "identity", "place", none("double").alias("ms"))
+        parts.append(materialize(here.unionByName(more), "known"))
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.unionByName(part)
+        discard(claimed)
+    for scratch in (edges, *parts):
+        discard(scratch)
+    columns = ["site_key", "url", "depth", "place", "source"]
+    return claimed.select(*columns, *(["elapsed_ms"] if durations is not None else []))
+
+
+def crawl_progress(claimed: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
+    """(site_key, crawled, discovered, queued, target): what a crawl reports after each page that ``crawl_frontier`` claimed.
+
+    discovered: addresses met so far, by their identity, and sitemap entries not yet taken; queued: those met and not yet
+    visited; target: the page budget.  Links beyond the depth limit aren't met.
+    """
+    own = _with_identity(claimed, identities, "url")
+    place = F.col("place")
+    deeper = F.coalesce(F.col("depth"), F.lit(0)) + 1
+    opens = own.where(deeper <= max_depth).select("site_key", F.explode(F.array_distinct(F.array("url", "identity"))).alias("src"), "place")
+    met = _with_identity(links.where("src <> dst").select("site_key", "src", "dst").distinct().join(opens, ["site_key", "src"]), identities, "dst").select("site_key", "identity", "place")
+    start = own.where("source <> 'link'").select("site_key", "identity", F.when(F.col("source") == "seed", F.lit(0).cast("long")).otherwise(place).alias("place"))
+    first = met.unionByName(start).groupBy("site_key", "identity").agg(F.min("place").alias("place"))
+    steps = first.groupBy("site_key", "place").agg(F.count("*").alias("new")).unionByName(own.select("site_key", "place", F.lit(0).cast("long").alias("new")))
+    so_far = Window.partitionBy("site_key").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    steps = steps.groupBy("site_key", "place").agg(F.sum("new").alias("new")).withColumn("met", F.sum("new").over(so_far))
+    out = own.select("site_key", "place", "url", "source").join(steps.select("site_key", "place", "met"), ["site_key", "place"])
+    if sitemap is None:
+        out = out.withColumn("left", F.lit(0).cast("long"))
+    else:
+        listed = sitemap.groupBy("site_key", "url").agg(F.min("pos").alias("pos"))
+        listed = listed.withColumn("entry", F.row_number().over(Window.partitionBy("site_key").orderBy("pos", "url")).cast("long"))
+        total = listed.groupBy("site_key").agg(F.max("entry").alias("entries"))
+        out = out.join(listed.select("site_key", "url", "entry"), ["site_key", "url"], "left").join(total, "site_key", "left")
+        taken = F.max(F.when(F.col("source") == "sitemap", F.col("entry"))).over(so_far)
+        out = out.withColumn("left", F.coalesce(F.col("entries") - F.coalesce(taken, F.lit(0)), F.lit(0)))
+    return out.select("site_key", place.alias("crawled"), (F.col("met") + F.col("left")).alias("discovered"), (F.col("met") - place).alias("queued"), F.lit(max_pages).alias("target"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import MAX_DEPTH, MAX_PAGES
 from webgauge.functions import urls
 from webgauge.operators import robots, site, vitals
-from webgauge.operators.frontier import crawl_frontier, crawlable
+from webgauge.operators.frontier import crawl_frontier, crawl_progress, crawlable
 from webgauge.operators.redirects import followed
 from webgauge.plans import report
 from webgauge.runtime import materialize
@@ -128,8 +128,29 @@ def site_reports(pages: DataFrame, links: DataFrame, sitemap: DataFrame, unreach
     return out.select("site_key", F.lit(mode).alias("mode"), "score", "categories", F.struct(*names).alias("issues"), "todos", "pages")
 
 
-def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Crawl every captured site from its shortest address, in link order and under the budgets, and report on it."""
+def crawl_counters(claimed: DataFrame, progress: DataFrame, unreachable: DataFrame, listed: DataFrame, context: DataFrame, max_depth: int, max_pages: int, time_budget_ms: float | None) -> DataFrame:
+    """(site_key, crawl): what a crawl asked for, met and left out, in a struct."""
+    late = F.max("elapsed_ms") > F.lit(time_budget_ms) if time_budget_ms is not None else F.lit(False)
+    out = claimed.groupBy("site_key").agg(F.count("*").alias("claimed"), late.alias("stopped_early"))
+    met = progress.groupBy("site_key").agg(F.max(F.col("crawled") + F.col("queued")).alias("discovered"))
+    failed = unreachable.groupBy("site_key").agg(F.count("*").alias("failed"))
+    entries = listed.groupBy("site_key").agg(F.count("*").alias("sitemap_urls"))
+    files = context.groupBy(urls.host(F.col("origin")).alias("site_key")).agg(F.bool_or("robots_found").alias("robots_found"), F.bool_or("sitemap_found").alias("sitemap_found"))
+    for part in (met, failed, entries, files):
+        out = out.join(part, "site_key", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    fields = [
+        F.lit(max_pages).alias("requested"), (F.col("claimed") - none("failed")).alias("crawled"), none("failed").alias("failed"), "discovered", F.greatest(F.col("discovered") - F.col("claimed"), F.lit(0)).alias("not_visited"),
+        F.lit(max_depth).alias("max_depth"), "stopped_early", none("sitemap_urls").alias("sitemap_urls"), F.coalesce("robots_found", F.lit(False)).alias("robots_found"), F.coalesce("sitemap_found", F.lit(False)).alias("sitemap_found"),
+    ]
+    return out.select("site_key", F.struct(*fields).alias("crawl"))
+
+
+def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, time_budget_ms: float | None = None) -> DataFrame:
+    """Crawl every captured site from its shortest address, in link order and under the budgets, and report on it.
+
+    ``time_budget_ms`` is held against the pages' response times, one after the other.
+    """
     pages = materialize(audited_pages(fetched), "audited")
     summaries = materialize(report.page_summaries(pages, report.findings(pages, mode), mode), "summaries")
     rules = robots.robots_rules(fetched.robots_texts())
@@ -139,7 +160,10 @@ def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH,
     listed = materialize(listed.where(urls.host(F.col("url")) == F.col("site_key")), "sitemap")
     moved = summaries.select("site_key", urls.canonical(F.col("requested_url")).alias("asked"), F.col("url").alias("identity")).where("asked <> identity").groupBy("site_key", F.col("asked").alias("url")).agg(F.min("identity").alias("identity"))
     open_pages = crawlable(listed.withColumns({"src": F.col("url"), "dst": F.col("url")}), rules).select("site_key", "pos", "url")
-    claimed = crawl_frontier(seeds, links, max_depth, max_pages, open_pages, moved)
+    durations = None if time_budget_ms is None else summaries.select("site_key", urls.canonical(F.col("requested_url")).alias("url"), F.col("response_ms").alias("ms"))
+    claimed = crawl_frontier(seeds, links, max_depth, max_pages, open_pages, moved, durations, time_budget_ms)
+    progress = crawl_progress(claimed, links, max_depth, max_pages, open_pages, moved)
+    counted = claimed
     claimed = claimed.join(moved, ["site_key", "url"], "left").select("site_key", F.coalesce("identity", "url").alias("url"), F.col("url").alias("asked"), "depth", "source", "place")
     claimed = materialize(claimed, "claimed")
     # of several captures that end at one address the one that the crawl asked for
@@ -147,4 +171,5 @@ def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH,
     crawled = summaries.join(claimed.drop("place"), ["site_key", "url"]).withColumn("again", F.row_number().over(first)).where("again = 1").drop("again", "asked")
     unreachable = claimed.join(summaries, ["site_key", "url"], "left_anti").select("site_key", "url")
     between = links.join(claimed.select("site_key", F.col("url").alias("src")), ["site_key", "src"], "left_semi")
-    return site_reports(crawled, between, listed, unreachable, mode)
+    counters = crawl_counters(counted, progress, unreachable, listed, site_context(fetched), max_depth, max_pages, time_budget_ms)
+    return site_reports(crawled, between, listed, unreachable, mode).join(counters, "site_key", "left")

@@ -196,3 +196,16 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = links_of_lineitem(spark, sf_dir)
     seeds = links.groupBy("site_key").agg(F.min("src").alias("url"))
     return frontier.crawl_frontier(seeds, links).withColumn("depth", long("depth"))
+
+
+@query(
+    f"""WITH {L}, e AS (SELECT site_key, src, dst, min(pos) AS pos FROM l WHERE src <> dst GROUP BY 1, 2, 3), {_levels(MAX_DEPTH, MAX_PAGES)},
+    m AS (SELECT e.site_key, e.dst AS url, c.place FROM s{MAX_DEPTH} c JOIN e ON e.site_key = c.site_key AND e.src = c.url WHERE c.depth < {MAX_DEPTH} UNION ALL SELECT site_key, url, 0 FROM c0),
+    f AS (SELECT site_key, url, min(place) AS place FROM m GROUP BY 1, 2)
+    SELECT c.site_key, c.place AS crawled, count(*) FILTER (f.place <= c.place) AS discovered, count(*) FILTER (f.place <= c.place) - c.place AS queued, {MAX_PAGES} AS target FROM s{MAX_DEPTH} c JOIN f USING (site_key) GROUP BY 1, 2"""
+)
+def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl reports after each page."""
+    links = links_of_lineitem(spark, sf_dir)
+    claimed = frontier.crawl_frontier(links.groupBy("site_key").agg(F.min("src").alias("url")), links)
+    return frontier.crawl_progress(claimed, links)
