@@ -11,6 +11,7 @@ from webgauge.operators import admission, robots, vitals
 from webgauge.plans import views
 from webgauge.queries.registry import ORACLE, long, query, sql_values, table
 from webgauge.runtime import scratch_path
+from webgauge.sources import probes
 from webgauge.streaming.admission import stream_admissions
 
 # -- robots.txt made of nations, paths made of parts ------------------------------------------------------------------------
@@ -112,6 +113,38 @@ def address_guard_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("reason", net.address_reason(F.col("ip")))
 
 
+ASKED = ["e.event_id * 7 % 256", "(e.event_id * 13 + e.user_id) % 256", "e.event_id % 120", "e.event_id % 256"]
+PUBLIC = "93.184.216.34"
+ADDRESSES = ["ftp://h{n}.example/", "https://h{n}.example:22/x", "https://h{n}.example/", "http://H{n}.example:8080/?q", "https://10.0.0.{o}/", "https://user@[2606:4700::{o}]:443/"]
+
+
+@query(
+    f"""WITH o AS (SELECT event_id, {", ".join(f"{e.replace('e.', '')} AS {n}" for e, n in zip(ASKED, "abcd"))}, event_id % 6 AS k FROM events WHERE user_id IS NOT NULL),
+    r AS (SELECT *, CASE {" ".join(f"WHEN {test} THEN '{net.IPV4_REFUSED[i][2]}'" for test, i in CUTS)} END AS reason FROM o)
+    SELECT event_id, CASE WHEN k = 0 THEN 'only http and https are fetched' WHEN k = 1 THEN 'a reserved port' WHEN k = 4 THEN 'a private 10.0.0.0/8 address' WHEN k = 5 THEN NULL WHEN event_id % 11 = 0 THEN 'the host has no address' ELSE reason END AS refusal FROM r"""
+)
+def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses judged by captured name answers: two addresses of a host by way of another name, one of them public."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").alias("e")
+    n = F.col("event_id").cast("string")
+    two = lambda c: F.lpad(F.hex(c), 4, "0")
+    label = lambda c: F.concat(F.lpad(F.hex(F.length(c).cast("long")), 2, "0"), F.hex(c))
+    host = F.concat(F.lit("h"), n)
+    asked = F.concat(label(host), F.lit("07" + "example".encode().hex() + "00"))
+    octets = F.concat(*[F.lpad(F.hex(F.expr(x)), 2, "0") for x in ASKED])
+    public = "".join(f"{int(x):02x}" for x in PUBLIC.split("."))
+    none = F.expr("event_id % 11 = 0")
+    # the name at byte 12 stands for "www" before it, whose two addresses follow
+    to = F.concat(F.lit("c00c000500010000003c0006"), F.lit("03777777c00c"))
+    at = two((F.lit(0xC000) + 12 + F.length(asked) / 2 + 4 + 12).cast("long"))
+    records = F.concat(to, at, F.lit(f"000100010000003c0004{public}"), at, F.lit("000100010000003c0004"), octets)
+    message = F.concat(F.lit("00018180"), F.lit("0001"), F.when(none, "0000").otherwise("0003"), F.lit("00000000"), asked, F.lit("00010001"), F.when(none, "").otherwise(records))
+    answers = e.select(F.unhex(message).alias("message"))
+    forms = F.get(F.array(*map(F.lit, ADDRESSES)), (F.col("event_id") % 6).cast("int"))
+    url = F.replace(F.replace(forms, F.lit("{n}"), n), F.lit("{o}"), F.expr("event_id % 200 + 1").cast("string"))
+    return probes.guarded(e.select("event_id", url.alias("url")), probes.host_addresses(answers)).select("event_id", "refusal")
+
+
 # -- field metrics: values of events ------------------------------------------------------------------------------------------
 
 METRICS = list(VITALS)
