@@ -72,3 +72,50 @@ def parse_response(body: Column) -> Column:
 def reason(status: Column) -> Column:
     """Why there is no data, by the answer's status."""
     return F.when(status == 200, F.lit(None).cast("string")).when(status == 404, "no-data").when(status == 403, "forbidden").when(status == 429, "quota").otherwise("error")
+
+
+#: The service's names of the metrics.
+SERVICE_NAMES = {
+    "largest_contentful_paint": "lcp",
+    "interaction_to_next_paint": "inp",
+    "cumulative_layout_shift": "cls",
+    "first_contentful_paint": "fcp",
+    "experimental_time_to_first_byte": "ttfb",
+}
+
+
+def field_data(responses: DataFrame) -> DataFrame:
+    """The service's answers (target, scope, status, body) read: (target, scope, form_factor, period, reason, data, density).
+
+    data: metric -> 75th percentile, of known metrics with a finite one; density: metric -> its shares in three buckets;
+    period: first and last day.  Where there is none, reason says why: network (a null status: no answer came),
+    bad-response (no JSON), forbidden, quota or error by the status, no-data.  Answers of repeated rows are repeated.
+    """
+    read = responses.withColumn("_r", parse_response(F.col("body").cast("string")))
+    metrics, when = F.col("_r.record.metrics"), F.col("_r.record.collectionPeriod")
+    known = F.map_filter(F.coalesce(metrics, F.map_from_arrays(F.array().cast("array<string>"), F.array()).cast(dict(read.select(metrics.alias("m")).dtypes)["m"])), lambda k, _: k.isin(*SERVICE_NAMES))
+    names = F.create_map(*[F.lit(x) for pair in SERVICE_NAMES.items() for x in pair])
+    p75 = lambda v: F.trim(v["percentiles"]["p75"]).try_cast("double")
+    usable = F.map_filter(known, lambda _, v: p75(v).isNotNull() & ~F.isnan(p75(v)) & (F.abs(p75(v)) < float("inf")))
+    named = F.transform_keys(usable, lambda k, _: F.element_at(names, k))
+    why = (
+        F.when(F.col("status").isNull(), "network")
+        .when(F.try_parse_json(F.col("body").cast("string")).isNull(), "bad-response")
+        .when(F.col("status") != 200, reason(F.col("status")))
+        .when(F.size("_named") == 0, "no-data")
+    )
+    day = lambda d: F.make_date(d["year"], d["month"], d["day"])
+    out = read.withColumn("_named", named).withColumn("reason", why)
+    fits = F.col("reason").isNull()
+    shares = F.transform_values("_named", lambda _, v: F.transform(F.coalesce(v["histogram"], F.array().cast("array<struct<start:string,end:string,density:double>>")), lambda b: F.coalesce(b["density"], F.lit(0.0))))
+    return out.select(
+        "target", "scope", F.when(fits, F.col("_r.record.key.formFactor")).alias("form_factor"),
+        F.when(fits & when.isNotNull(), F.struct(period(day(when["firstDate"])).alias("first"), period(day(when["lastDate"])).alias("last"))).alias("period"), "reason",
+        F.when(fits, F.transform_values("_named", lambda _, v: p75(v))).alias("data"), F.when(fits, shares).alias("density"),
+    )
+
+
+def records(read: DataFrame) -> DataFrame:
+    """A row for each metric of read answers, as ``rated`` takes them: (target, scope, metric, p75, density)."""
+    each = read.where("reason IS NULL").select("target", "scope", "density", F.explode("data").alias("metric", "p75"))
+    return each.withColumn("density", F.element_at(F.col("density"), F.col("metric")))

@@ -2,7 +2,7 @@
 
 Fetched tables: captures (url, html, ...), robots (origin, status, text), sitemaps (url, status, xml), llms (origin,
 status, text), and, where there are any, probes (origin and columns of ``catalog.CAPTURE``), favicons (url, status,
-content_type) and field data (target, scope, reason, data).
+content_type) and field data, read (target, scope, reason, data) or as answered (target, scope, status, body).
 """
 
 from __future__ import annotations
@@ -81,7 +81,10 @@ def with_context(fetched: Fetched) -> DataFrame:
     decisions = robots.search_blocked(rules, paths).join(access, ["origin", "path"])
     out = files.with_site_context(pages, site_context(fetched)).join(decisions, ["origin", "path"], "left")
     if fetched.field is not None:
-        known = vitals.with_fallback(out, fetched.field)
+        field = fetched.field
+        if "body" in field.columns:  # as the service answered
+            field = vitals.field_data(field)
+        known = vitals.with_fallback(out, field.select("target", "scope", "reason", "data"))
         out = known.withColumnsRenamed({"data": "vitals", "reason": "vitals_reason"}).drop("fell_back_from_url")
     return out
 

@@ -186,6 +186,30 @@ def vitals_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vitals.with_fallback(pages, own.unionByName(site))
 
 
+ANSWERS = [
+    (404, '{"error":{"code":404,"message":"none"}}'), (403, '{"error":{"code":403,"message":"key"}}'), (429, "{}"), (500, "{}"), (200, "{broken"), (200, '{"record":{"key":{"url":"u"}}}'),
+    (200, '{"record":{"key":{"formFactor":"PHONE"},"metrics":{"largest_contentful_paint":{"histogram":[{"start":0,"end":2500,"density":0.5},{"density":0.3},{"density":0.2}],"percentiles":{"p75":@}},'
+          '"cumulative_layout_shift":{"percentiles":{"p75":"0.05"}},"other_metric":{"percentiles":{"p75":1}}},"collectionPeriod":{"firstDate":{"year":2024,"month":3,"day":5},"lastDate":{"year":2024,"month":4,"day":1}}}}'),
+    (None, None), (200, '{"record":{"metrics":{"largest_contentful_paint":{"percentiles":{"p75":"fast"}},"interaction_to_next_paint":{"histogram":[],"percentiles":{"p75":@}}}}}'), (200, '{"record":{"metrics":{"other":{"percentiles":{"p75":1}}}}}'),
+]
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS target, c_custkey % 10 AS k, CAST(c_custkey * 7 % 6000 AS DOUBLE) AS v FROM customer)
+    SELECT target, ['no-data', 'forbidden', 'quota', 'error', 'bad-response', 'no-data', NULL, 'network', NULL, 'no-data'][k + 1] AS reason, CASE WHEN k = 6 THEN v END AS lcp, CASE WHEN k = 8 THEN v END AS inp, CASE WHEN k = 6 THEN 0.05::DOUBLE END AS cls,
+    CASE WHEN k = 6 THEN '0.5,0.3,0.2' END AS shares, CASE WHEN k = 6 THEN 'PHONE' END AS form_factor, CASE WHEN k = 6 THEN '2024-03-05 2024-04-01' END AS period, CAST(CASE k WHEN 6 THEN 2 WHEN 8 THEN 1 END AS BIGINT) AS metrics FROM c"""
+)
+def field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the field-data service in ten forms, broken and refused ones among them."""
+    k = (F.col("c_custkey") % 10).cast("int")
+    body = F.replace(F.get(F.array(*[F.lit(b) for _, b in ANSWERS]), k), F.lit("@"), (F.col("c_custkey") * 7 % 6000).cast("string"))
+    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.lit("url").alias("scope"), F.get(F.array(*[F.lit(s) for s, _ in ANSWERS]), k).alias("status"), body.alias("body"))
+    r = vitals.field_data(answers)
+    value = lambda m: F.try_element_at("data", F.lit(m))
+    shares = F.array_join(F.transform(F.try_element_at("density", F.lit("lcp")), lambda x: x.cast("string")), ",")
+    return r.select("target", "reason", value("lcp").alias("lcp"), value("inp").alias("inp"), value("cls").alias("cls"), shares.alias("shares"), "form_factor", F.concat_ws(" ", "period.first", "period.last").alias("period"), long(F.size("data")).alias("metrics")).withColumn("period", F.nullif("period", F.lit("")))
+
+
 # -- admission: events of users ------------------------------------------------------------------------------------------------
 
 
