@@ -95,7 +95,8 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
 
     Texts are equal when identical without the characters of ``DELETED``; a null text counts as empty.  Of equal texts
     the row with the most code points stays, then the least doc_id (null last), then the first in the files: of
-    repeated rows one is kept.  Other columns aren't read; an empty table gives an empty result.
+    repeated rows one is kept.  A text of any length goes as its digest through the state; only texts of a shared digest
+    are compared whole.  Other columns aren't read; an empty table gives an empty result.
     """
     digest = digest or (lambda norm: F.unhex(F.sha2(norm, 256)))
     state = write_table(stream_state(spark, path, digest, files_per_trigger), "state")

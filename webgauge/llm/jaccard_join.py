@@ -285,8 +285,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     Documents link when the Jaccard similarity of their sets of ``words`` consecutive words (lower case, split at white
     space) is >= threshold; a text of fewer words is one shingle; texts without words (null, empty) link with nothing.
     class_id is the least doc_id that links reach (null ids last), n_links counts linked documents, copies included,
-    kept marks the document whose id is its class_id.  Repeated rows link with each other.  Other columns aren't read;
-    an empty table gives an empty result.
+    kept marks the document whose id is its class_id.  Repeated rows link with each other.  A text of any length is
+    shingled whole; verification holds the shingle hashes of a block's texts.  Other columns aren't read; an empty table
+    gives an empty result.
     """
     rows = write_table(_classes(docs, words), "classes")
     reps = rows.where("some").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("who"), F.count("*").alias("weight"), F.max("sig").alias("sig"))

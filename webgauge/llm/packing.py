@@ -131,8 +131,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
 
     cell_bound is the least number of sequences that the pieces packed together with this one need, gap how many more
     they got when packed; ``certificate`` gives both for the whole.
-    A null text counts as empty (one piece, the end id); null ids are kept; repeated rows are packed each; other
-    columns aren't read; an empty table gives an empty result.
+    A null text counts as empty (one piece, the end id); null ids are kept; repeated rows are packed each; pieces of equal
+    length are taken in the order of their rows in the cell; a text of any length is encoded whole and cut only by
+    ``capacity``; other columns aren't read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     pieces = tokenized_pieces(docs, vocabulary or tokenizer_path(VOCABULARY), capacity, end_id)

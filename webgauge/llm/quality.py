@@ -189,7 +189,8 @@ def rank_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """(doc_id, held_out, score, predicted) of every document.
 
     A null text counts as empty and is scored; a null id counts as not held out but can't be labelled; repeated rows
-    get repeated results; lang, source and other columns aren't read; an empty table gives an empty result.
+    get repeated results; a text of any length is read whole, its features being shares and logarithms; lang, source and
+    other columns aren't read; an empty table gives an empty result.
     """
     scored = score_documents(docs.select("doc_id", "text"), train_ranker(docs, labels, sample_rows))
     scored = scored.select("doc.doc_id", "score")

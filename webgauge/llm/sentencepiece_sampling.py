@@ -255,7 +255,8 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, theta: float
     """(doc_id, ids) of every document: a segmentation drawn by the row's key.
 
     A null text counts as empty (no ids); a null id is a key like another; rows of equal id and text get equal results;
-    other columns aren't read; an empty table gives an empty result.  Texts of any length are segmented whole: a task
+    other columns aren't read; an empty table gives an empty result.  Pieces with word marks inside take no part, as in
+    the library's own segmentation of spaced text.  Texts of any length are segmented whole: a task
     holds some 200 bytes for each character of the longest one.
     """
     path = model or tokenizer_path(MODEL)

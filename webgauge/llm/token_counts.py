@@ -157,7 +157,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, max_tokens: int
     """(id, n_bytes, n_tokens, over_limit), a row for each input row.
 
     A null text counts as empty (0 tokens); a null id stays null; other columns aren't read, whatever their names;
-    repeated rows give repeated results; an empty table gives an empty result.  Row-wise: no shuffle.
+    repeated rows give repeated results; an empty table gives an empty result.  Texts of any length are counted whole, a
+    few million characters at a time; a longer one is held alone.  Row-wise: no shuffle.
     """
     path = vocabulary or tokenizer_path(VOCABULARY)
 

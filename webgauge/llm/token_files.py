@@ -91,7 +91,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Write the ids of all documents in ascending doc_id order below ``path``; returns ``path``.
 
     A null text counts as empty (the end id only); null ids come first; documents of equal id are ordered by a hash of
-    their text; other columns aren't read; an empty table gives an empty dataset.
+    their text, so repeated rows lie side by side; a text of any length is encoded whole and runs on over blocks; other
+    columns aren't read; an empty table gives an empty dataset.
     """
     vocabulary = vocabulary or tokenizer_path(VOCABULARY)
 
@@ -205,7 +206,11 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_through_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """Write the token files of ``docs`` and give each document's digest as read back from them."""
+    """(doc_id, start, n_tokens, ids_crc32): the token files of ``docs`` written, and each document's digest read back.
+
+    Odd rows are treated as in ``write_token_files``; every row gives a row; crc32 of a document over several blocks is
+    combined from those of its parts.
+    """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     write_token_files(docs, path, vocabulary)
