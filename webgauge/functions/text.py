@@ -103,3 +103,9 @@ def content_hash(words: Column, paragraphs: Column, least_words: int = 50) -> Co
 def plural(word: Column, n: Column) -> Column:
     many = F.when(F.regexp_like(word, F.lit("[^aeiou]y$")), F.regexp_replace(word, "y$", "ies")).when(F.regexp_like(word, F.lit("(s|sh|ch|x)$")), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
     return F.when(n == 1, word).otherwise(many)
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """Text of ``limit`` characters at most, the last of a longer one an ellipsis; null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)

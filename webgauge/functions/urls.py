@@ -156,10 +156,13 @@ def www_variant(url: Column) -> Column:
     return F.when(F.startswith(h, F.lit("www.")), F.regexp_replace(h, r"^www\.", "")).when(n == 2, F.concat(F.lit("www."), h))
 
 
-def short(url: Column, limit: int = 60) -> Column:
-    """For display: without the scheme, cut to ``limit`` characters."""
-    t = F.regexp_replace(url, r"^https?://(www\.)?", "")
-    return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
+def shown(url: Column, own: Column) -> Column:
+    """For display: path, query and fragment of an address of the origin ``own``, host and path of any other; what is no
+    address as it is."""
+    asked = F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")
+    part = F.when(fragment(url) != "", F.concat(F.lit("#"), fragment(url))).otherwise("")
+    there = F.regexp_replace(origin(url), "^https?://", "")
+    return F.when(~is_web(url), url).when(origin(url) == own, F.concat(path(url), asked, part)).otherwise(F.concat(there, F.when(path(url) == "/", "").otherwise(path(url)), asked))
 
 
 def file_name(url: Column) -> Column:

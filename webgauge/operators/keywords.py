@@ -20,7 +20,8 @@ _stop, _noise = frozenset(STOP_WORDS), frozenset(NOISE_WORDS)
 
 
 def _flags(word: str) -> int:
-    return STOP * (word in _stop) | SHORT * (len(word) < 2) | NOISE * (word in _noise) | NUMBER * (word.isascii() and word.isdigit())
+    one = len(word) == 1 and word < "\U00010000"  # letters beyond the basic plane count as two
+    return STOP * (word in _stop) | SHORT * (one or not word) | NOISE * (word in _noise) | NUMBER * (word.isascii() and word.isdigit())
 
 
 def phrases(tokens: list[str]) -> dict[str, list[int]]:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgauge.constants import CATEGORIES
+from webgauge.functions import urls
 from webgauge.functions.numbers import round_half_up, verdict
+from webgauge.functions.text import truncated
 from webgauge.operators.scoring import importance_rank
 
 ISSUES = {
@@ -133,5 +135,17 @@ def site_todos(pages: DataFrame) -> DataFrame:
     return grouped.select("site_key", place.alias("place"), "category", "check", "rank", F.col("modal").alias("action"), "page_count", "pages")
 
 
+def todo_pages(todos: DataFrame, pages: DataFrame, title_chars: int = 70) -> DataFrame:
+    """(site_key, place, url, shown, target, title, action): the pages of each site-wide to-do with what a list shows of them.
+
+    target: where the page ended, for a new audit; title: its beginning; action: the page's own, where it differs.
+    """
+    each = todos.select("site_key", "place", F.explode("pages").alias("p")).select("site_key", "place", "p.*")
+    about = pages.groupBy("site_key", "url").agg(F.min(F.struct("final_url", "title")).alias("a")).select("site_key", "url", "a.*")
+    joined = each.join(about, ["site_key", "url"], "left")
+    target = F.coalesce("final_url", "url")
+    return joined.select("site_key", "place", "url", urls.shown(F.col("url"), urls.origin(target)).alias("shown"), target.alias("target"), truncated(F.trim("title"), title_chars).alias("title"), "action")
+
+
 def worst_first(pages: DataFrame) -> DataFrame:
     return pages.withColumn("place", F.row_number().over(Window.partitionBy("site_key").orderBy("score", "url")))

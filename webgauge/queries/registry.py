@@ -29,9 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows for work that is heavy on each.  The tables given are one file of one row group, which no split divides: such a
-    file is dealt to all cores."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if len(rows.inputFiles()) == 1 else rows
+    """Rows for work that is heavy on each.  A table read in fewer parts than there are cores is dealt to all of them: the
+    tables given are one file of one row group, which no split divides."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def long(c: Column | str) -> Column:

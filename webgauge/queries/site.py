@@ -155,6 +155,31 @@ def site_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("site_key", long("place").alias("place"), "check", "action", "page_count", long(F.size(F.filter("pages", lambda p: p["action"].isNotNull()))).alias("differing"))
 
 
+TODO_SITE = "'https://' || lower(replace(site_key, '#', '-')) || '.example'"
+
+
+@query(
+    f"""WITH {P}, k AS (SELECT * FROM (VALUES (0), (1)) AS k(k)),
+    q AS (SELECT site_key, {TODO_SITE} || url || CASE WHEN p_partkey % 3 = 0 THEN '?a=1#x' ELSE '' END AS url, CASE WHEN p_partkey % 10 = 0 THEN 'https://moved.example' || url ELSE {TODO_SITE} || url END AS target, repeat(trim(title) || ' ', 8) AS title, p_partkey FROM p),
+    t AS (SELECT site_key, url, target, title, k AS pos, 'check ' || k || ' ' || ((p_partkey + k) % 3) AS "check", {ACTIONS!r}[(p_partkey // 7 + k) % 3 + 1] AS action, CASE WHEN k = 1 THEN 1 ELSE 2 END AS rank FROM q, k),
+    c AS (SELECT site_key, "check", action, count(*) AS n, min((url, pos)) AS seen FROM t GROUP BY 1, 2, 3),
+    m AS (SELECT site_key, "check", action AS modal FROM c QUALIFY row_number() OVER (PARTITION BY site_key, "check" ORDER BY n DESC, seen) = 1),
+    g AS (SELECT site_key, "check", row_number() OVER (PARTITION BY site_key ORDER BY min(rank), count(*) DESC, min((url, pos))) AS place FROM t GROUP BY 1, 2),
+    r AS (SELECT t.*, m.modal, g.place, regexp_extract(t.url, '^(https://[^/]*)', 1) = regexp_extract(target, '^(https://[^/]*)', 1) AS same FROM t JOIN m USING (site_key, "check") JOIN g USING (site_key, "check"))
+    SELECT site_key, place, url, CASE WHEN same THEN regexp_replace(url, '^https://[^/]*', '') ELSE regexp_replace(regexp_replace(url, '^https://', ''), '#.*$', '') END AS shown, target,
+        CASE WHEN length(trim(title)) > 40 THEN left(trim(title), 39) || '…' ELSE trim(title) END AS title, CASE WHEN action <> modal THEN action END AS action FROM r"""
+)
+def site_todo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each site-wide to-do with their summaries, some of them moved to another site."""
+    pages = pages_of_parts(spark, sf_dir)
+    own = F.concat(F.lit("https://"), F.lower(F.replace("site_key", F.lit("#"), F.lit("-"))), F.lit(".example"), F.col("url"))
+    number = F.substring("url", 3, 20).cast("long")
+    final = F.when(number % 10 == 0, F.concat(F.lit("https://moved.example"), F.col("url"))).otherwise(own)
+    pages = pages.withColumns({"final_url": final, "url": F.concat(own, F.when(number % 3 == 0, "?a=1#x").otherwise("")), "title": F.repeat(F.concat(F.trim("title"), F.lit(" ")), F.lit(8))})
+    found = site.todo_pages(site.site_todos(pages), pages, 40)
+    return found.withColumn("place", long("place"))
+
+
 @query(f"WITH {P} SELECT site_key, url, score, row_number() OVER (PARTITION BY site_key ORDER BY score, url) AS place FROM p")
 def site_worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.worst_first(pages_of_parts(spark, sf_dir)).select("site_key", "url", long("score").alias("score"), long("place").alias("place"))
