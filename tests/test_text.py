@@ -89,3 +89,9 @@ def test_keywords_stop_at_the_limit_and_survive_bad_urls(spark):
     rows = spark.createDataFrame([(1, text, None, None, None, "https://x.org/%zz"), (2, "", "", "", [], "")], CASE)
     got = keywords(rows).collect()
     assert len(got) == 25 and {r.id for r in got} == {1} and not any(r.in_url for r in got)
+
+
+def test_letters_beyond_the_basic_plane_are_words():
+    from webgauge.operators.keywords import phrases
+
+    assert set(phrases(["𝒳", "x", "𝒳", "x", "tea", "tea"])) == {"𝒳", "tea"}

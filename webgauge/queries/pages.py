@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, SESSION_PARAMS, STOP_WORDS, TRACKING_ANALYSIS
+from webgauge.constants import ARIAL_WIDTHS, CATEGORIES, FALLBACK_WIDTH, IMPORTANCE, MAX_CHILD_SITEMAPS, MAX_SITEMAP_URLS, NON_HTML, SESSION_PARAMS, STOP_WORDS, TRACKING_ANALYSIS, TRACKING_CRAWL, TRACKING_LINKS
 from webgauge.functions import urls
 from webgauge.operators import scoring
 from webgauge.plans import audit, report, views
@@ -19,7 +19,7 @@ PARTS = r"'^(https?)://([^/?#:]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 U = f"""u AS (SELECT page_id, url, regexp_extract(url, {PARTS}, 1) AS scheme, lower(regexp_extract(url, {PARTS}, 2)) AS host, CASE WHEN regexp_extract(url, {PARTS}, 3) = '' THEN '/' ELSE regexp_extract(url, {PARTS}, 3) END AS path,
     regexp_extract(url, {PARTS}, 4) AS query FROM pages),
     k AS (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '') AS pairs, list_filter(list_transform(string_split(query, '&'), lambda p: split_part(p, '=', 1)), lambda x: x <> '') AS keys FROM u),
-    c AS (SELECT *, array_to_string(list_filter(pairs, lambda p: NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_|gclid|fbclid|msclkid|mc_cid|mc_eid|_ga|ref)$')), '&') AS kept FROM k)"""
+    c AS (SELECT *, array_to_string(list_filter(pairs, lambda p: NOT regexp_matches(split_part(p, '=', 1), '{TRACKING_CRAWL}')), '&') AS kept FROM k)"""
 CANONICAL = "scheme || '://' || host || CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN left(path, length(path) - 1) ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END"
 
 
@@ -30,10 +30,10 @@ def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {U} SELECT page_id, array_to_string(keys, ',') AS keys, CAST(len(list_filter(keys, lambda x: NOT regexp_matches(x, '(?i)^(utm_|gclid|fbclid|msclkid|mc_cid|mc_eid|_ga|ref|referrer)'))) AS BIGINT) AS dynamic_keys,
-    len(list_filter(keys, lambda x: regexp_matches(x, '(?i)^(sid|sessionid|session_id|phpsessid|jsessionid|aspsessionid|zenid)$'))) > 0 AS has_session,
+    f"""WITH {U} SELECT page_id, array_to_string(keys, ',') AS keys, CAST(len(list_filter(keys, lambda x: NOT regexp_matches(x, '{TRACKING_LINKS}'))) AS BIGINT) AS dynamic_keys,
+    len(list_filter(keys, lambda x: regexp_matches(x, '{SESSION_PARAMS}'))) > 0 AS has_session,
     CAST(len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS BIGINT) AS depth, CAST(len(string_split(host, '.')) AS BIGINT) AS labels, split_part(host, '.', -2) AS domain, split_part(path, '/', -1) AS file_name,
-    NOT regexp_matches(path, '(?i)\\.(jpe?g|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|txt|pdf|zip|gz|rar|mp[34]|m4a|mov|avi|webm|woff2?|ttf|eot|otf|dmg|exe|csv|xlsx?|docx?|pptx?)$') AS is_page,
+    NOT regexp_matches(path, '{NON_HTML}') AS is_page,
     CASE WHEN starts_with(host, 'www.') THEN regexp_replace(host, '^www\\.', '') WHEN len(string_split(host, '.')) = 2 THEN 'www.' || host END AS www_variant FROM k"""
 )
 def url_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
