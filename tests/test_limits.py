@@ -61,6 +61,13 @@ def test_capped_admissions_are_those_of_the_rules(spark, limits):
     assert {x[1] for x in got.values()} >= {None}
 
 
+def test_batches_in_which_no_job_starts(spark):
+    rows = jobs(11, 30)
+    with session_settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2"):
+        got = {r.event_id: (r.admitted, r.refusal, r.running, r.tracked) for r in a.capped_admissions(spark.createDataFrame(rows, EVENTS), 3, 600, 1, 2, 3).collect()}
+    assert got == plain(rows, 3, 600, 1, 2, 3)
+
+
 def test_rows_that_name_nothing_are_left_out(spark):
     rows = [(None, "k", "j", 1, T0, "start"), ("s", None, "j", 1, T0, "start"), ("s", "k", "j", 1, None, "start"), ("s", "k", None, 1, T0, "start"), ("s", "k", "j", 1, T0, "other"), ("s", "k", "j", 2, T0, "start")]
     assert [r.event_id for r in a.capped_admissions(spark.createDataFrame(rows, EVENTS)).collect()] == [2]

@@ -107,7 +107,8 @@ class Limiter:
             else:
                 self.finish(job)
         kept = events.iloc[[x[0] for x in out]][["service", "key", "job_id", "event_id", "ts"]].reset_index(drop=True)
-        return kept.assign(**{name: [x[k + 1] for x in out] for k, name in enumerate(("admitted", "refusal", "running", "tracked"))})
+        # typed, since pandas would take the columns of events without any start for numbers
+        return kept.assign(**{name: pd.Series([x[k + 1] for x in out], dtype=kind) for k, (name, kind) in enumerate((("admitted", bool), ("refusal", object), ("running", "int32"), ("tracked", "int32")))})
 
 
 CAPPED = "service string, key string, job_id string, event_id long, ts timestamp, admitted boolean, refusal string, running int, tracked int"
