@@ -90,7 +90,8 @@ def paragraph_key(text: Column) -> Column:
 
 def repeated(items: Column) -> Column:
     """Items that occur more than once, each once, by first occurrence."""
-    return F.filter(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x)) > 1)
+    again = lambda ordered: F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
+    return _once(items, lambda found: F.array_intersect(found, _once(F.array_sort(found), again)))
 
 
 def content_hash(words: Column, paragraphs: Column, least_words: int = 50) -> Column:

@@ -12,6 +12,8 @@ from webgauge.constants import NOISE_WORDS, STOP_WORDS
 from webgauge.functions import text as tx
 
 LIMIT, SUBSUMED_RATIO = 25, 1.3
+#: Rows whose words and keywords Python holds at once.
+PIECE_ROWS = 64
 BONUS = {1: 1.0, 2: 1.7, 3: 2.1}
 STOP, SHORT, NOISE, NUMBER = 1, 2, 4, 8
 FIELDS = [("keyword", pa.string()), ("words", pa.int32()), ("count", pa.int64()), ("density", pa.float64()), ("in_title", pa.bool_()), ("in_description", pa.bool_()), ("in_headings", pa.int32()), ("in_url", pa.bool_()), ("score", pa.float64()), ("place", pa.int32())]
@@ -82,16 +84,11 @@ def kept(candidates: list[tuple], limit: int) -> list[tuple]:
     return [(*c[:9], n + 1) for n, c in enumerate(out)]
 
 
-def _pass(rows: DataFrame, id_column: str, limit: int | None) -> DataFrame:
-    url = F.regexp_replace(F.lower(F.try_url_decode(F.replace(F.col("url"), F.lit("+"), F.lit("%2B")))), "[-_/]+", " ")
-    empty = F.lit("")
-    source = rows.select(
-        F.col(id_column).alias("id"), F.coalesce(tx.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"), F.lower(F.coalesce("title", empty)).alias("title"), F.lower(F.coalesce("description", empty)).alias("description"),
-        F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.lower(F.coalesce(h, empty))).alias("headings"), F.coalesce(url, empty).alias("url"),
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
+    """The keywords of batches of (id, tokens, title, description, headings, url), some rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            b = batch.slice(at, PIECE_ROWS)
             owner, out = [], []
             for i, fields in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)))):
                 found = ranked(*fields) if limit is None else kept(ranked(*fields), limit)
@@ -100,7 +97,16 @@ def _pass(rows: DataFrame, id_column: str, limit: int | None) -> DataFrame:
             columns = list(zip(*out)) or [[] for _ in FIELDS]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, FIELDS))], names=["id", *(n for n, _ in FIELDS)])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {SCHEMA}")
+
+def _pass(rows: DataFrame, id_column: str, limit: int | None) -> DataFrame:
+    url = F.regexp_replace(F.lower(F.try_url_decode(F.replace(F.col("url"), F.lit("+"), F.lit("%2B")))), "[-_/]+", " ")
+    empty = F.lit("")
+    source = rows.select(
+        F.col(id_column).alias("id"), F.coalesce(tx.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"), F.lower(F.coalesce("title", empty)).alias("title"), F.lower(F.coalesce("description", empty)).alias("description"),
+        F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.lower(F.coalesce(h, empty))).alias("headings"), F.coalesce(url, empty).alias("url"),
+    )
+
+    return source.mapInArrow(lambda batches: pieces(batches, limit), f"id {source.schema['id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def keyword_candidates(rows: DataFrame, id_column: str = "id") -> DataFrame:

@@ -15,6 +15,10 @@ from webgauge.plans.catalog import Check, cases, holds, info
 ORGANIZATION = "(?i)Organization|LocalBusiness|Corporation|MedicalOrganization"
 
 
+# All of STATISTICS begin with one of these: elsewhere none is tried.
+FIGURE = "(?=[0-9$£€¥])"
+
+
 def _statistic_patterns() -> list[str]:
     return [p.replace(r"\b", tx.ASCII_BOUNDARY) for p in STATISTICS]
 
@@ -27,9 +31,9 @@ def signals() -> Column:
     deep = F.filter(d["headings"], lambda h: h["level"] >= 2)
     questions = F.filter(deep, lambda h: F.endswith(F.trim(h["text"]), F.lit("?")) | F.regexp_like(F.trim(h["text"]), F.lit(QUESTION_START)))
     blocks = F.concat(d["paragraphs"], F.transform(deep, lambda h: h["text"]), d["item_texts"])
-    any_pattern = "|".join(f"(?:{p.replace('(?i)', '(?i:') + ')' if p.startswith('(?i)') else p})" for p in _statistic_patterns())
+    any_pattern = FIGURE + "(?:%s)" % "|".join(f"(?:{p.replace('(?i)', '(?i:') + ')' if p.startswith('(?i)') else p})" for p in _statistic_patterns())
     statistics = F.filter(blocks, lambda b: F.regexp_like(b, F.lit(any_pattern)))
-    sample = lambda b: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(b, p, 0)), F.lit("")) for p in _statistic_patterns()])
+    sample = lambda b: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(b, FIGURE + p, 0)), F.lit("")) for p in _statistic_patterns()])
     unmarked = F.aggregate(d["blockquotes"], d["body_text"], lambda text, q: F.when(q == "", text).otherwise(F.replace(text, q, F.lit(" "))))
     quoted = F.regexp_count(unmarked, F.lit('[“"][^”"]{40,400}[”"]'))
     citations = F.transform(d["external"], lambda a: F.struct(a["href"].alias("href"), urls.full_host(a["href"]).alias("host"), a["anchor"].alias("anchor"), urls.is_authoritative(urls.full_host(a["href"])).alias("authoritative")))

@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed value: parts that heavy rows are dealt to, for each core and for each part the table is read in.
+DEALT = 4
+
+
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows for work that is heavy on each.  A table read in fewer parts than there are cores is dealt to all of them: the
-    tables given are one file of one row group, which no split divides."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows for work that is heavy on each, dealt evenly to several parts a core.  How a table is read says little of where
+    its rows are: no split divides a row group, and a file of few of them leaves most parts empty."""
+    return rows.repartition(DEALT * max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
 
 def long(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import ARIAL_WIDTHS, FALLBACK_WIDTH, LANGUAGE_MARKERS, NOISE_WORDS, STOP_WORDS
 from webgauge.functions import numbers
 from webgauge.functions import text as tx
-from webgauge.operators.extract import text_issues
+from webgauge.operators.extract import text_issue_column
 from webgauge.operators.keywords import keyword_candidates, keywords
 from webgauge.plans import views
 from webgauge.queries.registry import dealt, long, query, six, sql_list, sql_six, sql_tokens, sql_values, table
@@ -91,12 +91,7 @@ def text_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Needs match positions and back references, which neither engine's SQL has; tests hold it against cases."""
-
-    @F.pandas_udf("array<struct<type:string,excerpt:string,note:string>>")
-    def issues(texts):
-        return texts.map(lambda t: text_issues(t.split("\n")))
-
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(issues(_text())).alias("i"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text_issue_column(_text())).alias("i"))
     return rows.select("doc_id", "i.*")
 
 
