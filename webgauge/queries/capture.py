@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import MAX_REDIRECTS
 from webgauge.operators import redirects
 from webgauge.operators.extract import extract_documents
-from webgauge.queries.registry import long, query, table
+from webgauge.queries.registry import dealt, long, query, table
 from webgauge.runtime import scratch_path
 from webgauge.sources import messages
 from webgauge.sources.captures import deflate
@@ -39,7 +39,7 @@ def _sql_text(pattern: str) -> str:
 )
 def table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose tables hold stray text and elements, miss end tags and nest: text, cells and tables after repair."""
-    part = table(spark, sf_dir, "part")
+    part = dealt(table(spark, sf_dir, "part"))
     html = F.get(F.array(*[F.lit(x) for x in BROKEN_TABLES]), (F.col("p_partkey") % 5).cast("int"))
     for key, column in (("n", "p_name"), ("b", "p_brand"), ("t", "p_type")):
         html = F.replace(html, F.lit(f"{{{key}}}"), F.col(column))
