@@ -26,3 +26,22 @@ def test_keywords_leave_python_in_pieces():
 def test_repeated_items(spark):
     items = spark.createDataFrame([(["b", "a", "c", "a", "b", "b"],), ([],), (["a"],), (["", ""],)], "v array<string>")
     assert [r[0] for r in items.select(tx.repeated(F.col("v"))).collect()] == [["b", "a"], [], [], [""]]
+
+
+def test_ranges_next_to_each_other_share_a_task_and_what_it_read(tmp_path, monkeypatch):
+    from webgauge.sources import messages as m
+
+    data = b"".join(m.format_record(f"https://a.example/{i}", None, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 200) for i in range(400))
+    (tmp_path / "a.warc").write_bytes(data)
+    reader = m.MessageReader.__new__(m.MessageReader)
+    reader.folder, reader.split_bytes = str(tmp_path), 1 << 12
+    bounds = [x for part in reader.partitions() for x in part.bounds]
+    assert [lo for lo, _ in bounds] == list(range(0, len(data), 1 << 12)) and bounds[-1][1] == len(data)
+    assert len(reader.partitions()) < len(bounds)
+    heads = []
+    monkeypatch.setattr(m.Records, "head", lambda self, at, head=m.Records.head: heads.append(at) or head(self, at))
+    with open(tmp_path / "a.warc", "rb") as file:
+        records = m.Records(file, len(data))
+        found = [fields["warc-target-uri"] for lo, hi in bounds for fields, _ in records.in_range(lo, hi)]
+    assert found == [f"https://a.example/{i}" for i in range(400)]
+    assert len(heads) <= 2 * 400  # one for its place, one for what it holds

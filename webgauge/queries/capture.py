@@ -80,7 +80,7 @@ def messages_of_pages(pages: DataFrame) -> DataFrame:
 def message_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as HTTP messages to an archive and read from byte ranges of 64 KiB give the same pages."""
     folder = scratch_path(spark, "archive")
-    messages.write_messages(messages_of_pages(table(spark, sf_dir, "pages")).repartition(4), folder)
+    messages.write_messages(messages_of_pages(dealt(table(spark, sf_dir, "pages"))), folder)
     found = messages.captures_of_messages(messages.read_messages(spark, folder, split_bytes=64 << 10))
     header = lambda name: F.try_element_at("headers", F.lit(name))
     return found.select(

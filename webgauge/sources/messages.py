@@ -36,6 +36,9 @@ COLUMNS = """url string, fetched_at timestamp, status int, status_message string
     raw_headers array<struct<name:string,value:string>>, location string, content_encoding string, transfer_bytes long, body binary, truncated boolean, error string"""
 WRITTEN = "url fetched_at status status_message http_version raw_headers body".split()
 SPLIT_BYTES, RECORD_LIMIT, HEAD_LIMIT = 64 << 20, 64 << 20, 256 << 10
+#: Bytes whose ranges one task reads, where there are ranges for so many tasks: each range looks at the records of
+#: RECORD_LIMIT bytes after it, mostly the same ones as its neighbours.
+TASK_BYTES, LEAST_TASKS = 4 << 20, 16
 BORDER = b"\r\n\r\nWARC/1."
 STATUS_LINE = re.compile(rb"HTTP/(\d(?:\.\d)?) (\d{3})(?: ([^\r\n]*))?\Z")
 #: Headers of which the first counts where others of the name are joined by commas.
@@ -149,6 +152,7 @@ class Records:
 
     def __init__(self, file, size: int):
         self.file, self.size = file, size
+        self.known: dict[int, int | None] = {}  # what ``after`` said: ranges next to each other look at the same records
 
     def read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -169,6 +173,11 @@ class Records:
 
     def after(self, at: int) -> int | None:
         """Where the next record begins, or the file's end; None if no whole record is here."""
+        if at not in self.known:
+            self.known[at] = self._after(at)
+        return self.known[at]
+
+    def _after(self, at: int) -> int | None:
         head = self.head(at)
         if head is None:
             return None
@@ -252,10 +261,11 @@ def _when(text: str | None) -> datetime.datetime | None:
 
 
 @dataclass
-class Range(InputPartition):
+class Ranges(InputPartition):
+    """Byte ranges of a file that one task reads, each by itself."""
+
     path: str
-    lo: int
-    hi: int
+    bounds: list[tuple[int, int]]
     size: int
 
 
@@ -266,20 +276,24 @@ class MessageReader(DataSourceReader):
         self.max_bytes = int(options.get("maxBytes", MAX_BODY_BYTES))
         self.schema = to_arrow_schema(schema)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         system, folder = file_system(self.folder)
         info = system.get_file_info(folder)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(folder, recursive=True))
         files = [f for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, lo, min(lo + self.split_bytes, f.size), f.size) for f in files for lo in range(0, f.size, self.split_bytes)]
+        ranges = sum(-(-f.size // self.split_bytes) for f in files)
+        held = max(1, min(TASK_BYTES // self.split_bytes, ranges // LEAST_TASKS)) * self.split_bytes
+        bounds = lambda f, at: [(lo, min(lo + self.split_bytes, f.size)) for lo in range(at, min(at + held, f.size), self.split_bytes)]
+        return [Ranges(f.path, bounds(f, at), f.size) for f in files for at in range(0, f.size, held)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.folder)
         rows, size = [], 0
         with system.open_input_file(partition.path) as file:
-            for fields, content in Records(file, partition.size).in_range(partition.lo, partition.hi):
+            records = Records(file, partition.size)
+            for fields, content in (x for lo, hi in partition.bounds for x in records.in_range(lo, hi)):
                 if fields.get("warc-type", "").lower() != "response":
                     continue
                 row = {"url": fields.get("warc-target-uri"), "fetched_at": _when(fields.get("warc-date")), **parse_message(content, self.max_bytes)}
