@@ -45,3 +45,25 @@ def test_ranges_next_to_each_other_share_a_task_and_what_it_read(tmp_path, monke
         found = [fields["warc-target-uri"] for lo, hi in bounds for fields, _ in records.in_range(lo, hi)]
     assert found == [f"https://a.example/{i}" for i in range(400)]
     assert len(heads) <= 2 * 400  # one for its place, one for what it holds
+
+
+def test_an_issue_is_excused_and_told_once_for_its_surroundings(monkeypatch):
+    told = []
+    monkeypatch.setattr(extract, "_told", lambda made, match, told_before=extract._told: told.append(made) or told_before(made, match))
+    found = extract.text_issues(["alpha " * 1000])
+    assert len(found) == len({x["excerpt"] for x in found}) and len(told) <= 2 * len(found) < 50
+
+
+def test_what_is_looked_for_first_leaves_no_issue_out():
+    texts = ["the The cat", "İstanbul istanbul", "straße STRASSE", "foo\x85foo", "word.Next one", "é.Éabc abc.Déf", "a ,b", "a ; ", "so,, well", "what???", "x" * 31, "{{name}}", "%NAME%", "${a}", "überüber ber"]
+    for text in texts:
+        for issue, shows, _ in extract._issues:
+            assert issue.likely(text) or not shows.search(text), (issue.kind, text)
+
+
+def test_findings_are_compiled_and_worked_out_once(spark):
+    from webgauge.plans import report
+
+    pages = spark.createDataFrame([(1, "https://a.example/", "<p>a")], "page_id long, url string, html string")
+    plan = report.findings(report.audited(pages), "geo")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(struct(" not in plan and plan.count("Opening answer") == 4  # once for each of its findings

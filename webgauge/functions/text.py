@@ -29,7 +29,7 @@ def clean(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words with inner apostrophes and hyphens."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(found, lambda w: F.regexp_replace(w, r"^[-'’]+|[-'’]+$", "")), lambda w: w != "")
+    return F.transform(found, lambda w: F.btrim(w, F.lit("-'’")))  # none is empty: each begins with a letter or digit
 
 
 def word_count(text: Column) -> Column:
@@ -39,7 +39,7 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces between a sentence's end mark, white space and anything but a lower-case letter; with a word at least."""
     parts = F.split(clean(text), r"(?<=[.!?…])(?U:\s+)(?=[^a-z])")
-    return F.filter(F.transform(parts, clean), lambda s: F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")))
+    return F.filter(parts, lambda s: F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")))
 
 
 def stop_word_percent(words: Column) -> Column:
@@ -58,6 +58,11 @@ def _hits(words: Column, markers: list[str]) -> Column:
 
 
 def language(text: Column) -> Column:
+    """``language_of`` the tokens of a text."""
+    return language_of(tokens(text))
+
+
+def language_of(found: Column) -> Column:
     """struct(code, confidence) from marker words among the first tokens; code null under 20 tokens or without hits."""
     none = F.struct(F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("confidence"))
 
@@ -70,7 +75,7 @@ def language(text: Column) -> Column:
         scored = F.array(*[F.struct((_hits(words, m) / F.size(words)).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("code")) for i, (c, m) in enumerate(LANGUAGE_MARKERS.items())])
         return F.when(F.size(words) < LANGUAGE_LEAST_TOKENS, none).otherwise(_once(F.sort_array(scored, asc=False), pick))
 
-    return _once(F.slice(tokens(text), 1, LANGUAGE_TOKENS), rank)
+    return _once(F.slice(found, 1, LANGUAGE_TOKENS), rank)
 
 
 def pixel_width(text: Column, font_px: int) -> Column:
