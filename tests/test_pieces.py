@@ -67,3 +67,22 @@ def test_findings_are_compiled_and_worked_out_once(spark):
     pages = spark.createDataFrame([(1, "https://a.example/", "<p>a")], "page_id long, url string, html string")
     plan = report.findings(report.audited(pages), "geo")._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(array(struct(" not in plan and plan.count("Opening answer") == 4  # once for each of its findings
+
+
+def test_heavy_rows_are_dealt_to_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    from webgauge.queries import registry
+
+    spark.range(500).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(registry, "DEALT_ROWS", 10)
+    dealt = registry.dealt(registry.table(spark, str(tmp_path), "t"))
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == 500
+
+
+def test_findings_written_with_their_pages_are_those_of_the_rules(spark):
+    from webgauge.plans import report
+
+    pages = report.audited(spark.createDataFrame([(k, "https://a.example/", f"<title>t</title><h1>x{k}</h1><p>a b c") for k in range(3)], "page_id long, url string, html string"))
+    written = report.with_findings(pages, "seo")
+    plan = report.findings(written.select("page_id", "findings").localCheckpoint(), "seo")
+    assert sorted(plan.collect()) == sorted(report.findings(pages, "seo").collect())
+    assert "Two profiles" not in plan._jdf.queryExecution().optimizedPlan().toString()

@@ -154,7 +154,7 @@ def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH,
 
     ``time_budget_ms`` is held against the pages' response times, one after the other.
     """
-    pages = materialize(audited_pages(fetched), "audited")
+    pages = materialize(report.with_findings(audited_pages(fetched), mode), "audited")
     summaries = materialize(report.page_summaries(pages, report.findings(pages, mode), mode), "summaries")
     rules = robots.robots_rules(fetched.robots_texts())
     links = materialize(crawlable(report.page_links(pages), rules), "links")

@@ -28,14 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Fixed value: parts that heavy rows are dealt to, for each core and for each part the table is read in.
-DEALT = 4
+#: Parts that heavy rows are dealt to, for each core and for each part the table is read in, and the rows of
+#: a part where that makes more of them, so that tasks don't grow with the table.
+DEALT, DEALT_ROWS = 4, 2000
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows for work that is heavy on each, dealt evenly to several parts a core.  How a table is read says little of where
-    its rows are: no split divides a row group, and a file of few of them leaves most parts empty."""
-    return rows.repartition(DEALT * max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    """Rows of a table for work that is heavy on each, dealt evenly to several parts a core, and to more of a large table (its
+    files' footers give the count).  How a table is read says little of where its rows are: no split divides a row group, and
+    a file of few of them leaves most parts empty."""
+    least = DEALT * max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(max(least, -(-rows.count() // DEALT_ROWS)))
 
 
 def long(c: Column | str) -> Column:
