@@ -86,3 +86,11 @@ def test_findings_written_with_their_pages_are_those_of_the_rules(spark):
     plan = report.findings(written.select("page_id", "findings").localCheckpoint(), "seo")
     assert sorted(plan.collect()) == sorted(report.findings(pages, "seo").collect())
     assert "Two profiles" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captured_answers_are_dealt_to_tasks(spark, tmp_path):
+    from webgauge.queries.net import url_guard
+
+    spark.sql("SELECT id AS event_id, id % 7 AS user_id FROM range(20)").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = url_guard(spark, str(tmp_path))
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 20

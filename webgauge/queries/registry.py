@@ -33,12 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DEALT, DEALT_ROWS = 4, 2000
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, a_part: int | None = None) -> DataFrame:
     """Rows of a table for work that is heavy on each, dealt evenly to several parts a core, and to more of a large table (its
     files' footers give the count).  How a table is read says little of where its rows are: no split divides a row group, and
-    a file of few of them leaves most parts empty."""
+    a file of few of them leaves most parts empty.  ``a_part`` rows make a part at most (``DEALT_ROWS`` where none are given)."""
     least = DEALT * max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    return rows.repartition(max(least, -(-rows.count() // DEALT_ROWS)))
+    return rows.repartition(max(least, -(-rows.count() // (a_part or DEALT_ROWS))))
 
 
 def long(c: Column | str) -> Column:
