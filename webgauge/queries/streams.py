@@ -13,15 +13,42 @@ from webgauge.runtime import scratch_path, session_settings
 from webgauge.streaming import lifecycle
 from webgauge.streaming.admission import stream_capped
 
-#: Event ids at which a replay's runs end, as shares of all.
+#: Shares of all events, by time, at which a replay's runs end.
 RUNS = (0.4, 0.7, 1.0)
+#: Bins of a round of ``times_at``.
+BINS = 2**14
+
+
+def times_at(events: DataFrame, shares: tuple) -> list[int]:
+    """For each share, the ``ts_us`` at that place of all in order (rounded down), found in ever narrower bins: an exact
+    ``percentile`` gathers all different times in one task.  A bin of few events is told apart into single times at once."""
+    n, low, high = events.agg(F.count("ts_us"), F.min("ts_us"), F.max("ts_us")).first()
+    if not n:
+        return [0] * len(shares)
+    found = [(low, high, int(share * (n - 1)), n) for share in shares]  # (first time, last time, events of these before the place, all of these)
+    while open_spans := {(low, high, m) for low, high, _, m in found if low < high}:
+        width = {low: 1 if m <= BINS else -(-(high - low + 1) // BINS) for low, high, m in open_spans}
+        bins = F.coalesce(*(F.when(F.col("ts_us").between(low, high), F.struct(F.lit(low).alias("low"), F.expr(f"(ts_us - ({low}L)) div {width[low]}L").alias("bin"))) for low, high, _ in open_spans))
+        counts: dict[int, list] = {}
+        for low, k, m in sorted(events.select(bins.alias("x")).where("x IS NOT NULL").groupBy("x").count().select("x.low", "x.bin", "count").collect()):
+            counts.setdefault(low, []).append((k, m))
+        for i, (low, high, place, _) in enumerate(found):
+            for k, m in counts.get(low, []) if low < high else []:
+                if place < m:
+                    first = low + k * width[low]
+                    found[i] = first, min(high, first + width[low] - 1), place, m
+                    break
+                place -= m
+    return [low for low, *_ in found]
 
 
 def replay(spark: SparkSession, events: DataFrame, stream: Callable[[DataFrame], DataFrame], name: str, runs: tuple = RUNS) -> tuple[DataFrame, str]:
     """(what a stream of the events gives, its checkpoint); events come in runs by time, each run a start of the stream."""
     folder = scratch_path(spark, name)
-    cuts = [None, *events.agg(F.percentile("ts_us", F.array(*map(F.lit, RUNS)))).first()[0]]
-    with session_settings(spark, spark__sql__streaming__stateStore__providerClass=lifecycle.ROCKSDB):
+    cuts = [None, *times_at(events, RUNS[:-1])]
+    # each partition of the state costs a store and a Python worker in every batch, whatever it holds
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    with session_settings(spark, spark__sql__streaming__stateStore__providerClass=lifecycle.ROCKSDB, spark__sql__shuffle__partitions=str(parts)):
         for k in range(len(runs)):
             part = events.where(F.col("ts_us") <= cuts[k + 1]) if k < len(RUNS) - 1 else events
             part = part if k == 0 else part.where(F.col("ts_us") > cuts[k])
@@ -34,8 +61,9 @@ def replay(spark: SparkSession, events: DataFrame, stream: Callable[[DataFrame],
 
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their times as instants, read as UTC whatever the session's zone."""
-    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL")
-    return e.withColumn("ts", F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp"))
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    with session_settings(spark, spark__sql__session__timeZone="UTC"):  # a cast keeps the zone that it was made in
+        return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # -- caps on jobs in flight --------------------------------------------------------------------------------------------------
