@@ -4,15 +4,20 @@ import datetime
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from webgauge.operators import admission
 from webgauge.queries import streams
 from webgauge.runtime import session_settings
+from webgauge.streaming import admission as streamed
 from webgauge.streaming import lifecycle
 
 T0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 LIFE = "job_id string, owner string, event_id long, ts timestamp, kind string, crawled long, detail string"
+EVENTS = "service string, key string, job_id string, event_id long, ts timestamp, kind string"
 
 
 def run(spark, folder, runs, schema, stream):
@@ -74,3 +79,21 @@ def test_times_are_read_as_utc_in_any_zone(spark, tmp_path):
     with session_settings(spark, spark__sql__session__timeZone="America/New_York"):
         got = {r.user_id: r.us for r in streams.timed_events(spark, str(tmp_path)).select("user_id", F.unix_micros("ts").alias("us")).collect()}
     assert got == {1: 1710037800000001, 2: 1730597400000000}
+
+
+def test_events_of_a_service_go_packed(spark, tmp_path):
+    n = 2 * streamed.PACKED + 1
+    batch = pa.RecordBatch.from_pydict({"service": ["a", "b"] * n, "at": list(range(2 * n))})
+    (out,) = streamed.pack([batch])
+    assert out["service"].to_pylist() == ["a"] * 3 + ["b"] * 3
+    back = [pa.ipc.open_stream(x).read_all()["at"].to_pylist() for x in out["events"].to_pylist()]
+    assert [t for x in back[:3] for t in x] == list(range(0, 2 * n, 2)) and [t for x in back[3:] for t in x] == list(range(1, 2 * n, 2))
+    assert [x.num_rows for x in streamed.pack([batch.slice(0, 0)])] == [0]
+
+    rng, rows = np.random.default_rng(3), []
+    for i, (at, long) in enumerate(zip(rng.integers(0, 40_000, 4_000).tolist(), rng.integers(0, 90, 4_000).tolist())):
+        rows += [(f"s{i % 2}", f"k{i % 5}", f"j{i}", i, T0 + datetime.timedelta(seconds=at + late), kind) for kind, late in (("start", 0), ("finish", long))]
+    limits, cut = (30, 3600, 1, 2, 4), T0 + datetime.timedelta(seconds=20_000)
+    got, _ = run(spark, tmp_path, [[r for r in rows if r[4] <= cut], [r for r in rows if r[4] > cut]], EVENTS, lambda s: streamed.stream_capped(s, *limits))
+    whole = admission.capped_admissions(spark.createDataFrame(rows, EVENTS), *limits)
+    assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))

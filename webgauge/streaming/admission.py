@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,6 +39,27 @@ def stream_admissions(requests: DataFrame, quota: int = AUDIT_QUOTA, window_s: f
     return source.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(step, OUTPUT, "start double, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Events of a service that are sent to its state as one row, and those made rows again at once.
+PACKED, FOLDED = 1_000, 100_000
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(service, events) of rows of ``job_events``: Spark hands a stateful processor row after row, so events go packed."""
+    for batch in batches:
+        codes = batch["service"].dictionary_encode().indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        ends = [*(np.flatnonzero(np.diff(codes[order])) + 1), len(codes)] if len(codes) else []
+        rest, services, packed = batch.take(pa.array(order)).drop_columns(["service"]), [], []
+        for lo, hi in zip([0, *ends], ends):
+            for at in range(lo, hi, PACKED):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema) as writer:
+                    writer.write_batch(rest.slice(at, min(PACKED, hi - at)))
+                services.append(batch["service"][order[at]].as_py())
+                packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(services, "string"), pa.array(packed, "binary")], names=["service", "events"])
+
+
 class CappedService(StatefulProcessor):
     """The fold of ``capped_admissions`` for one service: its running jobs, and the windows of its keys."""
 
@@ -51,8 +75,12 @@ class CappedService(StatefulProcessor):
         if self.windows.exists():
             state.windows = {k: tuple(v) for k, v in json.loads(self.windows.get()[0]).items()}
             state.running = json.loads(self.running.get()[0])
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "kind", "event_id"], ignore_index=True)
-        yield state.fold(events)
+        events = pa.concat_tables([pa.ipc.open_stream(packed).read_all() for pdf in rows for packed in pdf["events"]]).combine_chunks()
+        ids = events["event_id"]
+        order = np.lexsort((pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(), pc.equal(events["kind"], "start").to_numpy(), events["at"].to_numpy()))
+        for lo in range(0, len(order), FOLDED):
+            part = events.take(order[lo : lo + FOLDED]).to_pandas(integer_object_nulls=True)
+            yield state.fold(part.assign(service=key[0], ts=pd.to_datetime(part["at"], unit="us", utc=True)))
         self.running.update((json.dumps(state.running),))
         self.windows.update((json.dumps(state.windows),))
 
@@ -66,4 +94,5 @@ def stream_capped(
     """``capped_admissions`` over a stream; needs the RocksDB state store.  Batches are taken in the order they come, the
     events of one by their time; a service's jobs and windows outlive batches, and ``tracked`` bounds the windows."""
     processor = CappedService(quota, round(window_s * 1e6), per_key, overall, tracked)
-    return job_events(events).groupBy("service").transformWithStateInPandas(processor, CAPPED, "Append", "none")
+    packed = job_events(events).drop("ts").mapInArrow(pack, "service string, events binary")
+    return packed.groupBy("service").transformWithStateInPandas(processor, CAPPED, "Append", "none")
