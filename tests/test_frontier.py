@@ -123,3 +123,23 @@ def test_a_page_of_very_many_links(spark):
     claimed = frontier.crawl_frontier(seeds, links, 4, 10)
     assert [r.url for r in claimed.orderBy("place").collect()] == ["p0", *(f"q{k}" for k in range(9))]
     assert frontier.crawl_progress(claimed, links, 4, 10).orderBy("crawled").first()[1:] == (1, 50_001, 50_000, 10)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_crawls_without_limits_are_those_of_the_queues(spark, seed):
+    given = sites(seed, n=60, pages=60, links=90)
+    seeds, links, listed, ends = frames(spark, given)
+    got = by_site(frontier.crawl_frontier(seeds, links, None, None, listed, ends).collect())
+    assert got == {s: [x[:3] for x in plain(*site, 10**9, 10**9)[0]] for s, site in given.items()}
+    assert max(d or 0 for x in got.values() for _, d, _ in x) > 4 and max(map(len, got.values())) > 25
+
+
+def test_crawls_without_limits_but_of_time(spark):
+    given = sites(13, n=30)
+    seeds, links, listed, ends = frames(spark, given)
+    ms = {(s, f"p{k}"): float((int(s[1:]) * 7 + k * 13) % 50) for s in given for k in range(40)}
+    durations = spark.createDataFrame([(s, u, t) for (s, u), t in ms.items()], "site_key string, url string, ms double")
+    times = {}
+    for r in sorted(frontier.crawl_frontier(seeds, links, None, None, listed, ends, durations, 200.0).collect(), key=lambda r: (r.site_key, r.place)):
+        times.setdefault(r.site_key, []).append((r.url, r.elapsed_ms))
+    assert times == {s: [(u, t) for u, _, _, t in plain(*site, 10**9, 10**9, {u: t for (x, u), t in ms.items() if x == s}, 200.0)[0]] for s, site in given.items()}

@@ -6,6 +6,9 @@ over the links known so far, pages whose links aren't known leading nowhere; the
 are fetched with one join for all sites, and the queues are run again, until a run claims only pages whose links are known.
 Each round settles at least the next level of every branch, those of sitemap pages too: rounds grow with the depth limit,
 not with the pages.
+
+A crawl without budgets is worked off for all pages at once instead: every page belongs to the first root (the seeds, then
+sitemap pages in their order) that it can be reached from, as deep as it is from there.
 """
 
 from __future__ import annotations
@@ -109,8 +112,80 @@ def _by_levels(seeds: DataFrame, links: DataFrame, max_depth: int, max_pages: in
     return crawl.claimed.drop("identity")
 
 
+def _whole(seeds: DataFrame, links: DataFrame, sitemap: DataFrame | None, identities: DataFrame | None) -> DataFrame:
+    """The claims of ``crawl_frontier`` without limits of depth, under a budget beyond ``QUEUE_PAGES``; no site is a group.
+
+    A page that a root reaches is never met from a later one, nor is a way to it through pages met before.  So (root, depth)
+    of a page is the least over the ways to it, found by handing on what is known along all links at once, in as many rounds
+    as the deepest page has levels; the order within a root's level follows from that of the level before.  Addresses of one
+    identity are one page with the links of them all.
+    """
+    node = ["site_key", "identity"]
+    pos = F.min("pos") if "pos" in links.columns else F.lit(0)
+    edges = links.where("src <> dst").groupBy("site_key", "src", "dst").agg(pos.alias("pos"))
+    edges = _with_identity(edges, identities, "src").withColumnsRenamed({"identity": "parent"})
+    edges = materialize(_with_identity(edges, identities, "dst").where("parent <> identity"), "edges")
+    steps = edges.select("site_key", "parent", "identity").distinct()
+
+    root = lambda kind, pos, url: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), url.alias("url")).alias("root")
+    roots = _with_identity(seeds.select("site_key", "url").distinct(), identities, "url").select(*node, root(SEED, F.lit(0), F.lit("")), "url")
+    if sitemap is not None:
+        crawled = seeds.select("site_key").distinct()  # a site without a seed isn't crawled
+        pending = sitemap.groupBy("site_key", "url").agg(F.min("pos").alias("pos")).join(crawled, "site_key", "left_semi")
+        roots = roots.unionByName(_with_identity(pending, identities, "url").select(*node, root(SITEMAP, F.col("pos"), F.col("url")), "url"))
+    roots = materialize(roots.groupBy(*node).agg(F.min(F.struct("root", "url")).alias("r")).select(*node, "r.*"), "roots")
+    known = materialize(roots.select(*node, F.struct("root", F.lit(0).alias("depth")).alias("at"), F.lit(True).alias("new")), "reached")
+    while not known.where("new").isEmpty():
+        front = known.where("new").select("site_key", F.col("identity").alias("parent"), F.struct(F.col("at.root").alias("root"), (F.col("at.depth") + 1).alias("depth")).alias("at"))
+        told = front.join(steps, ["site_key", "parent"]).select(*node, "at", F.lit(True).alias("new"))
+        every = known.select(*node, "at", F.lit(False).alias("new")).unionByName(told)
+        # of equal ones what was known before
+        later = materialize(every.groupBy(*node).agg(F.min(F.struct("at", "new")).alias("b")).select(*node, "b.*"), "reached")
+        discard(known)
+        known = later
+    reached = materialize(known.select(*node, "at.*"), "reached")
+    discard(known)
+
+    order = F.row_number().over(Window.partitionBy("site_key", "root").orderBy("by", "url")).cast("long").alias("order")
+    columns = [*node, "url", "root", "depth", "order"]
+    level = reached.where("depth = 0").join(roots.select(*node, "url"), node).withColumn("by", F.col("url"))
+    levels = [materialize(level.select(*columns[:-1], order), "level")]
+    deepest = reached.agg(F.max("depth")).first()[0] or 0
+    for depth in range(1, deepest + 1):
+        before = levels[-1].select("site_key", F.col("identity").alias("parent"), "root", "order", F.col("url").alias("asked"))
+        here = reached.where(F.col("depth") == depth)
+        # a page's links are those of its identity, then those of the address it was met by, then those of its other addresses
+        turn = F.when(F.col("src") == F.col("parent"), 0).when(F.col("src") == F.col("asked"), 1).otherwise(2)
+        by = F.struct("order", turn.alias("turn"), "pos", F.col("dst").alias("url"))
+        met = before.join(edges, ["site_key", "parent"]).join(here, [*node, "root"]).groupBy(*node, "root", "depth").agg(F.min(by).alias("by"))
+        levels.append(materialize(met.withColumn("url", F.col("by.url")).select(*columns[:-1], order), "level"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    place = F.row_number().over(Window.partitionBy("site_key").orderBy("root", "depth", "order")).cast("long")
+    of_sitemap = F.col("root.kind") == SITEMAP
+    source = F.when(F.col("depth") > 0, "link").when(of_sitemap, "sitemap").otherwise("seed")
+    own = F.when((F.col("depth") > 0) | ~of_sitemap, F.col("depth"))
+    claimed = materialize(out.select("site_key", "url", own.alias("depth"), place.alias("place"), source.alias("source")), "claims")
+    for scratch in (edges, roots, reached, *levels):
+        discard(scratch)
+    return claimed
+
+
+def _timed(claimed: DataFrame, durations: DataFrame, time_budget_ms: float | None) -> DataFrame:
+    """Claims with elapsed_ms, up to the one that goes beyond the budget."""
+    ms = durations.groupBy("site_key", "url").agg(F.coalesce(F.max("ms").cast("double"), F.lit(0.0)).alias("ms"))
+    until = F.sum("ms").over(Window.partitionBy("site_key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    out = claimed.join(ms, ["site_key", "url"], "left").withColumn("ms", F.coalesce("ms", F.lit(0.0))).withColumn("elapsed_ms", until)
+    before = F.lag("elapsed_ms", 1, 0.0).over(Window.partitionBy("site_key").orderBy("place"))
+    out = out.withColumn("before", before)
+    return (out if time_budget_ms is None else out.where(F.col("before") <= time_budget_ms)).drop("ms", "before")
+
+
 #: Budgets up to this are queues in a task for each site.
 QUEUE_PAGES = 2000
+#: What no limit counts as.
+NO_LIMIT = 2**31 - 1
 SEED, SITEMAP, LINK, PAGE = range(4)
 #: What is known of a site: seeds, sitemap pages and links by their place, and pages whose links are all here.
 KNOWN = "site_key string, kind int, src string, dst string, identity string, place long, ms double"
@@ -183,8 +258,8 @@ def _first_ones(rows: DataFrame, by: list[str], order: list[str], limit: int) ->
 def crawl_frontier(
     seeds: DataFrame,
     links: DataFrame,
-    max_depth: int = MAX_DEPTH,
-    max_pages: int = MAX_PAGES,
+    max_depth: int | None = MAX_DEPTH,
+    max_pages: int | None = MAX_PAGES,
     sitemap: DataFrame | None = None,
     identities: DataFrame | None = None,
     durations: DataFrame | None = None,
@@ -206,8 +281,14 @@ def crawl_frontier(
 
     A site's group holds its first ``max_pages`` sitemap pages and as many links of each page fetched, whatever the site's
     size.  Budgets beyond ``QUEUE_PAGES``, without limits of time, are worked off level by level instead, with the same
-    claims.
+    claims.  None stands for no limit; without one of depth, claims beyond ``QUEUE_PAGES`` are found for all pages at once,
+    the same ones where no identity is itself an address that ends at another.
     """
+    if max_depth is None and (max_pages is None or max_pages > QUEUE_PAGES):
+        claimed = _whole(seeds, links, sitemap, identities)
+        claimed = claimed if max_pages is None else claimed.where(F.col("place") <= max_pages)
+        return claimed if durations is None else _timed(claimed, durations, time_budget_ms)
+    max_depth, max_pages = NO_LIMIT if max_depth is None else max_depth, NO_LIMIT if max_pages is None else max_pages
     if max_pages > QUEUE_PAGES and durations is None:
         return _by_levels(seeds, links, max_depth, max_pages, sitemap, identities)
     pos = F.min("pos") if "pos" in links.columns else F.lit(0)
@@ -261,12 +342,13 @@ def crawl_frontier(
     return claimed.select(*columns, *(["elapsed_ms"] if durations is not None else []))
 
 
-def crawl_progress(claimed: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, sitemap: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
+def crawl_progress(claimed: DataFrame, links: DataFrame, max_depth: int | None = MAX_DEPTH, max_pages: int | None = MAX_PAGES, sitemap: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
     """(site_key, crawled, discovered, queued, target): what a crawl reports after each page that ``crawl_frontier`` claimed.
 
     discovered: addresses met so far, by their identity, and sitemap entries not yet taken; queued: those met and not yet
     visited; target: the page budget.  Links beyond the depth limit aren't met.
     """
+    max_depth = NO_LIMIT if max_depth is None else max_depth
     own = _with_identity(claimed, identities, "url")
     place = F.col("place")
     deeper = F.coalesce(F.col("depth"), F.lit(0)) + 1
@@ -287,4 +369,4 @@ def crawl_progress(claimed: DataFrame, links: DataFrame, max_depth: int = MAX_DE
         out = out.join(listed.select("site_key", "url", "entry"), ["site_key", "url"], "left").join(total, "site_key", "left")
         taken = F.max(F.when(F.col("source") == "sitemap", F.col("entry"))).over(so_far)
         out = out.withColumn("left", F.coalesce(F.col("entries") - F.coalesce(taken, F.lit(0)), F.lit(0)))
-    return out.select("site_key", place.alias("crawled"), (F.col("met") + F.col("left")).alias("discovered"), (F.col("met") - place).alias("queued"), F.lit(max_pages).alias("target"))
+    return out.select("site_key", place.alias("crawled"), (F.col("met") + F.col("left")).alias("discovered"), (F.col("met") - place).alias("queued"), F.lit(max_pages).cast("int").alias("target"))

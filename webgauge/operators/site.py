@@ -71,12 +71,14 @@ def inbound_links(links: DataFrame) -> DataFrame:
     return links.select("site_key", "src", "dst").distinct().groupBy("site_key", "dst").agg(F.count("*").alias("sources"))
 
 
-def broken_pages(pages: DataFrame, links: DataFrame, examples: int = 5) -> DataFrame:
-    """(site_key, url, status, linked_from): pages that fail, with the first sources that link to them."""
+def broken_pages(pages: DataFrame, links: DataFrame, examples: int | None = 5) -> DataFrame:
+    """(site_key, url, status, linked_from): pages that fail, with the first sources that link to them (None: all)."""
     broken = pages.where(F.col("status") >= 400).select("site_key", "url", "status")
     edges = links.select("site_key", F.col("dst").alias("url"), "src").distinct()
     w = Window.partitionBy("site_key", "url").orderBy("src")
-    first = broken.select("site_key", "url").join(edges, ["site_key", "url"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples)
+    first = broken.select("site_key", "url").join(edges, ["site_key", "url"])
+    if examples is not None:
+        first = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples)
     sources = first.groupBy("site_key", "url").agg(F.array_sort(F.collect_list("src")).alias("linked_from"))
     return broken.join(sources, ["site_key", "url"], "left").withColumn("linked_from", F.coalesce("linked_from", F.array().cast("array<string>")))
 

@@ -12,7 +12,6 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgauge.constants import MAX_DEPTH, MAX_PAGES
 from webgauge.functions import urls
 from webgauge.operators import robots, site, vitals
 from webgauge.operators.frontier import crawl_frontier, crawl_progress, crawlable
@@ -100,7 +99,7 @@ def audited_pages(fetched: Fetched) -> DataFrame:
 
 
 def _listed(rows: DataFrame, name: str, *columns: str | Column) -> DataFrame:
-    """(site_key, name): each site's rows as an array in the order of the columns; a crawl's page budget bounds it."""
+    """(site_key, name): each site's rows as an array in the order of the columns; a report holds its whole site."""
     return rows.groupBy("site_key").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
@@ -118,7 +117,7 @@ def site_reports(pages: DataFrame, links: DataFrame, sitemap: DataFrame, unreach
         parts.append(_listed(site.duplicate_groups(pages, F.col(value), label), f"duplicate_{name}", "place", "label", "count", "urls"))
     lists = site.page_lists(pages).groupBy("site_key", "issue").agg(F.array_sort(F.collect_list(F.struct("place", "url", "value"))).alias("pages"))
     parts.append(lists.groupBy("site_key").agg(F.map_from_entries(F.collect_list(F.struct("issue", "pages"))).alias("lists")))
-    parts.append(_listed(site.broken_pages(pages, links), "broken", "url", "status", "linked_from"))
+    parts.append(_listed(site.broken_pages(pages, links, None), "broken", "url", "status", "linked_from"))
     parts.append(_listed(site.redirect_pairs(pages), "redirects", "from", "to", "hops"))
     parts.append(_listed(site.orphans(pages, links, sitemap), "orphans", "url"))
     parts.append(_listed(unreachable, "unreachable", "url"))
@@ -131,11 +130,11 @@ def site_reports(pages: DataFrame, links: DataFrame, sitemap: DataFrame, unreach
     return out.select("site_key", F.lit(mode).alias("mode"), "score", "categories", F.struct(*names).alias("issues"), "todos", "pages")
 
 
-def crawl_counters(claimed: DataFrame, progress: DataFrame, unreachable: DataFrame, listed: DataFrame, context: DataFrame, max_depth: int, max_pages: int, time_budget_ms: float | None) -> DataFrame:
-    """(site_key, crawl): what a crawl asked for, met and left out, in a struct."""
+def crawl_counters(claimed: DataFrame, progress: DataFrame | None, unreachable: DataFrame, listed: DataFrame, context: DataFrame, max_depth: int | None, max_pages: int | None, time_budget_ms: float | None) -> DataFrame:
+    """(site_key, crawl): what a crawl asked for, met and left out, in a struct; without ``progress`` all that was met is claimed."""
     late = F.max("elapsed_ms") > F.lit(time_budget_ms) if time_budget_ms is not None else F.lit(False)
     out = claimed.groupBy("site_key").agg(F.count("*").alias("claimed"), late.alias("stopped_early"))
-    met = progress.groupBy("site_key").agg(F.max(F.col("crawled") + F.col("queued")).alias("discovered"))
+    met = out.select("site_key", F.col("claimed").alias("discovered")) if progress is None else progress.groupBy("site_key").agg(F.max(F.col("crawled") + F.col("queued")).alias("discovered"))
     failed = unreachable.groupBy("site_key").agg(F.count("*").alias("failed"))
     entries = listed.groupBy("site_key").agg(F.count("*").alias("sitemap_urls"))
     files = context.groupBy(urls.host(F.col("origin")).alias("site_key")).agg(F.bool_or("robots_found").alias("robots_found"), F.bool_or("sitemap_found").alias("sitemap_found"))
@@ -143,29 +142,29 @@ def crawl_counters(claimed: DataFrame, progress: DataFrame, unreachable: DataFra
         out = out.join(part, "site_key", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     fields = [
-        F.lit(max_pages).alias("requested"), (F.col("claimed") - none("failed")).alias("crawled"), none("failed").alias("failed"), "discovered", F.greatest(F.col("discovered") - F.col("claimed"), F.lit(0)).alias("not_visited"),
-        F.lit(max_depth).alias("max_depth"), "stopped_early", none("sitemap_urls").alias("sitemap_urls"), F.coalesce("robots_found", F.lit(False)).alias("robots_found"), F.coalesce("sitemap_found", F.lit(False)).alias("sitemap_found"),
+        F.lit(max_pages).cast("int").alias("requested"), (F.col("claimed") - none("failed")).alias("crawled"), none("failed").alias("failed"), "discovered", F.greatest(F.col("discovered") - F.col("claimed"), F.lit(0)).alias("not_visited"),
+        F.lit(max_depth).cast("int").alias("max_depth"), "stopped_early", none("sitemap_urls").alias("sitemap_urls"), F.coalesce("robots_found", F.lit(False)).alias("robots_found"), F.coalesce("sitemap_found", F.lit(False)).alias("sitemap_found"),
     ]
     return out.select("site_key", F.struct(*fields).alias("crawl"))
 
 
-def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, time_budget_ms: float | None = None) -> DataFrame:
-    """Crawl every captured site from its shortest address, in link order and under the budgets, and report on it.
+def audit_sites(fetched: Fetched, mode: str = "seo", max_depth: int | None = None, max_pages: int | None = None, time_budget_ms: float | None = None, max_sitemap_urls: int | None = None, max_child_sitemaps: int | None = None) -> DataFrame:
+    """Crawl every captured site from its shortest address, in link order, and report on it.
 
-    ``time_budget_ms`` is held against the pages' response times, one after the other.
+    The whole site and its whole sitemap are taken where no budget is given.  ``time_budget_ms`` is held against the pages' response times, one after the other.
     """
     pages = materialize(report.with_findings(audited_pages(fetched), mode), "audited")
     summaries = materialize(report.page_summaries(pages, report.findings(pages, mode), mode), "summaries")
     rules = robots.robots_rules(fetched.robots_texts())
     links = materialize(crawlable(report.page_links(pages), rules), "links")
     seeds = summaries.groupBy("site_key").agg(F.min_by("url", F.struct(F.length("url"), "url")).alias("url"))
-    listed = files.sitemap_urls(fetched.sitemap_roots(), fetched.sitemap_files()).select(urls.host(F.col("origin")).alias("site_key"), "pos", urls.canonical(F.col("url")).alias("url"))
+    listed = files.sitemap_urls(fetched.sitemap_roots(), fetched.sitemap_files(), max_sitemap_urls, max_child_sitemaps).select(urls.host(F.col("origin")).alias("site_key"), "pos", urls.canonical(F.col("url")).alias("url"))
     listed = materialize(listed.where(urls.host(F.col("url")) == F.col("site_key")), "sitemap")
     moved = summaries.select("site_key", urls.canonical(F.col("requested_url")).alias("asked"), F.col("url").alias("identity")).where("asked <> identity").groupBy("site_key", F.col("asked").alias("url")).agg(F.min("identity").alias("identity"))
     open_pages = crawlable(listed.withColumns({"src": F.col("url"), "dst": F.col("url")}), rules).select("site_key", "pos", "url")
     durations = None if time_budget_ms is None else summaries.select("site_key", urls.canonical(F.col("requested_url")).alias("url"), F.col("response_ms").alias("ms"))
     claimed = crawl_frontier(seeds, links, max_depth, max_pages, open_pages, moved, durations, time_budget_ms)
-    progress = crawl_progress(claimed, links, max_depth, max_pages, open_pages, moved)
+    progress = None if max_pages is None and time_budget_ms is None else crawl_progress(claimed, links, max_depth, max_pages, open_pages, moved)
     counted = claimed
     claimed = claimed.join(moved, ["site_key", "url"], "left").select("site_key", F.coalesce("identity", "url").alias("url"), F.col("url").alias("asked"), "depth", "source", "place")
     claimed = materialize(claimed, "claimed")

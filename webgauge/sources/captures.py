@@ -128,19 +128,20 @@ def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("url", is_index.alias("is_index"), F.posexplode(locs).alias("pos", "loc")).withColumn("loc", decode_xml(F.col("loc")))
 
 
-def sitemap_urls(roots: DataFrame, files: DataFrame, max_urls: int = MAX_SITEMAP_URLS, max_children: int = MAX_CHILD_SITEMAPS) -> DataFrame:
-    """(origin, pos, url) of each origin's sitemap: its own, or those of its first children, up to a number.
+def sitemap_urls(roots: DataFrame, files: DataFrame, max_urls: int | None = MAX_SITEMAP_URLS, max_children: int | None = MAX_CHILD_SITEMAPS) -> DataFrame:
+    """(origin, pos, url) of each origin's sitemap: its own, or those of its first children, up to a number (None: all).
 
     roots: (origin, url) of sitemap files; files: (url, xml) of all fetched ones; children that are missing are skipped.
     """
     locs = sitemap_locations(files)
     top = roots.join(locs, "url")
     own = top.where("not is_index").select("origin", F.lit(0).alias("child"), "pos", "loc")
-    children = top.where("is_index").where(F.col("pos") < max_children).select("origin", F.col("pos").alias("child"), F.col("loc").alias("url"))
+    children = top.where("is_index")
+    children = (children if max_children is None else children.where(F.col("pos") < max_children)).select("origin", F.col("pos").alias("child"), F.col("loc").alias("url"))
     nested = children.join(locs.where("not is_index"), "url").select("origin", "child", "pos", "loc")
     w = Window.partitionBy("origin").orderBy("child", "pos")
     every = own.unionByName(nested).withColumn("n", F.row_number().over(w))
-    return every.where(F.col("n") <= max_urls).select("origin", (F.col("n") - 1).alias("pos"), F.col("loc").alias("url"))
+    return (every if max_urls is None else every.where(F.col("n") <= max_urls)).select("origin", (F.col("n") - 1).alias("pos"), F.col("loc").alias("url"))
 
 
 def read_llms(fetched: DataFrame) -> DataFrame:
