@@ -38,7 +38,12 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between a sentence's end mark, white space and anything but a lower-case letter; with a word at least."""
-    parts = F.split(clean(text), r"(?<=[.!?…])(?U:\s+)(?=[^a-z])")
+    return sentences_of_clean(clean(text))
+
+
+def sentences_of_clean(text: Column) -> Column:
+    """``sentences`` of a text that is clean already."""
+    parts = F.split(text, r"(?<=[.!?…])(?U:\s+)(?=[^a-z])")
     return F.filter(parts, lambda s: F.regexp_like(s, F.lit(r"[\p{L}\p{N}]")))
 
 
@@ -66,14 +71,19 @@ def language_of(found: Column) -> Column:
     """struct(code, confidence) from marker words among the first tokens; code null under 20 tokens or without hits."""
     none = F.struct(F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("confidence"))
 
+    every = sorted({x for m in LANGUAGE_MARKERS.values() for x in m})
+
     def pick(r: Column) -> Column:
         best, second = r[0]["score"], r[1]["score"]
         sure = F.least(F.lit(1.0), (best - second) * 25.0 + best * 5.0)
         return F.when(best > 0, F.struct(r[0]["code"].alias("code"), sure.alias("confidence"))).otherwise(none)
 
     def rank(words: Column) -> Column:
-        scored = F.array(*[F.struct((_hits(words, m) / F.size(words)).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("code")) for i, (c, m) in enumerate(LANGUAGE_MARKERS.items())])
-        return F.when(F.size(words) < LANGUAGE_LEAST_TOKENS, none).otherwise(_once(F.sort_array(scored, asc=False), pick))
+        def scored(marked: Column) -> Column:
+            return F.array(*[F.struct((_hits(marked, m) / F.size(words)).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("code")) for i, (c, m) in enumerate(LANGUAGE_MARKERS.items())])
+
+        marked = F.filter(words, lambda x: x.isin(every))
+        return F.when(F.size(words) < LANGUAGE_LEAST_TOKENS, none).otherwise(_once(F.sort_array(_once(marked, scored), asc=False), pick))
 
     return _once(F.slice(found, 1, LANGUAGE_TOKENS), rank)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webgauge.constants import CATEGORIES
 
 FINDING = "array<struct<cat_pos:int,category:string,check_pos:int,check:string,importance:string,find_pos:int,status:string,text:string,todo:string>>"
+FIELDS = tuple(f.split(":")[0] for f in FINDING.removeprefix("array<struct<").split(","))
 
 
 @dataclasses.dataclass
@@ -51,20 +52,20 @@ def _lit(x: Column | str | None) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("string")
 
 
-def findings_column(mode: str, checks: list[Check]) -> Column:
-    """All findings of a row in catalog order, as one array expression; those that don't apply have no status."""
+def findings_column(mode: str, checks: list[Check], fields: tuple[str, ...] | None = None) -> Column:
+    """All findings of a row in catalog order, as one array expression; those that don't apply have no status.  ``fields``:
+    what is wanted of each, if not all."""
     order = {key: i for i, (key, _, _) in enumerate(CATEGORIES[mode])}
     position = dict.fromkeys(order, 0)
     out = []
     for c in checks:
         for k, f in enumerate(c.findings):
             bad = f.status.isin("warn", "fail")
-            out.append(
-                F.struct(
-                    F.lit(order[c.category]).alias("cat_pos"), F.lit(c.category).alias("category"), F.lit(position[c.category]).alias("check_pos"), F.lit(c.name).alias("check"),
-                    F.lit(c.importance).alias("importance"), F.lit(k).alias("find_pos"), f.status.alias("status"), _lit(f.text).alias("text"), F.when(bad, _lit(f.todo)).alias("todo"),
-                )
-            )
+            columns = [
+                F.lit(order[c.category]).alias("cat_pos"), F.lit(c.category).alias("category"), F.lit(position[c.category]).alias("check_pos"), F.lit(c.name).alias("check"),
+                F.lit(c.importance).alias("importance"), F.lit(k).alias("find_pos"), f.status.alias("status"), _lit(f.text).alias("text"), F.when(bad, _lit(f.todo)).alias("todo"),
+            ]
+            out.append(F.struct(*[c for name, c in zip(FIELDS, columns) if fields is None or name in fields]))
         position[c.category] += 1
     return F.array(*out)
 

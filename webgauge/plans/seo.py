@@ -20,11 +20,20 @@ def _empty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
+def signals() -> Column:
+    """What several rules look at, worked out once for each page."""
+    d = F.col("doc")
+    return F.struct(
+        tx.pixel_width(d["title"], TITLE_FONT_PX).alias("title_px"), tx.pixel_width(d["description"], DESCRIPTION_FONT_PX).alias("description_px"), tx.tokens(d["title"]).alias("title_tokens"), F.lower(d["body_text"]).alias("body")
+    )
+
+
 def checks() -> list[Check]:
-    d, x, url = F.col("doc"), F.col("x"), F.col("url")
+    """Over doc, x, the ``signals`` s and the columns of a capture."""
+    d, x, s, url = F.col("doc"), F.col("x"), F.col("s"), F.col("url")
     title, description = d["title"], d["description"]
-    title_px, description_px = tx.pixel_width(title, TITLE_FONT_PX), tx.pixel_width(description, DESCRIPTION_FONT_PX)
-    title_tokens = tx.tokens(title)
+    title_px, description_px = s["title_px"], s["description_px"]
+    title_tokens = s["title_tokens"]
     content_tokens = F.filter(title_tokens, lambda w: ~w.isin(STOP_WORDS))
     has_title, has_description = ~_empty(title), ~_empty(description)
     words = x["word_count"]
@@ -106,7 +115,7 @@ def checks() -> list[Check]:
 
     stop_percent = round_half_up(x["stop_percent"], 1)
     terms = F.filter(title_tokens, lambda w: ~w.isin(STOP_WORDS) & (F.char_length(w) > 2))
-    body, h1_text = F.lower(d["body_text"]), F.lower(F.concat_ws(" ", F.transform(x["h1s"], lambda h: h["text"])))
+    body, h1_text = s["body"], F.lower(F.concat_ws(" ", F.transform(x["h1s"], lambda h: h["text"])))
     lists = d["lists"]["ul"] + d["lists"]["ol"] + d["lists"]["dl"]
     size_kb, images = kilobytes(F.octet_length(F.coalesce("html", F.lit("")))), x["images"]
     viewport = F.lower(d["viewport"])
